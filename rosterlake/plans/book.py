@@ -1,0 +1,21 @@
+"""Query book: name -> (Spark query, oracle SQL)."""
+
+QUERIES, ORACLES = {}, {}
+
+
+def query(name: str, sql: str = None):
+    def register(fn):
+        if name in QUERIES:
+            raise ValueError(f"query {name} registered twice")
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
+        return fn
+    return register
+
+
+def load():
+    """Imports every query module; returns the two dictionaries."""
+    from . import (q_assembly, q_classify, q_findings, q_lifecycle, q_relevance, q_resolve, q_search,  # noqa: F401
+                   q_sources, q_stats, q_streaming, q_tables, q_text, q_views)
+    return QUERIES, ORACLES
