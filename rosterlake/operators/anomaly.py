@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import bands, chars, regex
+from ..functions.arrays import explode_rows
 from ..rules import patterns
 
 
@@ -93,8 +94,7 @@ def detect(df: DataFrame, text: str, out="anomaly", account: Column = None, limi
 
 
 def long_signals(df: DataFrame, key: str, column="anomaly") -> DataFrame:
-    return (df.select(key, F.posexplode(F.col(column)["signals"]).alias("position", "s"))
-            .select(key, "position", "s.*"))
+    return explode_rows(df, key, F.col(column)["signals"], "s", "position").select(key, "position", "s.*")
 
 
 def risk_per_key(signals: DataFrame, key: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import regex, urls
+from ..functions.arrays import explode_rows
 from ..rules import patterns
 
 
@@ -28,7 +29,7 @@ def collect(df: DataFrame, key="id") -> DataFrame:
     distinct = F.array_distinct(F.transform(found, lambda s: s["url"]))
     return (df.withColumn("_found", found)
             .withColumn("_hints", _runtime_hinted(F.col("raw_content")))
-            .select(key, "homepage", "_found", "_hints", F.posexplode(distinct).alias("position", "url"))
+            .transform(explode_rows, [key, "homepage", "_found", "_hints"], distinct, "url", "position")
             .withColumn("origin", F.get(F.filter(
                 "_found", lambda s: s["url"] == F.col("url")), F.lit(0))["origin"])
             .drop("_found").withColumnRenamed("_hints", "runtime_hint"))
@@ -163,7 +164,7 @@ def transport_findings(df: DataFrame, key="id") -> DataFrame:
                    finding("insecure_transport", "http_url_pattern", 0.9))
     local = F.when(regex.contains_any(low, patterns.LOCAL_ADDRESS_MARKS),
                    finding("localhost_exposure", "localhost_exposed_pattern", 0.85))
-    return (exploded.select(key, "url", F.explode(F.array_compact(F.array(plain, local))).alias("f"))
+    return (explode_rows(exploded, [key, "url"], F.array_compact(F.array(plain, local)), "f")
             .select(key, "f.type", "f.severity", "f.rule", F.lit("endpoint").alias("source"),
                     F.col("url").alias("location"), F.col("url").alias("evidence"),
                     F.col("f.confidence").alias("confidence")))

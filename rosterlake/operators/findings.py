@@ -14,6 +14,7 @@ ends there.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import regex
+from ..functions.arrays import explode_rows
 from ..rules import patterns, vocab
 
 
@@ -60,8 +61,8 @@ def with_hits(df: DataFrame, text: str, rules=patterns.SCAN_RULES, families=patt
 def counts(df: DataFrame, key: str, text: str, rules=patterns.SCAN_RULES,
            families=patterns.SCAN_FAMILIES) -> DataFrame:
     """Long table (key, type, rule, severity, confidence, hits)."""
-    return (with_hits(df.select(key, text), text, rules, families)
-            .select(key, F.explode("rule_hits").alias("h")).select(key, "h.*"))
+    hits = with_hits(df.select(key, text), text, rules, families)
+    return explode_rows(hits, key, F.col("rule_hits"), "h").select(key, "h.*")
 
 
 def status_of(has_severe: Column, has_medium: Column) -> Column:
@@ -105,8 +106,7 @@ def extract(df: DataFrame, key: str, text: str, rules=patterns.SCAN_RULES,
             regex.extract_all(t, r.pattern).alias("found"),
             regex.pieces(t, r.pattern).alias("between")))
         for r in rules]))
-    per_rule = (_with_folded(df.select(key, text), text)
-                .select(key, F.explode(fired).alias("f")).select(key, "f.*"))
+    per_rule = explode_rows(_with_folded(df.select(key, text), text), key, fired, "f").select(key, "f.*")
     w = F.col("context")
     tails = per_rule.withColumns({
         "_before": F.transform("between", lambda s: F.right(s, w)),

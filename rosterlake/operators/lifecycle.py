@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.arrays import explode_rows
 from ..rules import vocab
 from .classify import first_true
 from .ranking import first_n_per_group
@@ -104,7 +105,7 @@ def violations(df: DataFrame, key="id", vocabularies=VOCABULARIES, ranges=None,
               for c in (key, *required)]
     checks += [problem(c, "enum", ~F.col(c).isin(*v)) for c, v in vocabularies.items() if c in df.columns]
     checks += [problem(c, "range", ~F.col(c).between(lo, hi)) for c, (lo, hi) in ranges.items()]
-    return df.select(key, F.explode(F.array_compact(F.array(*checks))).alias("v")).select(key, "v.*")
+    return explode_rows(df, key, F.array_compact(F.array(*checks)), "v").select(key, "v.*")
 
 
 def cap_per_source(df: DataFrame, n: int, source="source", order=("id",), only: str = None) -> DataFrame:

@@ -10,6 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
+from ..functions.arrays import explode_rows
 
 INLINE_TERMS = 64
 
@@ -42,8 +43,8 @@ def hits(text: Column, dictionary, match="contains") -> Column:
     elif len(dictionary) <= INLINE_TERMS:
         tests = [F.contains(low, F.lit(t.word.lower())) for t in dictionary]
     else:
-        const = F.array(*[_literal(t) for t in dictionary])
-        return F.filter(const, lambda t: F.contains(low, F.lower(t["word"])))
+        const = F.array(*[F.struct(F.lit(t.word.lower()).alias("low"), _literal(t).alias("term")) for t in dictionary])
+        return F.transform(F.filter(const, lambda t: F.contains(low, t["low"])), lambda t: t["term"])
     return F.array_compact(F.array(*[F.when(c, _literal(t)) for c, t in zip(tests, dictionary)]))
 
 
@@ -59,8 +60,8 @@ def points(found: Column) -> Column:
 def long_hits(df: DataFrame, key, text: str, dictionary, match="contains") -> DataFrame:
     """One row per (row, term) hit."""
     keys = [key] if isinstance(key, str) else list(key)
-    return (df.select(*keys, F.explode(hits(F.col(text), dictionary, match)).alias("hit"))
-              .select(*keys, "hit.word", "hit.points", "hit.label"))
+    return explode_rows(df, keys, hits(F.col(text), dictionary, match), "hit") \
+        .select(*keys, "hit.word", "hit.points", "hit.label")
 
 
 def url_domains(urls: Column, domains, every=False) -> Column:

@@ -10,6 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import bands, regex
+from ..functions.arrays import explode_rows
 from ..rules import signals
 from . import match
 
@@ -206,8 +207,8 @@ def ai_inline(words=signals.INLINE_AI_KEYWORDS, word_points=signals.INLINE_AI_PO
 
 def long_evidence(df: DataFrame, key: str, verdict: str, dimension: str) -> DataFrame:
     """Evidence of one scorer as a long table."""
-    return (df.select(key, F.posexplode(F.col(verdict)["evidence"]).alias("position", "e"))
-              .select(key, F.lit(dimension).alias("dimension"), "position", "e.*"))
+    return explode_rows(df, key, F.col(verdict)["evidence"], "e", "position") \
+        .select(key, F.lit(dimension).alias("dimension"), "position", "e.*")
 
 
 def score_long(evidence: DataFrame, key: str) -> DataFrame:

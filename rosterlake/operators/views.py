@@ -5,6 +5,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import bands
+from ..functions.arrays import explode_rows
 from . import classify, ranking
 
 GROUP_ORDER = ("MCP", "AI", "Data", "Other", "Security")
@@ -104,7 +105,7 @@ def memberships(df: DataFrame, views=None, key="id") -> DataFrame:
     entries = F.array_compact(F.array(*[
         F.when(v.predicate, F.struct(F.lit(v.slug).alias("view"),
                                      exclusive_section(v.sections).alias("section"))) for v in views]))
-    return df.withColumn("_m", F.explode(entries)).select(key, "_m.view", "_m.section")
+    return explode_rows(df, key, entries, "_m").select(key, "_m.view", "_m.section")
 
 
 def section_totals(df: DataFrame, view: View) -> DataFrame:

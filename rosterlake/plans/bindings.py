@@ -16,6 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are long texts.
+
+    A small landed file may be a single row group, hence a single task; its
+    rows are spread over the cores before the heavy work.  Inputs with enough
+    splits of their own are read as they are, without this shuffle.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if len(files) < cores and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        return df.repartition(cores, df.columns[0])
+    return df
+
+
 def as_of():
     return F.lit(AS_OF).cast("timestamp")
 
@@ -49,7 +64,7 @@ def _pick(values, index):
 
 
 def doc_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir, "documents")
     n, k = F.col("doc_id"), F.col("n_chars")
     source, lang, text = F.col("source"), F.col("lang"), F.col("text")
     base = d.select(

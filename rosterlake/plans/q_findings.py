@@ -105,7 +105,7 @@ def finding_contexts_legacy(spark, d):
 @query("conversation_findings", f"""WITH h AS ({_counts_sql(PROSE, P.SCAN_FAMILIES, text="text", source="conversations", key="conv_id, turn")})
 SELECT rule, count(*) AS turns, CAST(sum(hits) AS BIGINT) AS hits FROM h GROUP BY rule""")
 def conversation_findings(spark, d):
-    turns = B.table(spark, d, "conversations").withColumn("key", F.struct("conv_id", "turn"))
+    turns = B.texts(spark, d, "conversations").withColumn("key", F.struct("conv_id", "turn"))
     found = X.counts(turns, "key", "text", PROSE)
     return found.groupBy("rule").agg(F.count("*").alias("turns"), F.sum("hits").alias("hits"))
 
@@ -147,7 +147,7 @@ def text_statistics(spark, d):
     from ..functions import regex
     t = F.col("text")
     runs = regex.extract_all(t, "[A-Za-z]{12,}")
-    return B.table(spark, d, "documents").select(
+    return B.texts(spark, d, "documents").select(
         "doc_id", F.round(chars.entropy(t), 4).alias("entropy"), chars.non_text_chars(t).alias("non_text"),
         F.round(chars.non_text_ratio(t), 6).alias("ratio"),
         F.aggregate(runs, F.lit(0), lambda a, r: a + F.length(r)).alias("long_runs"),

@@ -37,7 +37,7 @@ def _hits_sql(words):
 @query("dictionary_hits", _hits_sql(WORDS))
 def dictionary_hits(spark, d):
     terms = [match.Term(w, float(i)) for i, w in enumerate(WORDS)]
-    return match.long_hits(B.table(spark, d, "documents"), "doc_id", "text", terms).drop("label")
+    return match.long_hits(B.texts(spark, d, "documents"), "doc_id", "text", terms).drop("label")
 
 
 @query("dictionary_hits_large", f"""
@@ -45,7 +45,7 @@ SELECT word, count(*) AS documents FROM ({_hits_sql(tuple(f"a{c}" for c in "bcde
 def dictionary_hits_large(spark, d):
     """Same answer through the constant-array form that long dictionaries take."""
     words = [f"a{c}" for c in "bcdefghilmnprstuvz"] + [f"no such word {i}" for i in range(80)]
-    hits = match.long_hits(B.table(spark, d, "documents"), "doc_id", "text", match.terms(words))
+    hits = match.long_hits(B.texts(spark, d, "documents"), "doc_id", "text", match.terms(words))
     return hits.groupBy("word").agg(F.count("*").alias("documents"))
 
 
@@ -53,14 +53,14 @@ def dictionary_hits_large(spark, d):
     f"SELECT doc_id, '{w}' AS word FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9_]){w}([^a-z0-9_]|$)')"
     for w in ("the", "und", "token")))
 def dictionary_words(spark, d):
-    return match.long_hits(B.table(spark, d, "documents"), "doc_id", "text",
+    return match.long_hits(B.texts(spark, d, "documents"), "doc_id", "text",
                            match.terms(("the", "und", "token")), match="word").select("doc_id", "word")
 
 
 @query("first_dictionary_hit", "SELECT doc_id, CASE " + " ".join(
     f"WHEN contains(lower(text), {B.quote(w.lower())}) THEN {B.quote(w)}" for w in WORDS[2:]) + " END AS word FROM documents")
 def first_dictionary_hit(spark, d):
-    return B.table(spark, d, "documents").select(
+    return B.texts(spark, d, "documents").select(
         "doc_id", match.first_hit(F.col("text"), match.terms(WORDS[2:]))["word"].alias("word"))
 
 

@@ -21,7 +21,7 @@ SELECT page_id, {_STORAGE} AS storage_url, {B.identity_sql('url')} AS identity_u
 FROM pages""")
 def url_normal_forms(spark, d):
     u = F.col("url")
-    return B.table(spark, d, "pages").select(
+    return B.texts(spark, d, "pages").select(
         "page_id", urls.storage_url(u).alias("storage_url"), urls.identity_url(u).alias("identity_url"),
         urls.host(u).alias("host"), urls.owner(u).alias("owner"), urls.last_segment(u).alias("last_segment"),
         urls.storage_id(u).alias("storage_id"), urls.short_id(u).alias("short_id"))
@@ -36,7 +36,7 @@ SELECT 'repo', id, regexp_extract(regexp_replace(regexp_replace(repo_url, '\\.gi
   '^.*github\\.com/([^/]+/[^/]+)', 1), {B.any_sql('lower(name)', ('1', '7'))} FROM ents""")
 def page_slugs(spark, d):
     marks = ("1", "7")
-    pages = B.table(spark, d, "pages").select(
+    pages = B.texts(spark, d, "pages").select(
         F.lit("page").alias("kind"), F.col("page_id").cast("string").alias("id"),
         urls.page_slug(F.col("url"), "/en/").alias("slug"))
     pages = pages.withColumn("relevant", landed.is_relevant_slug(F.col("slug"), marks, ()))
@@ -59,7 +59,7 @@ def names_and_slugs(spark, d):
     given = F.when(n % 3 == 0, "").otherwise(F.substring_index("text", ".", 1))
     url = F.concat(F.lit("https://github.com/"), "source", F.lit("/"), "lang", F.lit("_"),
                    n.cast("string"), F.lit(".Kit/"))
-    named = B.table(spark, d, "documents").select(
+    named = B.texts(spark, d, "documents").select(
         "doc_id", urls.default_name(given, url).alias("name"),
         F.when(n % 4 == 0, " ").otherwise(F.col("source")).alias("lic"))
     return named.select("doc_id", F.md5("name").alias("name_md5"), urls.slug(F.col("name")).alias("slug"),
@@ -81,7 +81,7 @@ SELECT doc_id, md5(CASE WHEN first <> '' THEN first ELSE trim(text, {B.BLANKS})
 FROM t""")
 def text_cleanup(spark, d):
     t = F.col("text")
-    return B.table(spark, d, "documents").select(
+    return B.texts(spark, d, "documents").select(
         "doc_id", F.md5(T.describe(t, t)).alias("description"), F.md5(T.redact(t, _PHRASES)).alias("redacted"),
         T.truncate(t, 150).alias("short"), T.table_cell(t, 80).alias("cell"),
         F.md5(T.clean_description(t, ("token", "Licen"))).alias("cleaned"))
@@ -92,7 +92,7 @@ SELECT page_id, md5(regexp_replace(html, '<[^>]*>', '', 'g')) AS plain_md5,
   length(regexp_replace(html, '<[^>]*>', '', 'g')) AS plain_chars FROM pages""")
 def html_stripped(spark, d):
     plain = T.strip_tags(F.col("html"))
-    return B.table(spark, d, "pages").select(
+    return B.texts(spark, d, "pages").select(
         "page_id", F.md5(plain).alias("plain_md5"), F.length(plain).cast("long").alias("plain_chars"))
 
 
@@ -116,7 +116,7 @@ def url_extraction(spark, d):
     n = F.col("page_id").cast("string")
     readme = F.concat(F.lit("Endpoint: "), "url", F.lit(" see ("), "url", F.lit(") wss://x.example/mcp\n<"), "url",
                       F.lit(">, stdio sse://h/"), n)
-    rows = B.table(spark, d, "pages").select("page_id", readme.alias("t"))
+    rows = B.texts(spark, d, "pages").select("page_id", readme.alias("t"))
     eps = urls.readme_endpoints(F.col("t"), ("sse", "mcp", "blog"))
     field = lambda name: F.array_join(F.transform("eps", lambda e: e[name]), " ")
     return rows.withColumn("eps", eps).select(
@@ -230,7 +230,7 @@ def category_folds(spark, d):
 def encoding_repair(spark, d):
     """Documents as landed bytes: Latin-1 bytes are invalid UTF-8 for accented text."""
     raw = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "ISO-8859-1"))
-    landed_rows = B.table(spark, d, "documents").select("doc_id", "lang", raw.alias("raw"))
+    landed_rows = B.texts(spark, d, "documents").select("doc_id", "lang", raw.alias("raw"))
     fixed = encoding.repair_frame(landed_rows, "raw")
     return fixed.groupBy("lang", "verdict").agg(F.count("*").alias("documents"),
                                                 F.sum(F.length("text")).alias("chars"))
@@ -241,7 +241,7 @@ SELECT doc_id, md5(CASE WHEN doc_id % 10 = 0 THEN '?' || text ELSE text END) AS
 def base64_contents(spark, d):
     encoded = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("?"), "text")) \
                .otherwise(F.base64(F.encode("text", "UTF-8")))
-    rows = B.table(spark, d, "documents").select("doc_id", encoded.alias("content"))
+    rows = B.texts(spark, d, "documents").select("doc_id", encoded.alias("content"))
     return landed.file_contents(rows).select("doc_id", F.md5("text").alias("text_md5"))
 
 
@@ -302,7 +302,7 @@ WITH e AS (SELECT doc_id, 'README' AS type, 'readme' AS source, 'readme_match' A
  UNION ALL SELECT doc_id, 'RULE_MATCH', '', 'lang_' || lang, source, '' FROM documents)
 SELECT doc_id, type, source, rule, matched, md5(snippet) AS snippet_md5, '2024-07-01 00:00:00' AS seen_at FROM e""")
 def evidence_rows(spark, d):
-    docs = B.table(spark, d, "documents")
+    docs = B.texts(spark, d, "documents")
     readme = evidence.typed_rows(docs, "doc_id", "README", F.col("lang"), F.lit(0.7), B.as_of(), snippet=F.col("text"))
     rule = evidence.typed_rows(docs, "doc_id", "RULE_MATCH", F.col("source"), F.lit(1.0), B.as_of(),
                                rule=F.concat(F.lit("lang_"), "lang"))
