@@ -43,10 +43,10 @@ def statistics(df: DataFrame) -> DataFrame:
     totals = counts.filter(F.col("facet") == "_relevant").agg(
         F.sum("entities").alias("total"),
         F.sum(F.when(F.col("value") == "true", F.col("entities"))).alias("relevant"))
-    rows = totals.select(F.inline(F.array(
-        F.struct(F.lit("total").alias("facet"), F.lit("entities").alias("value"),
-                 F.coalesce("total", F.lit(0)).alias("entities")),
-        F.struct(F.lit("total"), F.lit("relevant"), F.coalesce("relevant", F.lit(0))))))
+    rows = totals.select(F.inline(F.array(*[
+        F.struct(F.lit("total").alias("facet"), F.lit(value).alias("value"),
+                 F.coalesce(column, F.lit(0)).alias("entities"))
+        for value, column in (("entities", "total"), ("relevant", "relevant"))])))
     return facets.unionByName(rows)
 
 
@@ -80,11 +80,10 @@ def run_report(df: DataFrame, ok: Column, facets: dict) -> DataFrame:
     the totals."""
     cube = df.groupBy(ok.alias("_ok"), *[e.alias(n) for n, e in facets.items()]).agg(F.count("*").alias("_n"))
     state = F.when(F.col("_ok"), "succeeded").otherwise("failed")
+    entry = lambda section, value: F.struct(F.lit(section).alias("section"), value.cast("string").alias("value"))
     entries = F.concat(
-        F.array(F.struct(F.lit("total").alias("section"), F.lit("rows").alias("value")),
-                F.struct(F.lit("total"), state)),
-        F.when(F.col("_ok"), F.array(*[
-            F.struct(F.lit(n).alias("section"), F.col(n).cast("string").alias("value")) for n in facets]))
+        F.array(entry("total", F.lit("rows")), entry("total", state)),
+        F.when(F.col("_ok"), F.array(*[entry(n, F.col(n)) for n in facets]))
         .otherwise(F.array().cast("array<struct<section:string,value:string>>")))
     return (cube.select(F.explode(entries).alias("e"), "_n").groupBy("e.section", "e.value")
             .agg(F.sum("_n").alias("rows")))

@@ -1 +1,50 @@
-"""Queries."""
+"""The registry job end to end, and verdict assembly from stored tables."""
+
+from pyspark.sql import functions as F
+
+from ..operators import findings, relevance as R, stats
+from ..rules import patterns as P, vocab
+from . import bindings as B, registry
+from .book import query
+from .q_classify import CLASSIFIED
+from .q_findings import _HITS, _VERDICT, RULES
+from .q_relevance import AI, AI_SQL, REGION, REGION_SQL
+
+
+@query("registry_build")
+def registry_build(spark, d):
+    """Full mode over all documents: classes, levels and states of the merged
+    entities.  Each step has its own oracle; the chain is checked by tests."""
+    out = registry.build(B.doc_entities(spark, d), B.as_of(), region=R.region(REGION), ai=R.ai(AI), rules=RULES, seq="doc_id")
+    return out.groupBy("primary_class", "region_level", "identity_status", "security_status", "quality_grade").agg(
+        F.count("*").alias("entities"), F.sum("members").alias("records"))
+
+
+@query("registry_discovery", f"""WITH {B.ENTS} SELECT count(DISTINCT {B.CID_SQL}) AS entities, count(*) AS records FROM ents""")
+def registry_discovery(spark, d):
+    out = registry.build(B.doc_entities(spark, d), B.as_of(), mode="discovery-only", seq="doc_id")
+    return out.agg(F.count("*").alias("entities"), F.sum("members").alias("records"))
+
+
+@query("assembled_verdicts", f"""WITH {CLASSIFIED}, {_HITS}, {_VERDICT}
+SELECT c.id, primary_class, {B.band_sql('region_score', vocab.REGION_BANDS, 'T0')} AS region_level, {B.band_sql('ai_score', vocab.AI_BANDS, 'A0')} AS ai_level,
+  coalesce(v.status, 'CLEAN') AS security_status FROM classified c LEFT JOIN v ON v.id = c.id""")
+def assembled_verdicts(spark, d):
+    """Verdict tables computed separately, joined on the entity id."""
+    from ..operators import classify
+    from .q_classify import scored_entities
+    rows = scored_entities(spark, d)
+    classes = classify.classify(rows).select("id", F.col("classification.primary").alias("primary_class"))
+    found = findings.summarise(findings.counts(rows, "id", "raw_content", RULES, P.SCAN_FAMILIES), "id", "hits")
+    out = registry.assemble(rows.select("id", "region_level", "ai_level"), classes,
+                            found.select("id", F.col("status").alias("security_status")))
+    return out.select("id", "primary_class", "region_level", "ai_level",
+                      F.coalesce("security_status", F.lit("CLEAN")).alias("security_status"))
+
+
+@query("level_facets", f"""WITH {B.ENTS}, s AS (SELECT CAST({REGION_SQL} AS DOUBLE) AS r, CAST({AI_SQL} AS DOUBLE) AS a FROM ents)
+SELECT 'region' AS facet, {B.band_sql('r', vocab.REGION_BANDS, 'T0')} AS value, count(*) AS entities FROM s GROUP BY 2
+UNION ALL SELECT 'ai', {B.band_sql('a', vocab.AI_BANDS, 'A0')}, count(*) FROM s GROUP BY 2""")
+def level_facets(spark, d):
+    scored = registry.score(B.doc_entities(spark, d), R.region(REGION), R.ai(AI))
+    return stats.facet_counts(scored, {"region": F.col("region_level"), "ai": F.col("ai_level")})

@@ -1 +1,131 @@
-"""Queries."""
+"""Table maintenance over the event log and the order tables."""
+
+from pyspark.sql import functions as F
+
+from ..operators import resolve
+from ..sinks import tables as K
+from ..sources import landed
+from . import bindings as B
+from .book import query
+
+_TS = "'%Y-%m-%d %H:%M:%S'"
+
+
+def _log(spark, d):
+    """Events as a change log of entities: user = entity, day = run."""
+    return B.table(spark, d, "events").select(
+        F.col("user_id").alias("id"), "event_id", F.date_format("ts", "yyyyMMdd").alias("crawl_id"),
+        F.col("event_type").alias("status"), F.get_json_object("props", "$.k").cast("int").alias("score"),
+        F.col("ts").alias("last_seen"), F.col("ts").alias("first_seen"))
+
+
+LOG = "log AS (SELECT user_id AS id, event_id, strftime(ts, '%Y%m%d') AS crawl_id, event_type AS status, CAST(json_extract_string(props, '$.k') AS INTEGER) AS score, ts FROM events)"
+_FINAL = f"SELECT id, arg_max(status, event_id) AS status, arg_max(score, event_id) AS score, strftime(arg_min(ts, event_id), {_TS}) AS first_seen, strftime(arg_max(ts, event_id), {_TS}) AS last_seen FROM log GROUP BY id"
+_stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+
+
+@query("final_state", f"WITH {LOG} {_FINAL}")
+def final_state(spark, d):
+    """The whole log folded in one aggregation."""
+    out = K.upsert_log(_log(spark, d).drop("crawl_id"), "id", [F.col("event_id")], ("first_seen",))
+    return out.select("id", "status", "score", _stamp("first_seen"), _stamp("last_seen"))
+
+
+@query("final_state_by_batches", f"WITH {LOG} {_FINAL}")
+def final_state_by_batches(spark, d):
+    """The same state reached by three successive upserts."""
+    log = _log(spark, d).drop("crawl_id")
+    third = F.dayofmonth("last_seen") % 31
+    batches = [log.filter(third.between(lo, hi)) for lo, hi in ((1, 10), (11, 20), (21, 31))]
+    order = [F.col("event_id")]
+    state = K.upsert_log(batches[0], "id", order, ("first_seen",)).select(*log.columns)
+    for batch in batches[1:]:
+        # within a batch the earliest first_seen counts, as it would row by row
+        fresh = K.upsert_log(batch, "id", order, ("first_seen",)).select(*log.columns)
+        state = K.upsert(state, fresh, "id", keep=("first_seen",))
+    return state.select("id", "status", "score", _stamp("first_seen"), _stamp("last_seen"))
+
+
+@query("child_upserts", """SELECT l_orderkey, l_linenumber, arg_max(l_quantity, struct_pack(d := l_shipdate, p := l_partkey, s := l_suppkey, q := l_quantity)) AS l_quantity
+FROM lineitem GROUP BY ALL""")
+def child_upserts(spark, d):
+    """Child rows under a composite key; the last shipment wins."""
+    rows = B.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate", "l_partkey", "l_suppkey")
+    order = [F.col(c) for c in ("l_shipdate", "l_partkey", "l_suppkey", "l_quantity")]
+    return K.upsert_log(rows, ["l_orderkey", "l_linenumber"], order, ()).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("inserted_links", """SELECT DISTINCT o_custkey AS id, o_orderpriority AS source_id FROM orders""")
+def inserted_links(spark, d):
+    """Insert-or-ignore of the second half of the links into the first half."""
+    links = B.table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("source_id"), "o_orderkey")
+    first = links.filter(F.col("o_orderkey") % 2 == 0).select("id", "source_id").distinct()
+    second = links.filter(F.col("o_orderkey") % 2 == 1).select("id", "source_id")
+    return K.insert_new(first, second, ["id", "source_id"])
+
+
+@query("remaining_customers", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def remaining_customers(spark, d):
+    gone = B.table(spark, d, "orders").filter(F.col("o_orderstatus") == "P").select(F.col("o_custkey").alias("c_custkey"))
+    return K.delete(B.table(spark, d, "customer").select("c_custkey"), gone, "c_custkey")
+
+
+@query("snapshot_history", f"""WITH {LOG} SELECT id, event_id, row_number() OVER w AS sequence, strftime(lag(ts) OVER w, {_TS}) AS previous FROM log WINDOW w AS (PARTITION BY id ORDER BY ts, event_id)""")
+def snapshot_history(spark, d):
+    out = K.history(_log(spark, d), "id", [F.col("last_seen"), F.col("event_id")])
+    return out.select("id", "event_id", F.col("sequence").cast("long").alias("sequence"), _stamp("previous"))
+
+
+@query("snapshot_changes", f"""WITH {LOG}, p AS (SELECT *, lag(status) OVER w AS before, row_number() OVER w AS n FROM log WINDOW w AS (PARTITION BY id ORDER BY ts, event_id))
+SELECT id, event_id, status FROM p WHERE n = 1 OR before <> status""")
+def snapshot_changes(spark, d):
+    return K.snapshot_changes(_log(spark, d), "id", [F.col("last_seen"), F.col("event_id")], ["status"]).select("id", "event_id", "status")
+
+
+@query("latest_source_rows", "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY ALL")
+def latest_source_rows(spark, d):
+    rows = B.table(spark, d, "events").select("user_id", "event_type", "event_id", "value")
+    return resolve.latest_per_key(rows, ["user_id", "event_type"], [F.col("event_id")], ["event_id", "value"])
+
+
+@query("run_log", f"""WITH {LOG} SELECT crawl_id, strftime(min(ts), {_TS}) AS started_at, strftime(max(ts), {_TS}) AS finished_at, count(*) AS candidates_found, count(*) FILTER (status = 'error') AS failed FROM log GROUP BY 1""")
+def run_log(spark, d):
+    """Run rows: counters replaced, start kept, newest first."""
+    log = _log(spark, d)
+    parts = [log.filter(F.col("event_id") % 2 == h).groupBy("crawl_id").agg(
+        F.min("last_seen").alias("started_at"), F.max("last_seen").alias("finished_at"),
+        F.count("*").alias("candidates_found"), F.count_if(F.col("status") == "error").alias("failed")) for h in (0, 1)]
+    both = parts[0].unionByName(parts[1]).groupBy("crawl_id").agg(
+        F.min("started_at").alias("started_at"), F.max("finished_at").alias("finished_at"),
+        F.sum("candidates_found").alias("candidates_found"), F.sum("failed").alias("failed"))
+    runs = K.upsert(parts[0], both, "crawl_id", keep=())
+    return K.run_history(runs).select("crawl_id", _stamp("started_at"), _stamp("finished_at"), "candidates_found", "failed")
+
+
+@query("migration_log", f"""WITH {B.ENTS} SELECT id AS old_id, CASE WHEN doc_id % 6 > 0 THEN {B.CID_SQL} END AS new_id,
+  CASE WHEN doc_id % 6 > 0 THEN 'SUCCESS' ELSE 'FAILED' END AS status, CASE WHEN doc_id % 6 = 0 THEN 'bad row ' || id END AS error_message FROM ents""")
+def migration_log(spark, d):
+    from ..functions import urls
+    rows = B.doc_entities(spark, d)
+    return K.migration_log(rows, F.col("doc_id") % 6 > 0, F.concat(F.lit("bad row "), "id"),
+                           new_id=F.sha2(urls.identity_url(F.col("repo_url")), 256))
+
+
+@query("linked_sources", """SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def linked_sources(spark, d):
+    """Entity -> link -> source as two equi joins."""
+    customers = B.table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    links = B.table(spark, d, "nation").withColumnRenamed("n_regionkey", "r_regionkey")
+    return landed.link_sources(customers, links, B.table(spark, d, "region"), "n_nationkey", "r_regionkey") \
+                 .select("c_custkey", "n_name", "r_name")
+
+
+@query("looked_up_rows", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey = 77")
+def looked_up_rows(spark, d):
+    return landed.by_id(B.table(spark, d, "orders"), 77, "o_orderkey").select("o_orderkey", "o_orderstatus")
+
+
+@query("table_ids", "SELECT count(*) AS rows, sum(s_suppkey)::BIGINT AS key_sum FROM supplier")
+def table_ids(spark, d):
+    keys = landed.ids(B.table(spark, d, "supplier"), "s_suppkey")
+    return keys.agg(F.count("*").alias("rows"), F.sum("s_suppkey").alias("key_sum"))

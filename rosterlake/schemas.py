@@ -58,7 +58,7 @@ def with_defaults(df: DataFrame, only=None) -> DataFrame:
     the scan narrow.
     """
     wanted = ENTITY_COLUMNS if only is None else {c: ENTITY_COLUMNS[c] for c in only}
-    have = set(df.columns)
+    have = dict(df.dtypes)
     return df.withColumns({
-        c: F.coalesce(F.col(c), _default(kind)) if c in have else _default(kind)
+        c: F.coalesce(F.col(c), _default(have[c])) if c in have else _default(kind)
         for c, kind in wanted.items()})

@@ -66,7 +66,7 @@ def repository_details(items: DataFrame) -> DataFrame:
     parts = F.split(path, "/")
     return items.select(
         F.col("html_url").alias("repo_url"), F.get(parts, F.lit(0)).alias("repo_owner"),
-        F.get(parts, F.lit(1)).alias("repo_name"), F.col("stargazers_count").alias("stars"),
+        F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("repo_name"), F.col("stargazers_count").alias("stars"),
         F.col("forks_count").alias("forks"), "language",
         F.coalesce("license.spdx_id", F.lit("")).alias("license"), "topics", "default_branch",
         F.coalesce("archived", F.lit(False)).alias("archived"),
@@ -104,7 +104,7 @@ def registry_candidates(lists: DataFrame, source="registry") -> DataFrame:
 def sitemap_locs(maps: DataFrame, xml: str, element: str, key: str = None) -> DataFrame:
     """``loc`` values of a sitemap (``element='url'``) or index (``'sitemap'``)."""
     plain = F.regexp_replace(F.col(xml), r"\sxmlns(:\w+)?=(\"[^\"]*\"|'[^']*')", "")
-    locs = F.transform(F.xpath(plain, F.lit(f"//{element}/loc/text()")), F.trim)
+    locs = F.transform(F.xpath(plain, F.lit(f"//{element}/loc/text()")), lambda u: F.trim(u))
     keys = [key] if key else []
     return maps.select(*keys, F.posexplode(locs).alias("position", "loc")).filter(F.col("loc") != "")
 

@@ -26,9 +26,10 @@ def explode_files(df: DataFrame, key="id", files="package_files") -> DataFrame:
     return df.select(key, F.explode(files).alias("filename", "content"))
 
 
-def _last(entries: Column) -> Column:
-    """Entry with the greatest name: a fixed choice where maps have no order."""
-    return F.element_at(F.array_sort(entries), -1)
+def _last(servers: Column):
+    """(name, server) with the greatest name: a fixed choice where maps have no order."""
+    name = F.array_max(F.map_keys(servers))
+    return name, F.try_element_at(servers, name)
 
 
 def parse_json(content: Column) -> Column:
@@ -39,20 +40,20 @@ def parse_json(content: Column) -> Column:
     """
     doc = F.from_json(content, _JSON, {"mode": "PERMISSIVE"})
     readable = F.get_json_object(content, "$").isNotNull() & F.startswith(F.trim(content), F.lit("{"))
-    main = F.map_entries(doc["mcpServers"])
-    nested = F.map_entries(doc["mcp"]["servers"])
-    m, n = F.when(F.size(main) > 0, _last(main)), F.when(F.size(nested) > 0, _last(nested))
+    main, nested = doc["mcpServers"], doc["mcp"]["servers"]
+    (main_name, m), (nested_name, n) = _last(main), _last(nested)
     has_main = doc["mcpServers"].isNotNull()
     text = lambda c: F.coalesce(c, F.lit(""))
-    name = F.when(has_main, text(m["key"])).otherwise(
-        F.coalesce(F.nullif(n["key"], F.lit("")), doc["name"], F.lit("")))
-    transport = F.when(has_main, text(m["value"]["transport"])).otherwise(
-        F.coalesce(doc["transport"], n["value"]["type"], n["value"]["transport"], F.lit("")))
-    command = F.when(has_main, text(m["value"]["command"])).otherwise(
-        F.coalesce(doc["command"], n["value"]["command"], F.lit("")))
-    args = F.when(has_main, F.flatten(F.transform(F.array_sort(main), lambda e: F.coalesce(
-        e["value"]["args"], F.array().cast("array<string>")))))
-    env = F.when(has_main, m["value"]["env"])
+    name = F.when(has_main, text(main_name)).otherwise(
+        F.coalesce(F.nullif(nested_name, F.lit("")), doc["name"], F.lit("")))
+    transport = F.when(has_main, text(m["transport"])).otherwise(
+        F.coalesce(doc["transport"], n["type"], n["transport"], F.lit("")))
+    command = F.when(has_main, text(m["command"])).otherwise(
+        F.coalesce(doc["command"], n["command"], F.lit("")))
+    args = F.when(has_main, F.flatten(F.transform(
+        F.array_sort(F.map_keys(main)),
+        lambda k: F.coalesce(F.element_at(main, k)["args"], F.array().cast("array<string>")))))
+    env = F.when(has_main, m["env"])
     return F.when(readable, F.struct(
         name.alias("server_name"), transport.alias("transport"), command.alias("command"),
         F.coalesce(args, F.array().cast("array<string>")).alias("args"),
@@ -63,7 +64,7 @@ def parse_json(content: Column) -> Column:
 
 def _section_lines(content: Column, header: str) -> Column:
     """Trimmed lines between a section header and the next ``[``."""
-    lines = F.transform(F.split(content, "\n"), F.trim)
+    lines = F.transform(F.split(content, "\n"), lambda l: F.trim(l))
     start = F.aggregate(
         lines, F.struct(F.lit(0).alias("i"), F.lit(0).alias("at")),
         lambda acc, l: F.struct(
