@@ -77,5 +77,19 @@ def positions(df: DataFrame, group: str, spec, out="position", columns=None) ->
         *columns, (F.col("_at") + F.col("_shift")).alias(out))
 
 
+def with_previous(df: DataFrame, group: str, spec, columns, out="position") -> DataFrame:
+    """Position inside the group plus ``previous_<column>`` of the row before.
+
+    Built on ``positions``: the predecessor is found by an equi join on (group,
+    position), which spreads one long history over all tasks, where ``lag``
+    would sort it in one.
+    """
+    placed = materialise(positions(df, group, spec, out), "history")
+    before = placed.select(F.col(group).alias("_g"), (F.col(out) + 1).alias("_p"),
+                           *[F.col(c).alias(f"previous_{c}") for c in columns])
+    same = placed[group].eqNullSafe(F.col("_g")) & (placed[out] == F.col("_p"))
+    return placed.join(before, same, "left").drop("_g", "_p")
+
+
 def counts_desc(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("entries")).orderBy(F.desc("entries"), F.asc(column))

@@ -21,6 +21,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import materialise
+
 _NO_CARRY = -(1 << 62)
 
 
@@ -107,24 +109,28 @@ def _carries(key):
 
 
 def _labels(key, width):
-    """Labels every event of a chunk with the opening time of its window."""
+    """Labels every instant of a chunk with the opening time of its window and
+    the number of requests before it, within window and chunk."""
     def start(group):
-        return {"end": None, "open": None}
+        return {"end": None, "open": None, "used": 0}
 
     def step(group, part, st):
         us = part["us"].to_numpy()
         if st["end"] is None:
             st["end"] = int(part["carry"].iloc[0])
             st["open"] = st["end"] - width
-        opened, i = np.empty(len(us), dtype=np.int64), 0
+        sums = np.concatenate(([0], np.cumsum(part["requests"].to_numpy())))
+        opened, before, i = np.empty(len(us), dtype=np.int64), np.empty(len(us), dtype=np.int64), 0
         while i < len(us):
             if us[i] > st["end"]:
-                st["open"] = int(us[i])
+                st["open"], st["used"] = int(us[i]), 0
                 st["end"] = st["open"] + width
             j = int(np.searchsorted(us, st["end"], side="right"))
             opened[i:j] = st["open"]
+            before[i:j] = sums[i:j] - sums[i] + st["used"]
+            st["used"] += int(sums[j] - sums[i])
             i = j
-        return part[[key, "us", "requests"]].assign(open_us=opened)
+        return part[[key, "chunk", "us", "requests"]].assign(open_us=opened, before=before)
 
     return lambda batches: _stream_groups(batches, [key, "chunk"], start, step, lambda g, st: None)
 
@@ -134,7 +140,8 @@ def _by_chunk(df: DataFrame, key: str, *order) -> DataFrame:
 
 
 def window_labels(df: DataFrame, key: str, ts: str, seconds=60, chunk_windows=240) -> DataFrame:
-    """(key, us, requests, open_us): distinct event times with their window."""
+    """(key, chunk, us, requests, open_us, before): distinct event times with
+    their window."""
     width = int(seconds * 1_000_000)
     chunk_us = width * chunk_windows
     kind = dict(df.dtypes)[key]
@@ -148,7 +155,7 @@ def window_labels(df: DataFrame, key: str, ts: str, seconds=60, chunk_windows=24
                .mapInPandas(_carries(key), f"{key} {kind}, chunk long, carry long"))
     # partitioned after the join: a skew-split join must not cut a chunk in two
     return _by_chunk(instants.join(carries, [key, "chunk"]), key, "us").mapInPandas(
-        _labels(key, width), f"{key} {kind}, us long, requests long, open_us long")
+        _labels(key, width), f"{key} {kind}, chunk long, us long, requests long, open_us long, before long")
 
 
 def key_opened_windows(df: DataFrame, key: str, ts: str, limit: int, seconds=60, chunk_windows=240) -> DataFrame:
@@ -162,13 +169,28 @@ def key_opened_windows(df: DataFrame, key: str, ts: str, limit: int, seconds=60,
 
 def request_verdicts(df: DataFrame, key: str, ts: str, event_id: str, limit: int, seconds=60,
                      chunk_windows=240) -> DataFrame:
-    """Every request with ``allowed``; the order inside a window is time, id."""
-    labels = window_labels(df, key, ts, seconds, chunk_windows).select(key, "us", "open_us")
+    """Every request with its ``place`` in the window and ``allowed``; the order
+    inside a window is time, then id.
+
+    Places come from running counts, so a crowded window is not sorted as one
+    group; only requests of the same key and microsecond are ordered together.
+    """
+    width = int(seconds * 1_000_000)
+    chunk_us = width * chunk_windows
+    labels = materialise(window_labels(df, key, ts, seconds, chunk_windows), "windows")
+    home = F.floor(F.col("open_us") / chunk_us).cast("long")
+    # a window reaches at most one chunk further; what it used at home is added there
+    spilling = (F.col("chunk") == home) & (F.col("open_us") + width >= (F.col("chunk") + 1) * chunk_us)
+    used = (labels.filter(spilling).groupBy(key, "open_us").agg(F.sum("requests").alias("_used"))
+            .select(F.col(key).alias("_k"), F.col("open_us").alias("_o"), "_used"))
+    over = (F.col(key) == F.col("_k")) & (F.col("open_us") == F.col("_o")) & (F.col("chunk") != home)
+    starts = labels.join(used, over, "left").select(
+        key, "us", (F.col("before") + F.coalesce("_used", F.lit(0))).alias("_before"))
+    ties = Window.partitionBy(key, "us").orderBy(event_id)
     timed = df.withColumn("us", F.unix_micros(F.col(ts).cast("timestamp")))
-    w = Window.partitionBy(key, "open_us").orderBy("us", event_id)
-    return (timed.join(labels, [key, "us"])
-            .withColumn("place", F.row_number().over(w))
-            .withColumn("allowed", F.col("place") <= limit).drop("us", "open_us"))
+    return (timed.join(starts, [key, "us"])
+            .withColumn("place", F.col("_before") + F.row_number().over(ties))
+            .withColumn("allowed", F.col("place") <= limit).drop("us", "_before"))
 
 
 def aligned_windows(df: DataFrame, key: str, ts: str, limit: int, seconds=60) -> DataFrame:

@@ -1,8 +1,8 @@
 """State machines, promotion, incremental selection, validation."""
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
-from ..operators import lifecycle as L
+from ..operators import lifecycle as L, ranking
 from ..rules import vocab
 from . import bindings as B
 from .book import query
@@ -12,10 +12,12 @@ _MACHINES = {"entity": (vocab.ENTITY_STATUSES, vocab.ENTITY_MOVES), "identity":
              "security": (vocab.SECURITY_STATUSES, vocab.SECURITY_MOVES)}
 
 
-def _state(spark, d, states):
-    """State of a user over time: one step per event."""
-    return B.table(spark, d, "events").select(
+def _steps(spark, d, states):
+    """Moves of a user's state over time: one step per event after the first."""
+    rows = B.table(spark, d, "events").select(
         "user_id", "event_id", B._pick(states, F.col("event_id") * 7 + F.col("user_id")).alias("state"))
+    return ranking.with_previous(rows, "user_id", ("event_id",), ["state"]) \
+        .filter(F.col("position") > 1).withColumnRenamed("previous_state", "before")
 
 
 def _moves_sql(name):
@@ -30,9 +32,7 @@ def _moves_sql(name):
 def state_moves(spark, d):
     parts = []
     for name, (states, moves) in _MACHINES.items():
-        w = Window.partitionBy("user_id").orderBy("event_id")
-        steps = _state(spark, d, states).withColumn("before", F.lag("state").over(w)).filter(F.col("before").isNotNull())
-        checked = L.check_moves(steps, "before", "state", moves)
+        checked = L.check_moves(_steps(spark, d, states), "before", "state", moves)
         parts.append(checked.groupBy("before", F.col("state").alias("after")).agg(
             F.count("*").alias("moves"), F.bool_and("allowed").alias("allowed")).withColumn("machine", F.lit(name)))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -40,9 +40,7 @@ def state_moves(spark, d):
 
 @query("rejected_moves", f"SELECT before, after, moves AS rows FROM ({_moves_sql('entity')}) WHERE NOT allowed")
 def rejected_moves(spark, d):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    steps = _state(spark, d, vocab.ENTITY_STATUSES).withColumn("before", F.lag("state").over(w)) \
-        .filter(F.col("before").isNotNull()).withColumnRenamed("state", "after")
+    steps = _steps(spark, d, vocab.ENTITY_STATUSES).withColumnRenamed("state", "after")
     return L.rejected_moves(steps, "before", "after", vocab.ENTITY_MOVES)
 
 

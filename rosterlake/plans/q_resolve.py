@@ -63,12 +63,11 @@ def merged_sources(spark, d):
     return S.merge_items(_identified(spark, d), "sources", key, "cid", "trust", "doc_id").select("cid", "item_key")
 
 
-@query("merged_topics_folded", f"""WITH {B.ENTS}, {_RANK}, i AS (SELECT cid, trust, doc_id, unnest(topics) AS t, generate_subscripts(topics, 1) AS pos FROM r),
-k AS (SELECT *, row_number() OVER (PARTITION BY cid, t ORDER BY trust DESC, doc_id, pos) AS n FROM i)
-SELECT cid, string_agg(t, ',' ORDER BY trust DESC, doc_id, pos) AS topics FROM k WHERE n = 1 GROUP BY cid""")
-def merged_topics_folded(spark, d):
+@query("merged_topics", _items_sql("topics", "item", ", trust AS trust"))
+def merged_topics(spark, d):
     merged = S.merge_words(_identified(spark, d), "topics", "cid", "trust", "doc_id")
-    return S.fold(merged, "cid", "topics").select("cid", F.array_join("topics", ",").alias("topics"))
+    return merged.select("cid", "item_key", F.col("rank_trust").alias("trust"),
+                         F.col("rank_seq").alias("from_doc"), "position")
 
 
 @query("duplicate_report", f"""WITH {B.ENTS}, {_RANK} SELECT count(*) AS rows_in, count(DISTINCT cid) AS entities_out,

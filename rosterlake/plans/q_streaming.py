@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rates
 from ..session import fresh_path
-from ..sinks.tables import VersionedTable
+from ..sinks.tables import ChangeTable
 from ..streaming import jobs
 from . import bindings as B
 from .book import query
@@ -47,7 +47,7 @@ def request_windows_one_key(spark, d):
     return out.withColumn("opened_at", F.date_format("opened_at", _OUT))
 
 
-@query("request_verdicts", f"{_windows_sql(2)} SELECT k AS user_id, event_id, CAST(place AS INTEGER) AS place, place <= 2 AS allowed FROM w")
+@query("request_verdicts", f"{_windows_sql(2)} SELECT k AS user_id, event_id, place, place <= 2 AS allowed FROM w")
 def request_verdicts(spark, d):
     out = rates.request_verdicts(B.table(spark, d, "events"), "user_id", "ts", "event_id", 2, _DAY, chunk_windows=4)
     return out.select("user_id", "event_id", "place", "allowed")
@@ -75,18 +75,17 @@ def deduplicated_stream(spark, d):
     return jobs.run_available(kept.select("user_id", "event_type", "day", "ts"), "dedupe").drop("ts")
 
 
-@query("upserted_stream", """SELECT user_id AS id, arg_max(event_type, event_id) AS status, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen,
+@query("upserted_stream", """SELECT user_id AS id, arg_max(event_type, event_id) AS status, strftime(arg_min(ts, event_id), '%Y-%m-%d %H:%M:%S') AS first_seen,
   strftime(arg_max(ts, event_id), '%Y-%m-%d %H:%M:%S') AS last_seen FROM events GROUP BY 1""")
 def upserted_stream(spark, d):
-    """Micro-batches applied as upserts to a versioned table."""
+    """Micro-batches applied as upserts to a change table."""
     rows = _stream(spark, d).select(F.col("user_id").alias("id"), "event_id", F.col("event_type").alias("status"),
                                     F.col("ts").alias("first_seen"), F.col("ts").alias("last_seen"))
     root = fresh_path(spark, "entities")
-    table = VersionedTable(spark, root)
-    jobs.upsert_stream(rows, table, "id", f"{root}-progress", order=["event_id"], keep=()).awaitTermination()
-    firsts = B.table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.min("ts").alias("f"))
-    stamp = lambda c, n: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(n)
-    return table.read().join(firsts, "id").select("id", "status", stamp("f", "first_seen"), stamp("last_seen", "last_seen"))
+    table = ChangeTable(spark, root, "id", ["event_id"], first=("first_seen",))
+    jobs.upsert_stream(rows, table, f"{root}-progress").awaitTermination()
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return table.current().select("id", "status", stamp("first_seen"), stamp("last_seen"))
 
 
 _METRICS = """SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS items,

@@ -72,14 +72,14 @@ def remaining_customers(spark, d):
 
 @query("snapshot_history", f"""WITH {LOG} SELECT id, event_id, row_number() OVER w AS sequence, strftime(lag(ts) OVER w, {_TS}) AS previous FROM log WINDOW w AS (PARTITION BY id ORDER BY ts, event_id)""")
 def snapshot_history(spark, d):
-    out = K.history(_log(spark, d), "id", [F.col("last_seen"), F.col("event_id")])
-    return out.select("id", "event_id", F.col("sequence").cast("long").alias("sequence"), _stamp("previous"))
+    out = K.history(_log(spark, d), "id", ("last_seen", "event_id"))
+    return out.select("id", "event_id", "sequence", _stamp("previous_last_seen")).withColumnRenamed("previous_last_seen", "previous")
 
 
 @query("snapshot_changes", f"""WITH {LOG}, p AS (SELECT *, lag(status) OVER w AS before, row_number() OVER w AS n FROM log WINDOW w AS (PARTITION BY id ORDER BY ts, event_id))
 SELECT id, event_id, status FROM p WHERE n = 1 OR before <> status""")
 def snapshot_changes(spark, d):
-    return K.snapshot_changes(_log(spark, d), "id", [F.col("last_seen"), F.col("event_id")], ["status"]).select("id", "event_id", "status")
+    return K.snapshot_changes(_log(spark, d), "id", ("last_seen", "event_id"), ["status"]).select("id", "event_id", "status")
 
 
 @query("latest_source_rows", "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY ALL")

@@ -41,7 +41,8 @@ def view_rows(df: DataFrame, catalogue=None, key="id") -> DataFrame:
     catalogue = catalogue or views.catalogue()
     sizes = views.counts(df, catalogue).select("view", F.col("entities").alias("total_entities"))
     rows = views.memberships(df, catalogue, key)
-    return rows.join(sizes, "view")
+    # at most one row per view of the catalogue, whatever the input
+    return rows.join(F.broadcast(sizes), "view")
 
 
 def write_views(df: DataFrame, path: str, catalogue=None, key="id"):

@@ -1,12 +1,12 @@
 """Table maintenance without a transactional table format.
 
-Frame functions compute the new state; ``VersionedTable`` publishes it: every
-write goes to a new version folder and readers take the newest complete one,
-so a job that dies half-way leaves the previous state in place.
+Frame functions compute a new state from an old one; ``ChangeTable`` keeps a
+table as base versions plus change batches and never rewrites it for a batch.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators import ranking
 from ..operators.resolve import latest_per_key
 
 KEEP = ("first_seen", "created_at")
@@ -66,23 +66,21 @@ def delete(target: DataFrame, gone: DataFrame, key) -> DataFrame:
     return target.join(gone.select(*keys), keys, "left_anti")
 
 
-def history(target: DataFrame, key, order) -> DataFrame:
-    """Snapshots of each key in order, with the previous one's time."""
-    from pyspark.sql import Window
-    keys = [key] if isinstance(key, str) else list(key)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return target.withColumn("sequence", F.row_number().over(w)) \
-                 .withColumn("previous", F.lag(order[0]).over(w))
+def history(target: DataFrame, key: str, order) -> DataFrame:
+    """Snapshots of each key numbered in order, with the previous one's time.
 
+    ``order`` starts with the time column and ends in a unique one.
+    """
+    return ranking.with_previous(target, key, order, [order[0]], out="sequence")
 
-def snapshot_changes(target: DataFrame, key, order, columns) -> DataFrame:
-    """Rows whose ``columns`` differ from the key's previous snapshot."""
-    from pyspark.sql import Window
-    keys = [key] if isinstance(key, str) else list(key)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    state = F.struct(*columns)
-    return (target.withColumn("_before", F.lag(state).over(w))
-            .filter(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(state)).drop("_before"))
+
+def snapshot_changes(target: DataFrame, key: str, order, columns) -> DataFrame:
+    """Snapshots whose ``columns`` differ from the key's previous snapshot."""
+    numbered = ranking.with_previous(target, key, order, columns, out="sequence")
+    changed = F.lit(False)
+    for c in columns:
+        changed = changed | ~F.col(c).eqNullSafe(F.col(f"previous_{c}"))
+    return numbered.filter((F.col("sequence") == 1) | changed).select(*target.columns)
 
 
 def migration_log(rows: DataFrame, ok: Column, message: Column, old_id="id", new_id: Column = None) -> DataFrame:
@@ -123,37 +121,64 @@ def _exists(spark, path) -> bool:
     return _fs(spark, path).exists(_path(spark, path))
 
 
-class VersionedTable:
-    """Folder of immutable versions ``v=<number>``; newest complete one is current."""
+class ChangeTable:
+    """Table kept as immutable base versions plus the change batches since.
+
+    ``base/v=<n>`` holds complete states, ``changes/batch=<n>`` one folder per
+    applied batch.  Appending costs as much as the batch, however large the
+    table; ``current`` folds base and later batches; ``compact`` writes the
+    fold as the next base.  Folders without ``_SUCCESS`` are ignored, so a job
+    that dies half-way leaves the state as it was, and writing a batch number
+    twice is a no-op.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, key, order, first=KEEP):
         self.spark, self.root = spark, root.rstrip("/")
+        self.key = [key] if isinstance(key, str) else list(key)
+        self.order, self.first = list(order), tuple(first)
 
-    def versions(self) -> list:
-        if not _exists(self.spark, self.root):
+    def _complete(self, kind: str, prefix: str) -> list:
+        folder = f"{self.root}/{kind}"
+        if not _exists(self.spark, folder):
             return []
         found = []
-        for status in _fs(self.spark, self.root).listStatus(_path(self.spark, self.root)):
+        for status in _fs(self.spark, folder).listStatus(_path(self.spark, folder)):
             name = status.getPath().getName()
-            if name.startswith("v=") and _exists(self.spark, f"{self.root}/{name}/_SUCCESS"):
-                found.append(int(name[2:]))
+            if name.startswith(prefix) and _exists(self.spark, f"{folder}/{name}/_SUCCESS"):
+                found.append(int(name[len(prefix):]))
         return sorted(found)
 
-    def read(self, schema=None) -> DataFrame:
-        known = self.versions()
-        if not known:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(f"{self.root}/v={known[-1]}")
-
-    def publish(self, df: DataFrame, version: int) -> bool:
-        """Writes one version; an already published number is left alone, so a
-        retried batch changes nothing."""
-        if version in self.versions():
+    def append(self, batch: DataFrame, number: int) -> bool:
+        if number in self._complete("changes", "batch="):
             return False
-        df.write.mode("overwrite").parquet(f"{self.root}/v={version}")
+        batch.write.mode("overwrite").parquet(f"{self.root}/changes/batch={number}")
         return True
 
-    def upsert(self, updates: DataFrame, key, version: int, keep=KEEP, order=None) -> bool:
-        if version in self.versions():
+    def _parts(self):
+        versions = self._complete("base", "v=")
+        base = versions[-1] if versions else None
+        later = [n for n in self._complete("changes", "batch=") if base is None or n > base]
+        return base, later
+
+    def current(self, schema=None) -> DataFrame:
+        """Latest row per key; ``first`` columns as first written."""
+        base, later = self._parts()
+        frames = [] if base is None else [
+            self.spark.read.parquet(f"{self.root}/base/v={base}").withColumn("_batch", F.lit(-1).cast("long"))]
+        if later:
+            paths = [f"{self.root}/changes/batch={n}" for n in later]
+            frames.append(self.spark.read.option("basePath", f"{self.root}/changes").parquet(*paths)
+                          .withColumn("_batch", F.col("batch").cast("long")).drop("batch"))
+        if not frames:
+            return self.spark.createDataFrame([], schema)
+        log = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+        order = [F.col("_batch"), *[F.col(c) for c in self.order]]
+        return upsert_log(log, self.key, order, self.first).drop("_batch")
+
+    def compact(self) -> bool:
+        """Publishes the current state as the base of its newest batch."""
+        _, later = self._parts()
+        if not later:
             return False
-        return self.publish(upsert(self.read(updates.schema), updates, key, keep, order), version)
+        self.current().write.mode("overwrite").parquet(f"{self.root}/base/v={later[-1]}")
+        return True

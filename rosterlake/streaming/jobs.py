@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..session import fresh_path
-from ..sinks.tables import KEEP, VersionedTable
+from ..sinks.tables import ChangeTable
 
 
 def file_stream(spark: SparkSession, path: str, schema, pattern: str = None, per_trigger: int = None) -> DataFrame:
@@ -27,11 +27,11 @@ def run_available(stream: DataFrame, label: str, mode="append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def upsert_stream(stream: DataFrame, table: VersionedTable, key, checkpoint: str, order=None, keep=KEEP):
-    """Applies each micro-batch as one upsert; the batch number is the version,
-    so a replayed batch is recognised and skipped."""
+def upsert_stream(stream: DataFrame, table: ChangeTable, checkpoint: str):
+    """Appends each micro-batch under its number; a replayed batch is recognised
+    and skipped.  The upsert itself happens when the table is read or compacted."""
     def apply(batch: DataFrame, epoch: int):
-        table.upsert(batch, key, int(epoch), keep=keep, order=order)
+        table.append(batch, int(epoch))
 
     return (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
