@@ -26,29 +26,42 @@ from ..session import materialise
 _NO_CARRY = -(1 << 62)
 
 
-def _stream_groups(batches, group_cols, start, step, finish):
-    """Streams sorted batches group by group.
+def _frame(group_cols, columns, out):
+    """One frame per input batch: output arrays of its groups, keys repeated."""
+    sizes = [len(arrays[0]) for _, arrays in out]
+    data = {c: np.repeat(np.array([g[i] for g, _ in out]), sizes) for i, c in enumerate(group_cols)}
+    data.update({c: np.concatenate([arrays[i] for _, arrays in out]) for i, c in enumerate(columns)})
+    return pd.DataFrame(data)
 
-    ``start(group)`` makes a state, ``step(group, part, state)`` consumes the
+
+def _stream_groups(batches, group_cols, value_cols, columns, start, step, finish=None):
+    """Streams sorted batches group by group, arrays only.
+
+    ``start(group)`` makes a state, ``step(group, arrays, state)`` consumes the
     part of a group that lies in one batch, ``finish(group, state)`` closes it.
-    The last two return a frame to emit, or None.
+    The last two return output arrays or None.
     """
     group, state = None, None
     for pdf in batches:
         if pdf.empty:
             continue
-        keys = pdf[group_cols]
-        first = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
+        keys = [pdf[c].to_numpy() for c in group_cols]
+        values = [pdf[c].to_numpy() for c in value_cols]
+        new = np.ones(len(pdf), dtype=bool)
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        first, out = np.flatnonzero(new), []
         for lo, hi in zip(first, np.append(first[1:], len(pdf))):
-            here = tuple(keys.iloc[lo])
+            here = tuple(k[lo] for k in keys)
             if here != group:
-                if group is not None and (rows := finish(group, state)) is not None:
-                    yield rows
+                if finish and group is not None:
+                    out.append((group, finish(group, state)))
                 group, state = here, start(here)
-            if (rows := step(group, pdf.iloc[lo:hi], state)) is not None:
-                yield rows
-    if group is not None and (rows := finish(group, state)) is not None:
-        yield rows
+            if (made := step(group, [v[lo:hi] for v in values], state)) is not None:
+                out.append((group, made))
+        if out:
+            yield _frame(group_cols, columns, out)
+    if finish and group is not None:
+        yield _frame(group_cols, columns, [(group, finish(group, state))])
 
 
 def _transitions(key, width, chunk_us):
@@ -61,8 +74,8 @@ def _transitions(key, width, chunk_us):
     def start(group):
         return {"chains": deque(), "beyond": False}
 
-    def step(group, part, st):
-        us, chains, zone = part["us"].to_numpy(), st["chains"], group[1] * chunk_us + width
+    def step(group, arrays, st):
+        us, chains, zone = arrays[0], st["chains"], int(group[1]) * chunk_us + width
         i = 0
         while i < len(us):
             if st["beyond"]:
@@ -81,10 +94,11 @@ def _transitions(key, width, chunk_us):
             i += 1
 
     def finish(group, st):
-        rows = [(group[0], group[1], cand, end) for end, cands in st["chains"] for cand in cands]
-        return pd.DataFrame(rows, columns=[key, "chunk", "cand", "exit"])
+        ends = [(c, end) for end, cands in st["chains"] for c in cands]
+        return np.array([c for c, _ in ends]), np.array([e for _, e in ends])
 
-    return lambda batches: _stream_groups(batches, [key, "chunk"], start, step, finish)
+    return lambda batches: _stream_groups(
+        batches, [key, "chunk"], ["us"], ["cand", "exit"], start, step, finish)
 
 
 def _carries(key):
@@ -93,19 +107,21 @@ def _carries(key):
     def start(group):
         return {"chunk": None, "carry": _NO_CARRY, "exit": None}
 
-    def step(group, part, st):
-        out = []
-        for chunk, cand, leave in part[["chunk", "cand", "exit"]].itertuples(index=False):
+    def step(group, arrays, st):
+        chunks, carries = [], []
+        for chunk, cand, leave in zip(*(a.tolist() for a in arrays)):
             if chunk != st["chunk"]:
                 if st["exit"] is not None:
                     st["carry"] = st["exit"]
                 st["chunk"], st["exit"] = chunk, None
-                out.append((group[0], chunk, st["carry"]))
+                chunks.append(chunk)
+                carries.append(st["carry"])
             if st["exit"] is None and cand > st["carry"]:
                 st["exit"] = leave
-        return pd.DataFrame(out, columns=[key, "chunk", "carry"]) if out else None
+        return (np.array(chunks), np.array(carries)) if chunks else None
 
-    return lambda batches: _stream_groups(batches, [key], start, step, lambda g, st: None)
+    return lambda batches: _stream_groups(
+        batches, [key], ["chunk", "cand", "exit"], ["chunk", "carry"], start, step)
 
 
 def _labels(key, width):
@@ -114,12 +130,12 @@ def _labels(key, width):
     def start(group):
         return {"end": None, "open": None, "used": 0}
 
-    def step(group, part, st):
-        us = part["us"].to_numpy()
+    def step(group, arrays, st):
+        us, requests, carry = arrays
         if st["end"] is None:
-            st["end"] = int(part["carry"].iloc[0])
+            st["end"] = int(carry[0])
             st["open"] = st["end"] - width
-        sums = np.concatenate(([0], np.cumsum(part["requests"].to_numpy())))
+        sums = np.concatenate(([0], np.cumsum(requests)))
         opened, before, i = np.empty(len(us), dtype=np.int64), np.empty(len(us), dtype=np.int64), 0
         while i < len(us):
             if us[i] > st["end"]:
@@ -130,9 +146,10 @@ def _labels(key, width):
             before[i:j] = sums[i:j] - sums[i] + st["used"]
             st["used"] += int(sums[j] - sums[i])
             i = j
-        return part[[key, "chunk", "us", "requests"]].assign(open_us=opened, before=before)
+        return us, requests, opened, before
 
-    return lambda batches: _stream_groups(batches, [key, "chunk"], start, step, lambda g, st: None)
+    return lambda batches: _stream_groups(
+        batches, [key, "chunk"], ["us", "requests", "carry"], ["us", "requests", "open_us", "before"], start, step)
 
 
 def _by_chunk(df: DataFrame, key: str, *order) -> DataFrame:
