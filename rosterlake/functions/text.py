@@ -67,10 +67,10 @@ def clean_description(text: Column, marks=signals.OBFUSCATION_MARKS, limit=2048)
     return F.when(regex.contains_any(text, marks), F.lit("")).otherwise(truncate(text, limit, "…"))
 
 
-def contains_word(text: Column, word: str) -> Column:
-    """Whole-word variant of a substring test, ASCII word characters."""
+def word_pattern(word: str) -> str:
+    """Pattern of a whole word; ASCII word characters bound it."""
     esc = "".join("\\" + c if not c.isalnum() and ord(c) < 128 else c for c in word)
-    return text.rlike(f"(?<![A-Za-z0-9_]){esc}(?![A-Za-z0-9_])")
+    return f"(?<![A-Za-z0-9_]){esc}(?![A-Za-z0-9_])"
 
 
 def content_key(text: Column) -> Column:

@@ -9,7 +9,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import regex
+from ..functions import regex, sqltext as S
 from ..rules import classes as W, vocab
 from . import evidence as E
 
@@ -18,8 +18,8 @@ class Rule(NamedTuple):
     name: str
     label: str
     role: str
-    condition: Column
-    evidence: Column
+    condition: str
+    evidence: str
 
 
 def first_true(rules, default):
@@ -31,167 +31,170 @@ def first_true(rules, default):
     return expr.otherwise(default)
 
 
-def first_word(text: Column, words) -> Column:
-    """First word of an ordered list contained in ``text``; NULL if none."""
-    return F.coalesce(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in words])
+def prepare(df: DataFrame) -> DataFrame:
+    """Derived texts every rule reads, computed once per row."""
+    return (df
+            .withColumns({"_packages": F.map_values("package_files"),
+                          "_topics_low": F.expr("transform(topics, t -> lower(t))"),
+                          "_name_low": F.lower("repo_name"), "_desc_low": F.lower("description"),
+                          "_readme_low": F.lower("raw_content")})
+            .withColumns({"_code": F.expr("concat_ws('\\n', description, raw_content, array_join(_packages, '\\n'))"),
+                          "_packages_low": F.expr("transform(_packages, p -> lower(p))")})
+            .withColumn("_code_low", F.lower("_code")))
 
 
-def _any_topic(words) -> Column:
-    return F.exists("_topics_low", lambda t: regex.contains_any(t, words))
+_DERIVED = ("_packages", "_topics_low", "_code", "_name_low", "_desc_low", "_readme_low",
+            "_code_low", "_packages_low")
 
+_has = S.any_of
 
-def _any_package(predicate) -> Column:
-    return F.exists("_packages", predicate)
 
+def in_topics(words) -> str:
+    return f"exists(_topics_low, t -> {_has('t', words)})"
 
-def prepare(df: DataFrame) -> DataFrame:
-    """Derived texts every rule reads, computed once per row."""
-    return (df
-            .withColumn("_packages", F.map_values("package_files"))
-            .withColumn("_topics_low", F.transform("topics", F.lower))
-            .withColumn("_code", F.concat_ws("\n", "description", "raw_content",
-                                             F.array_join("_packages", "\n")))
-            .withColumns({"_name_low": F.lower("repo_name"), "_desc_low": F.lower("description"),
-                          "_readme_low": F.lower("raw_content"), "_code_low": F.lower("_code"),
-                          "_packages_low": F.transform("_packages", F.lower)}))
 
+def in_packages(words) -> str:
+    return f"exists(_packages, p -> {_has('p', words)})"
+
+
+def in_names(words) -> str:
+    return f"({_has('_name_low', words)} OR {_has('_desc_low', words)})"
+
+
+def name_word(words) -> str:
+    return f"coalesce({S.first_of('_name_low', words)}, {S.first_of('_desc_low', words)})"
 
-_DERIVED = ("_packages", "_topics_low", "_code", "_name_low", "_desc_low", "_readme_low",
-            "_code_low", "_packages_low")
+
+def topic_with(words) -> str:
+    return f"get(filter(_topics_low, t -> {_has('t', words)}), 0)"
+
+
+MANY_LINKS_SQL = f"regexp_count(raw_content, '{W.MANY_LINKS_TEXT.replace('.', '[.]')}') > {W.MANY_LINKS}"
+
+
+_BIN, _MAIN = "'bin'", "'package main'"
 
 
 def default_rules(words=W) -> list:
-    """The ordered rule list over ``prepare``d rows."""
-    c = F.col
-    code, code_low = c("_code"), c("_code_low")
-    name, desc, readme = c("_name_low"), c("_desc_low"), c("_readme_low")
-    ai, region = c("ai_score"), c("region_score")
-    has = lambda text, ws: regex.contains_any(text, ws)
-    in_names = lambda ws: has(name, ws) | has(desc, ws)
-    name_word = lambda ws: F.coalesce(first_word(name, ws), first_word(desc, ws))
-    topic_with = lambda ws: F.get(F.filter("_topics_low", lambda t: has(t, ws)), F.lit(0))
-
-    claims_server = has(desc, words.SERVER_CLAIMS)
-    data_library = ~claims_server & (
-        has(desc, words.DATA_LIBRARY_PHRASES) | has(F.lower("name"), words.DATA_LIBRARY_NAMES))
-    data_infra = ~claims_server & (
-        has(desc, words.DATA_INFRA_PHRASES)
-        | F.exists("_topics_low", lambda t: t.isin(*words.DATA_INFRA_TOPICS)))
-
-    impl, stdio, tools = (has(code, w) for w in (words.SERVER_IMPL, words.STDIO_TRANSPORT, words.TOOL_DEFS))
-    bin_mark = _any_package(lambda p: has(p, words.EXECUTABLE_MARKS))
-    main_mark = _any_package(lambda p: F.contains(p, F.lit(words.EXECUTABLE_MAIN)))
-    executable = bin_mark | main_mark
-    runtime = c("identity_status") == "RUNTIME_VERIFIED"
-    votes = sum((x.cast("int") for x in (impl, stdio, tools, executable)), F.lit(0))
-    server_evidence = F.concat(
-        E.when(impl, E.item("source_code", "repository_source", "mcp_server_impl", "McpServer", 0.9)),
-        E.when(stdio, E.item("source_code", "repository_source", "stdio_transport", "StdioServerTransport", 0.85)),
-        E.when(tools, E.item("source_code", "repository_source", "tool_definitions", "tools.List", 0.9)),
-        E.when(executable, E.item(
-            F.when(bin_mark, "package_manifest").otherwise("source_code"),
-            F.when(bin_mark, "package.json").otherwise("go.mod/main.go"), "executable_entrypoint",
-            F.when(bin_mark, "bin").otherwise("package main"), 0.8)),
-        E.when(runtime, E.item("runtime_handshake", "mcp_verification", "runtime_verified",
-                               "MCPIdentityStatusRuntimeVerified", 1.0)))
-
-    client = has(code, words.CLIENT_IMPL)
-    sdk_pkg = _any_package(lambda p: has(p, words.SDK_PACKAGES))
-    sdk_topic = _any_topic(words.SDK_TOPICS)
-    library = (
-        _any_package(lambda p: F.contains(p, F.lit("modelcontextprotocol")) & ~F.contains(p, F.lit("sdk")))
-        | F.exists("_topics_low", lambda t: F.contains(t, F.lit("mcp")) & ~F.contains(t, F.lit("sdk"))))
-    coll_topics = F.filter("_topics_low", lambda t: has(t, words.COLLECTION_WORDS))
-    many_links = regex.count(c("raw_content"), words.MANY_LINKS_TEXT.replace(".", r"\.")) > words.MANY_LINKS
+    """The ordered rule list over ``prepare``d rows, as SQL text."""
+    code = lambda ws: _has("_code", ws)
+    src = lambda rule, matched, conf: S.evidence("source_code", "repository_source", rule, matched, conf)
+    topic = lambda rule, ws, conf: S.evidence("repository_topics", "github_topics", rule, topic_with(ws), conf)
+    meta = lambda rule, ws, conf: S.evidence("repository_metadata", "github_repo", rule, name_word(ws), conf)
+    manifest = lambda source, rule, matched, conf: S.evidence("package_manifest", source, rule, matched, conf)
+    one = lambda item: f"array({item})"
+    either = lambda cond, a, b: f"IF({cond}, array({a}), array({b}))"
+
+    unclaimed = f"NOT {_has('_desc_low', words.SERVER_CLAIMS)}"
+    data_library = (f"{unclaimed} AND ({_has('_desc_low', words.DATA_LIBRARY_PHRASES)} "
+                    f"OR {_has('lower(name)', words.DATA_LIBRARY_NAMES)})")
+    infra_topics = ", ".join(map(S.quote, words.DATA_INFRA_TOPICS))
+    data_infra = (f"{unclaimed} AND ({_has('_desc_low', words.DATA_INFRA_PHRASES)} "
+                  f"OR exists(_topics_low, t -> t IN ({infra_topics})))")
+
+    impl, stdio, tools = code(words.SERVER_IMPL), code(words.STDIO_TRANSPORT), code(words.TOOL_DEFS)
+    bin_mark, main_mark = in_packages(words.EXECUTABLE_MARKS), in_packages((words.EXECUTABLE_MAIN,))
+    runtime = "identity_status = 'RUNTIME_VERIFIED'"
+    votes = " + ".join(f"int({c})" for c in (impl, stdio, tools, f"({bin_mark} OR {main_mark})"))
+    server_evidence = "concat(" + ", ".join((
+        S.when(impl, src("mcp_server_impl", "'McpServer'", 0.9)),
+        S.when(stdio, src("stdio_transport", "'StdioServerTransport'", 0.85)),
+        S.when(tools, src("tool_definitions", "'tools.List'", 0.9)),
+        f"CASE WHEN {bin_mark} THEN array({manifest('package.json', 'executable_entrypoint', _BIN, 0.8)}) "
+        f"WHEN {main_mark} THEN array({S.evidence('source_code', 'go.mod/main.go', 'executable_entrypoint', _MAIN, 0.8)}) "
+        f"ELSE {S.NO_EVIDENCE} END",
+        S.when(runtime, S.evidence("runtime_handshake", "mcp_verification", "runtime_verified",
+                                   "'MCPIdentityStatusRuntimeVerified'", 1.0)))) + ")"
+
+    client = code(words.CLIENT_IMPL)
+    sdk_pkg, library = in_packages(words.SDK_PACKAGES), (
+        "(exists(_packages, p -> contains(p, 'modelcontextprotocol') AND NOT contains(p, 'sdk')) "
+        "OR exists(_topics_low, t -> contains(t, 'mcp') AND NOT contains(t, 'sdk')))")
+    coll_topics = f"filter(_topics_low, t -> {_has('t', words.COLLECTION_WORDS)})"
     coll_names = in_names(words.COLLECTION_WORDS)
-    agent_code = has(code, words.AGENT_IMPL)
-    agent_tool = F.exists("tools", lambda t: (
-        has(F.lower(t["description"]), ("agent", "autonomous", "plan"))
-        | F.contains(F.lower(t["name"]), F.lit("agent"))))
-    tool_code = has(code, words.TOOL_IMPL)
-    few_tools = F.size("tools").between(1, 5)
-    fw_topic = _any_topic(words.FRAMEWORK_WORDS)
-    fw_pkg = F.exists("_packages_low", lambda p: has(p, words.FRAMEWORK_WORDS))
-    kb_topic, kb_desc = _any_topic(words.KNOWLEDGE_WORDS), has(desc, words.KNOWLEDGE_WORDS)
-    typed_sources = F.filter("data_sources", lambda d: d["type"].isin(*words.DATASET_SOURCE_TYPES))
-    ds_typed, ds_topic = F.size(typed_sources) > 0, _any_topic(words.DATASET_WORDS)
-    src = lambda rule, matched, conf: E.item("source_code", "repository_source", rule, matched, conf)
-    topic = lambda rule, ws, conf: E.item("repository_topics", "github_topics", rule, topic_with(ws), conf)
-    meta = lambda rule, ws, conf: E.item("repository_metadata", "github_repo", rule, name_word(ws), conf)
-    one = lambda item: F.array(item)
-    either = lambda cond, a, b: F.when(cond, F.array(a)).otherwise(F.array(b))
-
-    rules = [
-        ("data_library_guard", "AI_DATASET", "NONE", data_library, E.none()),
-        ("data_infra_guard", "AI_INFRASTRUCTURE", "NONE", data_infra, E.none()),
-        ("server", "MCP_SERVER", "SERVER", runtime | (votes >= 2), server_evidence),
-        ("client", "MCP_CLIENT", "CLIENT", client & ~has(code, words.CLIENT_BLOCKERS),
-         E.when(client, src("mcp_client_impl", "mcp.Client", 0.9))),
-        ("host", "MCP_HOST", "HOST", has(code, words.HOST_IMPL), one(src("mcp_host_impl", "McpHost", 0.9))),
-        ("sdk", "MCP_SDK", "SDK", sdk_pkg | sdk_topic, either(
-            sdk_pkg, E.item("package_manifest", "package.json/go.mod", "mcp_sdk_dependency",
-                            "@modelcontextprotocol/sdk", 0.95),
+    coll_evidence = "concat(" + ", ".join((
+        S.when(coll_names, meta("collection_indicator", words.COLLECTION_WORDS, 0.85)),
+        f"transform({coll_topics}, t -> {S.evidence('repository_topics', 'github_topics', 'collection_topic', 't', 0.8)})",
+        S.when(MANY_LINKS_SQL, S.evidence("readme", "README", "many_repo_links", "'Multiple github.com links'", 0.7)))) + ")"
+    agent_code = code(words.AGENT_IMPL)
+    agent_tool = (f"exists(tools, t -> {_has('lower(t.description)', ('agent', 'autonomous', 'plan'))} "
+                  "OR contains(lower(t.name), 'agent'))")
+    agent_evidence = "concat(" + ", ".join((
+        S.when(agent_code, src("agent_impl", S.first_of("_code", words.AGENT_IMPL), 0.85)),
+        S.when(agent_tool, S.evidence("mcp_tool", "tools_list", "agent_tool", "'agent tool'", 0.8)),
+        S.when("ai_level IN ('A4', 'A5')", S.evidence(
+            "ai_relevance", "ai_scoring", "high_ai_relevance", "ai_level", 0.7)))) + ")"
+    tool_code = code(words.TOOL_IMPL)
+    pkg_word = lambda ws: S.first_of("array_join(_packages_low, '\\n')", ws)
+    pkg_low = lambda ws: f"exists(_packages_low, p -> {_has('p', ws)})"
+    fw_topic, kb_topic = in_topics(words.FRAMEWORK_WORDS), in_topics(words.KNOWLEDGE_WORDS)
+    source_types = ", ".join(map(S.quote, words.DATASET_SOURCE_TYPES))
+    typed_sources = f"filter(data_sources, d -> d.type IN ({source_types}))"
+    api, plugin = _has("_code_low", words.API_WORDS), _has("_code_low", words.PLUGIN_WORDS)
+
+    return [Rule(*r) for r in (
+        ("data_library_guard", "AI_DATASET", "NONE", data_library, S.NO_EVIDENCE),
+        ("data_infra_guard", "AI_INFRASTRUCTURE", "NONE", data_infra, S.NO_EVIDENCE),
+        ("server", "MCP_SERVER", "SERVER", f"{runtime} OR {votes} >= 2", server_evidence),
+        ("client", "MCP_CLIENT", "CLIENT", f"{client} AND NOT {code(words.CLIENT_BLOCKERS)}",
+         S.when(client, src("mcp_client_impl", "'mcp.Client'", 0.9))),
+        ("host", "MCP_HOST", "HOST", code(words.HOST_IMPL), one(src("mcp_host_impl", "'McpHost'", 0.9))),
+        ("sdk", "MCP_SDK", "SDK", f"{sdk_pkg} OR {in_topics(words.SDK_TOPICS)}", either(
+            sdk_pkg, manifest("package.json/go.mod", "mcp_sdk_dependency", "'@modelcontextprotocol/sdk'", 0.95),
             topic("mcp_sdk_topic", words.SDK_TOPICS, 0.8))),
-        ("library", "MCP_LIBRARY", "LIBRARY", library, one(E.item(
-            "package_manifest", "package_manifest", "mcp_library_dependency", "modelcontextprotocol", 0.8))),
-        ("extension", "MCP_EXTENSION", "EXTENSION", has(code, words.EXTENSION_IMPL),
-         one(src("mcp_extension_impl", "McpExtension", 0.9))),
-        ("skill", "MCP_SKILL", "SKILL", has(code, words.SKILL_IMPL),
-         one(src("mcp_skill_impl", "McpSkill", 0.9))),
-        ("collection", "MCP_COLLECTION", "NONE", coll_names | (F.size(coll_topics) > 0) | many_links, F.concat(
-            E.when(coll_names, meta("collection_indicator", words.COLLECTION_WORDS, 0.85)),
-            F.transform(coll_topics, lambda t: E.item(
-                "repository_topics", "github_topics", "collection_topic", t, 0.8)),
-            E.when(many_links, E.item("readme", "README", "many_repo_links", "Multiple github.com links", 0.7)))),
-        ("agent", "AI_AGENT", "NONE", agent_code | agent_tool, F.concat(
-            E.when(agent_code, src("agent_impl", first_word(code, words.AGENT_IMPL), 0.85)),
-            E.when(agent_tool, E.item("mcp_tool", "tools_list", "agent_tool", "agent tool", 0.8)),
-            E.when(c("ai_level").isin("A4", "A5"), E.item(
-                "ai_relevance", "ai_scoring", "high_ai_relevance", c("ai_level"), 0.7)))),
-        ("tool", "AI_TOOL", "NONE", tool_code | few_tools, either(
-            tool_code, src("tool_definition", "ToolDefinition", 0.85),
-            E.item("mcp_tool", "tools_list", "few_tools", "Tools list", 0.75))),
-        ("ai_sdk", "AI_SDK", "NONE", F.exists("_packages_low", lambda p: has(p, words.AI_SDK_PACKAGES)),
-         one(E.item("package_manifest", "package_manifest", "ai_sdk_dependency",
-                    first_word(F.array_join("_packages_low", "\n"), words.AI_SDK_PACKAGES), 0.9))),
-        ("framework", "AI_FRAMEWORK", "NONE", fw_topic | fw_pkg, either(
+        ("library", "MCP_LIBRARY", "LIBRARY", library,
+         one(manifest("package_manifest", "mcp_library_dependency", "'modelcontextprotocol'", 0.8))),
+        ("extension", "MCP_EXTENSION", "EXTENSION", code(words.EXTENSION_IMPL),
+         one(src("mcp_extension_impl", "'McpExtension'", 0.9))),
+        ("skill", "MCP_SKILL", "SKILL", code(words.SKILL_IMPL), one(src("mcp_skill_impl", "'McpSkill'", 0.9))),
+        ("collection", "MCP_COLLECTION", "NONE",
+         f"{coll_names} OR {in_topics(words.COLLECTION_WORDS)} OR {MANY_LINKS_SQL}", coll_evidence),
+        ("agent", "AI_AGENT", "NONE", f"{agent_code} OR {agent_tool}", agent_evidence),
+        ("tool", "AI_TOOL", "NONE", f"{tool_code} OR size(tools) BETWEEN 1 AND 5", either(
+            tool_code, src("tool_definition", "'ToolDefinition'", 0.85),
+            S.evidence("mcp_tool", "tools_list", "few_tools", "'Tools list'", 0.75))),
+        ("ai_sdk", "AI_SDK", "NONE", pkg_low(words.AI_SDK_PACKAGES),
+         one(manifest("package_manifest", "ai_sdk_dependency", pkg_word(words.AI_SDK_PACKAGES), 0.9))),
+        ("framework", "AI_FRAMEWORK", "NONE", f"{fw_topic} OR {pkg_low(words.FRAMEWORK_WORDS)}", either(
             fw_topic, topic("ai_framework_topic", words.FRAMEWORK_WORDS, 0.85),
-            E.item("package_manifest", "package_manifest", "ai_framework_dependency",
-                   first_word(F.array_join("_packages_low", "\n"), words.FRAMEWORK_WORDS), 0.9))),
-        ("ai_skill", "AI_SKILL", "NONE",
-         F.contains(code, F.lit(words.AI_SKILL_WORD)) & has(code, words.AI_SKILL_FORMS),
-         one(src("skill_definition", "Skill", 0.85))),
-        ("knowledge", "AI_KNOWLEDGE_BASE", "NONE", kb_topic | kb_desc, either(
+            manifest("package_manifest", "ai_framework_dependency", pkg_word(words.FRAMEWORK_WORDS), 0.9))),
+        ("ai_skill", "AI_SKILL", "NONE", f"{code((words.AI_SKILL_WORD,))} AND {code(words.AI_SKILL_FORMS)}",
+         one(src("skill_definition", "'Skill'", 0.85))),
+        ("knowledge", "AI_KNOWLEDGE_BASE", "NONE", f"{kb_topic} OR {_has('_desc_low', words.KNOWLEDGE_WORDS)}", either(
             kb_topic, topic("knowledge_base_topic", words.KNOWLEDGE_WORDS, 0.85),
-            E.item("readme", "README", "knowledge_base_description",
-                   first_word(desc, words.KNOWLEDGE_WORDS), 0.75))),
-        ("dataset", "AI_DATASET", "NONE", ds_typed | ds_topic, either(
-            ds_typed, E.item("data_source", "data_sources", "dataset_type",
-                             F.get(typed_sources, F.lit(0))["type"], 0.9),
+            S.evidence("readme", "README", "knowledge_base_description",
+                       S.first_of("_desc_low", words.KNOWLEDGE_WORDS), 0.75))),
+        ("dataset", "AI_DATASET", "NONE", f"size({typed_sources}) > 0 OR {in_topics(words.DATASET_WORDS)}", either(
+            f"size({typed_sources}) > 0", S.evidence(
+                "data_source", "data_sources", "dataset_type", f"get({typed_sources}, 0).type", 0.9),
             topic("dataset_topic", words.DATASET_WORDS, 0.8))),
-        ("api", "AI_API", "NONE", has(code_low, words.API_WORDS) & (ai > 15),
-         one(src("api_wrapper", first_word(code_low, words.API_WORDS), 0.75))),
-        ("application", "AI_APPLICATION", "NONE", in_names(words.APPLICATION_WORDS) & (ai > 10),
+        ("api", "AI_API", "NONE", f"{api} AND ai_score > 15",
+         one(src("api_wrapper", S.first_of("_code_low", words.API_WORDS), 0.75))),
+        ("application", "AI_APPLICATION", "NONE", f"{in_names(words.APPLICATION_WORDS)} AND ai_score > 10",
          one(meta("ai_app_indicator", words.APPLICATION_WORDS, 0.8))),
-        ("infrastructure", "AI_INFRASTRUCTURE", "NONE", _any_topic(words.INFRA_WORDS) & (ai > 10),
+        ("infrastructure", "AI_INFRASTRUCTURE", "NONE", f"{in_topics(words.INFRA_WORDS)} AND ai_score > 10",
          one(topic("ai_infrastructure_topic", words.INFRA_WORDS, 0.85))),
-        ("plugin", "AI_PLUGIN", "NONE", has(code_low, words.PLUGIN_WORDS) & F.contains(code, F.lit("AI")),
-         one(src("ai_plugin", first_word(code_low, words.PLUGIN_WORDS), 0.8))),
-        ("tutorial", "AI_TUTORIAL", "NONE", in_names(words.TUTORIAL_WORDS) | has(readme, words.TUTORIAL_WORDS),
-         one(E.item("readme", "README", "tutorial_indicator", F.coalesce(
-             name_word(words.TUTORIAL_WORDS), first_word(readme, words.TUTORIAL_WORDS)), 0.8))),
+        ("plugin", "AI_PLUGIN", "NONE", f"{plugin} AND contains(_code, 'AI')",
+         one(src("ai_plugin", S.first_of("_code_low", words.PLUGIN_WORDS), 0.8))),
+        ("tutorial", "AI_TUTORIAL", "NONE",
+         f"{in_names(words.TUTORIAL_WORDS)} OR {_has('_readme_low', words.TUTORIAL_WORDS)}",
+         one(S.evidence("readme", "README", "tutorial_indicator", f"coalesce({name_word(words.TUTORIAL_WORDS)}, "
+                        f"{S.first_of('_readme_low', words.TUTORIAL_WORDS)})", 0.8))),
         ("example", "AI_EXAMPLE", "NONE", in_names(words.EXAMPLE_WORDS),
          one(meta("example_indicator", words.EXAMPLE_WORDS, 0.8))),
-        ("ai_collection", "AI_COLLECTION", "NONE", in_names(words.AI_COLLECTION_WORDS) & (ai > 15),
+        ("ai_collection", "AI_COLLECTION", "NONE", f"{in_names(words.AI_COLLECTION_WORDS)} AND ai_score > 15",
          one(meta("ai_collection_indicator", words.AI_COLLECTION_WORDS, 0.85))),
         ("registry", "AI_REGISTRY", "NONE", in_names(words.REGISTRY_WORDS),
          one(meta("registry_indicator", words.REGISTRY_WORDS, 0.85))),
-        ("ai_related", "AI_RELATED_PROJECT", "NONE", ai > 5,
-         one(E.item("ai_relevance", "ai_scoring", "ai_relevant", c("ai_level"), 0.7))),
-        ("non_ai", "NON_AI_PROJECT", "NONE", (ai == 0) & (region == 0),
-         one(E.item("ai_relevance", "ai_scoring", "no_ai_signals", "AI relevance = 0", 1.0))),
-    ]
-    return [Rule(*r) for r in rules]
+        ("ai_related", "AI_RELATED_PROJECT", "NONE", "ai_score > 5",
+         one(S.evidence("ai_relevance", "ai_scoring", "ai_relevant", "ai_level", 0.7))),
+        ("non_ai", "NON_AI_PROJECT", "NONE", "ai_score = 0 AND region_score = 0",
+         one(S.evidence("ai_relevance", "ai_scoring", "no_ai_signals", "'AI relevance = 0'", 1.0))),
+    )]
+
+
+# rules whose evidence items carry their own conditions
+_SELF_GATED = ("server", "client", "agent")
 
 
 def classify(df: DataFrame, out="classification", rules=None, leaky_evidence=False) -> DataFrame:
@@ -200,34 +203,27 @@ def classify(df: DataFrame, out="classification", rules=None, leaky_evidence=Fal
     Evidence is the winner's own.  ``leaky_evidence=True`` also keeps what the
     rules before the winner had collected, which shifts the confidence.
     """
-    prepared = prepare(df)
     rules = rules or default_rules()
-    indexed = list(enumerate(rules))
-    winner = first_true([(r.condition, F.lit(i)) for i, r in indexed], len(rules))
-    prepared = prepared.withColumn("_winner", winner)
-    w = F.col("_winner")
-
+    label = lambda field, default: S.ladder(
+        [(f"_winner = {i}", S.quote(getattr(r, field))) for i, r in enumerate(rules)], S.quote(default))
     if leaky_evidence:
-        parts = [
-            F.when((w >= i) & (r.condition | F.lit(r.name in _SELF_GATED)), r.evidence).otherwise(E.none())
-            for i, r in indexed]
-        evidence = F.concat(*parts)
+        gate = lambda r: "true" if r.name in _SELF_GATED else f"({r.condition})"
+        evidence = "concat(" + ", ".join(
+            f"IF(_winner >= {i} AND {gate(r)}, {r.evidence}, {S.NO_EVIDENCE})" for i, r in enumerate(rules)) + ")"
     else:
-        evidence = first_true([(w == i, r.evidence) for i, r in indexed], E.none())
-    return (prepared.withColumn("_evidence", evidence)
+        evidence = S.ladder([(f"_winner = {i}", r.evidence) for i, r in enumerate(rules)], S.NO_EVIDENCE)
+    return (prepare(df)
+            .withColumn("_winner", F.expr(S.ladder(
+                [(r.condition, str(i)) for i, r in enumerate(rules)], str(len(rules)))))
+            .withColumn("_evidence", F.expr(evidence))
             .withColumn(out, F.struct(
-                first_true([(w == i, F.lit(r.label)) for i, r in indexed], "UNKNOWN").alias("primary"),
-                first_true([(w == i, F.lit(r.role)) for i, r in indexed], "NONE").alias("role"),
-                first_true([(w == i, F.lit(r.name)) for i, r in indexed], "default").alias("rule"),
+                F.expr(label("label", "UNKNOWN")).alias("primary"), F.expr(label("role", "NONE")).alias("role"),
+                F.expr(label("name", "default")).alias("rule"),
                 E.mean_confidence(F.col("_evidence")).alias("confidence"),
                 F.col("_evidence").alias("evidence")))
             .drop("_winner", "_evidence", *_DERIVED))
 
 
-# rules whose evidence items carry their own conditions
-_SELF_GATED = ("server", "client", "agent")
-
-
 def classify_by_words(text: Column, ordered, default) -> Column:
     """Ordered (label, words) table -> first label whose words occur."""
     return first_true([(regex.contains_any(text, ws), F.lit(label)) for label, ws in ordered], default)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import regex, urls
+from ..functions import regex, sqltext as S, urls
 from ..functions.arrays import explode_rows
 from ..rules import patterns
 
@@ -39,24 +39,24 @@ def _runtime_hinted(content: Column) -> Column:
     return regex.contains_any(F.lower(content), patterns.RUNTIME_HINTS)
 
 
-def _looks_runtime(low_url: Column) -> Column:
-    local = regex.any_of([F.startswith(low_url, F.lit(p)) for p in patterns.RUNTIME_PREFIXES])
-    remote = F.startswith(low_url, F.lit("https://")) & regex.contains_any(low_url, patterns.RUNTIME_PATHS)
-    return local | remote
+def _looks_runtime(low: str) -> str:
+    local = " OR ".join(f"startswith({low}, {S.quote(p)})" for p in patterns.RUNTIME_PREFIXES)
+    return f"({local} OR (startswith({low}, 'https://') AND {S.any_of(low, patterns.RUNTIME_PATHS)}))"
 
 
-def votes(url: Column, homepage: Column, runtime_hint: Column, rules=patterns.URL_RULES) -> Column:
-    """array<struct<type, rule, confidence>> of every rule a URL satisfies."""
-    low = F.lower(url)
+def votes(url="url", homepage="homepage", runtime_hint="runtime_hint", rules=patterns.URL_RULES) -> Column:
+    """array<struct<type, rule, confidence>> of every rule a URL satisfies; the
+    arguments are column names or SQL expressions."""
+    low = f"lower({url})"
 
-    def vote(kind, rule, conf):
-        return F.struct(F.lit(kind).alias("type"), F.lit(rule).alias("rule"),
-                        F.lit(float(conf)).alias("confidence"))
+    def vote(cond, kind, rule, conf):
+        item = f"named_struct('type', {S.quote(kind)}, 'rule', {S.quote(rule)}, 'confidence', {S.num(conf)})"
+        return f"IF({cond}, {item}, NULL)"
 
-    cast = [F.when(regex.matches(low, r.pattern), vote(r.type, r.rule, r.confidence)) for r in rules]
-    cast.append(F.when((homepage != "") & (low == F.lower(homepage)), vote(*patterns.HOMEPAGE_RULE)))
-    cast.append(F.when(runtime_hint & _looks_runtime(low), vote(*patterns.RUNTIME_RULE)))
-    return F.array_compact(F.array(*cast))
+    cast = [vote(f"rlike({low}, {S.quote(regex.jvm(r.pattern))})", r.type, r.rule, r.confidence) for r in rules]
+    cast.append(vote(f"{homepage} <> '' AND {low} = lower({homepage})", *patterns.HOMEPAGE_RULE))
+    cast.append(vote(f"{runtime_hint} AND {_looks_runtime(low)}", *patterns.RUNTIME_RULE))
+    return F.expr(f"array_compact(array({', '.join(cast)}))")
 
 
 def decide(ballots: Column, kinds=None) -> Column:
@@ -80,7 +80,7 @@ def decide(ballots: Column, kinds=None) -> Column:
 def classify(collected: DataFrame, rules=patterns.URL_RULES) -> DataFrame:
     """Typed long endpoint table: adds type, confidence and the winning rules."""
     return (collected
-            .withColumn("_votes", votes(F.col("url"), F.col("homepage"), F.col("runtime_hint"), rules))
+            .withColumn("_votes", votes(rules=rules))
             .withColumn("_best", decide(F.col("_votes")))
             .withColumn("type", F.col("_best.type"))
             .withColumn("confidence", F.col("_best.confidence"))

@@ -4,9 +4,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..rules import classes
 
-EMPTY = "array<struct<type:string,source:string,rule:string,matched:string,score:double,confidence:double>>"
-
-
 def item(kind, source, rule, matched, confidence, score=0.0) -> Column:
     as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
     return F.struct(
@@ -15,15 +12,6 @@ def item(kind, source, rule, matched, confidence, score=0.0) -> Column:
         F.lit(float(confidence)).alias("confidence"))
 
 
-def none() -> Column:
-    return F.array().cast(EMPTY)
-
-
-def when(condition: Column, evidence: Column) -> Column:
-    """One-element array where the condition holds, empty otherwise."""
-    return F.when(condition, F.array(evidence)).otherwise(none())
-
-
 def mean_confidence(evidence: Column, empty=0.1) -> Column:
     total = F.aggregate(evidence, F.lit(0.0), lambda acc, e: acc + e["confidence"])
     return F.when(F.size(evidence) == 0, F.lit(empty)) \

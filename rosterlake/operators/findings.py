@@ -13,7 +13,7 @@ ends there.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import regex
+from ..functions import regex, sqltext as S
 from ..functions.arrays import explode_rows
 from ..rules import patterns, vocab
 
@@ -29,12 +29,13 @@ def assemble(df: DataFrame) -> Column:
     return F.array_join(F.filter(parts, lambda p: F.coalesce(p, F.lit("")) != ""), "\n\n")
 
 
-def _gate(folded: Column, rule) -> Column:
-    return regex.contains_any(folded, rule.needles) if rule.needles else F.lit(True)
+def _gate(rule, folded="_folded") -> str:
+    return S.any_of(folded, rule.needles) if rule.needles else "true"
 
 
-def _may_match(text: Column, folded: Column, rule) -> Column:
-    return _gate(folded, rule) & regex.matches(text, rule.pattern)
+def _may_match(text: str, rule) -> str:
+    """A needle occurs and then the pattern does, in this order."""
+    return f"({_gate(rule)} AND rlike({text}, {S.quote(regex.jvm(rule.pattern))}))"
 
 
 def _with_folded(df: DataFrame, text: str) -> DataFrame:
@@ -43,14 +44,12 @@ def _with_folded(df: DataFrame, text: str) -> DataFrame:
 
 def hit_structs(text: str, rules, families) -> Column:
     """array<struct<type, rule, severity, confidence, hits>> of rules that fire."""
-    t, folded = F.col(text), F.col("_folded")
-    return F.array_compact(F.array(*[
-        F.when(_may_match(t, folded, r), F.struct(
-            F.lit(r.family).alias("type"), F.lit(r.rule).alias("rule"),
-            F.lit(r.severity).alias("severity"),
-            F.lit(families[r.family].confidence).alias("confidence"),
-            regex.count(t, r.pattern).alias("hits")))
-        for r in rules]))
+    def item(r):
+        return (f"named_struct('type', {S.quote(r.family)}, 'rule', {S.quote(r.rule)}, 'severity', {S.quote(r.severity)}, "
+                f"'confidence', {S.num(families[r.family].confidence)}, "
+                f"'hits', regexp_count({text}, {S.quote(regex.jvm(r.pattern))}))")
+    return F.expr("array_compact(array(" + ", ".join(
+        f"IF({_may_match(text, r)}, {item(r)}, NULL)" for r in rules) + "))")
 
 
 def with_hits(df: DataFrame, text: str, rules=patterns.SCAN_RULES, families=patterns.SCAN_FAMILIES,
@@ -95,17 +94,14 @@ def extract(df: DataFrame, key: str, text: str, rules=patterns.SCAN_RULES,
     long, so looking at ``context`` neighbours per side is always enough: the
     work stays linear in the number of matches.
     """
-    t, folded = F.col(text), F.col("_folded")
-    fired = F.array_compact(F.array(*[
-        F.when(_may_match(t, folded, r), F.struct(
-            F.lit(r.family).alias("type"), F.lit(r.rule).alias("rule"),
-            F.lit(r.severity).alias("severity"),
-            F.lit(families[r.family].source).alias("source"),
-            F.lit(families[r.family].confidence).alias("confidence"),
-            F.lit(families[r.family].context).alias("context"),
-            regex.extract_all(t, r.pattern).alias("found"),
-            regex.pieces(t, r.pattern).alias("between")))
-        for r in rules]))
+    def item(r):
+        family, pattern = families[r.family], S.quote(regex.jvm(r.pattern))
+        return (f"named_struct('type', {S.quote(r.family)}, 'rule', {S.quote(r.rule)}, 'severity', {S.quote(r.severity)}, "
+                f"'source', {S.quote(family.source)}, 'confidence', {S.num(family.confidence)}, "
+                f"'context', {family.context}, 'found', regexp_extract_all({text}, {pattern}, 0), "
+                f"'between', split({text}, {pattern}, -1))")
+    fired = F.expr("array_compact(array(" + ", ".join(
+        f"IF({_may_match(text, r)}, {item(r)}, NULL)" for r in rules) + "))")
     per_rule = explode_rows(_with_folded(df.select(key, text), text), key, fired, "f").select(key, "f.*")
     w = F.col("context")
     tails = per_rule.withColumns({

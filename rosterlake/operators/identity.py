@@ -2,129 +2,95 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import regex
+from ..functions import sqltext as S
 from ..rules import classes as W
-from . import classify, evidence as E
+from . import classify as C, evidence as E
 
-_HAS = regex.contains_any
 
+def _code_item(rule, matched: str, score, confidence) -> str:
+    return S.evidence("source_code", "repository_source", rule, matched, confidence, score)
 
-def _code_item(rule, matched, score, confidence):
-    return E.item("source_code", "repository_source", rule, matched, confidence, score)
 
-
-def _package_entry() -> Column:
+def _package_entry() -> str:
     """First executable-entry evidence over package files in name order."""
-    files = F.array_sort(F.map_entries("package_files"))
-
-    def entry(f):
-        name, text = f["key"], f["value"]
-        manifest = lambda label: E.item("package_manifest", name, "executable_entrypoint", label, 0.8, 10)
-        return (F.when(_HAS(text, W.EXECUTABLE_MARKS), manifest("bin entrypoint"))
-                .when(F.contains(text, F.lit(W.EXECUTABLE_MAIN)), E.item(
-                    "source_code", name, "executable_entrypoint", "package main", 0.8, 10))
-                .when(_HAS(name, ("setup.py", "pyproject.toml"))
-                      & _HAS(text, ("entry_points", "console_scripts")),
-                      manifest("entry_points/console_scripts"))
-                .when(F.contains(name, F.lit("Cargo.toml")) & _HAS(text, ("[[bin]]", "crate-type")),
-                      manifest("Cargo.toml bin")))
-
-    found = F.filter(F.transform(files, entry), lambda e: e.isNotNull())
-    return F.slice(found, 1, 1)
+    manifest = lambda label: S.evidence("package_manifest", "(f.key)", "executable_entrypoint", S.quote(label), 0.8, 10)
+    entry = S.ladder((
+        (S.any_of("f.value", W.EXECUTABLE_MARKS), manifest("bin entrypoint")),
+        (S.any_of("f.value", (W.EXECUTABLE_MAIN,)),
+         S.evidence("source_code", "(f.key)", "executable_entrypoint", "'package main'", 0.8, 10)),
+        (f"{S.any_of('f.key', ('setup.py', 'pyproject.toml'))} AND "
+         f"{S.any_of('f.value', ('entry_points', 'console_scripts'))}", manifest("entry_points/console_scripts")),
+        (f"contains(f.key, 'Cargo.toml') AND {S.any_of('f.value', ('[[bin]]', 'crate-type'))}",
+         manifest("Cargo.toml bin"))), "NULL")
+    return f"slice(array_compact(transform(array_sort(map_entries(package_files)), f -> {entry})), 1, 1)"
 
 
 def _checks() -> dict:
-    """name -> evidence array; a check holds when its array is not empty."""
-    c = F.col
-    code, topics = c("_code"), c("_topics_low")
-    name, desc, readme = c("_name_low"), c("_desc_low"), c("_readme_low")
-    runtime_ep = F.exists("endpoints", lambda e: e["type"] == "MCP_RUNTIME_ENDPOINT")
-    doc_ep = F.exists("endpoints", lambda e: e["type"].isin(
-        "DOCUMENTATION_URL", "INSTALLER_URL", "REPOSITORY_URL"))
+    """name -> evidence array as SQL text; a check holds when it is not empty."""
+    code = lambda ws: S.any_of("_code", ws)
+    token = lambda words, rule, score, conf: S.when(
+        code(words), _code_item(rule, S.first_of("_code", words), score, conf))
+    otherwise = lambda cond, item, rest: f"IF({cond}, array({item}), {rest})"
+    runtime = "exists(endpoints, e -> e.type = 'MCP_RUNTIME_ENDPOINT')"
+    documents = "exists(endpoints, e -> e.type IN ('DOCUMENTATION_URL', 'INSTALLER_URL', 'REPOSITORY_URL'))"
+    package = "exists(_packages, p -> contains(p, 'modelcontextprotocol'))"
+    plain_package = "exists(_packages, p -> contains(p, 'modelcontextprotocol') AND NOT contains(p, 'sdk'))"
+    mcp_topic, sdk_topic = C.in_topics(("mcp",)), C.in_topics(("sdk",))
+    first_topic = lambda w: f"get(filter(_topics_low, t -> contains(t, {S.quote(w)})), 0)"
+    topic_item = lambda rule, w, conf: S.evidence("repository_topics", "github_topics", rule, first_topic(w), conf, 5)
+    manifest = lambda rule, matched, conf, score: S.evidence(
+        "package_manifest", "package_manifest", rule, S.quote(matched), conf, score)
 
     imports = [(i, conf) for group, conf in ((W.IMPORTS_GO, 0.95), (W.IMPORTS_JS, 0.95), (W.IMPORTS_PY, 0.9))
                for i in group]
-    import_items = F.concat(*[
-        E.when(F.contains(code, F.lit(i)), _code_item("mcp_import", i, 10, conf)) for i, conf in imports])
-
-    def first_token(words, rule, score, conf):
-        return E.when(_HAS(code, words), _code_item(rule, classify.first_word(code, words), score, conf))
-
-    transport = F.when(_HAS(code, W.ID_TRANSPORTS), first_token(W.ID_TRANSPORTS, "mcp_transport", 15, 0.95)) \
-        .otherwise(E.when(runtime_ep, E.item("mcp_protocol", "endpoints", "mcp_runtime_endpoint",
-                                             "MCP_RUNTIME_ENDPOINT", 1.0, 20)))
-    tool_defs = F.when(_HAS(code, W.ID_TOOL_DEFS), first_token(W.ID_TOOL_DEFS, "tool_definitions", 10, 0.9)) \
-        .otherwise(E.when(F.size("tools") > 0, E.item("mcp_protocol", "tools_list", "tool_definitions",
-                                                      "tools list populated", 0.85, 10)))
-
-    pkg_dep = F.exists("_packages", lambda p: F.contains(p, F.lit("modelcontextprotocol")))
-    mcp_topics = F.filter(topics, lambda t: F.contains(t, F.lit("mcp")))
-    any_import = tuple(i for i, _ in imports)
-    dependency = F.when(pkg_dep, F.array(E.item("package_manifest", "package_manifest", "mcp_dependency",
-                                                "modelcontextprotocol", 0.8, 5))) \
-        .when(F.size(mcp_topics) > 0, F.array(E.item("repository_topics", "github_topics", "mcp_topic",
-                                                     F.get(mcp_topics, F.lit(0)), 0.7, 5))) \
-        .otherwise(first_token(any_import, "mcp_import", 10, 0.9))
-
-    host_struct = F.contains(code, F.lit(W.ID_HOST_STRUCT)) & _HAS(code, W.ID_HOST_STRUCT_PARTS)
-    host = F.when(_HAS(code, W.HOST_IMPL), F.array(_code_item("mcp_host_impl", "McpHost", 10, 0.9))) \
-        .otherwise(E.when(host_struct, _code_item("mcp_host_impl", "Host struct with client management", 10, 0.9)))
-
-    sdk_topics = F.filter(topics, lambda t: F.contains(t, F.lit("sdk")) | _HAS(t, W.SDK_TOPICS))
-    sdk = F.when(F.exists("_packages", lambda p: _HAS(p, W.SDK_PACKAGES)), F.array(E.item(
-        "package_manifest", "package_manifest", "mcp_sdk_dependency", "@modelcontextprotocol/sdk", 0.95, 10))) \
-        .otherwise(E.when(F.size(sdk_topics) > 0, E.item(
-            "repository_topics", "github_topics", "mcp_sdk_topic", F.get(sdk_topics, F.lit(0)), 0.8, 5)))
-
-    library = ~F.exists(topics, lambda t: F.contains(t, F.lit("sdk"))) & (
-        F.exists("_packages", lambda p: F.contains(p, F.lit("modelcontextprotocol"))
-                 & ~F.contains(p, F.lit("sdk"))) | (F.size(mcp_topics) > 0))
-
-    tutorial_word = F.coalesce(*[
-        F.when(F.contains(name, F.lit(w)) | F.contains(desc, F.lit(w)) | F.contains(readme, F.lit(w)), F.lit(w))
-        for w in W.ID_TUTORIAL_WORDS])
-    collection_word = F.coalesce(*[
-        F.when(F.contains(name, F.lit(w)) | F.contains(desc, F.lit(w)), F.lit(w)) for w in W.COLLECTION_WORDS])
-    links = regex.count(c("raw_content"), W.MANY_LINKS_TEXT.replace(".", r"\.")) > W.MANY_LINKS
-    readme_only = ~_HAS(readme, W.ID_CODE_WORDS) & _HAS(readme, W.ID_README_WORDS)
+    host_struct = f"{code((W.ID_HOST_STRUCT,))} AND {code(W.ID_HOST_STRUCT_PARTS)}"
+    tutorial = S.first_of("concat_ws('\\n', _name_low, _desc_low, _readme_low)", W.ID_TUTORIAL_WORDS)
+    collection = S.first_of("concat_ws('\\n', _name_low, _desc_low)", W.COLLECTION_WORDS)
+    readme_only = f"NOT {S.any_of('_readme_low', W.ID_CODE_WORDS)} AND {S.any_of('_readme_low', W.ID_README_WORDS)}"
+    repo_item = lambda rule, word, conf: S.evidence("repository_metadata", "github_repo", rule, word, conf, -10)
 
     return {
-        "import": import_items,
-        "server_impl": first_token(W.ID_SERVER_IMPL, "mcp_server_impl", 15, 0.9),
-        "transport": transport,
-        "tool_defs": tool_defs,
+        "import": "concat(" + ", ".join(
+            S.when(code((i,)), _code_item("mcp_import", S.quote(i), 10, conf)) for i, conf in imports) + ")",
+        "server_impl": token(W.ID_SERVER_IMPL, "mcp_server_impl", 15, 0.9),
+        "transport": f"IF({code(W.ID_TRANSPORTS)}, {token(W.ID_TRANSPORTS, 'mcp_transport', 15, 0.95)}, "
+                     + S.when(runtime, S.evidence("mcp_protocol", "endpoints", "mcp_runtime_endpoint",
+                                                  "'MCP_RUNTIME_ENDPOINT'", 1.0, 20)) + ")",
+        "tool_defs": f"IF({code(W.ID_TOOL_DEFS)}, {token(W.ID_TOOL_DEFS, 'tool_definitions', 10, 0.9)}, "
+                     + S.when("size(tools) > 0", S.evidence("mcp_protocol", "tools_list", "tool_definitions",
+                                                            "'tools list populated'", 0.85, 10)) + ")",
         "executable": _package_entry(),
-        "dependency": dependency,
-        "client": E.when(_HAS(code, W.ID_CLIENT_IMPL), _code_item("mcp_client_impl", "McpClient", 10, 0.9)),
-        "host": host,
-        "sdk": sdk,
-        "library": E.when(library, E.item("package_manifest", "package_manifest", "mcp_library_dependency",
-                                          "modelcontextprotocol (no sdk)", 0.8, 5)),
-        "extension": E.when(_HAS(code, W.ID_EXTENSION_IMPL),
-                            _code_item("mcp_extension_impl", "McpExtension", 10, 0.9)),
-        "skill": E.when(_HAS(code, W.ID_SKILL_IMPL), _code_item("mcp_skill_impl", "McpSkill", 10, 0.9)),
-        "readme_only": E.when(readme_only, E.item("readme", "README", "only_readme_mention",
-                                                  "MCP mentioned in README", 0.7, -5)),
-        "tutorial": E.when(tutorial_word.isNotNull(), E.item(
-            "repository_metadata", "github_repo", "tutorial_or_example", tutorial_word, 0.8, -10)),
-        "collection": F.when(collection_word.isNotNull(), F.array(E.item(
-            "repository_metadata", "github_repo", "collection_or_registry", collection_word, 0.85, -10)))
-            .otherwise(E.when(links, E.item("readme", "README", "many_repo_links",
-                                            "Multiple github.com links", 0.7, -5))),
-        "doc_only": E.when(doc_ep & ~runtime_ep, E.item(
-            "endpoint", "endpoints", "only_doc_endpoint", "Only documentation/installer endpoints", 0.8, -5)),
+        "dependency": otherwise(package, manifest("mcp_dependency", "modelcontextprotocol", 0.8, 5), otherwise(
+            mcp_topic, topic_item("mcp_topic", "mcp", 0.7),
+            token(tuple(i for i, _ in imports), "mcp_import", 10, 0.9))),
+        "client": S.when(code(W.ID_CLIENT_IMPL), _code_item("mcp_client_impl", "'McpClient'", 10, 0.9)),
+        "host": otherwise(code(W.HOST_IMPL), _code_item("mcp_host_impl", "'McpHost'", 10, 0.9), S.when(
+            host_struct, _code_item("mcp_host_impl", "'Host struct with client management'", 10, 0.9))),
+        "sdk": otherwise(C.in_packages(W.SDK_PACKAGES),
+                         manifest("mcp_sdk_dependency", "@modelcontextprotocol/sdk", 0.95, 10),
+                         S.when(sdk_topic, topic_item("mcp_sdk_topic", "sdk", 0.8))),
+        "library": S.when(f"NOT {sdk_topic} AND ({plain_package} OR {mcp_topic})",
+                          manifest("mcp_library_dependency", "modelcontextprotocol (no sdk)", 0.8, 5)),
+        "extension": S.when(code(W.ID_EXTENSION_IMPL), _code_item("mcp_extension_impl", "'McpExtension'", 10, 0.9)),
+        "skill": S.when(code(W.ID_SKILL_IMPL), _code_item("mcp_skill_impl", "'McpSkill'", 10, 0.9)),
+        "readme_only": S.when(readme_only, S.evidence("readme", "README", "only_readme_mention",
+                                                      "'MCP mentioned in README'", 0.7, -5)),
+        "tutorial": S.when(f"({tutorial}) IS NOT NULL", repo_item("tutorial_or_example", tutorial, 0.8)),
+        "collection": otherwise(f"({collection}) IS NOT NULL", repo_item("collection_or_registry", collection, 0.85),
+                                S.when(C.MANY_LINKS_SQL, S.evidence("readme", "README", "many_repo_links",
+                                                                    "'Multiple github.com links'", 0.7, -5))),
+        "doc_only": S.when(f"{documents} AND NOT {runtime}", S.evidence(
+            "endpoint", "endpoints", "only_doc_endpoint", "'Only documentation/installer endpoints'", 0.8, -5)),
     }
 
 
 def detect(df: DataFrame, out="identity") -> DataFrame:
     """Adds struct<status, role, secondary_roles, confidence, evidence>."""
     checks = _checks()
-    prepared = classify.prepare(df).withColumn(
-        "_checks", F.struct(*[v.alias(k) for k, v in checks.items()]))
-    held = {k: F.size(F.col("_checks")[k]) > 0 for k in checks}
-    server = held["transport"] & (held["tool_defs"] | held["executable"]) & held["server_impl"]
-    ladder = [
-        (held["tutorial"] | held["collection"], "NOT_MCP", "NONE"),
+    held = {k: f"size(_checks.`{k}`) > 0" for k in checks}
+    server = f"({held['transport']} AND ({held['tool_defs']} OR {held['executable']}) AND {held['server_impl']})"
+    ladder = (
+        (f"{held['tutorial']} OR {held['collection']}", "NOT_MCP", "NONE"),
         (server, "STATIC_VERIFIED", "SERVER"),
         (held["host"], "STATIC_VERIFIED", "HOST"),
         (held["client"], "STATIC_VERIFIED", "CLIENT"),
@@ -133,21 +99,20 @@ def detect(df: DataFrame, out="identity") -> DataFrame:
         (held["skill"], "STATIC_VERIFIED", "SKILL"),
         (held["library"], "STATIC_VERIFIED", "LIBRARY"),
         (held["dependency"], "CANDIDATE", "NONE"),
-    ]
-    roles = F.array_compact(F.array(*[
-        F.when(cond, role) for cond, role in (
-            (held["sdk"], "SDK"), (held["extension"], "EXTENSION"), (held["skill"], "SKILL"),
-            (held["library"], "LIBRARY"), (held["client"], "CLIENT"), (held["host"], "HOST"),
-            (server, "SERVER"))]))
-    evidence = F.concat(*[F.col("_checks")[k] for k in checks])
-    return (prepared.withColumn("_id_evidence", evidence)
+    )
+    secondary = ", ".join(f"IF({cond}, '{role}', NULL)" for cond, role in (
+        (held["sdk"], "SDK"), (held["extension"], "EXTENSION"), (held["skill"], "SKILL"),
+        (held["library"], "LIBRARY"), (held["client"], "CLIENT"), (held["host"], "HOST"), (server, "SERVER")))
+    return (C.prepare(df)
+            .withColumn("_checks", F.expr("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in checks.items()) + ")"))
+            .withColumn("_id_evidence", F.expr("concat(" + ", ".join(f"_checks.`{k}`" for k in checks) + ")"))
             .withColumn(out, F.struct(
-                classify.first_true([(c, F.lit(s)) for c, s, _ in ladder], "NOT_MCP").alias("status"),
-                classify.first_true([(c, F.lit(r)) for c, _, r in ladder], "NONE").alias("role"),
-                roles.alias("secondary_roles"),
+                F.expr(S.ladder([(c, f"'{s}'") for c, s, _ in ladder], "'NOT_MCP'")).alias("status"),
+                F.expr(S.ladder([(c, f"'{r}'") for c, _, r in ladder], "'NONE'")).alias("role"),
+                F.expr(f"array_compact(array({secondary}))").alias("secondary_roles"),
                 E.score_weighted_confidence(F.col("_id_evidence")).alias("confidence"),
                 F.col("_id_evidence").alias("evidence")))
-            .drop("_checks", "_id_evidence", *classify._DERIVED))
+            .drop("_checks", "_id_evidence", *C._DERIVED))
 
 
 def shortcut_status(primary: Column) -> Column:

@@ -9,7 +9,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import text as T
+from ..functions import sqltext as S, text as T
 from ..functions.arrays import explode_rows
 
 INLINE_TERMS = 64
@@ -25,56 +25,63 @@ def terms(words, points=0.0, label="") -> list:
     return [Term(w, float(points), label) for w in words]
 
 
-def _literal(t: Term) -> Column:
-    return F.struct(F.lit(t.word).alias("word"), F.lit(t.points).alias("points"),
-                    F.lit(t.label).alias("label"))
+def _literal(t: Term) -> str:
+    return f"named_struct('word', {S.quote(t.word)}, 'points', {S.num(t.points)}, 'label', {S.quote(t.label)})"
 
 
-def hits(text: Column, dictionary, match="contains") -> Column:
+def hits_sql(expr: str, dictionary, match="contains") -> str:
+    """``hits`` as SQL text over an expression."""
+    low = f"lower({expr})"
+    if match == "contains" and len(dictionary) > INLINE_TERMS:
+        const = ", ".join(f"named_struct('low', {S.quote(t.word.lower())}, 'term', {_literal(t)})" for t in dictionary)
+        return f"transform(filter(array({const}), t -> contains({low}, t.low)), t -> t.term)"
+    if match == "word":
+        tests = [f"rlike({low}, {S.quote(T.word_pattern(t.word.lower()))})" for t in dictionary]
+    else:
+        tests = [f"contains({low}, {S.quote(t.word.lower())})" for t in dictionary]
+    items = ", ".join(f"IF({test}, {_literal(t)}, NULL)" for test, t in zip(tests, dictionary))
+    return f"array_compact(array({items}))" if items else f"CAST(array() AS {_HITS})"
+
+
+_HITS = "ARRAY<STRUCT<word: STRING, points: DOUBLE, label: STRING>>"
+
+
+def hits(text: str, dictionary, match="contains") -> Column:
     """array<struct<word, points, label>> of the terms found, dictionary order.
 
-    ``match='contains'`` is a case-insensitive substring test; ``'word'`` asks
-    for whole words.  Short dictionaries become generated code, long ones a
-    filter over a constant array (same answer, smaller plan).
+    ``text`` is a column name or SQL expression.  ``match='contains'`` is a
+    case-insensitive substring test; ``'word'`` asks for whole words.  Short
+    dictionaries become generated code, long ones a filter over a constant
+    array (same answer, smaller plan).
     """
-    low = F.lower(text)
-    if match == "word":
-        tests = [T.contains_word(low, t.word.lower()) for t in dictionary]
-    elif len(dictionary) <= INLINE_TERMS:
-        tests = [F.contains(low, F.lit(t.word.lower())) for t in dictionary]
-    else:
-        const = F.array(*[F.struct(F.lit(t.word.lower()).alias("low"), _literal(t).alias("term")) for t in dictionary])
-        return F.transform(F.filter(const, lambda t: F.contains(low, t["low"])), lambda t: t["term"])
-    return F.array_compact(F.array(*[F.when(c, _literal(t)) for c, t in zip(tests, dictionary)]))
+    return F.expr(hits_sql(text, dictionary, match))
 
 
-def first_hit(text: Column, dictionary, match="contains") -> Column:
+def first_hit(text: str, dictionary, match="contains") -> Column:
     """First term in dictionary order, NULL when none occurs."""
     return F.get(hits(text, dictionary, match), F.lit(0))
 
 
-def points(found: Column) -> Column:
-    return F.aggregate(found, F.lit(0.0), lambda acc, h: acc + h["points"])
-
-
 def long_hits(df: DataFrame, key, text: str, dictionary, match="contains") -> DataFrame:
     """One row per (row, term) hit."""
     keys = [key] if isinstance(key, str) else list(key)
-    return explode_rows(df, keys, hits(F.col(text), dictionary, match), "hit") \
+    return explode_rows(df, keys, hits(text, dictionary, match), "hit") \
         .select(*keys, "hit.word", "hit.points", "hit.label")
 
 
-def url_domains(urls: Column, domains, every=False) -> Column:
-    """Domains found in an array of URLs.
+def url_domains_sql(urls: str, domains, every=False) -> str:
+    """Domains found in an array of URLs, as SQL text.
 
     ``every=False`` keeps the first dictionary domain per URL, ``True`` all of
     them (``data.example`` also counts for ``example``).
     """
-    dictionary = terms(domains)
     if every:
-        per_url = F.transform(urls, lambda u: F.transform(hits(u, dictionary), lambda h: h["word"]))
-        return F.flatten(per_url)
-    return F.array_compact(F.transform(urls, lambda u: first_hit(u, dictionary)["word"]))
+        return f"transform(flatten(transform({urls}, u -> {hits_sql('u', terms(domains))})), h -> h.word)"
+    return f"array_compact(transform({urls}, u -> {S.first_of('lower(u)', [d.lower() for d in domains])}))"
+
+
+def url_domains(urls: str, domains, every=False) -> Column:
+    return F.expr(url_domains_sql(urls, domains, every))
 
 
 def known_sources(urls: Column, readme: Column, table: dict) -> Column:

@@ -9,16 +9,16 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import bands, regex
+from ..functions import bands, sqltext as S
 from ..functions.arrays import explode_rows
 from ..rules import signals
 from . import match
 
 
-def _evidence(found: Column, kind: str, source: str, rule: str) -> Column:
-    return F.transform(found, lambda h: F.struct(
-        F.lit(kind).alias("type"), F.lit(source).alias("source"), F.lit(rule).alias("rule"),
-        h["word"].alias("matched"), h["points"].alias("score"), F.lit(1.0).alias("confidence")))
+def _evidence(found: str, kind: str, source: str, rule: str) -> str:
+    item = (f"named_struct('type', {S.quote(kind)}, 'source', {S.quote(source)}, 'rule', {S.quote(rule)}, "
+            "'matched', h.word, 'score', h.points, 'confidence', 1.0D)")
+    return f"transform({found}, h -> {item})"
 
 
 class Scorer(NamedTuple):
@@ -43,91 +43,76 @@ def add(df: DataFrame, name: str, scorer: Scorer) -> DataFrame:
             .drop(ev, total))
 
 
-def _in_each(values: Column, dictionary, how) -> Column:
-    """Hits in every element of an array column."""
-    return F.flatten(F.transform(values, lambda v: match.hits(v, dictionary, how)))
+def _in_each(values: str, dictionary, how) -> str:
+    """Hits in every element of an array."""
+    return f"flatten(transform({values}, v -> {match.hits_sql('v', dictionary, how)}))"
 
 
-def _either(a: Column, b: Column, dictionary) -> Column:
-    """Terms that occur in ``a`` or ``b``, each once."""
-    low_a, low_b = F.lower(a), F.lower(b)
-    return F.array_compact(F.array(*[
-        F.when(F.contains(low_a, F.lit(t.word.lower())) | F.contains(low_b, F.lit(t.word.lower())),
-               match._literal(t)) for t in dictionary]))
+def _either(values: str, a: str, b: str, dictionary) -> str:
+    """Per element, the terms that occur in field ``a`` or field ``b``, each once."""
+    items = ", ".join(
+        f"IF(contains(lower(v.{a}), {S.quote(t.word.lower())}) OR contains(lower(v.{b}), {S.quote(t.word.lower())}), "
+        f"{match._literal(t)}, NULL)" for t in dictionary)
+    per_item = f"array_compact(array({items}))" if items else match.hits_sql("''", ())
+    return f"flatten(transform({values}, v -> {per_item}))"
 
 
-def _groups(*parts) -> Column:
-    return F.concat(*parts)
+def _concat(*parts) -> Column:
+    return F.expr("concat(" + ", ".join(parts) + ")")
+
+
+_RUNTIME_URLS = "transform(filter(endpoints, e -> e.type = 'MCP_RUNTIME_ENDPOINT'), e -> e.url)"
 
 
 def region(signal_sets=signals.REGION_SIGNALS, how="contains") -> Scorer:
     """Field-weighted region score: domain 40, data source 40/35/30, topic 20,
     language and company 15, description 5; every (field, keyword) hit adds."""
-    s, c = signal_sets, F.col
-    t = match.terms
-    domains = t(s["official_domains"], 40)
-    runtime_urls = F.transform(
-        F.filter(c("endpoints"), lambda e: e["type"] == "MCP_RUNTIME_ENDPOINT"), lambda e: e["url"])
-
-    def from_sources(words, pts, kind, rule):
-        found = F.flatten(F.transform(
-            c("data_sources"), lambda d: _either(d["name"], d["url"], t(words, pts))))
-        return _evidence(found, kind, "data_source", rule)
-
-    company = t(s["company_keywords"], 15)
-    return Scorer(_groups(
-        _evidence(match.hits(c("repo_url"), domains, how), "official_domain",
-                  "repository_metadata", "official_taiwan_domain"),
-        _evidence(match.hits(c("homepage"), domains, how), "official_domain",
-                  "repository_metadata", "official_taiwan_domain"),
-        _evidence(_in_each(runtime_urls, domains, how), "official_domain",
-                  "runtime_endpoint", "official_taiwan_domain"),
-        from_sources(s["government_agencies"], 40, "government_api", "taiwan_government_api"),
-        from_sources(s["financial_keywords"], 35, "financial_api", "taiwan_financial_api"),
-        from_sources(s["dataset_keywords"], 30, "dataset", "taiwan_dataset"),
-        _evidence(_in_each(c("topics"), t(s["taiwan_keywords"], 20), how), "keyword",
-                  "repository_topics", "taiwan_keyword"),
-        _evidence(match.hits(c("language"), t(s["language_keywords"], 15), how), "language",
-                  "repository_language", "taiwan_language"),
-        _evidence(match.hits(c("repo_name"), company, how), "company",
-                  "repository_name", "taiwan_company"),
-        _evidence(_in_each(c("topics"), company, how), "company",
-                  "repository_topics", "taiwan_company"),
-        _evidence(match.hits(c("description"), t(s["taiwan_keywords"], 5), how), "keyword",
-                  "description", "taiwan_readme_mention"),
-    ), bands.region_level)
+    s, t = signal_sets, match.terms
+    field = lambda name, words: match.hits_sql(name, words, how)
+    domains, company = t(s["official_domains"], 40), t(s["company_keywords"], 15)
+    sources = lambda words, pts: _either("data_sources", "name", "url", t(words, pts))
+    rows = (
+        (field("repo_url", domains), "official_domain", "repository_metadata", "official_taiwan_domain"),
+        (field("homepage", domains), "official_domain", "repository_metadata", "official_taiwan_domain"),
+        (_in_each(_RUNTIME_URLS, domains, how), "official_domain", "runtime_endpoint", "official_taiwan_domain"),
+        (sources(s["government_agencies"], 40), "government_api", "data_source", "taiwan_government_api"),
+        (sources(s["financial_keywords"], 35), "financial_api", "data_source", "taiwan_financial_api"),
+        (sources(s["dataset_keywords"], 30), "dataset", "data_source", "taiwan_dataset"),
+        (_in_each("topics", t(s["taiwan_keywords"], 20), how), "keyword", "repository_topics", "taiwan_keyword"),
+        (field("language", t(s["language_keywords"], 15)), "language", "repository_language", "taiwan_language"),
+        (field("repo_name", company), "company", "repository_name", "taiwan_company"),
+        (_in_each("topics", company, how), "company", "repository_topics", "taiwan_company"),
+        (field("description", t(s["taiwan_keywords"], 5)), "keyword", "description", "taiwan_readme_mention"),
+    )
+    return Scorer(_concat(*[_evidence(*r) for r in rows]), bands.region_level)
 
 
 def ai(signal_sets=signals.AI_SIGNALS, how="contains") -> Scorer:
     """Field-weighted AI score over topics, description, packages, data sources
     and tools."""
-    s, c, t = signal_sets, F.col, match.terms
-    topic_groups = (
-        ("core_ai_keywords", 10, "core_ai_keyword"), ("agent_keywords", 15, "agent_keyword"),
-        ("rag_keywords", 15, "rag_keyword"), ("llm_provider_keywords", 10, "llm_provider_keyword"),
-        ("mcp_keywords", 20, "mcp_keyword"), ("framework_keywords", 25, "framework_keyword"))
-    topics = [
-        _evidence(_in_each(c("topics"), t(s[name], pts), how), "keyword", "repository_topics", rule)
-        for name, pts, rule in topic_groups]
-    all_text = F.concat_ws(" ", c("description"), F.array_join(c("topics"), " "))
-
-    def from_tools(name, pts, rule):
-        found = F.flatten(F.transform(
-            c("tools"), lambda x: _either(x["name"], x["description"], t(s[name], pts))))
-        return _evidence(found, "ai_tool", "tool_definition", rule)
-
-    sources = F.flatten(F.transform(
-        c("data_sources"), lambda d: _either(d["name"], d["url"], t(s["core_ai_keywords"], 20))))
-    return Scorer(_groups(
-        *topics,
-        _evidence(match.hits(c("description"), t(s["core_ai_keywords"], 5), how),
-                  "keyword", "description", "ai_description_mention"),
-        _evidence(match.hits(all_text, t(s["package_patterns"], 10), how),
-                  "package_dependency", "repository_metadata", "ai_package_pattern"),
-        _evidence(sources, "ai_data_source", "data_source", "ai_data_source"),
-        from_tools("core_ai_keywords", 15, "ai_tool"),
-        from_tools("agent_keywords", 25, "agent_tool"),
-    ), bands.ai_level)
+    s, t = signal_sets, match.terms
+    topics = lambda name, pts, rule: (
+        _in_each("topics", t(s[name], pts), how), "keyword", "repository_topics", rule)
+    tools = lambda name, pts, rule: (
+        _either("tools", "name", "description", t(s[name], pts)), "ai_tool", "tool_definition", rule)
+    all_text = "concat_ws(' ', description, array_join(topics, ' '))"
+    rows = (
+        topics("core_ai_keywords", 10, "core_ai_keyword"),
+        topics("agent_keywords", 15, "agent_keyword"),
+        topics("rag_keywords", 15, "rag_keyword"),
+        topics("llm_provider_keywords", 10, "llm_provider_keyword"),
+        topics("mcp_keywords", 20, "mcp_keyword"),
+        topics("framework_keywords", 25, "framework_keyword"),
+        (match.hits_sql("description", t(s["core_ai_keywords"], 5), how),
+         "keyword", "description", "ai_description_mention"),
+        (match.hits_sql(all_text, t(s["package_patterns"], 10), how),
+         "package_dependency", "repository_metadata", "ai_package_pattern"),
+        (_either("data_sources", "name", "url", t(s["core_ai_keywords"], 20)),
+         "ai_data_source", "data_source", "ai_data_source"),
+        tools("core_ai_keywords", 15, "ai_tool"),
+        tools("agent_keywords", 25, "agent_tool"),
+    )
+    return Scorer(_concat(*[_evidence(*r) for r in rows]), bands.ai_level)
 
 
 def legacy_terms(groups=signals.LEGACY_KEYWORD_GROUPS, points=signals.LEGACY_GROUP_POINTS,
@@ -140,69 +125,55 @@ def legacy_terms(groups=signals.LEGACY_KEYWORD_GROUPS, points=signals.LEGACY_GRO
     return list(owned.values())
 
 
+def _scored(words: str, pts, kind, source, rule) -> str:
+    """Evidence of fixed points per word of an array."""
+    return f"transform({words}, w -> {S.evidence(kind, source, rule, 'w', 1.0, pts)})"
+
+
 def region_legacy(groups=signals.LEGACY_KEYWORD_GROUPS, points=signals.LEGACY_GROUP_POINTS,
                   domains=signals.LEGACY_OFFICIAL_DOMAINS, source_group="data_source") -> Scorer:
     """Older scorer: distinct official domains 40, distinct data-source words in
     URLs 35, keywords over the joined short fields by group."""
-    c = F.col
-    urls = F.concat(F.array(c("repo_url"), c("homepage")),
-                    F.transform(c("endpoints"), lambda e: e["url"]),
-                    F.transform(c("data_sources"), lambda d: d["url"]))
+    urls = ("concat(array(repo_url, homepage), transform(endpoints, e -> e.url), transform(data_sources, d -> d.url))")
     # a separator no keyword contains keeps hits from spanning two fields
-    texts = F.array_join(F.concat(
-        F.array(c("name"), c("description"), c("repo_name"), c("repo_owner"), c("language"), c("license")),
-        c("topics"),
-        F.flatten(F.transform(c("data_sources"), lambda d: F.array(d["name"], d["url"])))), "\x00")
-    source_words = dict(groups).get(source_group, ())
-
-    def scored(words, pts, kind, rule):
-        return F.transform(F.array_distinct(words), lambda w: F.struct(
-            F.lit(kind).alias("type"), F.lit("repository").alias("source"),
-            F.lit(rule).alias("rule"), w.alias("matched"),
-            F.lit(float(pts)).alias("score"), F.lit(1.0).alias("confidence")))
-
-    return Scorer(_groups(
-        scored(match.url_domains(urls, domains), signals.LEGACY_DOMAIN_POINTS,
-               "official_domain", "official_domain_match"),
-        scored(match.url_domains(urls, source_words), signals.LEGACY_SOURCE_POINTS,
-               "taiwan_financial_api", "financial_api_detected"),
-        _evidence(match.hits(texts, legacy_terms(groups, points)),
+    texts = ("array_join(concat(array(name, description, repo_name, repo_owner, language, license), topics, "
+             "flatten(transform(data_sources, d -> array(d.name, d.url)))), char(0))")
+    found = lambda words: f"array_distinct({match.url_domains_sql(urls, words)})"
+    return Scorer(_concat(
+        _scored(found(domains), signals.LEGACY_DOMAIN_POINTS, "official_domain", "repository", "official_domain_match"),
+        _scored(found(dict(groups).get(source_group, ())), signals.LEGACY_SOURCE_POINTS,
+                "taiwan_financial_api", "repository", "financial_api_detected"),
+        _evidence(match.hits_sql(texts, legacy_terms(groups, points)),
                   "repository_keyword", "repository", "taiwan_keyword"),
     ), bands.region_level)
 
 
-def _whole_text() -> Column:
-    c = F.col
-    return F.concat_ws(" ", c("name"), c("description"), c("repo_url"), c("raw_content"))
+_WHOLE_TEXT = "concat_ws(' ', name, description, repo_url, raw_content)"
 
 
 def region_inline(words=signals.INLINE_REGION_KEYWORDS, url_marks=signals.INLINE_REGION_URL_MARKS,
                   word_points=signals.INLINE_REGION_POINTS,
                   url_points=signals.INLINE_REGION_URL_POINTS) -> Scorer:
     """Whole-text keywords plus points for every URL that looks regional."""
-    c = F.col
-    urls = F.filter(F.concat(
-        F.array(c("repo_url")), F.transform(c("endpoints"), lambda e: e["url"]),
-        F.transform(c("sources"), lambda s: s["url"])), lambda u: u != "")
-    regional = F.filter(urls, lambda u: regex.contains_any(F.lower(u), url_marks))
-    by_url = F.transform(regional, lambda u: F.struct(
-        F.lit("official_domain").alias("type"), F.lit("repository").alias("source"),
-        F.lit("official_domain_match").alias("rule"), u.alias("matched"),
-        F.lit(float(url_points)).alias("score"), F.lit(1.0).alias("confidence")))
-    by_word = _evidence(match.hits(_whole_text(), match.terms(words, word_points)),
-                        "taiwan_keyword", "metadata", "taiwan_keyword_match")
-    return Scorer(F.concat(by_word, by_url), bands.region_level)
+    urls = ("concat(array(repo_url), transform(endpoints, e -> e.url), transform(sources, s -> s.url))")
+    regional = f"filter({urls}, u -> u <> '' AND {S.any_of('lower(u)', url_marks)})"
+    return Scorer(_concat(
+        _evidence(match.hits_sql(_WHOLE_TEXT, match.terms(words, word_points)),
+                  "taiwan_keyword", "metadata", "taiwan_keyword_match"),
+        _scored(regional, url_points, "official_domain", "repository", "official_domain_match"),
+    ), bands.region_level)
 
 
 def ai_inline(words=signals.INLINE_AI_KEYWORDS, word_points=signals.INLINE_AI_POINTS,
               combo_word=signals.INLINE_AI_COMBO_WORD,
               combo_points=signals.INLINE_AI_COMBO_POINTS) -> Scorer:
-    text = _whole_text()
-    by_word = _evidence(match.hits(text, match.terms(words, word_points)),
-                        "ai_keyword", "metadata", "ai_keyword_match")
-    combo = _evidence(match.hits(text, match.terms([combo_word], combo_points)),
-                      "taiwan_ai_combo", "metadata", "taiwan_ai_combo")
-    return Scorer(F.concat(by_word, combo), bands.ai_level)
+    """Whole-text keywords, plus points when the text also names the region."""
+    return Scorer(_concat(
+        _evidence(match.hits_sql(_WHOLE_TEXT, match.terms(words, word_points)),
+                  "ai_keyword", "metadata", "ai_keyword_match"),
+        _evidence(match.hits_sql(_WHOLE_TEXT, match.terms([combo_word], combo_points)),
+                  "taiwan_ai_combo", "metadata", "taiwan_ai_combo"),
+    ), bands.ai_level)
 
 
 def long_evidence(df: DataFrame, key: str, verdict: str, dimension: str) -> DataFrame:

@@ -289,7 +289,7 @@ SELECT CASE WHEN s0 + s1 + s2 + s3 = 0 THEN 'UNKNOWN' WHEN s0 >= greatest(s1, s2
 FROM u2 GROUP BY 1""")
 def page_url_types(spark, d):
     rules = patterns.URL_RULES + (patterns.UrlRule("PAGE", "html_page", 0.9, r"\.html$"),)
-    ballots = EP.votes(F.col("url"), F.lit(""), F.lit(False), rules)
+    ballots = EP.votes("url", "''", "false", rules)
     kinds = ("DOCUMENTATION_URL", "INSTALLER_URL", "REPOSITORY_URL", "PAGE")
     typed = B.table(spark, d, "pages").select("page_id", "url").withColumn("v", ballots)
     return typed.groupBy(EP.decide(F.col("v"), kinds)["type"].alias("type")).agg(F.count("*").alias("urls"))

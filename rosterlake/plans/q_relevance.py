@@ -61,7 +61,7 @@ def dictionary_words(spark, d):
     f"WHEN contains(lower(text), {B.quote(w.lower())}) THEN {B.quote(w)}" for w in WORDS[2:]) + " END AS word FROM documents")
 def first_dictionary_hit(spark, d):
     return B.texts(spark, d, "documents").select(
-        "doc_id", match.first_hit(F.col("text"), match.terms(WORDS[2:]))["word"].alias("word"))
+        "doc_id", match.first_hit("text", match.terms(WORDS[2:]))["word"].alias("word"))
 
 
 @query("url_domains", f"""
@@ -71,7 +71,7 @@ SELECT id, array_to_string(list_sort(list(CASE WHEN contains(lower(url), '{DOMAI
   CAST(sum(contains(lower(url), '{DOMAINS[0]}')::INT + contains(lower(url), '{DOMAINS[1]}')::INT) AS INTEGER) AS all_domains
 FROM u GROUP BY id""")
 def url_domains(spark, d):
-    us = F.array("homepage", F.col("data_sources")[0]["url"], "repo_url")
+    us = "array(homepage, data_sources[0].url, repo_url)"
     return B.doc_entities(spark, d).select(
         "id", F.array_join(F.array_sort(match.url_domains(us, DOMAINS)), ",").alias("first_domains"),
         F.size(match.url_domains(us, DOMAINS, every=True)).alias("all_domains"))
