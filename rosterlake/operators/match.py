@@ -34,7 +34,8 @@ def hits_sql(expr: str, dictionary, match="contains") -> str:
     low = f"lower({expr})"
     if match == "contains" and len(dictionary) > INLINE_TERMS:
         const = ", ".join(f"named_struct('low', {S.quote(t.word.lower())}, 'term', {_literal(t)})" for t in dictionary)
-        return f"transform(filter(array({const}), t -> contains({low}, t.low)), t -> t.term)"
+        # the variable must not shadow a column of the caller's expression
+        return f"transform(filter(array({const}), _entry -> contains({low}, _entry.low)), _entry -> _entry.term)"
     if match == "word":
         tests = [f"rlike({low}, {S.quote(T.word_pattern(t.word.lower()))})" for t in dictionary]
     else:

@@ -54,6 +54,7 @@ def local_session(cores="8", name="rosterlake", **conf) -> SparkSession:
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.sql.execution.arrow.pyspark.enabled", "true")
                .config("spark.ui.enabled", "false")
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")
                .config("spark.driver.memory", conf.pop("driver_memory", "8g")))
     for k, v in conf.items():
         builder = builder.config(k, v)
