@@ -74,5 +74,5 @@ def word_pattern(word: str) -> str:
 
 
 def content_key(text: Column) -> Column:
-    """Stable 64-bit key for joining and de-duplicating matched text."""
-    return F.xxhash64(text)
+    """Stable short key for joining and de-duplicating matched text."""
+    return F.left(F.sha2(text, 256), F.lit(16))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import text as T
 from ..rules import classes
 
 def item(kind, source, rule, matched, confidence, score=0.0) -> Column:
@@ -80,7 +81,7 @@ def typed_rows(df: DataFrame, key: str, kind: str, matched: Column, confidence:
     text = lambda c: F.lit("") if c is None else c
     return df.select(
         key, F.lit(kind).alias("type"), F.lit(source).alias("source"),
-        text(location).alias("location"), matched.alias("matched"),
+        text(location).alias("location"), matched.alias("matched"), T.content_key(matched).alias("content_hash"),
         F.left(text(snippet), F.lit(classes.SNIPPET_LIMIT)).alias("snippet"),
         (rule if fixed_rule is None else F.lit(fixed_rule)).alias("rule"),
         confidence.cast("double").alias("confidence"),

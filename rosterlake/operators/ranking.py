@@ -60,7 +60,8 @@ def positions(df: DataFrame, group: str, spec, out="position", columns=None) ->
     whole frame is range-partitioned by (group, order), each row gets its place
     within its partition, and the partitions' group counts, a table of at most
     (partitions + groups) rows, supply the offsets.  ``spec`` must end in a
-    unique column.
+    unique column.  Range partitioning samples its input first, so pass a
+    stored table or a cheap projection of one.
     """
     columns = columns or df.columns
     order = [F.asc(group)] + _ordering(spec)

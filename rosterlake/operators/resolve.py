@@ -36,11 +36,13 @@ def _order(trust: str, seq: str) -> Column:
     return F.struct(F.col(trust).alias("trust"), (-F.col(seq)).alias("neg_seq"))
 
 
-def best_rows(df: DataFrame, key="cid", trust="trust", seq="seq", columns=None) -> DataFrame:
-    """The highest-trust row per key, ties to the lowest ``seq``."""
+def best_rows(df: DataFrame, key="cid", trust="trust", seq="seq", columns=None, extras=()) -> DataFrame:
+    """The highest-trust row per key, ties to the lowest ``seq``; ``extras`` are
+    further named aggregates of the group, computed in the same pass."""
     cols = columns or [c for c in df.columns if c != key]
     best = F.max_by(F.struct(*cols), _order(trust, seq))
-    return df.groupBy(key).agg(best.alias("b"), F.count("*").alias("members")).select(key, "members", "b.*")
+    grouped = df.groupBy(key).agg(best.alias("b"), F.count("*").alias("members"), *extras)
+    return grouped.select(*[c for c in grouped.columns if c != "b"], "b.*")
 
 
 def merge_scalars(df: DataFrame, key="cid", trust="trust", seq="seq", scalars=(), first_seen="first_seen",

@@ -25,8 +25,7 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     df = table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if len(files) < cores and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+    if df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
         return df.repartition(cores, df.columns[0])
     return df
 

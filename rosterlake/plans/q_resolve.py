@@ -84,9 +84,8 @@ def documents_resolved_by_text(spark, d):
     text = F.regexp_replace(F.lower(F.trim("text")), r"[\t\n\f\r ]+", " ")
     rows = B.texts(spark, d, "documents").select(
         F.md5(text).alias("cid"), "doc_id", "source", F.octet_length("source").alias("trust"))
-    best = S.best_rows(rows, "cid", "trust", "doc_id", ["source", "doc_id"])
-    firsts = rows.groupBy("cid").agg(F.min("doc_id").alias("first_doc"))
-    return best.join(firsts, "cid").select("cid", "members", "first_doc", F.col("source").alias("best_source"))
+    best = S.best_rows(rows, "cid", "trust", "doc_id", ["source"], [F.min("doc_id").alias("first_doc")])
+    return best.select("cid", "members", "first_doc", F.col("source").alias("best_source"))
 
 
 @query("union_of_sources", """

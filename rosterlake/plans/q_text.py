@@ -300,12 +300,12 @@ def evidence_confidence(spark, d):
 @query("evidence_rows", f"""
 WITH e AS (SELECT doc_id, 'README' AS type, 'readme' AS source, 'readme_match' AS rule, lang AS matched, substr(text, 1, 200) AS snippet FROM documents
  UNION ALL SELECT doc_id, 'RULE_MATCH', '', 'lang_' || lang, source, '' FROM documents)
-SELECT doc_id, type, source, rule, matched, md5(snippet) AS snippet_md5, '2024-07-01 00:00:00' AS seen_at FROM e""")
+SELECT doc_id, type, source, rule, matched, substr(sha256(matched), 1, 16) AS content_hash, md5(snippet) AS snippet_md5, '2024-07-01 00:00:00' AS seen_at FROM e""")
 def evidence_rows(spark, d):
     docs = B.texts(spark, d, "documents")
     readme = evidence.typed_rows(docs, "doc_id", "README", F.col("lang"), F.lit(0.7), B.as_of(), snippet=F.col("text"))
     rule = evidence.typed_rows(docs, "doc_id", "RULE_MATCH", F.col("source"), F.lit(1.0), B.as_of(),
                                rule=F.concat(F.lit("lang_"), "lang"))
     return readme.unionByName(rule).select(
-        "doc_id", "type", "source", "rule", "matched", F.md5("snippet").alias("snippet_md5"),
+        "doc_id", "type", "source", "rule", "matched", "content_hash", F.md5("snippet").alias("snippet_md5"),
         F.date_format("seen_at", "yyyy-MM-dd HH:mm:ss").alias("seen_at"))

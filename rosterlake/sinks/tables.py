@@ -55,9 +55,12 @@ def upsert_log(log: DataFrame, key, order, first=KEEP) -> DataFrame:
 
 
 def insert_new(target: DataFrame, rows: DataFrame, key) -> DataFrame:
-    """Insert-or-ignore: rows whose key is already there are dropped."""
+    """Insert-or-ignore: rows whose key is already there are dropped; of several
+    new rows with one key the smallest is taken, so reruns agree."""
     keys = [key] if isinstance(key, str) else list(key)
-    distinct = rows.dropDuplicates(keys)
+    rest = [c for c in rows.columns if c not in keys]
+    distinct = (rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*")
+                if rest else rows.distinct())
     return target.unionByName(distinct.join(target.select(*keys), keys, "left_anti"))
 
 

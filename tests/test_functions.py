@@ -90,6 +90,11 @@ def test_entropy_against_numpy(spark):
     assert got == pytest.approx([want(t) for t in texts], abs=1e-12)
 
 
+def test_base64_mass_sums_long_runs(spark):
+    text = "x" * 199 + " " + "A" * 250 + "== " + "b" * 300
+    assert one(spark, text, chars.base64_mass(F.col("v"))) == 252 + 300
+
+
 def test_non_text_ratio_divides_by_bytes(spark):
     assert one(spark, "台a", chars.non_text_ratio(F.col("v"))) == pytest.approx(1 / 4)
 
