@@ -7,14 +7,29 @@ from ..rules import patterns as P, vocab
 from . import bindings as B, registry
 from .book import query
 from .q_classify import CLASSIFIED
-from .q_findings import _HITS, _VERDICT, RULES
+from .q_findings import _ASSEMBLED, _HITS, _VERDICT, RULES, _counts_sql
 from .q_relevance import AI, AI_SQL, REGION, REGION_SQL
+from .q_stats import _COMP
 
 
-@query("registry_build")
+# the merged entities take the place of the raw ones; all later steps are the
+# per-operator oracles
+_MERGED = B.ENTS.replace("ents AS (", "raw_ents AS (") + f""", keyed AS (SELECT *, {B.CID_SQL} AS cid FROM raw_ents),
+ents AS (SELECT * REPLACE (cid AS id), whole_rows AS members FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY trust DESC, doc_id) AS rn,
+  count(*) OVER (PARTITION BY cid) AS whole_rows FROM keyed) WHERE rn = 1)"""
+_CLASSES = CLASSIFIED.replace(B.ENTS, _MERGED).replace("CASE WHEN doc_id % 17 = 0 THEN 'RUNTIME_VERIFIED' ELSE 'CANDIDATE' END", "'CANDIDATE'")
+_SCANNED = _counts_sql(RULES, P.SCAN_FAMILIES, text="whole", source="whole_texts", key="id")
+_POINTS = " + ".join(f"({v})" for v in _COMP.values())
+
+
+@query("registry_build", f"""WITH {_CLASSES}, whole_texts AS (SELECT id, {_ASSEMBLED} AS whole FROM ents), hits AS ({_SCANNED}), {_VERDICT},
+q AS (SELECT c.*, coalesce(v.status, 'CLEAN') AS security_status, least({_POINTS}, 100) AS points FROM classified c LEFT JOIN v ON v.id = c.id)
+SELECT primary_class, {B.band_sql('region_score', vocab.REGION_BANDS, 'T0')} AS region_level,
+  CASE WHEN primary_class <> 'MCP_SERVER' THEN 'NOT_MCP' WHEN security_status <> 'BLOCKED' THEN 'RUNTIME_VERIFIED' ELSE 'STATIC_VERIFIED' END AS identity_status,
+  security_status, {B.band_sql('points', vocab.GRADE_BANDS, 'F')} AS quality_grade, count(*) AS entities, CAST(sum(members) AS BIGINT) AS records
+FROM q GROUP BY ALL""")
 def registry_build(spark, d):
-    """Full mode over all documents: classes, levels and states of the merged
-    entities.  Each step has its own oracle; the chain is checked by tests."""
+    """Full mode over all documents: resolve, score, classify, scan, promote, rate."""
     out = registry.build(B.doc_entities(spark, d), B.as_of(), region=R.region(REGION), ai=R.ai(AI), rules=RULES, seq="doc_id")
     return out.groupBy("primary_class", "region_level", "identity_status", "security_status", "quality_grade").agg(
         F.count("*").alias("entities"), F.sum("members").alias("records"))

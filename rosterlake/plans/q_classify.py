@@ -296,7 +296,7 @@ def page_url_types(spark, d):
 
 
 @query("runtime_endpoints", f"""WITH {B.ENTS}, {URLS_SQL},
-passed AS (SELECT id FROM ents WHERE doc_id % 3 = 0),
+passed AS (SELECT id FROM ents WHERE language = 'en'),
 firsts AS (SELECT t.id, min(CASE WHEN type = 'MCP_RUNTIME_ENDPOINT' THEN pos END) AS rt, min(CASE WHEN origin = 'endpoint' THEN pos END) AS ls
    FROM typed t JOIN passed p ON p.id = t.id GROUP BY t.id),
 m AS (SELECT t.id, url, type, CASE WHEN pos = rt THEN 1.0 ELSE confidence END AS confidence FROM typed t LEFT JOIN firsts f ON f.id = t.id
@@ -305,5 +305,5 @@ SELECT id, url, CAST(confidence AS DOUBLE) AS confidence FROM m WHERE type = 'MC
 def runtime_endpoints(spark, d):
     ents = B.doc_entities(spark, d)
     typed = EP.classify(EP.collect(ents))
-    passed = ents.filter(F.col("doc_id") % 3 == 0)
+    passed = ents.filter(F.col("language") == "en")
     return EP.runtime_endpoints(EP.runtime_override(typed, passed)).select("id", "url", "confidence")

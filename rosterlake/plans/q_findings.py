@@ -65,7 +65,7 @@ def finding_verdicts(spark, d):
 
 
 @query("finding_verdicts_long", f"""WITH {B.ENTS}, {_HITS}, {_VERDICT}
-SELECT e.id, CASE WHEN doc_id % 50 = 0 THEN 'BLOCKED' ELSE coalesce(status, 'CLEAN') END AS status,
+SELECT e.id, CASE WHEN repo_owner = 'src13' THEN 'BLOCKED' ELSE coalesce(status, 'CLEAN') END AS status,
   CAST(coalesce(findings, 0) AS BIGINT) AS findings, round(coalesce(confidence, 1.0), 6) AS confidence
 FROM ents e LEFT JOIN v ON v.id = e.id""")
 def finding_verdicts_long(spark, d):
@@ -73,7 +73,7 @@ def finding_verdicts_long(spark, d):
     ents = B.doc_entities(spark, d)
     found = X.counts(ents, "id", "raw_content", RULES)
     verdicts = X.verdict_for_all(ents, found, "id", "hits")
-    manual = ents.filter(F.col("doc_id") % 50 == 0).select("id", F.lit("BLOCKED").alias("status"))
+    manual = ents.filter(F.col("repo_owner") == "src13").select("id", F.lit("BLOCKED").alias("status"))
     return X.apply_overrides(verdicts, manual, "id").select(
         "id", "status", "findings", F.round("confidence", 6).alias("confidence"))
 

@@ -15,15 +15,15 @@ def _identified(spark, d):
 
 
 @query("resolved_entities", f"""WITH {B.ENTS}, {_RANK},
-a AS (SELECT cid, count(*) AS members, max(last_seen) AS last_seen, arg_min(first_seen, rn) FILTER (doc_id % 5 <> 0) AS first_seen,
-  arg_min(raw_content, rn) FILTER (doc_id % 4 <> 0) AS content FROM r GROUP BY cid)
+a AS (SELECT cid, count(*) AS members, max(last_seen) AS last_seen, arg_min(first_seen, rn) FILTER (license <> 'MIT') AS first_seen,
+  arg_min(raw_content, rn) FILTER (license <> 'GPL-3.0') AS content FROM r GROUP BY cid)
 SELECT a.cid, r.name, r.description, r.license, r.trust, members, md5(coalesce(content, '')) AS content_md5,
   strftime(a.first_seen, '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(a.last_seen, '%Y-%m-%d %H:%M:%S') AS last_seen
 FROM a JOIN r ON r.cid = a.cid AND rn = 1""")
 def resolved_entities(spark, d):
     rows = (_identified(spark, d)
-            .withColumn("first_seen", F.when(F.col("doc_id") % 5 != 0, F.col("first_seen")))
-            .withColumn("raw_content", F.when(F.col("doc_id") % 4 != 0, F.col("raw_content")).otherwise("")))
+            .withColumn("first_seen", F.when(F.col("license") != "MIT", F.col("first_seen")))
+            .withColumn("raw_content", F.when(F.col("license") != "GPL-3.0", F.col("raw_content")).otherwise("")))
     merged = S.merge_scalars(rows, "cid", "trust", "doc_id", scalars=("name", "description", "license", "trust"))
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return merged.select("cid", "name", "description", "license", "trust", "members",

@@ -76,11 +76,11 @@ def sitemap_candidates(spark, d):
     return landed.sitemap_candidates(locs, "/en/", ("3",), ("8",), order=("page_id",)).select("name", "source_url")
 
 
-@query("server_sitemaps", """SELECT 'https://' || source || '.example/servers/' || lang || '.xml' AS loc, count(*) AS maps FROM documents WHERE doc_id % 3 = 0 GROUP BY 1""")
+@query("server_sitemaps", """SELECT 'https://' || source || '.example/servers/' || lang || '.xml' AS loc, count(*) AS maps FROM documents WHERE lang <> 'en' GROUP BY 1""")
 def server_sitemaps(spark, d):
     index = B.table(spark, d, "documents").select("doc_id", F.concat(
         F.lit("<sitemapindex><sitemap><loc>https://"), "source", F.lit(".example/"),
-        F.when(F.col("doc_id") % 3 == 0, "servers/").otherwise("blog/"), "lang",
+        F.when(F.col("lang") != "en", "servers/").otherwise("blog/"), "lang",
         F.lit(".xml</loc></sitemap></sitemapindex>")).alias("xml"))
     locs = landed.sitemap_locs(index, "xml", "sitemap", "doc_id")
     return landed.server_sitemaps(locs).groupBy("loc").agg(F.count("*").alias("maps"))
@@ -105,7 +105,7 @@ def _files(spark, d):
         .when(n % 6 == 4, F.concat(F.lit('[package]\nname = "'), s, F.lit('"\n[package.metadata.mcp]\ntransport = "'), lang, F.lit('"'))) \
         .otherwise(F.concat(F.lit('{"mcp":{"servers":{"'), s, F.lit('":{"command":"go","type":"http"}}},"name":"ignored"}')))
     first = B.table(spark, d, "documents").select(n.cast("string").alias("id"), B._pick(_FILES, n).alias("filename"), text.alias("content"))
-    second = B.table(spark, d, "documents").filter(n % 4 == 0).select(
+    second = B.table(spark, d, "documents").filter(lang == "en").select(
         n.cast("string").alias("id"), F.lit("manifest.json").alias("filename"),
         F.when(n % 8 == 0, "{broken").otherwise('{"name":"late"}').alias("content"))
     return first.unionByName(second)
@@ -125,7 +125,7 @@ def _manifest_columns(df):
 
 
 @query("manifests", f"""{_MANIFEST_SQL} UNION ALL SELECT CAST(doc_id AS VARCHAR), 'manifest.json', CASE WHEN doc_id % 8 > 0 THEN 'late' END,
-  CASE WHEN doc_id % 8 > 0 THEN '' END, CASE WHEN doc_id % 8 > 0 THEN '' END, CASE WHEN doc_id % 8 > 0 THEN '' END FROM documents WHERE doc_id % 4 = 0""")
+  CASE WHEN doc_id % 8 > 0 THEN '' END, CASE WHEN doc_id % 8 > 0 THEN '' END, CASE WHEN doc_id % 8 > 0 THEN '' END FROM documents WHERE lang = 'en'""")
 def manifests_query(spark, d):
     return _manifest_columns(manifests.parse(_files(spark, d)))
 

@@ -42,20 +42,20 @@ def order_facets(spark, d):
                           {"status": F.col("o_orderstatus"), "priority": F.col("o_orderpriority")})
 
 
-@query("run_report", f"""WITH {ROWS}, o AS (SELECT *, doc_id % 9 <> 0 AS ok FROM registry)
+@query("run_report", f"""WITH {ROWS}, o AS (SELECT *, repo_owner <> 'src9' AS ok FROM registry)
 SELECT 'total' AS section, 'rows' AS value, count(*) AS rows FROM o
 UNION ALL SELECT 'total', CASE WHEN ok THEN 'succeeded' ELSE 'failed' END, count(*) FROM o GROUP BY 2
 UNION ALL SELECT 'classification', primary_class, count(*) FROM o WHERE ok GROUP BY 2
 UNION ALL SELECT 'status', entity_status, count(*) FROM o WHERE ok GROUP BY 2
 UNION ALL SELECT 'level', region_level, count(*) FROM o WHERE ok GROUP BY 2""")
 def run_report(spark, d):
-    return S.run_report(registry_rows(spark, d), F.col("doc_id") % 9 != 0, {
+    return S.run_report(registry_rows(spark, d), F.col("repo_owner") != "src9", {
         "classification": F.col("primary_class"), "status": F.col("entity_status"), "level": F.col("region_level")})
 
 
-@query("failed_ids", f"WITH {B.ENTS} SELECT id FROM ents WHERE doc_id % 9 = 0")
+@query("failed_ids", f"WITH {B.ENTS} SELECT id FROM ents WHERE repo_owner = 'src9'")
 def failed_ids(spark, d):
-    return S.failed_ids(B.doc_entities(spark, d), F.col("doc_id") % 9 != 0)
+    return S.failed_ids(B.doc_entities(spark, d), F.col("repo_owner") != "src9")
 
 
 _KIND = {"view": "normalized", "click": "duplicate", "purchase": "verified", "signup": "relevant", "error": "failed"}
@@ -98,12 +98,12 @@ def endpoint_health(spark, d):
     return _health(spark, d).groupBy("health").agg(F.count("*").alias("probes"))
 
 
-@query("worst_health", f"""WITH h AS (SELECT user_id, event_id, {_HEALTH_SQL} AS health FROM events WHERE event_type <> 'error' OR event_id % 3 = 0)
+@query("worst_health", f"""WITH h AS (SELECT user_id, event_id, {_HEALTH_SQL} AS health FROM events WHERE event_type <> 'error' OR value > 60)
 SELECT user_id, (['HEALTHY', 'DEGRADED', 'UNAVAILABLE', 'INVALID', 'UNKNOWN'])[max(CASE health WHEN 'HEALTHY' THEN 1 WHEN 'DEGRADED' THEN 2 WHEN 'UNAVAILABLE' THEN 3 ELSE 5 END)] AS health
 FROM h GROUP BY user_id""")
 def worst_health(spark, d):
-    log = _health(spark, d).join(B.table(spark, d, "events").select("event_id", "event_type"), "event_id")
-    return endpoints.worst_health(log.filter((F.col("event_type") != "error") | (F.col("event_id") % 3 == 0)), "user_id")
+    log = _health(spark, d).join(B.table(spark, d, "events").select("event_id", "event_type", "value"), "event_id")
+    return endpoints.worst_health(log.filter((F.col("event_type") != "error") | (F.col("value") > 60)), "user_id")
 
 
 @query("repository_status", f"""WITH {B.ENTS} SELECT id, CASE WHEN doc_id % 29 = 0 THEN 'DELETED' WHEN archived THEN 'ARCHIVED' WHEN doc_id % 19 = 0 THEN 'DELETED'
@@ -189,12 +189,12 @@ _RATIOS = """SELECT *, round(coalesce(tp / nullif(tp + fp, 0), 0.0), 6) AS preci
   round(coalesce(fp / nullif(fp + tn, 0), 0.0), 6) AS fpr,
   CASE WHEN matched = 0 THEN NULL WHEN coalesce(fp / nullif(tp + fp, 0), 0.0) < 0.02 THEN 'EXCELLENT' WHEN coalesce(fp / nullif(tp + fp, 0), 0.0) < 0.05 THEN 'PASS' ELSE 'FAIL' END AS status FROM m"""
 _JOINED = f"""j AS (SELECT l.doc_id, l.quality = 1 AS e, d.p, l.toxic FROM labels l LEFT JOIN
-  (SELECT doc_id, {_PRED} AS p FROM documents WHERE doc_id % 10 <> 0) d USING (doc_id))"""
+  (SELECT doc_id, {_PRED} AS p FROM documents WHERE source <> 'src13') d USING (doc_id))"""
 
 
 def _pairs(spark, d):
     t = F.col("text")
-    predictions = B.texts(spark, d, "documents").filter(F.col("doc_id") % 10 != 0).select(
+    predictions = B.texts(spark, d, "documents").filter(F.col("source") != "src13").select(
         "doc_id", (F.contains(t, F.lit("token")) | F.contains(t, F.lit("Licen")) | (F.col("n_chars") > 2000)).alias("predicted"))
     labels = B.table(spark, d, "labels").withColumn("expected", F.col("quality") == 1)
     return evaluate.joined(labels, predictions, "doc_id")

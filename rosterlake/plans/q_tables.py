@@ -57,10 +57,10 @@ def child_upserts(spark, d):
 
 @query("inserted_links", """SELECT DISTINCT o_custkey AS id, o_orderpriority AS source_id FROM orders""")
 def inserted_links(spark, d):
-    """Insert-or-ignore of the second half of the links into the first half."""
-    links = B.table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("source_id"), "o_orderkey")
-    first = links.filter(F.col("o_orderkey") % 2 == 0).select("id", "source_id").distinct()
-    second = links.filter(F.col("o_orderkey") % 2 == 1).select("id", "source_id")
+    """Insert-or-ignore of the links of open orders into those of finished ones."""
+    links = B.table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("source_id"), "o_orderstatus")
+    first = links.filter(F.col("o_orderstatus") == "F").select("id", "source_id").distinct()
+    second = links.filter(F.col("o_orderstatus") != "F").select("id", "source_id")
     return K.insert_new(first, second, ["id", "source_id"])
 
 
@@ -92,9 +92,9 @@ def latest_source_rows(spark, d):
 def run_log(spark, d):
     """Run rows: counters replaced, start kept, newest first."""
     log = _log(spark, d)
-    parts = [log.filter(F.col("event_id") % 2 == h).groupBy("crawl_id").agg(
+    parts = [log.filter((F.hour("last_seen") < 12) == h).groupBy("crawl_id").agg(
         F.min("last_seen").alias("started_at"), F.max("last_seen").alias("finished_at"),
-        F.count("*").alias("candidates_found"), F.count_if(F.col("status") == "error").alias("failed")) for h in (0, 1)]
+        F.count("*").alias("candidates_found"), F.count_if(F.col("status") == "error").alias("failed")) for h in (True, False)]
     both = parts[0].unionByName(parts[1]).groupBy("crawl_id").agg(
         F.min("started_at").alias("started_at"), F.max("finished_at").alias("finished_at"),
         F.sum("candidates_found").alias("candidates_found"), F.sum("failed").alias("failed"))
