@@ -29,8 +29,22 @@ def assemble(df: DataFrame) -> Column:
     return F.array_join(F.filter(parts, lambda p: F.coalesce(p, F.lit("")) != ""), "\n\n")
 
 
+# ASCII punctuation that prose seldom has; a text is reduced to these once, and
+# most rules end at a look into that short string
+_MARKS = "!\"#$%&'()*+/:;<=>?@[\\]^_`{|}~-"
+_NO_MARK = "[^" + "".join("\\" + c for c in _MARKS) + "]+"
+
+
+def _has_marks(chars, marks="_marks") -> list:
+    return [f"contains({marks}, {S.quote(c)})" for c in dict.fromkeys(chars) if c in _MARKS]
+
+
 def _gate(rule, folded="_folded") -> str:
-    return S.any_of(folded, rule.needles) if rule.needles else "true"
+    """Necessary condition for a match: its marks, then one of its needles; a
+    needle's own punctuation is looked up first."""
+    needles = [" AND ".join([*_has_marks(n), f"contains({folded}, {S.quote(n)})"]) for n in rule.needles]
+    tests = _has_marks(rule.marks) + (["(" + " OR ".join(f"({n})" for n in needles) + ")"] if needles else [])
+    return " AND ".join(tests) or "true"
 
 
 def _may_match(text: str, rule) -> str:
@@ -39,7 +53,8 @@ def _may_match(text: str, rule) -> str:
 
 
 def _with_folded(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn("_folded", regex.fold_case(F.col(text)))
+    return df.withColumns({"_folded": regex.fold_case(F.col(text)),
+                           "_marks": F.regexp_replace(text, _NO_MARK, "")})
 
 
 def hit_structs(text: str, rules, families) -> Column:
@@ -54,7 +69,7 @@ def hit_structs(text: str, rules, families) -> Column:
 
 def with_hits(df: DataFrame, text: str, rules=patterns.SCAN_RULES, families=patterns.SCAN_FAMILIES,
               out="rule_hits") -> DataFrame:
-    return _with_folded(df, text).withColumn(out, hit_structs(text, rules, families)).drop("_folded")
+    return _with_folded(df, text).withColumn(out, hit_structs(text, rules, families)).drop("_folded", "_marks")
 
 
 def counts(df: DataFrame, key: str, text: str, rules=patterns.SCAN_RULES,
