@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import bands, chars, regex
-from ..functions.arrays import explode_rows
+from ..functions.arrays import computed_once, explode_rows
 from ..rules import patterns
 
 
@@ -88,7 +88,7 @@ def detect(df: DataFrame, text: str, out="anomaly", account: Column = None, limi
     return (df.withColumn("_entropy", chars.entropy(F.col(text)))
             .withColumn("_signals", F.array_compact(F.array(*signals)))
             .withColumn("_risk", risk_of(F.col("_signals")))
-            .withColumn(out, F.struct("_risk.risk_level", "_risk.confidence",
+            .transform(computed_once, out, F.struct("_risk.risk_level", "_risk.confidence",
                                       F.col("_entropy").alias("entropy"), F.col("_signals").alias("signals")))
             .drop("_entropy", "_signals", "_risk"))
 

@@ -10,6 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import regex, sqltext as S
+from ..functions.arrays import computed_once
 from ..rules import classes as W, vocab
 from . import evidence as E
 
@@ -216,7 +217,7 @@ def classify(df: DataFrame, out="classification", rules=None, leaky_evidence=Fal
             .withColumn("_winner", F.expr(S.ladder(
                 [(r.condition, str(i)) for i, r in enumerate(rules)], str(len(rules)))))
             .withColumn("_evidence", F.expr(evidence))
-            .withColumn(out, F.struct(
+            .transform(computed_once, out, F.struct(
                 F.expr(label("label", "UNKNOWN")).alias("primary"), F.expr(label("role", "NONE")).alias("role"),
                 F.expr(label("name", "default")).alias("rule"),
                 E.mean_confidence(F.col("_evidence")).alias("confidence"),

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import regex, sqltext as S, urls
-from ..functions.arrays import explode_rows
+from ..functions.arrays import computed_once, explode_rows
 from ..rules import patterns
 
 
@@ -82,11 +82,11 @@ def classify(collected: DataFrame, rules=patterns.URL_RULES) -> DataFrame:
     return (collected
             .withColumn("_votes", votes(rules=rules))
             .withColumn("_best", decide(F.col("_votes")))
-            .withColumn("type", F.col("_best.type"))
-            .withColumn("confidence", F.col("_best.confidence"))
-            .withColumn("rules", F.transform(F.filter(
-                "_votes", lambda v: v["type"] == F.col("type")), lambda v: v["rule"]))
-            .drop("_votes", "_best", "homepage", "runtime_hint"))
+            .transform(computed_once, "_typed", F.struct(
+                F.col("_best.type").alias("type"), F.col("_best.confidence").alias("confidence"),
+                F.transform(F.filter("_votes", lambda v: v["type"] == F.col("_best.type")),
+                            lambda v: v["rule"]).alias("rules")))
+            .drop("_votes", "_best", "homepage", "runtime_hint").select("*", "_typed.*").drop("_typed"))
 
 
 def runtime_override(typed: DataFrame, passed: DataFrame, key="id") -> DataFrame:

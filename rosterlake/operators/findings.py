@@ -14,7 +14,7 @@ ends there.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import regex, sqltext as S
-from ..functions.arrays import explode_rows
+from ..functions.arrays import computed_once, explode_rows
 from ..rules import patterns, vocab
 
 
@@ -92,7 +92,7 @@ def verdict(df: DataFrame, text: str, rules=patterns.SCAN_RULES, families=patter
     severe = F.exists(hits, lambda h: h["severity"].isin("CRITICAL", "HIGH"))
     medium = F.exists(hits, lambda h: h["severity"] == "MEDIUM")
     return (with_hits(df, text, rules, families, out="_hits")
-            .withColumn(out, F.struct(
+            .transform(computed_once, out, F.struct(
                 status_of(severe, medium).alias("status"),
                 F.coalesce(F.try_divide(weight, total), F.lit(1.0)).alias("confidence"),
                 total.alias("findings")))

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import sqltext as S
+from ..functions.arrays import computed_once
 from ..rules import classes as W
 from . import classify as C, evidence as E
 
@@ -106,7 +107,7 @@ def detect(df: DataFrame, out="identity") -> DataFrame:
     return (C.prepare(df)
             .withColumn("_checks", F.expr("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in checks.items()) + ")"))
             .withColumn("_id_evidence", F.expr("concat(" + ", ".join(f"_checks.`{k}`" for k in checks) + ")"))
-            .withColumn(out, F.struct(
+            .transform(computed_once, out, F.struct(
                 F.expr(S.ladder([(c, f"'{s}'") for c, s, _ in ladder], "'NOT_MCP'")).alias("status"),
                 F.expr(S.ladder([(c, f"'{r}'") for c, _, r in ladder], "'NONE'")).alias("role"),
                 F.expr(f"array_compact(array({secondary}))").alias("secondary_roles"),

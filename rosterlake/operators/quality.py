@@ -7,6 +7,7 @@ Two parameter sets share one shape: ten capped components, a total capped at
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import bands, regex
+from ..functions.arrays import computed_once
 from ..rules import patterns
 
 COMPONENTS = (
@@ -135,6 +136,6 @@ def add(df: DataFrame, components: dict, out="quality") -> DataFrame:
     total = F.least(sum((F.col(parts)[k] for k in COMPONENTS), F.lit(0)), F.lit(100))
     return (df
             .withColumn(parts, F.struct(*[components[k].cast("int").alias(k) for k in COMPONENTS]))
-            .withColumn(out, F.struct(total.alias("score"), bands.grade(total).alias("grade"),
+            .transform(computed_once, out, F.struct(total.alias("score"), bands.grade(total).alias("grade"),
                                       F.col(parts).alias("components")))
             .drop(parts))

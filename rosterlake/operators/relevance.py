@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import bands, sqltext as S
-from ..functions.arrays import explode_rows
+from ..functions.arrays import computed_once, explode_rows
 from ..rules import signals
 from . import match
 
@@ -36,7 +36,7 @@ def add(df: DataFrame, name: str, scorer: Scorer) -> DataFrame:
     return (df
             .withColumn(ev, scorer.evidence)
             .withColumn(total, F.aggregate(F.col(ev), F.lit(0.0), lambda acc, e: acc + e["score"]))
-            .withColumn(name, F.struct(
+            .transform(computed_once, name, F.struct(
                 F.col(total).alias("score"), scorer.level(F.col(total)).alias("level"),
                 F.when(F.size(ev) > 0, 1.0).otherwise(0.0).alias("confidence"),
                 F.col(ev).alias("evidence")))

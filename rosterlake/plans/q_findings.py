@@ -230,8 +230,7 @@ _ORDER = "CASE type WHEN 'readme_entropy' THEN 0 WHEN 'readme_size_anomaly' THEN
 SELECT repo_owner || '/' || repo_name || ' # RISK: ' || risk_level || ' - ' || first AS value
 FROM ents JOIN risk USING (id) JOIN f USING (id) WHERE risk_level IN ('HIGH', 'CRITICAL')""")
 def blocklist(spark, d):
-    df = _anomalies(spark, d)
-    rows = exports.malicious_rows(df).join(df.select("id", "repo_owner", "repo_name"), "id")
+    rows = exports.malicious_rows(_anomalies(spark, d), carry=("repo_owner", "repo_name"))
     return exports.blocklist(rows, F.concat_ws("/", "repo_owner", "repo_name"))
 
 

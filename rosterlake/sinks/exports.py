@@ -90,12 +90,13 @@ def action_for(risk: Column) -> Column:
     return F.coalesce(F.try_element_at(table, risk), F.lit("CLEAN"))
 
 
-def malicious_rows(df: DataFrame, anomaly="anomaly", key="id") -> DataFrame:
-    """Entities with at least one signal: risk, confidence, worst severity, action."""
+def malicious_rows(df: DataFrame, anomaly="anomaly", key="id", carry=()) -> DataFrame:
+    """Entities with at least one signal: risk, confidence, worst severity, action,
+    and the ``carry`` columns."""
     a = F.col(anomaly)
     worst = F.array_max(F.transform(a["signals"], lambda s: findings.severity_rank(s["severity"])))
     return df.filter(F.size(a["signals"]) > 0).select(
-        key, a["risk_level"].alias("risk_level"), a["confidence"].alias("confidence"),
+        key, *carry, a["risk_level"].alias("risk_level"), a["confidence"].alias("confidence"),
         findings.rank_severity(worst).alias("highest_severity"),
         F.get(a["signals"], F.lit(0))["type"].alias("primary_signal"),
         F.size(a["signals"]).alias("signals"), action_for(a["risk_level"]).alias("action"))

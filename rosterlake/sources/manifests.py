@@ -124,7 +124,7 @@ def parse(files: DataFrame) -> DataFrame:
 def first_manifest(parsed: DataFrame, key="id") -> DataFrame:
     """The manifest of the highest-priority readable file per entity."""
     prio = F.create_map(*[F.lit(x) for i, n in enumerate(FILE_PRIORITY) for x in (n, i)])
-    usable = parsed.withColumn("_p", F.try_element_at(prio, F.col("filename"))) \
-                   .filter(F.col("_p").isNotNull() & F.col("manifest").isNotNull())
-    return usable.groupBy(key).agg(F.min_by(F.struct("filename", "manifest"), "_p").alias("m")) \
-                 .select(key, "m.filename", "m.manifest")
+    ranked = parsed.withColumn("_p", F.try_element_at(prio, F.col("filename"))).filter(F.col("_p").isNotNull())
+    # unreadable files drop out by their NULL rank, so parsing is not repeated in a filter
+    best = F.min_by(F.struct("filename", "manifest"), F.when(F.col("manifest").isNotNull(), F.col("_p")))
+    return ranked.groupBy(key).agg(best.alias("m")).filter(F.col("m").isNotNull()).select(key, "m.filename", "m.manifest")
