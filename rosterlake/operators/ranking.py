@@ -85,7 +85,7 @@ def with_previous(df: DataFrame, group: str, spec, columns, out="position") -> D
     position), which spreads one long history over all tasks, where ``lag``
     would sort it in one.
     """
-    placed = materialise(positions(df, group, spec, out), "history")
+    placed = positions(df, group, spec, out)
     before = placed.select(F.col(group).alias("_g"), (F.col(out) + 1).alias("_p"),
                            *[F.col(c).alias(f"previous_{c}") for c in columns])
     same = placed[group].eqNullSafe(F.col("_g")) & (placed[out] == F.col("_p"))

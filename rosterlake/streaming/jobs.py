@@ -43,17 +43,23 @@ def dedupe_stream(stream: DataFrame, key, ts: str, delay="1 hour") -> DataFrame:
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def rate_stream(stream: DataFrame, key: str, ts: str, event_id: str, limit: int, seconds=60) -> DataFrame:
+def rate_stream(stream: DataFrame, key: str, ts: str, event_id: str, limit: int, seconds=60,
+                delay="1 hour") -> DataFrame:
     """Verdict per request with windows opened by the key's first request.
 
-    State per key is two numbers; a key's rows are ordered within the
-    micro-batch, whose size the source bounds.
+    State per key is two numbers, dropped once the watermark (``delay`` behind
+    the newest event) has passed the window: the next request would open a new
+    one anyway.  A key's rows are ordered within the micro-batch, whose size
+    the source bounds.
     """
     width = int(seconds * 1_000_000)
     kind = dict(stream.dtypes)[key]
     id_kind = dict(stream.dtypes)[event_id]
 
     def fold(group, parts, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         opened, used = state.get if state.exists else (None, 0)
         rows = pd.concat(list(parts), ignore_index=True).sort_values(["us", event_id], kind="stable")
         verdicts, opens = [], []
@@ -64,13 +70,16 @@ def rate_stream(stream: DataFrame, key: str, ts: str, event_id: str, limit: int,
             used = min(used + 1, limit)
             opens.append(opened)
         state.update((opened, used))
+        closes = (opened + width) // 1000 + 1
+        state.setTimeoutTimestamp(max(closes, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [group[0]] * len(rows), event_id: rows[event_id].to_numpy(),
                             "opened_us": opens, "allowed": verdicts})
 
-    return (stream.select(key, event_id, F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    return (timed.select(key, event_id, ts, F.unix_micros(ts).alias("us"))
             .groupBy(key).applyInPandasWithState(
                 fold, f"{key} {kind}, {event_id} {id_kind}, opened_us long, allowed boolean",
-                "opened long, used long", "append", GroupStateTimeout.NoTimeout))
+                "opened long, used long", "append", GroupStateTimeout.EventTimeTimeout))
 
 
 def stage_metrics(stream: DataFrame, ts: str, stage: str, value: str, error: str, window="1 hour",

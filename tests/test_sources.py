@@ -123,3 +123,47 @@ def test_view_files(spark, sf_dir):
     exports.write_views(df, path)
     got = spark.read.json(path)
     assert got.filter("view = 'taiwan-ai-ecosystem'").count() == df.filter("region_level >= 'T1'").count()
+
+
+# --- streams over several micro-batches -------------------------------------------------------
+
+def arrivals(spark, sf_dir, parts=3):
+    """The events table split by time into files that arrive one after another."""
+    import os
+    import time
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    folder = fresh_path(spark, "arrivals")
+    cuts = events.agg(*[F.percentile_approx("event_id", i / parts).alias(str(i)) for i in range(1, parts)]).first()
+    bounds = [-1, *cuts, 1 << 60]
+    for i in range(parts):
+        part = events.filter((F.col("event_id") > bounds[i]) & (F.col("event_id") <= bounds[i + 1]))
+        staged = fresh_path(spark, "part")
+        part.coalesce(1).write.parquet(staged)
+        name = next(n for n in os.listdir(staged) if n.endswith(".parquet"))
+        os.makedirs(folder, exist_ok=True)
+        os.link(f"{staged}/{name}", f"{folder}/{i}.parquet")
+        os.utime(f"{folder}/{i}.parquet", (time.time() - 100 + i * 10,) * 2)
+    return events, folder
+
+
+def test_rate_stream_over_batches(spark, sf_dir):
+    from rosterlake.operators import rates
+    from rosterlake.streaming import jobs
+    events, folder = arrivals(spark, sf_dir)
+    stream = jobs.file_stream(spark, folder, events.schema, per_trigger=1)
+    got = jobs.run_available(jobs.rate_stream(stream, "user_id", "ts", "event_id", 2, 86400), "rates")
+    want = rates.request_verdicts(events, "user_id", "ts", "event_id", 2, 86400, 5)
+    assert sorted(rows(got.select("event_id", "allowed"))) == sorted(rows(want.select("event_id", "allowed")))
+
+
+def test_upsert_stream_over_batches(spark, sf_dir):
+    from rosterlake.streaming import jobs
+    events, folder = arrivals(spark, sf_dir)
+    stream = jobs.file_stream(spark, folder, events.schema, per_trigger=1).select("user_id", "event_id", "event_type")
+    root = fresh_path(spark, "ents")
+    table = tables.ChangeTable(spark, root, "user_id", ["event_id"], first=())
+    for _ in range(2):  # the second run finds nothing new
+        jobs.upsert_stream(stream, table, f"{root}-progress").awaitTermination()
+    assert len(table._complete("changes", "batch=")) == 3
+    want = events.groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+    assert sorted(rows(table.current().select("user_id", "event_id"))) == sorted(rows(want))
