@@ -59,8 +59,12 @@ def at_least_level(level: Column, floor="T1") -> Column:
     return (level >= floor) & (level <= "T5")
 
 
+_RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}([.]\d+)?(Z|[+-]\d{2}:\d{2})\z"
+
+
 def parse_rfc3339(text: Column) -> Column:
-    return F.try_to_timestamp(F.nullif(text, F.lit("")))
+    """Timestamp, or NULL for anything that is not a full RFC 3339 time."""
+    return F.when(text.rlike(_RFC3339), F.try_to_timestamp(text))
 
 
 def run_id(when: Column) -> Column:

@@ -139,6 +139,12 @@ def worst_health(states: DataFrame, key: str, state="health") -> DataFrame:
             .select(key, F.element_at(names, F.col("_rank")).alias(state)))
 
 
+def server_health(entities: DataFrame, states: DataFrame, key: str, state="health") -> DataFrame:
+    """Worst state per entity; an entity without endpoints to probe is healthy."""
+    return (entities.select(key).join(worst_health(states, key, state), key, "left")
+            .withColumn(state, F.coalesce(state, F.lit("HEALTHY"))))
+
+
 def repository_status(url: Column, archived: Column, http_status: Column, pushed_at: Column,
                       as_of: Column) -> Column:
     from ..functions import bands

@@ -117,4 +117,4 @@ def cap_per_source(df: DataFrame, n: int, source="source", order=("id",), only:
 
 def unprocessed(df: DataFrame, done: DataFrame, key="id") -> DataFrame:
     """Rows whose key is not in the checkpoint table."""
-    return df.join(done.select(key), key, "left_anti")
+    return df.join(done.select(key).distinct(), key, "left_anti")

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import bands
 from ..operators import classify as C, endpoints as EP, identity, relevance as R, review
 from ..rules import classes as W, patterns, vocab
 from . import bindings as B

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import bands
 from ..operators import match, relevance as R
 from ..rules import signals, vocab
 from . import bindings as B

@@ -98,12 +98,15 @@ def endpoint_health(spark, d):
     return _health(spark, d).groupBy("health").agg(F.count("*").alias("probes"))
 
 
-@query("worst_health", f"""WITH h AS (SELECT user_id, event_id, {_HEALTH_SQL} AS health FROM events WHERE event_type <> 'error' OR value > 60)
-SELECT user_id, (['HEALTHY', 'DEGRADED', 'UNAVAILABLE', 'INVALID', 'UNKNOWN'])[max(CASE health WHEN 'HEALTHY' THEN 1 WHEN 'DEGRADED' THEN 2 WHEN 'UNAVAILABLE' THEN 3 ELSE 5 END)] AS health
-FROM h GROUP BY user_id""")
+@query("worst_health", f"""WITH h AS (SELECT user_id, event_id, {_HEALTH_SQL} AS health FROM events WHERE event_type = 'error' OR value > 200),
+w AS (SELECT user_id, (['HEALTHY', 'DEGRADED', 'UNAVAILABLE', 'INVALID', 'UNKNOWN'])[max(CASE health WHEN 'HEALTHY' THEN 1 WHEN 'DEGRADED' THEN 2 WHEN 'UNAVAILABLE' THEN 3 ELSE 5 END)] AS health
+FROM h GROUP BY user_id)
+SELECT u.user_id, coalesce(health, 'HEALTHY') AS health FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN w USING (user_id)""")
 def worst_health(spark, d):
     log = _health(spark, d).join(B.table(spark, d, "events").select("event_id", "event_type", "value"), "event_id")
-    return endpoints.worst_health(log.filter((F.col("event_type") != "error") | (F.col("value") > 60)), "user_id")
+    probed = log.filter((F.col("event_type") == "error") | (F.col("value") > 200))
+    users = B.table(spark, d, "events").select("user_id").distinct()
+    return endpoints.server_health(users, probed, "user_id")
 
 
 @query("repository_status", f"""WITH {B.ENTS} SELECT id, CASE WHEN doc_id % 29 = 0 THEN 'DELETED' WHEN archived THEN 'ARCHIVED' WHEN doc_id % 19 = 0 THEN 'DELETED'

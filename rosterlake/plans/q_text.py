@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bands, encoding, text as T, urls
 from ..operators import categories, evidence, match, resolve
-from ..rules import classes, signals, vocab
+from ..rules import classes, vocab
 from ..sources import landed
 from . import bindings as B
 from .book import query

@@ -66,7 +66,8 @@ def insert_new(target: DataFrame, rows: DataFrame, key) -> DataFrame:
 
 def delete(target: DataFrame, gone: DataFrame, key) -> DataFrame:
     keys = [key] if isinstance(key, str) else list(key)
-    return target.join(gone.select(*keys), keys, "left_anti")
+    # one row per key: a key repeated many times must not crowd one task
+    return target.join(gone.select(*keys).distinct(), keys, "left_anti")
 
 
 def history(target: DataFrame, key: str, order) -> DataFrame:

@@ -53,7 +53,11 @@ def parse_json(content: Column) -> Column:
     args = F.when(has_main, F.flatten(F.transform(
         F.array_sort(F.map_keys(main)),
         lambda k: F.coalesce(F.element_at(main, k)["args"], F.array().cast("array<string>")))))
-    env = F.when(has_main, m["env"])
+    no_env = F.create_map().cast("map<string,string>")
+    env_of = lambda k: F.coalesce(F.element_at(main, k)["env"], no_env)
+    # variables of all servers; the later name wins where two set the same one
+    env = F.when(has_main, F.aggregate(F.array_sort(F.map_keys(main)), no_env, lambda acc, k: F.map_concat(
+        F.map_filter(acc, lambda name, _: ~F.map_contains_key(env_of(k), name)), env_of(k))))
     return F.when(readable, F.struct(
         name.alias("server_name"), transport.alias("transport"), command.alias("command"),
         F.coalesce(args, F.array().cast("array<string>")).alias("args"),

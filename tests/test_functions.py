@@ -77,6 +77,12 @@ def test_activity_boundaries(spark):
     assert got == ["ACTIVE", "MAINTENANCE", "STALE", "DORMANT", "UNKNOWN"]
 
 
+@pytest.mark.parametrize("text,ok", [
+    ("2024-01-02T03:04:05Z", True), ("2024-01-02T03:04:05.5+08:00", True), ("2024-01-02", False), ("", False), (None, False)])
+def test_rfc3339(spark, text, ok):
+    assert (one(spark, text, bands.parse_rfc3339(F.col("v"))) is not None) == ok
+
+
 def test_entropy_against_numpy(spark):
     texts = ["", "aaaa", "abcd", "台灣台灣a", "😀😀b"]
     df = spark.createDataFrame([(t,) for t in texts], "v string")

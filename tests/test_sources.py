@@ -2,7 +2,6 @@
 
 import json
 
-import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -66,6 +65,14 @@ def test_toml_section_stops_at_next_header(spark):
     assert (m["command"], m["transport"]) == ("yes", "")
 
 
+def test_json_manifest_merges_servers(spark):
+    text = json.dumps({"mcpServers": {"b": {"command": "go", "env": {"X": "2", "Y": "3"}, "args": ["q"]},
+                                      "a": {"command": "npx", "env": {"X": "1", "Z": "4"}, "args": ["p"]}}, "name": "no"})
+    m = spark.createDataFrame([(text,)], "t string").select(manifests.parse_json(F.col("t")).alias("m")).first()["m"]
+    assert (m["server_name"], m["command"], m["args"]) == ("b", "go", ["p", "q"])
+    assert m["env"] == {"X": "2", "Y": "3", "Z": "4"}
+
+
 # --- table maintenance -------------------------------------------------------------------
 
 def frame(spark, data):
