@@ -97,6 +97,56 @@ def fold(merged: DataFrame, key="cid", out="items") -> DataFrame:
                  .select(key, F.transform("_l", lambda e: e["item"]).alias(out))
 
 
+# list column -> how an item is identified inside an entity
+LIST_KEYS = {
+    "endpoints": lambda x: x["url"],
+    "tools": lambda x: x["name"],
+    "resources": lambda x: x["uri"],
+    "prompts": lambda x: x["name"],
+    "data_sources": lambda x: x["name"],
+    "transport": lambda x: x,
+    "sources": lambda x: F.concat_ws("|", x["source"], x["url"]),
+}
+
+
+def merge_lists(df: DataFrame, lists=None, key="cid", trust="trust", seq="seq") -> DataFrame:
+    """All list columns of an entity merged at once: one row per key.
+
+    The items of every list go through one long table, are reduced to distinct
+    items on (key, list, item) first, and only those are put back into the row,
+    in trust order.  What reaches one task is the merged list itself, which the
+    entity row has to hold anyway, not the records it came from.
+    """
+    lists = {c: f for c, f in (lists or LIST_KEYS).items() if c in df.columns}
+    kinds = dict(df.dtypes)
+
+    def tagged(column, item_key):
+        def one(x, i):
+            payload = [(x if c == column else F.lit(None).cast(kinds[c][len("array<"):-1])).alias(c) for c in lists]
+            return F.struct(F.lit(column).alias("list"), item_key(x).alias("item_key"), i.alias("position"), *payload)
+        return F.transform(F.coalesce(F.col(column), F.array().cast(kinds[column])), one)
+
+    flat = df.select(key, trust, seq, F.explode(F.concat(*[tagged(c, f) for c, f in lists.items()])).alias("x")) \
+             .select(key, trust, seq, "x.*")
+    order = F.struct(F.col(trust).alias("trust"), (-F.col(seq)).alias("neg_seq"), (-F.col("position")).alias("neg_pos"))
+    items = flat.groupBy(key, "list", "item_key").agg(
+        F.max_by(F.struct(*lists), order).alias("item"), F.max(order).alias("o"))
+    entry = F.struct((-F.col("o.trust")).alias("t"), (-F.col("o.neg_seq")).alias("s"), (-F.col("o.neg_pos")).alias("p"),
+                     "list", "item")
+    folded = items.groupBy(key).agg(F.collect_list(entry).alias("_all"))
+    in_order = F.array_sort("_all", lambda a, b: _compare(a, b))
+    return folded.withColumn("_all", in_order).select(key, *[
+        F.transform(F.filter("_all", lambda e: e["list"] == c), lambda e: e["item"][c]).alias(c) for c in lists])
+
+
+def _compare(a, b):
+    """Trust, then sequence, then position."""
+    expr = F.lit(0)
+    for f in ("p", "s", "t"):
+        expr = F.when(a[f] < b[f], -1).when(a[f] > b[f], 1).otherwise(expr)
+    return expr
+
+
 def first_per_key(df: DataFrame, key, order, columns=None) -> DataFrame:
     """First row per key by an explicit order; deterministic, unlike
     ``dropDuplicates``."""

@@ -15,8 +15,13 @@ from .q_stats import _COMP
 # the merged entities take the place of the raw ones; all later steps are the
 # per-operator oracles
 _MERGED = B.ENTS.replace("ents AS (", "raw_ents AS (") + f""", keyed AS (SELECT *, {B.CID_SQL} AS cid FROM raw_ents),
-ents AS (SELECT * REPLACE (cid AS id), whole_rows AS members FROM (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY trust DESC, doc_id) AS rn,
-  count(*) OVER (PARTITION BY cid) AS whole_rows FROM keyed) WHERE rn = 1)"""
+eps AS (SELECT cid, list(item ORDER BY trust DESC, doc_id, pos) AS items FROM (SELECT *, row_number() OVER (PARTITION BY cid, item.url ORDER BY trust DESC, doc_id, pos) AS n
+  FROM (SELECT cid, trust, doc_id, unnest(endpoints) AS item, generate_subscripts(endpoints, 1) AS pos FROM keyed)) WHERE n = 1 GROUP BY cid),
+tls AS (SELECT cid, list(item ORDER BY trust DESC, doc_id, pos) AS items FROM (SELECT *, row_number() OVER (PARTITION BY cid, item.name ORDER BY trust DESC, doc_id, pos) AS n
+  FROM (SELECT cid, trust, doc_id, unnest(tools) AS item, generate_subscripts(tools, 1) AS pos FROM keyed)) WHERE n = 1 GROUP BY cid),
+best AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY trust DESC, doc_id) AS rn, count(*) OVER (PARTITION BY cid) AS members FROM keyed),
+ents AS (SELECT b.* EXCLUDE (rn) REPLACE (b.cid AS id, eps.items AS endpoints, coalesce(tls.items, []) AS tools)
+  FROM best b JOIN eps ON eps.cid = b.cid LEFT JOIN tls ON tls.cid = b.cid WHERE rn = 1)"""
 _CLASSES = CLASSIFIED.replace(B.ENTS, _MERGED).replace("CASE WHEN doc_id % 17 = 0 THEN 'RUNTIME_VERIFIED' ELSE 'CANDIDATE' END", "'CANDIDATE'")
 _SCANNED = _counts_sql(RULES, P.SCAN_FAMILIES, text="whole", source="whole_texts", key="id")
 _POINTS = " + ".join(f"({v})" for v in _COMP.values())

@@ -1,8 +1,8 @@
 """The registry job end to end: one lazy chain from raw records to verdicts.
 
 raw -> normalise -> resolve -> relevance -> classify -> identity -> scan ->
-promote -> quality.  Two shuffles in all: one on the canonical id at resolve
-and one per long table joined back at assembly; everything else is per row.
+promote -> quality.  Only resolve shuffles: the records once on the canonical
+id, their list items once on (id, list, item); everything else is per row.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -40,11 +40,17 @@ SCALARS = ("name", "slug", "description", "repo_url", "repo_owner", "repo_name",
 
 
 def resolve_entities(df: DataFrame, trust="trust", seq="seq") -> DataFrame:
-    """One row per canonical id; nested lists of the most trusted record stay in
-    the row, merged lists are available as long tables (``resolve.merge_items``)."""
+    """One row per canonical id: scalars of the most trusted record, lists merged
+    over all records.  Both aggregates end partitioned by the id, so joining
+    them moves nothing.  For lists too long for a row see ``resolve.merge_items``."""
     keyed = resolve.with_canonical_id(df)
-    cols = [c for c in SCALARS if c in keyed.columns]
-    return resolve.merge_scalars(keyed, "cid", trust, seq, scalars=cols).withColumnRenamed("cid", "id")
+    lists = [c for c in resolve.LIST_KEYS if c in keyed.columns]
+    cols = [c for c in SCALARS if c in keyed.columns and c not in lists]
+    rows = resolve.merge_scalars(keyed, "cid", trust, seq, scalars=cols)
+    merged = resolve.merge_lists(keyed.select("cid", trust, seq, *lists), trust=trust, seq=seq)
+    kinds = dict(keyed.dtypes)
+    filled = {c: F.coalesce(F.col(c), F.array().cast(kinds[c])) for c in lists}
+    return rows.join(merged, "cid", "left").withColumns(filled).withColumnRenamed("cid", "id")
 
 
 def score(df: DataFrame, region=None, ai=None) -> DataFrame:
