@@ -139,6 +139,17 @@ def test_merge_is_idempotent_and_trust_ordered(spark):
     assert folded["c"] == ["b", "x", "y", "a"]
 
 
+def test_merged_lists_follow_trust(spark):
+    tool = "array<struct<name:string,description:string>>"
+    df = spark.createDataFrame([
+        ("c", 0.5, 1, [("a", "low"), ("b", "low")], ["x"]), ("c", 0.9, 2, [("b", "high"), ("b", "again")], ["y", "x"]),
+        ("c", 0.9, 3, [("z", "late")], None), ("d", 0.1, 4, [], [])],
+        f"cid string, trust double, seq long, tools {tool}, transport array<string>")
+    got = {r["cid"]: r for r in resolve.merge_lists(df).collect()}
+    assert [tuple(t) for t in got["c"]["tools"]] == [("b", "high"), ("z", "late"), ("a", "low")]
+    assert got["c"]["transport"] == ["y", "x"] and "d" not in got
+
+
 def test_anonymous_rows_are_set_apart(spark):
     df = resolve.with_canonical_id(entities(spark, {"id": "1", "name": ""}, {"id": "2", "name": "n"}))
     known, unknown = resolve.split_anonymous(df)
