@@ -95,7 +95,8 @@ def doc_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when((k + i) % 3 == 0, "").otherwise(F.concat(F.lit("plan "), source)).alias("description"),
             F.when((k + i) % 5 == 0, F.lit('{"type":"object"}')).alias("input_schema"))).alias("tools"),
         F.array(F.struct(source.alias("name"), _pick(SOURCE_TYPES, n).alias("type"),
-                         F.concat(F.lit("https://data."), source, F.lit(".example.org/"), lang).alias("url")))
+                         F.concat(F.lit("https://data."), source, F.lit(".example.org/"), lang).alias("url"),
+                         F.lit(False).alias("official")))
         .alias("data_sources"),
         _pick(TRUST_NAMES, F.substr(source, F.lit(4)).cast("int")).alias("trust_source"))
     return (base

@@ -14,7 +14,10 @@ from .q_stats import _COMP
 
 # the merged entities take the place of the raw ones; all later steps are the
 # per-operator oracles
-_MERGED = B.ENTS.replace("ents AS (", "raw_ents AS (") + f""", keyed AS (SELECT *, {B.CID_SQL} AS cid FROM raw_ents),
+_MERGED = B.ENTS.replace("ents AS (", "raw_ents AS (") + f""", keyed AS (SELECT * REPLACE (list_concat(CASE WHEN doc_id % 8 = 7 THEN [
+    struct_pack(url := 'https://api.example.com/mcp', transport := 'http', tls := TRUE, type := ''),
+    struct_pack(url := 'http://localhost:8080/sse.', transport := 'sse', tls := FALSE, type := '')] ELSE [] END, endpoints) AS endpoints),
+  {B.CID_SQL} AS cid FROM raw_ents),
 eps AS (SELECT cid, list(item ORDER BY trust DESC, doc_id, pos) AS items FROM (SELECT *, row_number() OVER (PARTITION BY cid, item.url ORDER BY trust DESC, doc_id, pos) AS n
   FROM (SELECT cid, trust, doc_id, unnest(endpoints) AS item, generate_subscripts(endpoints, 1) AS pos FROM keyed)) WHERE n = 1 GROUP BY cid),
 tls AS (SELECT cid, list(item ORDER BY trust DESC, doc_id, pos) AS items FROM (SELECT *, row_number() OVER (PARTITION BY cid, item.name ORDER BY trust DESC, doc_id, pos) AS n

@@ -8,8 +8,8 @@ id, their list items once on (id, list, item); everything else is per row.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T, urls
-from ..operators import classify, findings, identity, lifecycle, quality, relevance, resolve
-from ..rules import patterns
+from ..operators import classify, findings, identity, lifecycle, match, quality, relevance, resolve
+from ..rules import patterns, signals
 from ..schemas import with_defaults
 
 # fixed values: which steps a mode runs
@@ -21,16 +21,22 @@ MODES = {
 }
 
 
-def normalise(raw: DataFrame) -> DataFrame:
-    """Defaults, slug, cleaned description and content."""
+def normalise(raw: DataFrame, known_sources=signals.KNOWN_SOURCES) -> DataFrame:
+    """Defaults, slug, cleaned description and content, endpoints named in the
+    readme before the listed ones, known data sources after the given ones."""
     df = with_defaults(raw, ("name", "slug", "description", "raw_content", "repo_url", "repo_owner", "repo_name",
                              "homepage", "language", "license", "topics", "package_files", "endpoints", "tools",
                              "resources", "data_sources", "sources", "stars", "forks"))
     name = urls.default_name(F.col("name"), F.col("repo_url"))
+    df = df.withColumn("raw_content", T.redact(F.col("raw_content")))
+    readme = F.transform(urls.readme_endpoints(F.col("raw_content")), lambda e: F.struct(
+        e["url"].alias("url"), e["transport"].alias("transport"), e["tls"].alias("tls"), F.lit("").alias("type")))
+    df = df.withColumn("endpoints", F.concat(readme, F.col("endpoints")))
+    named = F.concat(F.array("repo_url", "homepage"), F.transform("endpoints", lambda e: e["url"]))
     return df.withColumns({
         "name": name, "slug": urls.slug(name),
         "description": T.describe(F.col("description"), F.col("raw_content")),
-        "raw_content": T.redact(F.col("raw_content")),
+        "data_sources": F.concat("data_sources", match.known_sources(named, F.col("raw_content"), known_sources)),
         "license": T.license_or_unknown(F.col("license"))})
 
 

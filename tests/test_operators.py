@@ -257,7 +257,7 @@ def test_registry_chain(spark):
     raw = entities(
         spark,
         {"id": "x", "name": "stock", "repo_url": "https://github.com/a/stock.git", "homepage": "https://twse.com.tw/",
-         "raw_content": "Stocks of Taiwan.\n" + SERVER, "license": "MIT",
+         "raw_content": "Stocks of Taiwan.\nwss://in.readme/mcp, " + SERVER, "license": "MIT",
          "endpoints": [("https://api.a/mcp", "http", True, "MCP_RUNTIME_ENDPOINT")]},
         {"id": "y", "name": "stock2", "repo_url": "https://GitHub.com/A/Stock/"}).drop("id") \
         .withColumn("seq", F.monotonically_increasing_id()).withColumn("trust", F.when(F.col("name") == "stock", 0.95).otherwise(0.5))
@@ -265,7 +265,10 @@ def test_registry_chain(spark):
     assert len(r) == 1
     e = r[0]
     assert e["members"] == 2 and e["name"] == "stock" and e["description"] == "Stocks of Taiwan."
-    assert e["primary_class"] == "MCP_SERVER" and e["region_level"] == "T3"
+    # homepage domain 40, the data source found by it 35, the description 5
+    assert e["primary_class"] == "MCP_SERVER" and (e["region_score"], e["region_level"]) == (80.0, "T5")
+    assert [(x["name"], x["official"]) for x in e["data_sources"]] == [("twse.com.tw", True)]
+    assert [x["url"] for x in e["endpoints"]] == ["wss://in.readme/mcp", "https://api.a/mcp"]
     assert e["security_status"] == "CLEAN" and e["identity_status"] == "RUNTIME_VERIFIED"
     assert e["quality_score"] > 0 and e["protocol_related"]
 
