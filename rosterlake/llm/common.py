@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
 
+def vocabulary(name="byte_bpe_50k.json") -> str:
+    """Place of a public tokenizer's vocabulary file, installed on every machine."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; 0 marks held-out rows (a null id is held out)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS, F.lit(0))

@@ -1,10 +1,15 @@
 """One query per operator, over the whole of its table, and the pipeline."""
 
-from . import jaccard
+from . import jaccard, packing
 from .book import query
-from .common import table
+from .common import table, vocabulary
 
 
 @query("op7_ngram_jaccard_join")
 def op7(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_best_fit_packing")
+def op10(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"), vocabulary())
