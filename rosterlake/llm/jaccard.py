@@ -6,15 +6,15 @@ are compared, so copies are never expanded into pairs.
 1. ``signatures`` turns a text into the sorted hashes of its distinct word shingles; kept per document are the
    size, a 128-bit fingerprint, the first hashes (the *prefix*; two linked sets always share a hash of it) and a
    bitmap of about one bit per shingle.
-2. Prefix hashes seen in one class only are dropped: a tile needs two members.
-3. In every tile (hash, size band) members are first compared with one leader, which costs one candidate per
+2. Hashes that more than ``crowd`` documents share come last in the order that prefixes are taken from, so a passage
+   that many documents quote does not put them all into one tile.  Any order gives the same links; so the list of
+   such hashes may be bounded (``HOT``), and it is sent to all executors.
+3. Prefix hashes seen in one class only are dropped: a tile needs two members.
+4. In every tile (hash, size band) members are first compared with one leader, which costs one candidate per
    member.  The links found merge whole groups of near copies before any pair inside them could be listed.
-4. What is left are tiles with members of different components.  All their cross-component pairs within the size
-   bound are listed.  Hashes that more than ``crowd`` members share come last in the order of the prefix, so a
-   passage that many documents quote does not put them all into one tile; the prefix is stored with a reserve
-   for that.  A document whose reserve does not suffice (it consists of shared passages mostly) is also compared
-   in the crowded tiles of its plain prefix, so no link is lost.
-5. Before sets are fetched, the number of differing bits bounds the overlap from above.  The survivors' sets are
+5. What is left are tiles with members of different components.  Their cross-component pairs are listed, unless
+   the sizes or the places of the hash in both prefixes already exclude a link.
+6. Before sets are fetched, the number of differing bits bounds the overlap from above.  The survivors' sets are
    computed again from the texts, and intersected exactly.
 """
 
@@ -31,7 +31,8 @@ from .components import components
 
 WORDS = 5          # words of a shingle
 PERCENT = 80       # Jaccard similarity of a link, in percent
-CROWD = 200        # members beyond which a shared shingle moves to the end of the prefix order
+CROWD = 100        # documents beyond which a shared shingle moves to the end of the prefix order
+HOT = 1 << 16      # such shingles at most (0.5 MB); the most frequent ones if there are more
 BROADCAST_IDS = 1 << 20   # ids sent to all executors at most (8 MB); more are joined by a shuffle
 ROUNDS = 2         # leader rounds before the full comparison
 
@@ -102,7 +103,7 @@ def _signatures(percent):
                     prints.append(None)
                     maps.append(None)
                 short = n - need(n, percent) + 1 if n else 0
-                prefixes.append(values[:short + max(4, short // 4)])
+                prefixes.append(values[:short])
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(sizes), pa.array(prints, pa.binary()),
                 list_array(np.concatenate(prefixes), [len(x) for x in prefixes]), pa.array(maps, pa.binary())],
@@ -179,16 +180,74 @@ def _band(n):
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / PERCENT))).cast("int")
 
 
+def _reordered(hot, percent):
+    """Prefixes of full sets in the order that puts the hashes ``hot`` last."""
+    def run(batches):
+        for batch in batches:
+            docs, sizes, places, hashes = [], [], [], []
+            for doc, items in zip(batch.column(0).to_pylist(), batch.column(1)):
+                values = items.values.to_numpy()
+                n = len(values)
+                late = np.isin(values, hot)
+                short = n - need(n, percent) + 1
+                prefix = np.concatenate((values[~late][:short], values[late]))[:short]
+                docs.append(np.full(short, doc))
+                sizes.append(np.full(short, n))
+                places.append(np.arange(short))
+                hashes.append(prefix)
+            if docs:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate(hashes), pa.int64()), pa.array(np.concatenate(docs), pa.int64()),
+                    pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(places), pa.int64())],
+                    names=["h", "doc", "n", "pos"])
+    return run
+
+
+def _most(counts: DataFrame, crowd, most=HOT) -> DataFrame:
+    return counts.filter(F.col("members") > crowd).orderBy(F.desc("members"), "h").limit(most).select("h")
+
+
+def _postings(docs: DataFrame, sizes: DataFrame, percent, crowd) -> DataFrame:
+    """h, doc, n, pos: prefix hashes that may have two members, and their places in the prefixes."""
+    flat = sizes.select("doc", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "doc", "n", F.col("pos").cast("long"))
+    counts = materialise(flat.groupBy("h").agg(F.count("*").alias("members")).filter("members > 1"), "counts")
+    hot = materialise(_most(counts, crowd), "hot")
+    if not hot.isEmpty():
+        # a passage shows in some prefixes only in part: count all shingles of the documents that hold a piece of it
+        holders = materialise(flat.join(F.broadcast(hot), "h", "left_semi").select(F.col("doc").alias("doc_id")).distinct(), "holders")
+        every = _sets_of(docs, holders).select(F.explode("items").alias("h")).groupBy("h").agg(F.count("*").alias("members"))
+        hot = materialise(_most(every, crowd).union(hot).distinct(), "hot")
+        holders = materialise(flat.join(F.broadcast(hot), "h", "left_semi").select(F.col("doc").alias("doc_id")).distinct(), "holders")
+        late = np.sort(np.array([r["h"] for r in hot.collect()], np.int64))     # 2 * HOT numbers at most
+        moved = materialise(_sets_of(docs, holders).mapInArrow(_reordered(late, percent), "h long, doc long, n long, pos long"), "moved")
+        ids = holders.withColumnRenamed("doc_id", "doc")
+        if ids.count() <= BROADCAST_IDS:
+            ids = F.broadcast(ids)
+        flat = flat.join(ids, "doc", "left_anti")
+        keys = counts.select("h").union(moved.select("h").distinct()).distinct()
+        flat = flat.unionByName(moved)
+    else:
+        keys = counts.select("h")
+    packed = flat.select("h", "doc", F.shiftleft("n", 32).bitwiseOR(F.col("pos")).alias("np"))
+    return materialise(packed.join(keys, "h").distinct(), "postings").select(
+        "h", "doc", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
+
+
 def _labelled(postings: DataFrame, merged: DataFrame) -> DataFrame:
     return (postings.join(merged.withColumnRenamed("node", "doc"), "doc", "left")
             .withColumn("component", F.coalesce("component", "doc")))
 
 
 def _mixed(postings: DataFrame) -> DataFrame:
-    """Hashes whose members are in different components, with the number of members."""
-    return (postings.groupBy("h").agg(F.count("*").alias("members"), F.min("component").alias("lo"),
-                                      F.max("component").alias("hi"))
-            .filter("lo <> hi").select("h", "members"))
+    """Hashes with members of several components, and the component with most members."""
+    each = postings.groupBy("h", "component").agg(F.count("*").alias("members"))
+    return (each.groupBy("h").agg(F.max(F.struct("members", "component")).alias("top"), F.count("*").alias("components"))
+            .filter("components > 1").select("h", F.col("top.component").alias("main")))
+
+
+def _fits(percent):
+    """What sizes and places of a shared hash leave possible: no more than the rest of either prefix order is common."""
+    return f"{100 + percent} * least(x.n - x.pos, y.n - y.pos) >= {percent} * (x.n + y.n)"
 
 
 def links(docs: DataFrame, table: DataFrame, percent=PERCENT, crowd=CROWD, rounds=ROUNDS):
@@ -201,44 +260,31 @@ def links(docs: DataFrame, table: DataFrame, percent=PERCENT, crowd=CROWD, round
                           .agg(F.min("doc_id").alias("doc")), "classes")
     kept = table.join(classes, (table["doc_id"] == classes["doc"]) & (table["print"] == classes["print"]), "left_semi")
     sizes = materialise(kept.select(F.col("doc_id").alias("doc"), "n", "bits", "prefix"), "representatives")
-    flat = sizes.select("doc", "n", F.posexplode("prefix").alias("pos", "h"))
-    packed = flat.select("h", "doc", F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("pos").cast("long")).alias("np"))
-    shared = flat.groupBy("h").agg(F.count("*").alias("members")).filter("members > 1").select("h")
-    postings = materialise(packed.join(shared, "h").distinct(), "postings").select(
-        "h", "doc", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
+    postings = _postings(docs, sizes, percent, crowd)
     sizes = sizes.select("doc", "n", "bits").dropDuplicates(["doc", "n"])
+    fits = _fits(percent)
 
     found = merged = None
     for round_ in range(rounds):
         tiles = postings if merged is None else _labelled(postings, merged).transform(
             lambda p: p.join(_mixed(p).select("h"), "h", "left_semi"))
         tiles = tiles.withColumn("band", _band(F.col("n")))
-        order = F.struct(F.xxhash64("doc", F.lit(round_)).alias("by"), "doc") if round_ else F.struct("doc")
-        lead = tiles.groupBy("h", "band").agg(F.min(order).getField("doc").alias("lead"))
-        pairs = (tiles.join(lead, ["h", "band"]).filter("doc <> lead")
-                 .select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")).distinct())
+        order = ([F.xxhash64("doc", F.lit(round_)).alias("by")] if round_ else []) + ["doc", "n", "pos"]
+        lead = tiles.groupBy("h", "band").agg(F.min(F.struct(*order)).alias("y")).select("h", "band", "y.doc", "y.n", "y.pos")
+        pairs = (tiles.alias("x").join(lead.alias("y"), F.expr(f"x.h = y.h and x.band = y.band and x.doc <> y.doc and {fits}"))
+                 .selectExpr("least(x.doc, y.doc) a", "greatest(x.doc, y.doc) b").distinct())
         new = _links(pairs, docs, sizes, percent)
         found = new if found is None else materialise(found.unionByName(new).distinct(), "links")
         merged = components(found, "a", "b")
 
     marked = _labelled(postings, merged)
-    marked = materialise(marked.join(_mixed(marked), "h", "left"), "marked")
-    crowded = F.coalesce(F.col("members") > crowd, F.lit(False)).cast("int")
-    short = F.col("n") - F.ceil(F.col("n") * percent / 100.0).cast("long") + 1
-    stored = F.least(F.col("n"), short + F.greatest(F.lit(4), F.floor(short / 4)))
-    in_order = Window.partitionBy("doc", "n").orderBy("pos")
-    placed = (marked.withColumn("short", short).withColumn("stored", stored)
-              .withColumn("crowded", crowded)
-              .withColumn("before", F.sum("crowded").over(in_order) - F.col("crowded"))
-              .withColumn("enough", F.col("stored") - F.sum("crowded").over(Window.partitionBy("doc", "n")) >= F.col("short"))
-              .filter("members is not null"))
-    calm = placed.filter("crowded = 0 and (not enough or pos - before < short)").select("h", "doc", "n", "component")
-    busy = placed.filter("crowded = 1 and pos < short").select("h", "doc", "n", "component", "enough")
-    fits = (f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and x.component <> y.component")
-    pairs = calm.alias("x").join(calm.alias("y"), F.expr(f"x.h = y.h and x.doc < y.doc and {fits}")).selectExpr("x.doc a", "y.doc b")
-    more = busy.filter("not enough").alias("x").join(busy.alias("y"), F.expr(f"x.h = y.h and x.doc <> y.doc and {fits}")).selectExpr(
+    marked = materialise(marked.join(_mixed(marked), "h"), "marked")
+    # members of the tile's largest component are not compared with each other
+    others = marked.filter("component <> main")
+    pairs = others.alias("x").join(marked.alias("y"), F.expr(
+        f"x.h = y.h and x.component <> y.component and (y.component = y.main or x.doc < y.doc) and {fits}")).selectExpr(
         "least(x.doc, y.doc) a", "greatest(x.doc, y.doc) b")
-    last = _links(pairs.unionByName(more).distinct(), docs, sizes, percent)
+    last = _links(pairs.distinct(), docs, sizes, percent)
     return classes, found.unionByName(last).distinct()
 
 
