@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # bytes of a UTF-8 text handled at a time by the numpy helpers; a longer single text is one slice
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 FOLDS = 5
 
 
