@@ -1,44 +1,55 @@
-"""One query per operator, over the whole of its table, and the pipeline."""
+"""One query per operator, over the whole of its table."""
 
-from . import decontaminate, jaccard, packing
+from . import compression, decontaminate, jaccard, language, oracles, packing, pii, quality, secrets, urls, warc
 from .book import query
 from .common import table, vocabulary
 
 
-OP5_SQL = r"""
-WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, list_filter(regexp_split_to_array(
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM benchmark),
-bw AS (SELECT item_id, least(len(words), 10) AS size,
-       unnest(list_transform(range(0, greatest(len(words) - 9, 1)), lambda i: list_slice(words, i + 1, i + 10))) AS terms
-       FROM b WHERE len(words) > 0),
-sizes AS (SELECT DISTINCT size FROM bw),
-dw AS (SELECT r, size, unnest(range(0, len(words) - size + 1)) AS st, words FROM d, sizes WHERE len(words) >= size),
-m AS (SELECT DISTINCT r, st, dw.size, item_id FROM dw JOIN bw
-      ON bw.size = dw.size AND bw.terms = list_slice(dw.words, st + 1, st + dw.size)),
-hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(st, st + size)) AS p FROM m) GROUP BY r),
-own AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
-        FROM (SELECT DISTINCT r, item_id FROM m WHERE item_id IS NOT NULL) GROUP BY r)
-SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
-       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (r) LEFT JOIN own USING (r)
-"""
-
-
-@query("op5_benchmark_decontamination", OP5_SQL)
+@query("op1_quality_rules")
+def op1(spark, sf_dir):
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
+@query("op2_warc_derivatives", oracles.OP2)
+def op2(spark, sf_dir):
+    return warc.derivatives(warc.responses_of(table(spark, sf_dir, "pages")))
+
+
+@query("op3_url_filters", oracles.OP3)
+def op3(spark, sf_dir):
+    return urls.filtered(table(spark, sf_dir, "pages"))
+
+
+@query("op4_secret_scan")
+def op4(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op5_benchmark_decontamination", oracles.OP5)
 def op5(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op6_pii_deobfuscation")
+def op6(spark, sf_dir):
+    return pii.search(table(spark, sf_dir, "documents"))
+
+
 @query("op7_ngram_jaccard_join")
 def op7(spark, sf_dir):
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op8_language_id")
+def op8(spark, sf_dir):
+    return language.predictions(table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality_classifier")
+def op9(spark, sf_dir):
+    return compression.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op10_best_fit_packing")
 def op10(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary())
