@@ -126,10 +126,8 @@ def _sets(batches):
 
 def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Shingle sets of the given documents."""
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, items array<long>")
+    return rows.join(_checked(ids), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, items array<long>")
 
 
 def _bounded(percent):
@@ -184,22 +182,23 @@ def _reordered(hot, percent):
     """Prefixes of full sets in the order that puts the hashes ``hot`` last."""
     def run(batches):
         for batch in batches:
-            docs, sizes, places, hashes = [], [], [], []
+            docs, sizes, places, hashes, fresh = [], [], [], [], []
             for doc, items in zip(batch.column(0).to_pylist(), batch.column(1)):
                 values = items.values.to_numpy()
                 n = len(values)
                 late = np.isin(values, hot)
                 short = n - need(n, percent) + 1
-                prefix = np.concatenate((values[~late][:short], values[late]))[:short]
+                at = np.concatenate((np.flatnonzero(~late)[:short], np.flatnonzero(late)))[:short]
+                hashes.append(values[at])
+                fresh.append(at >= short)     # not in the plain prefix
                 docs.append(np.full(short, doc))
                 sizes.append(np.full(short, n))
                 places.append(np.arange(short))
-                hashes.append(prefix)
             if docs:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(hashes), pa.int64()), pa.array(np.concatenate(docs), pa.int64()),
-                    pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(places), pa.int64())],
-                    names=["h", "doc", "n", "pos"])
+                    pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(places), pa.int64()),
+                    pa.array(np.concatenate(fresh), pa.bool_())], names=["h", "doc", "n", "pos", "fresh"])
     return run
 
 
@@ -207,27 +206,31 @@ def _most(counts: DataFrame, crowd, most=HOT) -> DataFrame:
     return counts.filter(F.col("members") > crowd).orderBy(F.desc("members"), "h").limit(most).select("h")
 
 
-def _postings(docs: DataFrame, sizes: DataFrame, percent, crowd) -> DataFrame:
+def _checked(ids: DataFrame, most=BROADCAST_IDS) -> DataFrame:
+    """``ids`` for all executors if they are few enough; else they are joined by a shuffle."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
+def _postings(docs: DataFrame, kept: DataFrame, percent, crowd) -> DataFrame:
     """h, doc, n, pos: prefix hashes that may have two members, and their places in the prefixes."""
-    flat = sizes.select("doc", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "doc", "n", F.col("pos").cast("long"))
+    flat = kept.select("doc", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "doc", "n", F.col("pos").cast("long"))
     counts = materialise(flat.groupBy("h").agg(F.count("*").alias("members")).filter("members > 1"), "counts")
     hot = materialise(_most(counts, crowd), "hot")
+    keys = counts.select("h")
     if not hot.isEmpty():
-        # a passage shows in some prefixes only in part: count all shingles of the documents that hold a piece of it
-        holders = materialise(flat.join(F.broadcast(hot), "h", "left_semi").select(F.col("doc").alias("doc_id")).distinct(), "holders")
-        every = _sets_of(docs, holders).select(F.explode("items").alias("h")).groupBy("h").agg(F.count("*").alias("members"))
-        hot = materialise(_most(every, crowd).union(hot).distinct(), "hot")
-        holders = materialise(flat.join(F.broadcast(hot), "h", "left_semi").select(F.col("doc").alias("doc_id")).distinct(), "holders")
+        # of a passage, a prefix shows a part only: count as many hashes again of the documents that hold a piece of it
+        def holders():
+            return materialise(flat.join(F.broadcast(hot), "h", "left_semi").select(F.col("doc").alias("doc_id")).distinct(), "holders")
+        n = F.size("items")
+        short = (n - F.ceil(n * percent / 100.0) + 1).cast("int")
+        beyond = _sets_of(docs, holders()).filter(n > 0).select(F.explode(F.slice("items", short + 1, short)).alias("h"))
+        hot = materialise(_most(beyond.groupBy("h").agg(F.count("*").alias("members")), crowd).union(hot).distinct(), "hot")
+        held = holders()
         late = np.sort(np.array([r["h"] for r in hot.collect()], np.int64))     # 2 * HOT numbers at most
-        moved = materialise(_sets_of(docs, holders).mapInArrow(_reordered(late, percent), "h long, doc long, n long, pos long"), "moved")
-        ids = holders.withColumnRenamed("doc_id", "doc")
-        if ids.count() <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
-        flat = flat.join(ids, "doc", "left_anti")
-        keys = counts.select("h").union(moved.select("h").distinct()).distinct()
-        flat = flat.unionByName(moved)
-    else:
-        keys = counts.select("h")
+        moved = materialise(_sets_of(docs, held).mapInArrow(
+            _reordered(late, percent), "h long, doc long, n long, pos long, fresh boolean"), "moved")
+        flat = flat.join(_checked(held.withColumnRenamed("doc_id", "doc")), "doc", "left_anti").unionByName(moved.drop("fresh"))
+        keys = keys.union(moved.filter("fresh").select("h")).distinct()
     packed = flat.select("h", "doc", F.shiftleft("n", 32).bitwiseOR(F.col("pos")).alias("np"))
     return materialise(packed.join(keys, "h").distinct(), "postings").select(
         "h", "doc", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
@@ -258,10 +261,11 @@ def links(docs: DataFrame, table: DataFrame, percent=PERCENT, crowd=CROWD, round
     """
     classes = materialise(table.filter("n > 0 and doc_id is not null").groupBy("print")
                           .agg(F.min("doc_id").alias("doc")), "classes")
-    kept = table.join(classes, (table["doc_id"] == classes["doc"]) & (table["print"] == classes["print"]), "left_semi")
-    sizes = materialise(kept.select(F.col("doc_id").alias("doc"), "n", "bits", "prefix"), "representatives")
-    postings = _postings(docs, sizes, percent, crowd)
-    sizes = sizes.select("doc", "n", "bits").dropDuplicates(["doc", "n"])
+    held = table.filter("n > 0 and doc_id is not null")
+    copies = materialise(held.select("doc_id", "print").join(classes, "print").filter("doc_id <> doc").select("doc_id", "print"), "copies")
+    kept = held.join(_checked(copies), ["doc_id", "print"], "left_anti").withColumnRenamed("doc_id", "doc")
+    postings = _postings(docs, kept.select("doc", "n", "prefix"), percent, crowd)
+    sizes = held.select(F.col("doc_id").alias("doc"), "n", "bits")
     fits = _fits(percent)
 
     found = merged = None
