@@ -1,9 +1,10 @@
 """Quality rules under weak supervision.
 
-Each rule votes good, bad or abstains.  Expectation-maximisation over the votes of the whole table estimates how
-often each rule votes and how often it is right, for good and for bad documents; the posterior probability of a good
-document decides.  A table of vote patterns and their counts is all that the estimation needs: it has at most
-3 ** rules rows, whatever the corpus, and is the only thing that reaches the driver.
+Each rule votes good, bad or abstains.  Expectation-maximisation over the votes of the whole table estimates each
+rule's accuracy, that is how often its votes are right; a rule whose votes others corroborate gains weight, one that stands
+alone loses it.  The share of good documents is given, as votes alone cannot tell it.  The posterior probability of a good document decides, in
+place of a demand that all rules pass.  A table of vote patterns and their counts is all that the estimation needs:
+it has at most 3 ** rules rows, whatever the corpus, and is the only thing that reaches the driver.
 """
 
 import math
@@ -20,9 +21,10 @@ SYMBOLS = byte_set(b"#*$%&|<>")
 KEEP_FROM = 0.5          # posterior from which a document is kept
 ROUNDS = 100
 SETTLED = 1e-9
-PRIOR = 0.8              # share of good documents before the first round
-RIGHT = 0.8              # how often a vote is right before the first round
-SMOOTH = 1.0             # documents of either sort added for every outcome of a rule
+PRIOR = 0.8              # share of good documents
+RIGHT = 0.8              # accuracy that a rule is expected to have
+TRUST = 1.0              # weight of that expectation against the rule's own votes, per vote
+LEAST, MOST = 0.5, 0.999  # a rule is taken to be no worse than chance, and never certain
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_alpha")
 
@@ -96,14 +98,17 @@ def _measured(batches):
 
 
 # (name, condition to vote bad, condition to vote good); neither holds: the rule abstains.  Integer arithmetic only.
+# Most rules know one fault each and are silent otherwise; ``prose`` speaks for texts without any.
 RULES = (
-    ("length", "n_words < 10", "n_words >= 50"),
-    ("repeats", "100 * n_repeat_words > 20 * n_words", "100 * n_repeat_words <= 5 * n_words and n_words >= 10"),
-    ("symbols", "20 * n_symbols > n_words", "100 * n_symbols <= n_words and n_words > 0"),
-    ("lines", "100 * n_dup_lines > 20 * n_lines", "n_dup_lines = 0 and n_lines > 1"),
-    ("word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words", "word_chars >= 3 * n_words and word_chars <= 10 * n_words and n_words > 0"),
-    ("letters", "100 * n_alpha < 70 * word_chars", "100 * n_alpha >= 85 * word_chars and n_words > 0"),
-    ("capitals", "100 * n_upper > 30 * n_alpha", "100 * n_upper <= 15 * n_alpha and n_alpha > 0"),
+    ("length", "n_words < 10", "false"),
+    ("repeats", "100 * n_repeat_words > 20 * n_words", "false"),
+    ("symbols", "10 * n_symbols > n_words", "false"),
+    ("lines", "100 * n_dup_lines > 30 * n_lines", "false"),
+    ("word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words", "false"),
+    ("letters", "100 * n_alpha < 75 * word_chars", "false"),
+    ("capitals", "100 * n_upper > 30 * n_alpha", "false"),
+    ("prose", "false", "n_words >= 50 and 100 * n_repeat_words <= 5 * n_words and 100 * n_symbols <= n_words and "
+     "100 * n_dup_lines <= 5 * n_lines and 100 * n_alpha >= 85 * word_chars and 100 * n_upper <= 15 * n_alpha"),
 )
 
 
@@ -112,43 +117,34 @@ def votes(rules=RULES) -> list[Column]:
     return [F.expr(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END").alias(f"vote_{name}") for name, bad, good in rules]
 
 
-def estimate(patterns, counts, rounds=ROUNDS):
-    """(prior, tables): share of good documents, and per rule P(vote | sort) as [bad, good] x [bad, abstain, good].
+def estimate(patterns, counts, prior=PRIOR, rounds=ROUNDS):
+    """How often each rule's votes are right, given the share of good documents.
 
-    ``patterns``: distinct vote tuples; ``counts``: documents with each.  Votes are independent given the sort.
+    ``patterns``: distinct vote tuples; ``counts``: documents with each.  Votes are independent given the sort of
+    document, and whether a rule votes at all says nothing about it.
     """
-    patterns = np.asarray(patterns, np.int64).reshape(len(counts), -1) + 1
-    counts = np.asarray(counts, float)
-    rules = patterns.shape[1]
-    tables = np.empty((rules, 2, 3))
-    for r in range(rules):
-        silent = float((counts * (patterns[:, r] == 1)).sum() + 1) / (counts.sum() + 2)
-        tables[r, 1] = [(1 - silent) * (1 - RIGHT), silent, (1 - silent) * RIGHT]
-        tables[r, 0] = tables[r, 1, ::-1]
-    prior = PRIOR
+    patterns, counts = np.asarray(patterns, np.int64).reshape(len(counts), -1), np.asarray(counts, float)
+    accuracy = np.full(patterns.shape[1], RIGHT)
     for _ in range(rounds):
-        good = posterior(patterns - 1, prior, tables)
-        weight = np.stack([counts * (1 - good), counts * good])
-        before = prior
-        prior = float((weight[1].sum() + SMOOTH * PRIOR) / (counts.sum() + SMOOTH))
-        for r in range(rules):
-            seen = np.stack([np.bincount(patterns[:, r], w, 3) for w in weight]) + SMOOTH * tables[r]
-            tables[r] = seen / seen.sum(axis=1, keepdims=True)
-        if abs(prior - before) < SETTLED:
+        good = posterior(patterns, prior, accuracy)
+        before = accuracy
+        right = ((patterns == 1) * good[:, None] + (patterns == -1) * (1 - good)[:, None]) * counts[:, None]
+        cast = (patterns != 0) * counts[:, None]
+        cast = cast.sum(axis=0)
+        own = np.where(cast > 0, right.sum(axis=0) / np.maximum(cast, 1e-9), RIGHT)    # a silent rule is as expected
+        accuracy = np.clip((own + TRUST * RIGHT) / (1 + TRUST), LEAST, MOST)
+        if np.abs(accuracy - before).max() < SETTLED:
             break
-    return prior, tables
+    return accuracy
 
 
-def posterior(patterns, prior, tables):
+def posterior(patterns, prior, accuracy):
     """Probability of a good document for each vote tuple."""
-    patterns = np.asarray(patterns, np.int64) + 1
-    odds = np.full(len(patterns), math.log(prior / (1 - prior)))
-    for r in range(patterns.shape[1]):
-        odds += np.log(tables[r, 1, patterns[:, r]] / tables[r, 0, patterns[:, r]])
-    return 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
+    odds = math.log(prior / (1 - prior)) + np.asarray(patterns) @ np.log(accuracy / (1 - accuracy))
+    return 1 / (1 + np.exp(-odds))
 
 
-def judged(docs: DataFrame, rules=RULES, keep_from=KEEP_FROM) -> DataFrame:
+def judged(docs: DataFrame, rules=RULES, prior=PRIOR, keep_from=KEEP_FROM) -> DataFrame:
     """doc_id, counts, base_failed, kept, p_good and the votes; one row per row of ``docs``.
 
     base_failed: fewer than 10 words, or more than a fifth of them in repeated windows.  Such documents are not kept;
@@ -160,15 +156,14 @@ def judged(docs: DataFrame, rules=RULES, keep_from=KEEP_FROM) -> DataFrame:
     named = [f"vote_{name}" for name, _, _ in rules]
     voted = table.select("*", *votes(rules))
     found = voted.groupBy(*named).count().collect()       # at most 3 ** rules rows
-    p_good = F.lit(0.0)
+    p_good = F.lit(prior)
     if found:
         found = sorted(tuple(r) for r in found)
         patterns = [r[:-1] for r in found]
-        prior, tables = estimate(patterns, [r[-1] for r in found])
+        accuracy = estimate(patterns, [r[-1] for r in found], prior)
         odds = F.lit(math.log(prior / (1 - prior)))
-        for r, name in enumerate(named):
-            weight = [float(np.log(tables[r, 1, v] / tables[r, 0, v])) for v in range(3)]
-            odds = odds + F.when(F.col(name) == -1, weight[0]).when(F.col(name) == 1, weight[2]).otherwise(weight[1])
+        for name, weight in zip(named, np.log(accuracy / (1 - accuracy))):
+            odds = odds + F.col(name) * F.lit(float(weight))
         p_good = 1 / (1 + F.exp(-odds))
     failed = F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words")
     return voted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
