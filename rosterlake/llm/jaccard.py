@@ -5,7 +5,7 @@ are compared, so copies are never expanded into pairs.
 
 1. ``signatures`` turns a text into the sorted hashes of its distinct word shingles; kept per document are the
    size, a 128-bit fingerprint, the first hashes (the *prefix*; two linked sets always share a hash of it) and a
-   bitmap of about one bit per shingle.
+   bitmap of four to eight bits per shingle.
 2. Hashes that more than ``crowd`` documents share come last in the order that prefixes are taken from, so a passage
    that many documents quote does not put them all into one tile.  Any order gives the same links; so the list of
    such hashes may be bounded (``HOT``), and it is sent to all executors.
@@ -67,8 +67,8 @@ def shingle_sets(col: pa.Array, hasher: WordHash, words=WORDS):
 
 
 def bitmap(values: np.ndarray) -> bytes:
-    """One bit per hash; the width is the power of two at or above the set's size, 64 bits at least."""
-    width = max(64, 1 << (len(values) - 1).bit_length())
+    """One bit per hash; the width is the power of two at or above four times the set's size, 64 bits at least."""
+    width = max(64, 1 << (4 * len(values) - 1).bit_length())
     bits = np.zeros(width, bool)
     bits[values & (width - 1)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -273,7 +273,8 @@ def links(docs: DataFrame, table: DataFrame, percent=PERCENT, crowd=CROWD, round
         tiles = postings if merged is None else _labelled(postings, merged).transform(
             lambda p: p.join(_mixed(p).select("h"), "h", "left_semi"))
         tiles = tiles.withColumn("band", _band(F.col("n")))
-        order = ([F.xxhash64("doc", F.lit(round_)).alias("by")] if round_ else []) + ["doc", "n", "pos"]
+        # at first the same leader wherever it is a member; later another one in every tile
+        order = ([F.xxhash64("doc", "h", F.lit(round_)).alias("by")] if round_ else []) + ["doc", "n", "pos"]
         lead = tiles.groupBy("h", "band").agg(F.min(F.struct(*order)).alias("y")).select("h", "band", "y.doc", "y.n", "y.pos")
         pairs = (tiles.alias("x").join(lead.alias("y"), F.expr(f"x.h = y.h and x.band = y.band and x.doc <> y.doc and {fits}"))
                  .selectExpr("least(x.doc, y.doc) a", "greatest(x.doc, y.doc) b").distinct())
