@@ -17,52 +17,69 @@ CELLS = 200_000          # words decoded side by side at most
 
 
 class Model:
-    """Weights of a trained field; small, so it travels with the tasks."""
+    """Weights of a trained field; small, so it travels with the tasks.
 
-    def __init__(self, labels, weights, transitions, start, buckets):
-        self.labels, self.weights, self.transitions, self.start, self.buckets = labels, weights, transitions, start, buckets
+    ``weights[role, bucket, label]``: of a word's features for itself, and with neighbours also for the word after it,
+    the word before it, and of file features for all words of the file.
+    """
+
+    def __init__(self, labels, weights, transitions, start):
+        self.labels, self.weights, self.transitions, self.start = labels, weights, transitions, start
+
+
+OWN, AFTER, BEFORE, FILE = range(4)
+
+
+class Buckets(dict):
+    """Feature name -> row of the weight table; names are remembered, as most recur."""
 
+    def __init__(self, size):
+        super().__init__()
+        self.size = size
 
-def feature_ids(names, buckets):
-    """Feature names as numbers of a table of fixed size."""
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) % buckets for n in names]
+    def __missing__(self, name):
+        if len(self) > 4 * CACHE_WORDS:
+            self.clear()
+        self[name] = at = zlib.crc32(name.encode("utf-8", "surrogatepass")) % self.size
+        return at
 
 
 class Lexicon(dict):
     """word -> row of the score tables, grown on demand."""
 
-    def __init__(self, model, features, neighbours=True):
+    def __init__(self, model, features):
         super().__init__()
         self.model, self.features = model, features
-        self.roles = ("w", "l", "r") if neighbours else ("w",)
-        k = len(model.labels)
-        self.tables = np.zeros((1024, len(self.roles), k), np.float32)
-        self.blank = bytearray()     # 1 for words without any feature but ``none``
+        roles, buckets, k = model.weights.shape
+        self.buckets = Buckets(buckets)
+        self.tables = np.zeros((0, min(roles, 3), k), np.float32)
+        self.flat, self.counts = [], []      # features of words that are not in the tables yet
 
     def __missing__(self, word):
-        at = len(self)
-        if at >= len(self.tables):
-            self.tables = np.concatenate([self.tables, np.zeros_like(self.tables)])
-        names = self.features(word)
-        self.blank.append(names == ["none"])
-        for role, name in enumerate(self.roles):
-            ids = feature_ids([name + n for n in names], self.model.buckets)
-            self.tables[at, role] = self.model.weights[ids].sum(axis=0)
-        self[word] = at
+        ids = [self.buckets[n] for n in self.features(word)]
+        self.flat += ids
+        self.counts.append(len(ids))
+        self[word] = at = len(self)
         return at
 
-    def told(self, ids):
-        """1.0 for words that say something, 0.0 for blank ones."""
-        return 1.0 - np.frombuffer(bytes(self.blank), np.uint8)[ids]
+    def scored(self):
+        """Score tables of all words seen."""
+        if self.counts:
+            edges = np.cumsum([0, *self.counts[:-1]])
+            roles = self.tables.shape[1]
+            new = [np.add.reduceat(self.model.weights[r][self.flat], edges, axis=0) for r in range(roles)]
+            self.tables = np.concatenate([self.tables, np.stack(new, axis=1)])
+            self.flat, self.counts = [], []
+        return self.tables
 
     def renewed(self):
         """This lexicon, or an empty one when it has grown too large."""
-        return self if len(self) < CACHE_WORDS else Lexicon(self.model, self.features, len(self.roles) > 1)
+        return self if len(self) < CACHE_WORDS else Lexicon(self.model, self.features)
 
 
-def context_scores(model, names):
+def context_scores(lexicon, names):
     """Label scores that a file's features add to each of its words."""
-    return model.weights[feature_ids(["f" + n for n in names], model.buckets)].sum(axis=0)
+    return lexicon.model.weights[FILE][[lexicon.buckets[n] for n in names]].sum(axis=0)
 
 
 def segments(edges):
@@ -74,16 +91,15 @@ def segments(edges):
     return np.concatenate((firsts + within * SEGMENT, edges[-1:]))
 
 
-def emissions(lexicon, ids, edges):
+def emissions(tables, ids, edges):
     """Label scores per word; ``edges`` are the first words of the sequences and the number of words."""
-    tables = lexicon.tables
-    out = tables[ids, 0]
-    if len(lexicon.roles) > 1 and len(ids) > 1:
+    out = tables[ids, OWN]
+    if tables.shape[1] > 1 and len(ids) > 1:
         inner = np.ones(len(ids), bool)
         inner[edges[:-1][edges[:-1] < len(ids)]] = False       # the first word of a sequence has no left neighbour
         after = np.flatnonzero(inner)
-        out[after] += tables[ids[after - 1], 1]
-        out[after - 1] += tables[ids[after], 2]
+        out[after] += tables[ids[after - 1], AFTER]
+        out[after - 1] += tables[ids[after], BEFORE]
     return out
 
 
@@ -173,21 +189,20 @@ def train(sequences, labels, features, neighbours=True, buckets=1 << 15, rounds=
     ``sequences``: list of (words, label numbers, names of file features).  The likelihood is convex; features share
     a table of ``buckets`` rows.
     """
-    k, roles = len(labels), ("w", "l", "r") if neighbours else ("w",)
-    vocab, flat, gold, edges, contexts = {}, [], [], [0], []
+    k, roles = len(labels), 3 if neighbours else 1
+    vocab, flat, gold, edges, contexts, row = {}, [], [], [0], [], Buckets(buckets)
     for words, tags, names in sequences:
         if words:
-            contexts.append(np.array(feature_ids(["f" + n for n in names], buckets), np.int64))
+            contexts.append(np.array([row[n] for n in names], np.int64))
             flat.extend(vocab.setdefault(w, len(vocab)) for w in words)
             gold.extend(tags)
             edges.append(len(flat))
     ids, gold, edges = np.array(flat, np.int64), np.array(gold, np.int64), np.array(edges, np.int64)
-    names = [features(w) for w in vocab]
-    held = [[np.array(feature_ids([r + n for n in ns], buckets), np.int64) for ns in names] for r in roles]
-    counts = [np.array([len(x) for x in h]) for h in held]
-    joined = [np.concatenate(h) if h else np.zeros(0, np.int64) for h in held]
-    owner = [np.repeat(np.arange(len(names)), c) for c in counts]
-    model = Model(labels, np.zeros((buckets, k), np.float32), np.zeros((k, k)), np.zeros(k), buckets)
+    held = [np.array([row[n] for n in features(w)], np.int64) for w in vocab]
+    counts = np.array([len(x) for x in held], np.int64)
+    joined = np.concatenate(held) if held else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(held)), counts)
+    model = Model(labels, np.zeros((4 if neighbours else 1, buckets, k), np.float32), np.zeros((k, k)), np.zeros(k))
     if not len(ids):
         return model
     seen = [np.zeros(model.weights.shape), np.zeros((k, k)), np.zeros(k)]
@@ -200,34 +215,28 @@ def train(sequences, labels, features, neighbours=True, buckets=1 << 15, rounds=
     gold_steps = np.zeros((k, k))
     np.add.at(gold_steps, (gold[after - 1], gold[after]), 1)
     gold_start = target[edges[:-1]].sum(axis=0)
-
-    class _Tables:
-        pass
-    view = _Tables()
-    view.roles = roles
     for _ in range(rounds):
-        view.tables = np.zeros((len(names), len(roles), k), np.float32)
-        for r in range(len(roles)):
+        tables = np.empty((len(held), roles, k), np.float32)
+        for r in range(roles):
             for c in range(k):
-                view.tables[:, r, c] = np.bincount(owner[r], model.weights[joined[r], c], len(names))
-        scores = emissions(view, ids, edges)
-        added = np.array([model.weights[c].sum(axis=0) for c in contexts])
-        scores += np.repeat(added, np.diff(edges), axis=0)
+                tables[:, r, c] = np.bincount(owner, model.weights[r, joined, c], len(held))
+        scores = emissions(tables, ids, edges)
+        if neighbours:
+            added = np.array([model.weights[FILE, c].sum(axis=0) for c in contexts])
+            scores += np.repeat(added, np.diff(edges), axis=0)
         marginal, steps, start = forward_backward(model, scores, edges, pairs=True)
         wrong = (target - marginal) / len(ids)
-        by_word = np.zeros((len(roles), len(names), k))
+        grad = np.zeros(model.weights.shape)
         for c in range(k):
-            by_word[0, :, c] = np.bincount(ids, wrong[:, c], len(names))
+            by_word = [np.bincount(ids, wrong[:, c], len(held))]
             if neighbours:
-                by_word[1, :, c] = np.bincount(ids[after - 1], wrong[after, c], len(names))
-                by_word[2, :, c] = np.bincount(ids[after], wrong[after - 1, c], len(names))
-        grad = np.zeros(model.weights.shape)
-        for r in range(len(roles)):
-            for c in range(k):
-                grad[:, c] += np.bincount(joined[r], by_word[r][owner[r], c], buckets)
-        by_file = np.add.reduceat(wrong, edges[:-1], axis=0)
-        for c, g in zip(contexts, by_file):
-            np.add.at(grad, c, g)
+                by_word += [np.bincount(ids[after - 1], wrong[after, c], len(held)),
+                            np.bincount(ids[after], wrong[after - 1, c], len(held))]
+            for r in range(roles):
+                grad[r, :, c] = np.bincount(joined, by_word[r][owner], buckets)
+        if neighbours:
+            for c, g in zip(contexts, np.add.reduceat(wrong, edges[:-1], axis=0)):
+                np.add.at(grad[FILE], c, g)
         grads = [grad - decay * model.weights / buckets, (gold_steps - steps) / len(ids), (gold_start - start) / len(ids)]
         for value, g, s in zip((model.weights, model.transitions, model.start), grads, seen):
             s += g * g

@@ -1,13 +1,16 @@
 """Language identification: a linear-chain conditional random field labels every word.
 
-Features of a word are its affixes, character n-grams and, as lexicon, the word itself; transitions between the
-languages of neighbouring words are learned with them.  Forward-backward gives the probability of every language at
-every word, so code-switched texts get a mixture; a document's language is the one with the largest mean.
+Words are runs of letters.  Features of a word are its affixes, character n-grams and, as lexicon, the word itself;
+transitions between the languages of neighbouring words are learned with them.  Forward-backward gives the
+probability of every language at every word, so code-switched texts get a mixture; a document's language is the one
+with the largest mean.
 
 Training takes at most ``TRAIN_DOCS`` labelled rows per language, chosen by a hash of the id, and a stretch of
 ``TRAIN_CHARS`` characters of each.  Prediction takes whole texts.
 """
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -22,18 +25,20 @@ UNKNOWN = "und"
 REJECT_BELOW = 0.3       # mean probability under which a document's language counts as unknown
 
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def letter_words(text: str) -> list:
+    """Runs of letters, lower-cased."""
+    return _LETTERS.findall(text.lower())
+
+
 def word_features(word: str) -> list:
-    """Affixes, n-grams, lexicon entry; a word without letters has one feature of its own."""
-    letters = "".join(c for c in word.lower() if c.isalpha())
-    if not letters:
-        return ["none"]
-    framed = f"^{letters}$"
-    out = ["bias", "w=" + letters]
-    out += [f"p{n}=" + letters[:n] for n in (1, 2, 3) if len(letters) >= n]
-    out += [f"s{n}=" + letters[-n:] for n in (1, 2, 3) if len(letters) >= n]
-    out += ["2=" + framed[i:i + 2] for i in range(len(framed) - 1)]
-    out += ["3=" + framed[i:i + 3] for i in range(len(framed) - 2)]
-    out += ["c=" + c for c in set(letters) if ord(c) > 127]
+    """Affixes, character n-grams, lexicon entry."""
+    framed = f"^{word}$"
+    out = ["bias", "w=" + word, "p=" + word[:2], "s=" + word[-2:], "s=" + word[-1]]
+    out += [framed[i:i + 2] for i in range(len(framed) - 1)]
+    out += [framed[i:i + 3] for i in range(len(framed) - 2)]
     return out
 
 
@@ -52,14 +57,14 @@ def train(docs: DataFrame, per_language=TRAIN_DOCS, chars=TRAIN_CHARS, held_out=
     labels = [lang for lang, _ in counts]
     sequences = []
     for r in sorted(got, key=lambda r: (r["lang"], r["text"])):
-        words = r["text"].split()
+        words = letter_words(r["text"])
         sequences.append((words, [labels.index(r["lang"])] * len(words), ()))
     return crf.train(sequences, labels, word_features, neighbours=False)
 
 
 def _label(model, names_out):
     def run(batches):
-        lexicon = crf.Lexicon(model, word_features, neighbours=False) if model else None
+        lexicon = crf.Lexicon(model, word_features) if model else None
         for batch in slices(batches, 1 << 20):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -67,17 +72,14 @@ def _label(model, names_out):
                 lexicon = lexicon.renewed()
                 ids, edges = [], [0]
                 for t in texts:
-                    if t and any(map(str.isalpha, t)):
-                        ids += [lexicon[w] for w in t.split()]
+                    if t:
+                        ids += [lexicon[w] for w in letter_words(t)]
                     edges.append(len(ids))
                 ids, edges = np.array(ids, np.int64), np.array(edges, np.int64)
                 if len(ids):
-                    marginal = crf.forward_backward(model, crf.emissions(lexicon, ids, edges), crf.segments(edges))
+                    marginal = crf.forward_backward(model, crf.emissions(lexicon.scored(), ids, edges), crf.segments(edges))
                     full = np.flatnonzero(np.diff(edges))
-                    # words without letters say nothing about the language
-                    weight = lexicon.told(ids)
-                    sums = np.add.reduceat(marginal * weight[:, None], edges[:-1][full], axis=0)
-                    share = sums / np.maximum(sums.sum(axis=1, keepdims=True), 1e-30)
+                    share = np.add.reduceat(marginal, edges[:-1][full], axis=0) / np.diff(edges)[full, None]
                     for at, p in zip(full, share):
                         best = int(p.argmax())
                         names[at], scores[at] = model.labels[best], min(1.0, float(p[best]))

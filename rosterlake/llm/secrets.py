@@ -159,8 +159,8 @@ def _found(model):
                     edges.append(len(ids))
                 ids, edges = np.array(ids, np.int64), np.array(edges, np.int64)
                 if len(ids):
-                    scores = crf.emissions(lexicon, ids, edges)
-                    added = np.array([crf.context_scores(model, file_features(t)) for t in texts])
+                    scores = crf.emissions(lexicon.scored(), ids, edges)
+                    added = np.array([crf.context_scores(lexicon, file_features(t)) for t in texts])
                     scores += np.repeat(added, np.diff(edges), axis=0)
                     tags = crf.viterbi(model, scores, crf.segments(edges))
                     marks = np.concatenate(([0], np.cumsum(tags > 0)))
