@@ -162,9 +162,12 @@ def spelled_digits(tape):
 
 _AT = r"at|arroba|arobase|chez|klammeraffe|ät"
 _BRACKETED = re.compile(rf"(?i)[ \t]*[\[({{<][ \t]*(?:({_AT}|@)|(dot|{_POINT}|\.))[ \t]*[\])}}>][ \t]*")
-_SPOKEN = re.compile(rf"(?i)(?<![\w.+-])[a-z0-9._%+-]+[ \t]+(?:{_AT})[ \t]+[a-z0-9-]+(?:[ \t]+(?:{_POINT})[ \t]+[a-z0-9-]+)+(?![\w-])")
+# a phrase without brackets counts only if it ends as addresses do
+ENDINGS = "com|org|net|edu|gov|info|biz|io|dev|eu|us|uk|ca|au|de|at|ch|fr|be|es|mx|ar|it|nl|pl|br|in|jp|cn"
+_LABELS = rf"[ \t]+[a-z0-9-]+(?:[ \t]+(?:{_POINT})[ \t]+[a-z0-9-]+)*?[ \t]+(?:{_POINT})[ \t]+(?:{ENDINGS})(?![\w-])"
+_SPOKEN = re.compile(rf"(?i)(?<![\w.+-])[a-z0-9._%+-]+[ \t]+(?:{_AT}){_LABELS}")
 _SPOKEN_SIGN = re.compile(rf"(?i)[ \t]+(?:({_AT})|({_POINT}))[ \t]+")
-_DOTTED = re.compile(rf"(?i)(?<=[a-z0-9])[ \t]+(?:{_POINT})[ \t]+(?=[a-z0-9-]+(?![\w]))")
+_AFTER_SIGN = re.compile(rf"(?i)@[a-z0-9.-]+(?:[ \t]+(?:{_POINT})[ \t]+[a-z0-9-]+)*?[ \t]+(?:{_POINT})[ \t]+(?:{ENDINGS})(?![\w-])")
 
 
 def at_and_dot(tape):
@@ -187,12 +190,11 @@ def at_and_dot(tape):
     return tape
 
 
-_AFTER_SIGN = re.compile(rf"(?i)@[a-z0-9.-]+(?:[ \t]+(?:{_POINT})[ \t]+[a-z0-9-]+)+(?![\w-])")
 TRANSDUCERS = (homoglyphs, at_and_dot, spelled_digits)
 
 
 def hidden_spans(text: str, base: list) -> list:
-    """Findings of the rewritten text as spans of the source that touch no span of ``base``."""
+    """Findings of the rewritten text as spans of the source that reach beyond every span of ``base``."""
     tape = Tape(text)
     for step in TRANSDUCERS:
         tape = step(tape)
@@ -201,7 +203,7 @@ def hidden_spans(text: str, base: list) -> list:
     out = []
     for kind, a, b in base_spans(tape.text):
         start, end = tape.source(a, b)
-        if not any(s[1] < end and start < s[2] for s in base):
+        if not any(s[1] <= start and end <= s[2] for s in base):
             out.append((kind, start, end))
     return out
 
