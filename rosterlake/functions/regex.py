@@ -86,6 +86,11 @@ def extract_all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(jvm(pattern)), F.lit(0))
 
 
+def first(text: Column, pattern: str) -> Column:
+    """The first match, NULL without one."""
+    return F.regexp_substr(text, F.lit(jvm(pattern)))
+
+
 def pieces(text: Column, pattern: str) -> Column:
     """Text between the matches; one element more than there are matches."""
     return F.split(text, jvm(pattern), -1)

@@ -51,7 +51,9 @@ def strip_tags(html: Column) -> Column:
 
 
 def truncate(text: Column, limit: int, tail="...") -> Column:
-    """Cut after ``limit`` characters, never inside one."""
+    """Cut after ``limit`` characters, never inside one; ``limit=None`` keeps all."""
+    if limit is None:
+        return text
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit(tail))) \
             .otherwise(text)
 
@@ -62,8 +64,8 @@ def table_cell(text: Column, limit: int) -> Column:
     return truncate(flat, limit)
 
 
-def clean_description(text: Column, marks=signals.OBFUSCATION_MARKS, limit=2048) -> Column:
-    """Blank when it looks like obfuscated code, otherwise capped."""
+def clean_description(text: Column, marks=signals.OBFUSCATION_MARKS, limit=None) -> Column:
+    """Blank when it looks like obfuscated code, otherwise whole, or cut after ``limit`` characters."""
     return F.when(regex.contains_any(text, marks), F.lit("")).otherwise(truncate(text, limit, "…"))
 
 

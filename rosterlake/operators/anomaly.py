@@ -19,6 +19,7 @@ def fixed(x: Column, digits: int) -> Column:
 
 
 def text_signals(text: str, entropy: str, limits: dict) -> list:
+    """One column per signal, NULL where it does not fire; the evidence of a rule is its whole first match."""
     t, ent = F.col(text), F.col(entropy)
     conf = patterns.SIGNAL_CONFIDENCE
     size = F.octet_length(t)
@@ -26,7 +27,7 @@ def text_signals(text: str, entropy: str, limits: dict) -> list:
     folded = regex.fold_case(t)
     ratio, mass = chars.non_text_ratio(t), chars.base64_mass(t)
 
-    first_match = lambda r: F.left(F.get(regex.extract_all(t, r.pattern), F.lit(0)), F.lit(200))
+    first_match = lambda r: regex.first(t, r.pattern)
     code = []
     for r in patterns.ANOMALY_RULES:
         gate = regex.contains_any(folded, r.needles) if r.needles else F.lit(True)

@@ -12,27 +12,23 @@ def collect(df: DataFrame, key="id") -> DataFrame:
 
     Origins in order: listed endpoints, repository, homepage, URLs in the
     content.  De-duplication happens inside the row, before the explode, so no
-    shuffle is needed.
+    shuffle is needed: each origin's distinct URLs, less those of earlier ones.
     """
-    def tag(us, origin, rank):
-        return F.transform(us, lambda u: F.struct(u.alias("url"), F.lit(origin).alias("origin"),
-                                                  F.lit(rank).alias("rank")))
-
-    found = F.filter(F.concat(
-        tag(F.transform("endpoints", lambda e: e["url"]), "endpoint", 0),
-        tag(F.array("repo_url"), "repository_info", 1),
-        tag(F.array("homepage"), "repository_info", 2),
-        tag(urls.embedded_urls(F.col("raw_content")), "raw_content", 3)),
-        lambda s: (s["url"] != "") | (s["rank"] == 0))
-    # map_from_entries would reject duplicates, so distinct URLs are kept in
-    # first-seen order and looked up again
-    distinct = F.array_distinct(F.transform(found, lambda s: s["url"]))
-    return (df.withColumn("_found", found)
-            .withColumn("_hints", _runtime_hinted(F.col("raw_content")))
-            .transform(explode_rows, [key, "homepage", "_found", "_hints"], distinct, "url", "position")
-            .withColumn("origin", F.get(F.filter(
-                "_found", lambda s: s["url"] == F.col("url")), F.lit(0))["origin"])
-            .drop("_found").withColumnRenamed("_hints", "runtime_hint"))
+    def tag(us, origin):
+        return F.transform(us, lambda u: F.struct(u.alias("url"), F.lit(origin).alias("origin")))
+
+    filled = lambda us: F.filter(us, lambda u: u != "")
+    # the arrays are computed once, in place, before they are compared
+    each = df.select(key, "homepage", _runtime_hinted(F.col("raw_content")).alias("runtime_hint"), F.explode_outer(F.array(F.struct(
+        F.array_distinct(F.transform("endpoints", lambda e: e["url"])).alias("listed"),
+        F.array_distinct(filled(F.array("repo_url", "homepage"))).alias("info"),
+        F.array_distinct(filled(urls.embedded_urls(F.col("raw_content")))).alias("content")))).alias("_u"))
+    listed = F.coalesce("_u.listed", F.array().cast("array<string>"))
+    found = F.concat(
+        tag(listed, "endpoint"), tag(F.array_except("_u.info", listed), "repository_info"),
+        tag(F.array_except("_u.content", F.concat(listed, "_u.info")), "raw_content"))
+    return (explode_rows(each, [key, "homepage", "runtime_hint"], found, "_e", "position")
+            .select(key, "homepage", "runtime_hint", "position", "_e.url", "_e.origin"))
 
 
 def _runtime_hinted(content: Column) -> Column:

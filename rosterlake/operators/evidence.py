@@ -75,14 +75,17 @@ def by_type(evidence: Column, kind: str) -> Column:
 
 def typed_rows(df: DataFrame, key: str, kind: str, matched: Column, confidence: Column, as_of: Column,
                location: Column = None, snippet: Column = None, rule: Column = None,
-               seen_at: Column = None) -> DataFrame:
-    """Evidence rows of one kind; source and rule are fixed per kind."""
+               seen_at: Column = None, snippet_limit: int = None) -> DataFrame:
+    """Evidence rows of one kind; source and rule are fixed per kind.
+
+    Snippets are whole unless ``snippet_limit`` cuts them (``classes.SNIPPET_LIMIT`` is customary for display).
+    """
     source, fixed_rule = classes.EVIDENCE_KINDS[kind]
     text = lambda c: F.lit("") if c is None else c
     return df.select(
         key, F.lit(kind).alias("type"), F.lit(source).alias("source"),
         text(location).alias("location"), matched.alias("matched"), T.content_key(matched).alias("content_hash"),
-        F.left(text(snippet), F.lit(classes.SNIPPET_LIMIT)).alias("snippet"),
+        T.truncate(text(snippet), snippet_limit, "").alias("snippet"),
         (rule if fixed_rule is None else F.lit(fixed_rule)).alias("rule"),
         confidence.cast("double").alias("confidence"),
         (as_of if seen_at is None else F.coalesce(seen_at, as_of)).alias("seen_at"))

@@ -106,8 +106,9 @@ def extract(df: DataFrame, key: str, text: str, rules=patterns.SCAN_RULES,
     ``split`` gives the text between matches and ``regexp_extract_all`` the
     matches, so a match's surroundings are its neighbouring pieces.  Pieces are
     cut to the context width first, and every match is at least one character
-    long, so looking at ``context`` neighbours per side is always enough: the
-    work stays linear in the number of matches.
+    long, so looking at ``context`` neighbours per side is always enough.  The
+    evidence is put together inside the row and only finished matches are
+    exploded, so work and memory are linear in text and matches.
     """
     def item(r):
         family, pattern = families[r.family], S.quote(regex.jvm(r.pattern))
@@ -119,27 +120,30 @@ def extract(df: DataFrame, key: str, text: str, rules=patterns.SCAN_RULES,
         f"IF({_may_match(text, r)}, {item(r)}, NULL)" for r in rules) + "))")
     per_rule = explode_rows(_with_folded(df.select(key, text), text), key, fired, "f").select(key, "f.*")
     w = F.col("context")
-    tails = per_rule.withColumns({
-        "_before": F.transform("between", lambda s: F.right(s, w)),
-        "_after": F.transform("between", lambda s: F.left(s, w)),
-        "_found_tail": F.transform("found", lambda s: F.right(s, w)),
-        "_found_head": F.transform("found", lambda s: F.left(s, w)),
-    }).drop("between")
-    each = tails.select("*", F.posexplode("found").alias("position", "matched"))
-    pos = F.col("position")
-    start = F.greatest(pos - w, F.lit(0))
-    span = pos - start
-    # left: pieces[start..pos] interleaved with matches[start..pos-1]
-    left_pairs = F.zip_with(F.slice("_before", start + 1, span), F.slice("_found_tail", start + 1, span),
-                            lambda a, b: F.concat(a, b))
-    left = F.right(F.concat(F.array_join(left_pairs, ""), F.get("_before", pos)), w)
-    right_pairs = F.zip_with(
-        F.slice("_after", pos + 2, w), F.slice("_found_head", pos + 2, w),
-        lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))))
-    right = F.left(F.array_join(right_pairs, ""), w)
+    # one struct of arrays, computed in place: the lambda below reads it many times
+    around = per_rule.transform(computed_once, "a", F.struct(
+        "found",
+        F.transform("between", lambda s: F.right(s, w)).alias("before"),
+        F.transform("between", lambda s: F.left(s, w)).alias("after"),
+        F.transform("found", lambda s: F.right(s, w)).alias("found_tail"),
+        F.transform("found", lambda s: F.left(s, w)).alias("found_head"))).drop("between", "found")
+
+    def finished(matched, pos):
+        start = F.greatest(pos - w, F.lit(0))
+        # left: pieces[start..pos] interleaved with matches[start..pos-1]
+        left_pairs = F.zip_with(F.slice("a.before", start + 1, pos - start), F.slice("a.found_tail", start + 1, pos - start),
+                                lambda x, y: F.concat(x, y))
+        left = F.right(F.concat(F.array_join(left_pairs, ""), F.get("a.before", pos)), w)
+        right_pairs = F.zip_with(F.slice("a.after", pos + 2, w), F.slice("a.found_head", pos + 2, w),
+                                 lambda x, y: F.concat(F.coalesce(x, F.lit("")), F.coalesce(y, F.lit(""))))
+        right = F.left(F.array_join(right_pairs, ""), w)
+        return F.struct(matched.alias("matched"), F.concat(left, matched, right).alias("evidence"))
+
+    kept = [key, "type", "rule", "severity", "source", "confidence"]
+    each = explode_rows(around, kept, F.transform("a.found", finished), "m", "position")
     return each.select(
         key, "type", "rule", "severity", "source", F.lit("readme/source").alias("location"),
-        "position", "matched", F.concat(left, "matched", right).alias("evidence"), "confidence")
+        "position", "m.matched", "m.evidence", "confidence")
 
 
 def summarise(findings: DataFrame, key: str, hits: str = None) -> DataFrame:

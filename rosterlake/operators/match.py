@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import sqltext as S, text as T
 from ..functions.arrays import explode_rows
 
-INLINE_TERMS = 64
-
 
 class Term(NamedTuple):
     word: str
@@ -32,16 +30,15 @@ def _literal(t: Term) -> str:
 def hits_sql(expr: str, dictionary, match="contains") -> str:
     """``hits`` as SQL text over an expression."""
     low = f"lower({expr})"
-    if match == "contains" and len(dictionary) > INLINE_TERMS:
-        const = ", ".join(f"named_struct('low', {S.quote(t.word.lower())}, 'term', {_literal(t)})" for t in dictionary)
-        # the variable must not shadow a column of the caller's expression
-        return f"transform(filter(array({const}), _entry -> contains({low}, _entry.low)), _entry -> _entry.term)"
-    if match == "word":
-        tests = [f"rlike({low}, {S.quote(T.word_pattern(t.word.lower()))})" for t in dictionary]
-    else:
-        tests = [f"contains({low}, {S.quote(t.word.lower())})" for t in dictionary]
-    items = ", ".join(f"IF({test}, {_literal(t)}, NULL)" for test, t in zip(tests, dictionary))
-    return f"array_compact(array({items}))" if items else f"CAST(array() AS {_HITS})"
+    if not dictionary:
+        return f"CAST(array() AS {_HITS})"
+    const = ", ".join(f"named_struct('low', {S.quote(t.word.lower())}, 'pattern', "
+                      f"{S.quote(T.word_pattern(t.word.lower()) if match == 'word' else '')}, 'term', {_literal(t)})" for t in dictionary)
+    # the variable must not shadow a column of the caller's expression; whole words are looked for where the word occurs
+    test = "contains(_low, _entry.low)" + (" AND rlike(_low, _entry.pattern)" if match == "word" else "")
+    # the lower-cased text is computed once, as the only element of an array
+    return (f"transform(flatten(transform(array({low}), _low -> filter(array({const}), _entry -> {test}))), "
+            "_entry -> _entry.term)")
 
 
 _HITS = "ARRAY<STRUCT<word: STRING, points: DOUBLE, label: STRING>>"
@@ -51,9 +48,8 @@ def hits(text: str, dictionary, match="contains") -> Column:
     """array<struct<word, points, label>> of the terms found, dictionary order.
 
     ``text`` is a column name or SQL expression.  ``match='contains'`` is a
-    case-insensitive substring test; ``'word'`` asks for whole words.  Short
-    dictionaries become generated code, long ones a filter over a constant
-    array (same answer, smaller plan).
+    case-insensitive substring test; ``'word'`` asks for whole words.  The
+    plan is one filter over a constant array, whatever the dictionary's size.
     """
     return F.expr(hits_sql(text, dictionary, match))
 

@@ -35,13 +35,17 @@ def parse(log: DataFrame) -> DataFrame:
 
 
 def tool_summary(names: Column, shown=5) -> Column:
+    """Display text: the first ``shown`` names and how many more there are."""
     head = F.array_join(F.slice(names, 1, shown), ", ")
     return F.when(F.size(names) > shown, F.concat(
         head, F.lit(" (+ "), F.size(names) - shown, F.lit(" more)"))).otherwise(head)
 
 
-def verdicts(log: DataFrame, key="id") -> DataFrame:
-    """PASSED / FAILED / ERROR per key with the listed capabilities.
+def verdicts(log: DataFrame, key="id", shown=5) -> DataFrame:
+    """PASSED / FAILED / ERROR per key with the listed tools, resources and prompts.
+
+    The lists are whole, without their empty rows; of several answers to one request the longest list counts.
+    ``tool_summary`` shows the first ``shown`` names for display.
 
     The verdict follows initialize, then tools/list: a request that never got
     an answer is an ERROR, a bad status, body or protocol error a FAILED.
@@ -57,17 +61,19 @@ def verdicts(log: DataFrame, key="id") -> DataFrame:
     of = lambda method, value: F.max(F.when(m == method, value))
     state = F.when(good, 2).when(F.col("http_status").isNull(), 0).otherwise(1)
     listed = (m == "tools/list") & good
+    longest = lambda asked, items: F.max(F.when(asked, F.struct(F.size(items).alias("n"), items.alias("items"))))
     out = p.groupBy(key).agg(
         of("initialize", state).alias("_init"), of("tools/list", state).alias("_tools"),
         of("initialize", r["result"]["protocolVersion"]).alias("protocol_version"),
         F.bool_or((m == "initialize") & good & F.array_contains(caps, "tools")).alias("_cap_tools"),
         F.bool_or((m == "initialize") & good & F.array_contains(caps, "resources")).alias("_cap_res"),
         F.bool_or((m == "initialize") & good & F.array_contains(caps, "prompts")).alias("_cap_pr"),
-        F.max(F.when(listed, F.size(tools))).alias("tool_count"),
-        F.max(F.when(listed, tool_summary(F.transform(tools, lambda t: t["name"])))).alias("tool_summary"),
-        F.max(F.when((m == "resources/list") & good, F.size(resources))).alias("resource_count"),
-        F.max(F.when((m == "prompts/list") & good, F.size(prompts))).alias("prompt_count"),
+        longest(listed, tools).alias("_tool_list"),
+        longest((m == "resources/list") & good, resources).alias("_resource_list"),
+        longest((m == "prompts/list") & good, prompts).alias("_prompt_list"),
         F.max("latency_ms").alias("max_latency_ms"))
+    out = out.select("*", *[F.col(f"_{kind}_list.n").alias(f"{kind}_count") for kind in ("tool", "resource", "prompt")],
+                     *[F.col(f"_{kind}_list.items").alias(f"{kind}s") for kind in ("tool", "resource", "prompt")])
     worst = F.least(F.coalesce("_init", F.lit(0)), F.coalesce("_tools", F.lit(0)))
     init = F.coalesce("_init", F.lit(0))
     decided = F.when(init < 2, init).otherwise(worst)
@@ -77,6 +83,7 @@ def verdicts(log: DataFrame, key="id") -> DataFrame:
         "protocol_version", flag("_cap_tools", "tool_count").alias("tools_listable"),
         flag("_cap_res", "resource_count").alias("resources_listable"),
         flag("_cap_pr", "prompt_count").alias("prompts_listable"),
-        F.coalesce("tool_count", F.lit(0)).alias("tool_count"), "tool_summary",
+        F.coalesce("tool_count", F.lit(0)).alias("tool_count"),
+        tool_summary(F.transform("tools", lambda t: t["name"]), shown).alias("tool_summary"),
         F.coalesce("resource_count", F.lit(0)).alias("resource_count"),
-        F.coalesce("prompt_count", F.lit(0)).alias("prompt_count"), "max_latency_ms")
+        F.coalesce("prompt_count", F.lit(0)).alias("prompt_count"), "max_latency_ms", "tools", "resources", "prompts")

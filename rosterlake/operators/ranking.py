@@ -25,15 +25,19 @@ def top(df: DataFrame, spec, limit: int = 0, offset: int = 0) -> DataFrame:
     return out.limit(limit) if limit else out
 
 
-def page_bounds(page=1, limit=DEFAULT_LIMIT):
+def page_bounds(page=1, limit=DEFAULT_LIMIT, max_limit=None):
     page = max(int(page), 1)
-    limit = DEFAULT_LIMIT if int(limit) < 1 else min(int(limit), MAX_LIMIT)
-    return page, limit
+    limit = DEFAULT_LIMIT if int(limit) < 1 else int(limit)
+    return page, limit if max_limit is None else min(limit, int(max_limit))
 
 
-def page(df: DataFrame, spec, page_no=1, limit=DEFAULT_LIMIT) -> DataFrame:
-    """One page plus page metadata on every row (page, limit, total, total_pages)."""
-    page_no, limit = page_bounds(page_no, limit)
+def page(df: DataFrame, spec, page_no=1, limit=DEFAULT_LIMIT, max_limit=None) -> DataFrame:
+    """One page plus page metadata on every row (page, limit, total, total_pages).
+
+    ``max_limit`` bounds the page size, as a service does (``MAX_LIMIT`` is the customary bound); by default there is
+    none.  ``page_limit`` is the size that was applied.
+    """
+    page_no, limit = page_bounds(page_no, limit, max_limit)
     total = df.agg(F.count("*")).scalar()
     rows = top(df, spec, limit, (page_no - 1) * limit)
     return (rows.withColumn("page", F.lit(page_no)).withColumn("page_limit", F.lit(limit))

@@ -138,5 +138,6 @@ def search(df: DataFrame, q: SearchQuery) -> DataFrame:
     return ranking.top(df.withColumn("score", relevance(q)), q.order, q.limit, q.offset)
 
 
-def search_by_capability(df: DataFrame, text: str) -> DataFrame:
-    return search(df, SearchQuery(text=text, limit=100))
+def search_by_capability(df: DataFrame, text: str, limit=0) -> DataFrame:
+    """All matches, best first; ``limit`` keeps the best ones only."""
+    return search(df, SearchQuery(text=text, limit=limit))

@@ -17,17 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose rows are long texts.
-
-    A small landed file may be a single row group, hence a single task; its
-    rows are spread over the cores before the heavy work.  Inputs with enough
-    splits of their own are read as they are, without this shuffle.
-    """
-    df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
-        return df.repartition(cores, df.columns[0])
-    return df
+    """A table whose rows are long texts; how finely it is split is a setting of the session's reader."""
+    return table(spark, sf_dir, name)
 
 
 def as_of():

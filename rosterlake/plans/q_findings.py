@@ -102,11 +102,11 @@ def finding_contexts_legacy(spark, d):
             .select("id", "type", "rule", "position", "matched", "evidence")
 
 
-@query("conversation_findings", f"""WITH h AS ({_counts_sql(PROSE, P.SCAN_FAMILIES, text="text", source="conversations", key="conv_id, turn")})
+@query("conversation_findings", f"""WITH h AS ({_counts_sql(RULES, P.SCAN_FAMILIES, text="text", source="conversations", key="conv_id, turn")})
 SELECT rule, count(*) AS turns, CAST(sum(hits) AS BIGINT) AS hits FROM h GROUP BY rule""")
 def conversation_findings(spark, d):
     turns = B.texts(spark, d, "conversations").withColumn("key", F.struct("conv_id", "turn"))
-    found = X.counts(turns, "key", "text", PROSE)
+    found = X.counts(turns, "key", "text", RULES)
     return found.groupBy("rule").agg(F.count("*").alias("turns"), F.sum("hits").alias("hits"))
 
 
@@ -256,12 +256,13 @@ def rule_hits(spark, d):
 
 
 @query("injection_details", f"""WITH {B.ENTS}, m AS ({_matches_sql(RULES, P.SCAN_FAMILIES, 'raw_content', 'ents', 'id')}), {_CONTEXTS},
-c AS (SELECT id, rule, replace(replace(substr(t, greatest(ofs - ctx, 0) + 1, ofs - greatest(ofs - ctx, 0) + length(matched) + ctx), '|', '\\|'), chr(10), ' ') AS ev, type FROM o)
-SELECT id, rule, CASE WHEN length(ev) > 100 THEN substr(ev, 1, 100) || '...' ELSE ev END AS evidence FROM c
+c AS (SELECT id, rule, substr(t, greatest(ofs - ctx, 0) + 1, ofs - greatest(ofs - ctx, 0) + length(matched) + ctx) AS whole,
+  replace(replace(substr(t, greatest(ofs - ctx, 0) + 1, ofs - greatest(ofs - ctx, 0) + length(matched) + ctx), '|', '\\|'), chr(10), ' ') AS ev, type FROM o)
+SELECT id, rule, md5(whole) AS evidence_md5, CASE WHEN length(ev) > 100 THEN substr(ev, 1, 100) || '...' ELSE ev END AS cell FROM c
 WHERE regexp_matches(lower(type || ' ' || rule), 'injection|prompt')""")
 def injection_details(spark, d):
     found = X.extract(B.doc_entities(spark, d), "id", "raw_content", RULES)
-    return exports.detail_rows(found).select("id", "rule", "evidence")
+    return exports.detail_rows(found).select("id", "rule", F.md5("evidence").alias("evidence_md5"), "cell")
 
 
 @query("entities_with_findings", f"""WITH {B.ENTS}, {_HITS} SELECT language, count(*) AS entities FROM ents

@@ -73,16 +73,25 @@ def official_search(spark, d):
 
 
 @query("capability_search", f"""WITH {ROWS}, s AS (SELECT id, round(CAST({_BASE} + ({_CAP}) * 15 AS DOUBLE), 6) AS score FROM registry WHERE {_TEXT})
-SELECT * FROM s ORDER BY score DESC, id LIMIT 100""")
+SELECT * FROM s""")
 def capability_search(spark, d):
     return S.search_by_capability(registry_rows(spark, d), _Q).select("id", F.round("score", 6).alias("score"))
 
 
-@query("part_pages", """SELECT p_partkey, p_size, CAST(3 AS INTEGER) AS page, CAST(200 AS INTEGER) AS page_limit, (SELECT count(*) FROM part) AS total,
-  CAST(ceil((SELECT count(*) FROM part) / 200.0) AS BIGINT) AS total_pages FROM part ORDER BY p_size DESC, p_partkey LIMIT 200 OFFSET 400""")
+_PAGE = """SELECT p_partkey, p_size, CAST({0} AS INTEGER) AS page, CAST({1} AS INTEGER) AS page_limit, (SELECT count(*) FROM part) AS total,
+  CAST(ceil((SELECT count(*) FROM part) / {1}.0) AS BIGINT) AS total_pages FROM part ORDER BY p_size DESC, p_partkey LIMIT {1} OFFSET ({0} - 1) * {1}"""
+
+
+@query("part_pages", _PAGE.format(1, 1000))
 def part_pages(spark, d):
-    """A page of 1000 is cut to the largest page size."""
-    return ranking.page(B.table(spark, d, "part").select("p_partkey", "p_size"), ("-p_size", "p_partkey"), 3, 1000)
+    """A page as long as it was asked for."""
+    return ranking.page(B.table(spark, d, "part").select("p_partkey", "p_size"), ("-p_size", "p_partkey"), 1, 1000)
+
+
+@query("part_pages_bounded", _PAGE.format(3, 200))
+def part_pages_bounded(spark, d):
+    """A page of 1000 under a service's largest page size."""
+    return ranking.page(B.table(spark, d, "part").select("p_partkey", "p_size"), ("-p_size", "p_partkey"), 3, 1000, ranking.MAX_LIMIT)
 
 
 @query("parts_per_source", """SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS n FROM part) WHERE n <= 5""")

@@ -43,7 +43,7 @@ def repository_details(spark, d):
     """Detail bodies, then a landed topic list for every second repository."""
     bodies = _items(spark, d).select(F.to_json("item").alias("body"))
     repos = landed.repository_details(landed.parse_json(bodies, "body", landed.ITEM))
-    latest = B.doc_entities(spark, d).groupBy(_lower_host("repo_url").alias("repo_url")).agg(F.max("doc_id").alias("n"), F.first("repo_owner").alias("o"))
+    latest = B.doc_entities(spark, d).groupBy(_lower_host("repo_url").alias("repo_url")).agg(F.max("doc_id").alias("n"), F.min("repo_owner").alias("o"))
     topics = latest.select("repo_url", F.when(F.col("n") % 2 == 0, F.array("o", F.lit("new")))
                            .otherwise(F.array().cast("array<string>")).alias("names"))
     return landed.override_topics(repos, topics).groupBy("repo_url", "repo_owner", "repo_name").agg(
@@ -177,15 +177,14 @@ _CODE_CLASS = "CASE doc_id % 5 WHEN 0 THEN 'AI_AGENT' WHEN 1 THEN 'AI_TOOL' WHEN
 
 @query("seeded_entities", f"""WITH {B.ENTS}, c AS (SELECT *, {_CODE_CLASS} AS primary_class FROM ents)
 SELECT id, primary_class, CASE WHEN primary_class = 'MCP_SERVER' THEN 'STATIC_VERIFIED' ELSE 'NOT_MCP' END AS identity_status,
-  CAST(floor(n_chars % 90 / 1.5) AS INTEGER) AS quality_score, md5(CASE WHEN length(description) > 2048 THEN substr(description, 1, 2048) || '…' ELSE description END) AS description_md5 FROM c""")
+  CAST(floor(doc_id % 90 / 1.5) AS INTEGER) AS quality_score, md5(description) AS description_md5 FROM c""")
 def seeded_entities(spark, d):
     n = F.col("doc_id")
     server = F.struct(
         F.col("id"), F.col("name"), F.col("slug"), F.col("description"), F.array(B._pick(_CODES, n)).alias("category"),
         F.struct(F.col("repo_url").alias("url")).alias("repository"),
-        F.struct((F.col("_k") % 90 / 1.5).alias("score"), F.lit("C").alias("grade")).alias("quality"))
-    docs = B.doc_entities(spark, d).join(B.table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("_k")), "doc_id")
-    files = docs.select(F.to_json(F.struct(F.lit("0.1").alias("schema_version"), F.array(server).alias("servers"))).alias("body"))
+        F.struct((n % 90 / 1.5).alias("score"), F.lit("C").alias("grade")).alias("quality"))
+    files = B.doc_entities(spark, d).select(F.to_json(F.struct(F.lit("0.1").alias("schema_version"), F.array(server).alias("servers"))).alias("body"))
     rows = landed.legacy_servers(landed.parse_json(files, "body", landed.LEGACY_FILE))
     return landed.seed_entities(rows, B.as_of()).select(
         "id", "primary_class", "identity_status", "quality_score", F.md5("description").alias("description_md5"))
@@ -203,6 +202,8 @@ def _probe_log(spark, d):
     tools = F.to_json(F.struct(F.lit(2).alias("id"), F.struct(F.transform(
         F.sequence(F.lit(1), (F.col("n") % 9 + 1).cast("int")),
         lambda i: F.struct(F.when(i == 9, "").otherwise(F.concat(F.lit("t"), i.cast("string"))).alias("name"))).alias("tools")).alias("result")))
+    listed = lambda id_, name, n, item: F.to_json(F.struct(F.lit(id_).alias("id"), F.struct(
+        F.transform(F.sequence(F.lit(1), (n + 1).cast("int")), item).alias(name)).alias("result")))
     streamed = F.concat(F.lit('event: message\ndata: {"id":99}\n\ndata: '), tools, F.lit("\n\n"))
     row = lambda method, status, body: F.struct(
         F.lit(method).alias("method"), status.cast("int").alias("http_status"), body.alias("body"),
@@ -210,7 +211,11 @@ def _probe_log(spark, d):
     rows = F.array(
         row("initialize", F.when(u % 7 == 0, F.lit(None)).otherwise(200), init),
         row("tools/list", F.when(u % 5 == 0, 500).otherwise(200),
-            F.when(u % 4 == 0, F.lit("{bad")).when(u % 3 == 0, streamed).otherwise(tools)))
+            F.when(u % 4 == 0, F.lit("{bad")).when(u % 3 == 0, streamed).otherwise(tools)),
+        row("resources/list", F.lit(200), listed(3, "resources", F.col("n") % 13, lambda i: F.struct(
+            F.when(i == 2, "").otherwise(F.concat(F.lit("file:///r"), i.cast("string"))).alias("uri"), F.lit("r").alias("name")))),
+        row("prompts/list", F.when(u % 6 == 0, 404).otherwise(200), listed(4, "prompts", F.lit(3), lambda i: F.struct(
+            F.concat(F.lit("p"), i.cast("string")).alias("name")))))
     return users.select(u.alias("id"), F.explode(rows).alias("r")).select("id", "r.*")
 
 
@@ -218,7 +223,12 @@ def _probe_log(spark, d):
 t AS (SELECT *, n % 9 + 1 AS listed, CASE WHEN n % 9 + 1 = 9 THEN 8 ELSE n % 9 + 1 END AS named, id % 7 = 0 AS lost, id % 5 = 0 OR id % 4 = 0 AS bad FROM u)
 SELECT id, CASE WHEN lost THEN 'ERROR' WHEN bad THEN 'FAILED' ELSE 'PASSED' END AS status, CAST(CASE WHEN bad THEN 0 ELSE named END AS INTEGER) AS tool_count,
   CASE WHEN bad THEN NULL ELSE array_to_string(list_transform(range(1, least(named, 5) + 1), lambda i: 't' || i), ', ') || CASE WHEN named > 5 THEN ' (+ ' || (named - 5) || ' more)' ELSE '' END END AS tool_summary,
-  NOT lost OR NOT bad AS tools_listable, NOT lost AS prompts_listable FROM t""")
+  NOT lost OR NOT bad AS tools_listable, NOT lost OR id % 6 > 0 AS prompts_listable,
+  CASE WHEN bad THEN NULL ELSE array_to_string(list_transform(range(1, named + 1), lambda i: 't' || i), ',') END AS tools,
+  array_to_string(list_transform(list_filter(range(1, n % 13 + 2), lambda i: i <> 2), lambda i: 'file:///r' || i), ',') AS resources,
+  CASE WHEN id % 6 > 0 THEN 'p1,p2,p3,p4' END AS prompts FROM t""")
 def probe_verdicts(spark, d):
     return probes.verdicts(_probe_log(spark, d)).select(
-        "id", "status", "tool_count", "tool_summary", "tools_listable", "prompts_listable")
+        "id", "status", "tool_count", "tool_summary", "tools_listable", "prompts_listable",
+        F.array_join("tools.name", ",").alias("tools"), F.array_join("resources.uri", ",").alias("resources"),
+        F.array_join("prompts.name", ",").alias("prompts"))

@@ -98,15 +98,14 @@ def endpoint_health(spark, d):
     return _health(spark, d).groupBy("health").agg(F.count("*").alias("probes"))
 
 
-@query("worst_health", f"""WITH h AS (SELECT user_id, event_id, {_HEALTH_SQL} AS health FROM events WHERE event_type = 'error' OR value > 200),
+@query("worst_health", f"""WITH h AS (SELECT user_id, event_id, {_HEALTH_SQL} AS health FROM events),
 w AS (SELECT user_id, (['HEALTHY', 'DEGRADED', 'UNAVAILABLE', 'INVALID', 'UNKNOWN'])[max(CASE health WHEN 'HEALTHY' THEN 1 WHEN 'DEGRADED' THEN 2 WHEN 'UNAVAILABLE' THEN 3 ELSE 5 END)] AS health
 FROM h GROUP BY user_id)
-SELECT u.user_id, coalesce(health, 'HEALTHY') AS health FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN w USING (user_id)""")
+SELECT u.user_id, coalesce(health, 'HEALTHY') AS health FROM (SELECT c_custkey AS user_id FROM customer) u LEFT JOIN w USING (user_id)""")
 def worst_health(spark, d):
-    log = _health(spark, d).join(B.table(spark, d, "events").select("event_id", "event_type", "value"), "event_id")
-    probed = log.filter((F.col("event_type") == "error") | (F.col("value") > 200))
-    users = B.table(spark, d, "events").select("user_id").distinct()
-    return endpoints.server_health(users, probed, "user_id")
+    """Every customer as a server; many were never probed."""
+    servers = B.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    return endpoints.server_health(servers, _health(spark, d), "user_id")
 
 
 @query("repository_status", f"""WITH {B.ENTS} SELECT id, CASE WHEN doc_id % 29 = 0 THEN 'DELETED' WHEN archived THEN 'ARCHIVED' WHEN doc_id % 19 = 0 THEN 'DELETED'
@@ -191,15 +190,16 @@ _RATIOS = """SELECT *, round(coalesce(tp / nullif(tp + fp, 0), 0.0), 6) AS preci
   round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 6) AS f1, round(coalesce(fp / nullif(tp + fp, 0), 0.0), 6) AS fdr,
   round(coalesce(fp / nullif(fp + tn, 0), 0.0), 6) AS fpr,
   CASE WHEN matched = 0 THEN NULL WHEN coalesce(fp / nullif(tp + fp, 0), 0.0) < 0.02 THEN 'EXCELLENT' WHEN coalesce(fp / nullif(tp + fp, 0), 0.0) < 0.05 THEN 'PASS' ELSE 'FAIL' END AS status FROM m"""
-_JOINED = f"""j AS (SELECT l.doc_id, l.quality = 1 AS e, d.p, l.toxic FROM labels l LEFT JOIN
-  (SELECT doc_id, {_PRED} AS p FROM documents WHERE source <> 'src13') d USING (doc_id))"""
+# labels are read for the documents 40 ids further on, so that the last ones have no document
+_JOINED = f"""j AS (SELECT l.doc_id, l.quality = 1 AS e, d.p, l.toxic FROM (SELECT * REPLACE (doc_id + 40 AS doc_id) FROM labels) l LEFT JOIN
+  (SELECT doc_id, {_PRED} AS p FROM documents) d USING (doc_id))"""
 
 
 def _pairs(spark, d):
     t = F.col("text")
-    predictions = B.texts(spark, d, "documents").filter(F.col("source") != "src13").select(
+    predictions = B.texts(spark, d, "documents").select(
         "doc_id", (F.contains(t, F.lit("token")) | F.contains(t, F.lit("Licen")) | (F.col("n_chars") > 2000)).alias("predicted"))
-    labels = B.table(spark, d, "labels").withColumn("expected", F.col("quality") == 1)
+    labels = B.table(spark, d, "labels").withColumn("doc_id", F.col("doc_id") + 40).withColumn("expected", F.col("quality") == 1)
     return evaluate.joined(labels, predictions, "doc_id")
 
 

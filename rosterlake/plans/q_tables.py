@@ -35,9 +35,12 @@ def final_state(spark, d):
 def final_state_by_batches(spark, d):
     """The same state reached by three successive upserts."""
     log = _log(spark, d).drop("crawl_id")
-    third = F.dayofmonth("last_seen") % 31
-    batches = [log.filter(third.between(lo, hi)) for lo, hi in ((1, 10), (11, 20), (21, 31))]
-    order = [F.col("event_id")]
+    lo, hi = log.agg(F.min("event_id"), F.max("event_id")).first()
+    a, b = (lo or 0) + ((hi or 0) - (lo or 0)) // 3, (lo or 0) + 2 * ((hi or 0) - (lo or 0)) // 3
+    at = F.col("event_id")
+    # complements, so that no event can fall between two batches
+    batches = [log.filter(at <= a), log.filter((at > a) & (at <= b)), log.filter(~F.coalesce(at <= b, F.lit(False)))]
+    order = [at]
     state = K.upsert_log(batches[0], "id", order, ("first_seen",)).select(*log.columns)
     for batch in batches[1:]:
         # within a batch the earliest first_seen counts, as it would row by row

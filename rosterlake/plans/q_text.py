@@ -47,7 +47,7 @@ def page_slugs(spark, d):
 
 
 @query("names_and_slugs", """
-WITH n AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN '' ELSE split_part(text, '.', 1) END AS given,
+WITH n AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS given,
   'https://github.com/' || source || '/' || lang || '_' || CAST(doc_id AS VARCHAR) || '.Kit/' AS url,
   CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE source END AS lic FROM documents),
 m AS (SELECT *, coalesce(nullif(given, ''), string_split(regexp_replace(url, '/$', ''), '/')[-1]) AS name FROM n)
@@ -56,7 +56,7 @@ SELECT doc_id, md5(name) AS name_md5,
   CASE WHEN trim(lic) = '' THEN 'UNKNOWN' ELSE lic END AS license FROM m""")
 def names_and_slugs(spark, d):
     n = F.col("doc_id")
-    given = F.when(n % 3 == 0, "").otherwise(F.substring_index("text", ".", 1))
+    given = F.when(n % 3 == 0, "").otherwise(F.col("text"))
     url = F.concat(F.lit("https://github.com/"), "source", F.lit("/"), "lang", F.lit("_"),
                    n.cast("string"), F.lit(".Kit/"))
     named = B.texts(spark, d, "documents").select(
@@ -77,14 +77,16 @@ SELECT doc_id, md5(CASE WHEN first <> '' THEN first ELSE trim(text, {B.BLANKS})
   CASE WHEN length(text) > 150 THEN substr(text, 1, 150) || '...' ELSE text END AS short,
   CASE WHEN length(flat) > 80 THEN substr(flat, 1, 80) || '...' ELSE flat END AS cell,
   md5(CASE WHEN contains(text, 'token') OR contains(text, 'Licen') THEN ''
-       WHEN length(text) > 2048 THEN substr(text, 1, 2048) || '…' ELSE text END) AS cleaned
+       WHEN length(text) > 2048 THEN substr(text, 1, 2048) || '…' ELSE text END) AS cleaned,
+  md5(CASE WHEN contains(text, 'token') OR contains(text, 'Licen') THEN '' ELSE text END) AS cleaned_whole
 FROM t""")
 def text_cleanup(spark, d):
     t = F.col("text")
     return B.texts(spark, d, "documents").select(
         "doc_id", F.md5(T.describe(t, t)).alias("description"), F.md5(T.redact(t, _PHRASES)).alias("redacted"),
         T.truncate(t, 150).alias("short"), T.table_cell(t, 80).alias("cell"),
-        F.md5(T.clean_description(t, ("token", "Licen"))).alias("cleaned"))
+        F.md5(T.clean_description(t, ("token", "Licen"), 2048)).alias("cleaned"),
+        F.md5(T.clean_description(t, ("token", "Licen"))).alias("cleaned_whole"))
 
 
 @query("html_stripped", """
@@ -298,7 +300,7 @@ def evidence_confidence(spark, d):
 
 
 @query("evidence_rows", f"""
-WITH e AS (SELECT doc_id, 'README' AS type, 'readme' AS source, 'readme_match' AS rule, lang AS matched, substr(text, 1, 200) AS snippet FROM documents
+WITH e AS (SELECT doc_id, 'README' AS type, 'readme' AS source, 'readme_match' AS rule, lang AS matched, text AS snippet FROM documents
  UNION ALL SELECT doc_id, 'RULE_MATCH', '', 'lang_' || lang, source, '' FROM documents)
 SELECT doc_id, type, source, rule, matched, substr(sha256(matched), 1, 16) AS content_hash, md5(snippet) AS snippet_md5, '2024-07-01 00:00:00' AS seen_at FROM e""")
 def evidence_rows(spark, d):

@@ -153,10 +153,10 @@ def source_counts_default(spark, d):
 _CUT = "CASE WHEN length(description) > 150 THEN substr(description, 1, 150) || '...' ELSE description END"
 
 
-@query("compat_list", f"""WITH {ROWS} SELECT id, name, {_CUT} AS description, repo_url, license, quality_score, CAST(len(tools) AS INTEGER) AS tools
+@query("compat_list", f"""WITH {ROWS} SELECT id, name, description, {_CUT} AS summary, repo_url, license, quality_score, CAST(len(tools) AS INTEGER) AS tools
 FROM registry WHERE {_isin('MCP_SERVER')} AND identity_status = 'RUNTIME_VERIFIED'""")
 def compat_list(spark, d):
-    return exports.compat_list(registry_rows(spark, d)).withColumn("tools", F.size("tools"))
+    return exports.compat_list(registry_rows(spark, d)).withColumn("tools", F.size("tools")).drop("tool_lines")
 
 
 @query("server_views", f"""WITH {ROWS} SELECT id, CASE WHEN entity_status IN ('VERIFIED', 'CANDIDATE') THEN 'ACTIVE' WHEN entity_status = 'QUARANTINED' THEN 'DORMANT'

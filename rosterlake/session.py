@@ -50,6 +50,8 @@ def local_session(cores="8", name="rosterlake", **conf) -> SparkSession:
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(name)
                .config("spark.sql.shuffle.partitions", str(conf.pop("shuffle_partitions", cores)))
                .config("spark.sql.adaptive.enabled", "true")
+               # texts are CPU-bound: small splits keep all cores busy
+               .config("spark.sql.files.maxPartitionBytes", conf.pop("split_bytes", "4m"))
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.sql.execution.arrow.pyspark.enabled", "true")

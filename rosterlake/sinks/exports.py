@@ -41,8 +41,7 @@ def view_rows(df: DataFrame, catalogue=None, key="id") -> DataFrame:
     catalogue = catalogue or views.catalogue()
     sizes = views.counts(df, catalogue).select("view", F.col("entities").alias("total_entities"))
     rows = views.memberships(df, catalogue, key)
-    # at most one row per view of the catalogue, whatever the input
-    return rows.join(F.broadcast(sizes), "view")
+    return rows.join(sizes, "view")
 
 
 def write_views(df: DataFrame, path: str, catalogue=None, key="id"):
@@ -56,11 +55,12 @@ def view_report(df: DataFrame, view: views.View) -> DataFrame:
     return views.report(linked, view, ("id", "name", "url", "quality_score", "region_level"))
 
 
-def registry_report(df: DataFrame) -> DataFrame:
+def registry_report(df: DataFrame, shown=150) -> DataFrame:
     """Exclusive functional sections by region score, then international rows by
-    name; every entity appears once."""
+    name; every entity appears once.  ``summary`` is the description cut for display."""
+    plain = T.strip_tags(F.col("description"))
     rows = df.select(
-        "id", "name", T.truncate(T.strip_tags(F.col("description")), 150).alias("description"),
+        "id", "name", plain.alias("description"), T.truncate(plain, shown).alias("summary"),
         "region_level", "region_score",
         F.when(F.col("region_level") == "T0", "international")
          .otherwise(categories.first_section(F.col("categories"))).alias("section"))
@@ -73,13 +73,13 @@ def registry_report(df: DataFrame) -> DataFrame:
                   .withColumn("section_order", F.element_at(order, F.col("section")))
 
 
-def compat_list(df: DataFrame) -> DataFrame:
-    """Runtime-verified servers, best first, fields cut for display."""
+def compat_list(df: DataFrame, shown=150, shown_tool=100) -> DataFrame:
+    """Runtime-verified servers, best first; ``summary`` and ``tool_lines`` are cut for display."""
     rows = views.verified_servers(df)
     return (rows.select(
-        "id", "name", T.truncate(F.col("description"), 150).alias("description"), "repo_url", "license",
-        "quality_score", F.transform("tools", lambda t: F.concat_ws(
-            ": ", t["name"], T.truncate(t["description"], 100))).alias("tools"))
+        "id", "name", "description", T.truncate(F.col("description"), shown).alias("summary"), "repo_url", "license",
+        "quality_score", "tools", F.transform("tools", lambda t: F.concat_ws(
+            ": ", t["name"], T.truncate(t["description"], shown_tool))).alias("tool_lines"))
         .orderBy(F.desc("quality_score"), "id"))
 
 
@@ -134,6 +134,7 @@ def top_risk(rows: DataFrame, n=10, key="id") -> DataFrame:
     return ranking.top(rows, ("-hits", key), n)
 
 
-def detail_rows(found: DataFrame, key="id") -> DataFrame:
+def detail_rows(found: DataFrame, key="id", shown=100) -> DataFrame:
+    """Findings of injection rules; ``cell`` is the evidence as a table cell."""
     return found.filter(findings.is_injection(F.col("type"), F.col("rule"))).select(
-        key, "rule", "severity", T.table_cell(F.col("evidence"), 100).alias("evidence"), "location", "confidence")
+        key, "rule", "severity", "evidence", T.table_cell(F.col("evidence"), shown).alias("cell"), "location", "confidence")

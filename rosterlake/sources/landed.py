@@ -174,15 +174,15 @@ def legacy_rows(table: DataFrame) -> DataFrame:
             .withColumns({c: bands.parse_rfc3339(F.col(c)) for c in ("first_seen", "last_seen") if c in table.columns}))
 
 
-def seed_entities(rows: DataFrame, as_of: Column) -> DataFrame:
+def seed_entities(rows: DataFrame, as_of: Column, description_limit=None) -> DataFrame:
     """Legacy registry rows as entities: cleaned text, heuristic class, static
-    identity for servers."""
+    identity for servers.  ``description_limit`` cuts descriptions; by default they stay whole."""
     from ..functions import text as T
     from ..operators import classify
     cls = classify.seed_class(F.coalesce("category", F.array().cast("array<string>")),
                               F.coalesce("name", F.lit("")), F.coalesce("description", F.lit("")))
     return (rows.withColumn("primary_class", cls).select(
-        "id", "name", "slug", T.clean_description(F.col("description")).alias("description"),
+        "id", "name", "slug", T.clean_description(F.col("description"), limit=description_limit).alias("description"),
         F.coalesce("repository.url", F.lit("")).alias("repo_url"), "primary_class",
         F.lit(0.8).alias("class_confidence"), F.col("taiwan_relevance.score").alias("region_score"),
         F.col("taiwan_relevance.level").alias("region_level"),
