@@ -214,7 +214,8 @@ def test_previous_row(spark):
 
 
 def test_page_bounds():
-    assert ranking.page_bounds(0, 0) == (1, 50) and ranking.page_bounds(3, 1000) == (3, 200)
+    assert ranking.page_bounds(0, 0) == (1, 50) and ranking.page_bounds(3, 1000) == (3, 1000)
+    assert ranking.page_bounds(3, 1000, ranking.MAX_LIMIT) == (3, 200)
 
 
 def test_empty_page_has_one_page(spark):
