@@ -13,7 +13,8 @@ are compared, so copies are never expanded into pairs.
 4. In every tile (hash, size band) members are first compared with one leader, which costs one candidate per
    member.  The links found merge whole groups of near copies before any pair inside them could be listed.
 5. What is left are tiles with members of different components.  Their cross-component pairs are listed, unless
-   the sizes or the places of the hash in both prefixes already exclude a link.
+   the sizes or the places of the hash in both prefixes already exclude a link.  In crowded tiles, bitmaps of one
+   size (``SKETCH``) are compared before a pair is listed at all.
 6. Before sets are fetched, the number of differing bits bounds the overlap from above.  The survivors' sets are
    computed again from the texts, and intersected exactly.
 """
@@ -35,6 +36,7 @@ CROWD = 100        # documents beyond which a shared shingle moves to the end of
 HOT = 1 << 16      # such shingles at most (0.5 MB); the most frequent ones if there are more
 BROADCAST_IDS = 1 << 20   # ids sent to all executors at most (8 MB); more are joined by a shuffle
 ROUNDS = 2         # leader rounds before the full comparison
+SKETCH = 1024      # bits of the bitmaps that are compared inside crowded tiles
 
 
 def need(n, percent=PERCENT):
@@ -74,6 +76,13 @@ def bitmap(values: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def sketch(values: np.ndarray) -> np.ndarray:
+    """``SKETCH`` bits as longs, one bit per hash."""
+    bits = np.zeros(SKETCH, bool)
+    bits[values & (SKETCH - 1)] = True
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def folded(bits: np.ndarray, size: int) -> np.ndarray:
     """A wider bitmap reduced to ``size`` bytes: its parts laid over each other."""
     return bits if len(bits) == size else np.bitwise_or.reduce(bits.reshape(-1, size), axis=0)
@@ -92,7 +101,7 @@ def _signatures(percent):
         hasher = WordHash(lower=True)
         for batch in slices(batches):
             flat, sizes = shingle_sets(batch.column(1), hasher)
-            prints, maps, prefixes, at = [], [], [], 0
+            prints, maps, sketches, prefixes, at = [], [], [], [], 0
             for n in map(int, sizes):
                 values = flat[at:at + n]
                 at += n
@@ -104,17 +113,19 @@ def _signatures(percent):
                     maps.append(None)
                 short = n - need(n, percent) + 1 if n else 0
                 prefixes.append(values[:short])
+                sketches.append(sketch(values))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(sizes), pa.array(prints, pa.binary()),
-                list_array(np.concatenate(prefixes), [len(x) for x in prefixes]), pa.array(maps, pa.binary())],
-                names=["doc_id", "n", "print", "prefix", "bits"])
+                list_array(np.concatenate(prefixes), [len(x) for x in prefixes]), pa.array(maps, pa.binary()),
+                list_array(np.concatenate(sketches), [SKETCH // 64] * len(sketches))],
+                names=["doc_id", "n", "print", "prefix", "bits", "sketch"])
     return run
 
 
 def signatures(docs: DataFrame, percent=PERCENT) -> DataFrame:
-    """doc_id, n (set size), print (fingerprint), prefix, bits; one row per row of ``docs``."""
+    """doc_id, n (set size), print (fingerprint), prefix, bits, sketch; one row per row of ``docs``."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _signatures(percent), "doc_id long, n long, print binary, prefix array<long>, bits binary")
+        _signatures(percent), "doc_id long, n long, print binary, prefix array<long>, bits binary, sketch array<long>")
 
 
 def _sets(batches):
@@ -124,10 +135,10 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), list_array(flat, sizes)], names=["doc_id", "items"])
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Shingle sets of the given documents."""
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the given documents."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(_checked(ids), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, items array<long>")
+    return rows.join(_checked(ids), "doc_id", "left_semi")
 
 
 def _bounded(percent):
@@ -165,7 +176,7 @@ def _links(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, percent) -> Data
                 .mapInArrow(_bounded(percent), "a long, b long"))
     possible = materialise(possible, "pairs")
     ids = possible.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialise(_sets_of(docs, ids), "sets")
+    sets = materialise(_texts_of(docs, ids).mapInArrow(_sets, "doc_id long, items array<long>"), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b"))
     found = (possible.join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b")
@@ -178,13 +189,34 @@ def _band(n):
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / PERCENT))).cast("int")
 
 
+def _each_set(batches):
+    """(ids, sets) of slices of (doc_id, text) batches; empty sets are left out."""
+    hasher = WordHash(lower=True)
+    for batch in slices(batches):
+        flat, sizes = shingle_sets(batch.column(1), hasher)
+        edges = np.concatenate(([0], np.cumsum(sizes)))
+        some = np.flatnonzero(sizes).tolist()
+        if some:
+            ids = batch.column(0).to_pylist()
+            yield [ids[i] for i in some], [flat[edges[i]:edges[i + 1]] for i in some]
+
+
+def _beyond(percent):
+    """As many hashes again as the prefix has, from its end on."""
+    def run(batches):
+        for _, sets in _each_set(batches):
+            shorts = [len(x) - need(len(x), percent) + 1 for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([x[p:2 * p] for x, p in zip(sets, shorts)]), pa.int64())], names=["h"])
+    return run
+
+
 def _reordered(hot, percent):
     """Prefixes of full sets in the order that puts the hashes ``hot`` last."""
     def run(batches):
-        for batch in batches:
+        for ids, sets in _each_set(batches):
             docs, sizes, places, hashes, fresh = [], [], [], [], []
-            for doc, items in zip(batch.column(0).to_pylist(), batch.column(1)):
-                values = items.values.to_numpy()
+            for doc, values in zip(ids, sets):
                 n = len(values)
                 late = np.isin(values, hot)
                 short = n - need(n, percent) + 1
@@ -194,11 +226,9 @@ def _reordered(hot, percent):
                 docs.append(np.full(short, doc))
                 sizes.append(np.full(short, n))
                 places.append(np.arange(short))
-            if docs:
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(hashes), pa.int64()), pa.array(np.concatenate(docs), pa.int64()),
-                    pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(places), pa.int64()),
-                    pa.array(np.concatenate(fresh), pa.bool_())], names=["h", "doc", "n", "pos", "fresh"])
+            yield pa.RecordBatch.from_arrays([
+                *(pa.array(np.concatenate(c), pa.int64()) for c in (hashes, docs, sizes, places)),
+                pa.array(np.concatenate(fresh), pa.bool_())], names=["h", "doc", "n", "pos", "fresh"])
     return run
 
 
@@ -221,13 +251,11 @@ def _postings(docs: DataFrame, kept: DataFrame, percent, crowd) -> DataFrame:
         # of a passage, a prefix shows a part only: count as many hashes again of the documents that hold a piece of it
         def holders():
             return materialise(flat.join(F.broadcast(hot), "h", "left_semi").select(F.col("doc").alias("doc_id")).distinct(), "holders")
-        n = F.size("items")
-        short = (n - F.ceil(n * percent / 100.0) + 1).cast("int")
-        beyond = _sets_of(docs, holders()).filter(n > 0).select(F.explode(F.slice("items", short + 1, short)).alias("h"))
+        beyond = _texts_of(docs, holders()).mapInArrow(_beyond(percent), "h long")
         hot = materialise(_most(beyond.groupBy("h").agg(F.count("*").alias("members")), crowd).union(hot).distinct(), "hot")
         held = holders()
         late = np.sort(np.array([r["h"] for r in hot.collect()], np.int64))     # 2 * HOT numbers at most
-        moved = materialise(_sets_of(docs, held).mapInArrow(
+        moved = materialise(_texts_of(docs, held).mapInArrow(
             _reordered(late, percent), "h long, doc long, n long, pos long, fresh boolean"), "moved")
         flat = flat.join(_checked(held.withColumnRenamed("doc_id", "doc")), "doc", "left_anti").unionByName(moved.drop("fresh"))
         keys = keys.union(moved.filter("fresh").select("h")).distinct()
@@ -244,8 +272,9 @@ def _labelled(postings: DataFrame, merged: DataFrame) -> DataFrame:
 def _mixed(postings: DataFrame) -> DataFrame:
     """Hashes with members of several components, and the component with most members."""
     each = postings.groupBy("h", "component").agg(F.count("*").alias("members"))
-    return (each.groupBy("h").agg(F.max(F.struct("members", "component")).alias("top"), F.count("*").alias("components"))
-            .filter("components > 1").select("h", F.col("top.component").alias("main")))
+    return (each.groupBy("h").agg(F.max(F.struct("members", "component")).alias("top"), F.count("*").alias("components"),
+                                    F.sum("members").alias("members"))
+            .filter("components > 1").select("h", "members", F.col("top.component").alias("main")))
 
 
 def _fits(percent):
@@ -285,10 +314,16 @@ def links(docs: DataFrame, table: DataFrame, percent=PERCENT, crowd=CROWD, round
     marked = _labelled(postings, merged)
     marked = materialise(marked.join(_mixed(marked), "h"), "marked")
     # members of the tile's largest component are not compared with each other
-    others = marked.filter("component <> main")
-    pairs = others.alias("x").join(marked.alias("y"), F.expr(
-        f"x.h = y.h and x.component <> y.component and (y.component = y.main or x.doc < y.doc) and {fits}")).selectExpr(
-        "least(x.doc, y.doc) a", "greatest(x.doc, y.doc) b")
+    meet = f"x.h = y.h and x.component <> y.component and (y.component = y.main or x.doc < y.doc) and {fits}"
+
+    def across(tiles, condition):
+        return tiles.filter("component <> main").alias("x").join(tiles.alias("y"), F.expr(condition)).selectExpr(
+            "least(x.doc, y.doc) a", "greatest(x.doc, y.doc) b")
+    sketches = held.select(F.col("doc_id").alias("doc"), "n", "sketch")
+    crowded = marked.filter(F.col("members") > crowd).join(sketches, ["doc", "n"])
+    differ = " + ".join(f"bit_count(x.sketch[{i}] ^ y.sketch[{i}])" for i in range(SKETCH // 64))
+    bound = f"{100 + percent} * ((x.n + y.n - ({differ})) div 2) >= {percent} * (x.n + y.n)"
+    pairs = across(marked.filter(F.col("members") <= crowd), meet).unionByName(across(crowded, f"{meet} and {bound}"))
     last = _links(pairs.distinct(), docs, sizes, percent)
     return classes, found.unionByName(last).distinct()
 
