@@ -1,6 +1,8 @@
 """Orderings, pages, top-k and positions that do not need one big window."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..session import materialise
 
@@ -57,43 +59,90 @@ def first_n_per_group(df: DataFrame, group, spec, n: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
+def _ranged(df: DataFrame, group: str, spec, columns) -> DataFrame:
+    """``columns`` range-partitioned and sorted by (group, order), with ``_at``, a number that grows in that order and
+    holds the partition in its upper bits."""
+    order = [F.asc(group)] + _ordering(spec)
+    return (df.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order)
+            .withColumn("_at", F.monotonically_increasing_id()))
+
+
+def _chunks(placed: DataFrame, group: str, carry=()) -> DataFrame:
+    """(group, partition) -> ``_shift`` from ``_at`` to the position in the group, and as ``_carry`` the ``carry``
+    columns of the group's last row in the partition before."""
+    rows = placed.groupBy(F.col(group).alias("_g"), "_part").agg(
+        F.min("_at").alias("_first"), F.count("*").alias("_rows"), F.max_by(F.struct(F.lit(1).alias("_one"), *carry), "_at").alias("_last"))
+    # ordered partitions of one group: running sums over chunks only, at most (partitions + groups) rows
+    w = Window.partitionBy("_g").orderBy("_part")
+    before = F.sum("_rows").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.select("_g", F.col("_part").alias("_p"), (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"),
+                       F.lag("_last").over(w).alias("_carry"))
+
+
+def _with_chunks(placed: DataFrame, group: str, carry=()) -> DataFrame:
+    same = placed[group].eqNullSafe(F.col("_g")) & (placed["_part"] == F.col("_p"))
+    return placed.join(_chunks(placed, group, carry), same, "left")
+
+
 def positions(df: DataFrame, group: str, spec, out="position", columns=None) -> DataFrame:
     """1..n inside every group, for groups of any size.
 
     A window per group would sort each group in a single task.  Instead the
     whole frame is range-partitioned by (group, order), each row gets its place
-    within its partition, and the partitions' group counts, a table of at most
-    (partitions + groups) rows, supply the offsets.  ``spec`` must end in a
-    unique column.  Range partitioning samples its input first, so pass a
-    stored table or a cheap projection of one.
+    within its partition, and the partitions' group counts supply the offsets.
+    ``spec`` must end in a unique column.  The sorted rows are stored in the
+    shared folder, as their partitions must not change between counting and
+    numbering.
     """
     columns = columns or df.columns
-    order = [F.asc(group)] + _ordering(spec)
-    local = (df.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order)
-             .withColumn("_at", F.monotonically_increasing_id()))
-    placed = materialise(local.withColumn("_part", F.shiftright("_at", 33)), "positions")
-    chunks = placed.groupBy(group, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
-    # ordered partitions of one group: a running sum over chunk counts only
-    w = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = chunks.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), (
-        F.coalesce(F.sum("_rows").over(w), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
-    same_chunk = placed[group].eqNullSafe(offsets["_g"]) & (placed["_part"] == offsets["_p"])
-    return placed.join(offsets, same_chunk, "left").select(
-        *columns, (F.col("_at") + F.col("_shift")).alias(out))
+    placed = materialise(_ranged(df, group, spec, columns).withColumn("_part", F.shiftright("_at", 33)), "positions")
+    return _with_chunks(placed, group).select(*columns, (F.col("_at") + F.col("_shift")).alias(out))
+
+
+def _before(group, columns):
+    """Adds to sorted batches ``_same`` (the row before belongs to the same group) and that row's ``columns``."""
+    def run(batches):
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = list(dict.fromkeys([group, *columns]))
+            rows = pa.table({n: batch.column(batch.schema.get_field_index(n)) for n in names})    # all nullable
+            if last is None:
+                last = pa.table({n: pa.nulls(1, rows.schema.field(n).type) for n in rows.column_names})
+                known = False
+            else:
+                known = True
+            ahead = pa.concat_tables([last, rows.slice(0, rows.num_rows - 1)]).combine_chunks()
+            a, b = rows.column(group), ahead.column(group)
+            same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b))).combine_chunks()
+            if not known:
+                same = pa.concat_arrays([pa.array([False]), same.slice(1)])
+            nulls = [pa.nulls(rows.num_rows, rows.schema.field(c).type) for c in columns]
+            shifted = [pc.if_else(same, ahead.column(c).combine_chunks(), n) for c, n in zip(columns, nulls)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, same, *shifted],
+                                             names=[*batch.schema.names, "_same", *[f"previous_{c}" for c in columns]])
+            last = rows.slice(rows.num_rows - 1, 1)
+    return run
 
 
 def with_previous(df: DataFrame, group: str, spec, columns, out="position") -> DataFrame:
     """Position inside the group plus ``previous_<column>`` of the row before.
 
-    Built on ``positions``: the predecessor is found by an equi join on (group,
-    position), which spreads one long history over all tasks, where ``lag``
-    would sort it in one.
+    The predecessor of a row is the row above it in its range-sorted partition;
+    only the first row of a (group, partition) looks into a small table of the
+    partitions' last rows.  One long history spreads over all tasks, and the
+    rows are shuffled once.
     """
-    placed = positions(df, group, spec, out)
-    before = placed.select(F.col(group).alias("_g"), (F.col(out) + 1).alias("_p"),
-                           *[F.col(c).alias(f"previous_{c}") for c in columns])
-    same = placed[group].eqNullSafe(F.col("_g")) & (placed[out] == F.col("_p"))
-    return placed.join(before, same, "left").drop("_g", "_p")
+    columns = list(columns)
+    ranged = _ranged(df, group, spec, df.columns)
+    schema = T.StructType(list(ranged.schema.fields)).add("_same", T.BooleanType())
+    for c in columns:
+        schema = schema.add(f"previous_{c}", df.schema[c].dataType)
+    placed = materialise(ranged.mapInArrow(_before(group, columns), schema)
+                         .withColumn("_part", F.shiftright("_at", 33)), "positions")
+    before = [F.when(F.col("_same"), F.col(f"previous_{c}")).otherwise(F.col("_carry")[c]).alias(f"previous_{c}") for c in columns]
+    return _with_chunks(placed, group, columns).select(*df.columns, (F.col("_at") + F.col("_shift")).alias(out), *before)
 
 
 def counts_desc(df: DataFrame, column: str) -> DataFrame:

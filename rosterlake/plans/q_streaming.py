@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rates
 from ..session import fresh_path
-from ..sinks.tables import ChangeTable
+from ..sinks import tables
 from ..streaming import jobs
 from . import bindings as B
 from .book import query
@@ -57,7 +57,7 @@ def request_verdicts(spark, d):
 def request_stream(spark, d):
     """The same verdicts from the stateful stream."""
     stream = jobs.rate_stream(_stream(spark, d), "user_id", "ts", "event_id", 2, _DAY)
-    return jobs.run_available(stream, "rates").drop("opened_us")
+    return jobs.run_available(stream, fresh_path(spark, "rates")).drop("opened_us")
 
 
 @query("aligned_windows", f"""SELECT user_id, strftime(time_bucket(INTERVAL 1 DAY, ts), {_TS}) AS opened_at, count(*) AS requests, least(count(*), 2) AS allowed, greatest(count(*) - 2, 0) AS throttled
@@ -72,20 +72,19 @@ def deduplicated_stream(spark, d):
     """First sight of (user, type, day) over the arriving events."""
     stream = _stream(spark, d).withColumn("day", F.date_format("ts", "yyyyMMdd"))
     kept = jobs.dedupe_stream(stream, ["user_id", "event_type", "day"], "ts", "40 days")
-    return jobs.run_available(kept.select("user_id", "event_type", "day", "ts"), "dedupe").drop("ts")
+    return jobs.run_available(kept.select("user_id", "event_type", "day", "ts"), fresh_path(spark, "dedupe")).drop("ts")
 
 
 @query("upserted_stream", """SELECT user_id AS id, arg_max(event_type, event_id) AS status, strftime(arg_min(ts, event_id), '%Y-%m-%d %H:%M:%S') AS first_seen,
   strftime(arg_max(ts, event_id), '%Y-%m-%d %H:%M:%S') AS last_seen FROM events GROUP BY 1""")
 def upserted_stream(spark, d):
-    """Micro-batches applied as upserts to a change table."""
+    """Micro-batches appended to a folder, read as an upserted state."""
     rows = _stream(spark, d).select(F.col("user_id").alias("id"), "event_id", F.col("event_type").alias("status"),
                                     F.col("ts").alias("first_seen"), F.col("ts").alias("last_seen"))
-    root = fresh_path(spark, "entities")
-    table = ChangeTable(spark, root, "id", ["event_id"], first=("first_seen",))
-    jobs.upsert_stream(rows, table, f"{root}-progress").awaitTermination()
+    folder = fresh_path(spark, "entities")
+    jobs.append_stream(rows, folder).awaitTermination()
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
-    return table.current().select("id", "status", stamp("first_seen"), stamp("last_seen"))
+    return tables.current(spark.read.parquet(folder), "id", ["event_id"], ("first_seen",)).select("id", "status", stamp("first_seen"), stamp("last_seen"))
 
 
 _METRICS = """SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS items,
@@ -103,8 +102,9 @@ def stage_metrics(spark, d):
     return _metric_rows(jobs.stage_metrics(log, "ts", "event_type", "value", "bad"))
 
 
-@query("stage_metrics_stream", f"SELECT * FROM ({_METRICS}) WHERE window_start < (SELECT strftime(time_bucket(INTERVAL 1 HOUR, max(ts) - INTERVAL 10 MINUTE), '%Y-%m-%d %H:%M:%S') FROM events)")
+@query("stage_metrics_stream", _METRICS)
 def stage_metrics_stream(spark, d):
-    """Windows the watermark has closed; the newest one is still open."""
+    """All windows so far, open ones included."""
     stream = _stream(spark, d).withColumn("bad", F.col("value") > 50)
-    return _metric_rows(jobs.run_available(jobs.stage_metrics(stream, "ts", "event_type", "value", "bad"), "metrics"))
+    counted = jobs.stage_metrics(stream, "ts", "event_type", "value", "bad")
+    return _metric_rows(jobs.run_updates(counted, fresh_path(spark, "metrics"), ["window_start", "event_type"]))

@@ -120,15 +120,15 @@ EVIDENCE_KINDS = {
 }
 SNIPPET_LIMIT = 200
 
-# --- heuristic seeding: ordered (class, words), names first, then name + description -------
+# --- heuristic seeding, fixed values: ordered (class, words), names first, then name + description -------
 NAME_RULES = (
     ("AI_TUTORIAL", ("tutorial", "demo", "example", "getting-started", "how-to")),
-    ("MCP_COLLECTION", ("awesome-", "-awesome", "awesome_", "-collection", "curated-")),
+    ("MCP_COLLECTION", ("awesome-", "-awesome", "awesome_", "-collection", "curated-", "-awesome-list")),
     ("AI_FRAMEWORK", ("-framework", "_framework", "framework-", "orchestrator", "crewai", "langgraph")),
-    ("AI_AGENT", ("-agent", "_agent", "agent-", "agent_", "crew-", "chatbot")),
+    ("AI_AGENT", ("-agent", "_agent", "agent-", "agent_", "react-agent", "crew-", "chatbot")),
     ("AI_SDK", ("-sdk", "_sdk", "sdk-", "client-py", "client-go", "client-ts")),
     ("AI_DATASET", ("twmarket", "twstock", "twdataset", "taiwandata", "data-", "finmind", "fugle-data")),
-    ("AI_TOOL", ("cli", "cmd-")),
+    ("AI_TOOL", ("cli", "-cli", "_cli", "cli-", "cmd-")),
 )
 TEXT_RULES = (
     ("AI_FRAMEWORK", ("orchestration framework", "workflow engine", "agent framework",
@@ -136,7 +136,8 @@ TEXT_RULES = (
     ("AI_AGENT", ("ai agent", "agentic", "autonomous agent", "react agent", "multi-agent system",
                   "chatbot powered by")),
     ("AI_DATASET", ("data library", "market data", "stock data", "data feed", "data pipeline",
-                    "data api", "etl pipeline", "postgres schema", "twse api", "tpex api")),
+                    "data api", "etl pipeline", "postgres schema", "twse api", "tpex api",
+                    "taiwan stock data", "taiwan market data")),
     ("AI_SDK", ("client library", "python sdk", "go sdk", "typescript sdk", "rust sdk")),
     ("AI_TUTORIAL", ("tutorial", "getting started", "step-by-step", "minimal example")),
     ("MCP_COLLECTION", ("awesome list", "curated list", "awesome collection", "list of mcp")),

@@ -1,6 +1,5 @@
 """Session helpers: checkpoint folder and settings the operators rely on."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,22 +8,13 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints and intermediate tables.
+    """Folder for checkpoints and intermediate tables, which all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local session may
-    fall back to a temporary folder: executors of a cluster do not share one.
+    It is named in ``spark.checkpoint.dir``.  Where that is unset the session's
+    warehouse, shared by definition, takes them.
     """
-    sc = spark.sparkContext
-    configured = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY, None)
-    current = getattr(sc, "_roster_shared_dir", None) or configured
-    if not current:
-        if not sc.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
-        current = tempfile.mkdtemp(prefix="roster-")
-    sc._roster_shared_dir = current
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(current)
-    return current
+    configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
+    return configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -1,7 +1,7 @@
 """Table maintenance without a transactional table format.
 
-Frame functions compute a new state from an old one; ``ChangeTable`` keeps a
-table as base versions plus change batches and never rewrites it for a batch.
+Frame functions compute a new state from an old one, or from a folder of
+appended change batches.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -125,64 +125,13 @@ def _exists(spark, path) -> bool:
     return _fs(spark, path).exists(_path(spark, path))
 
 
-class ChangeTable:
-    """Table kept as immutable base versions plus the change batches since.
+def append_batch(batch: DataFrame, path: str, number: int, column="batch"):
+    """One batch of changes as a partition of a plain folder; the same batch written again replaces itself."""
+    (batch.withColumn(column, F.lit(number).cast("long")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path))
 
-    ``base/v=<n>`` holds complete states, ``changes/batch=<n>`` one folder per
-    applied batch.  Appending costs as much as the batch, however large the
-    table; ``current`` folds base and later batches; ``compact`` writes the
-    fold as the next base.  Folders without ``_SUCCESS`` are ignored, so a job
-    that dies half-way leaves the state as it was, and writing a batch number
-    twice is a no-op.
-    """
 
-    def __init__(self, spark: SparkSession, root: str, key, order, first=KEEP):
-        self.spark, self.root = spark, root.rstrip("/")
-        self.key = [key] if isinstance(key, str) else list(key)
-        self.order, self.first = list(order), tuple(first)
-
-    def _complete(self, kind: str, prefix: str) -> list:
-        folder = f"{self.root}/{kind}"
-        if not _exists(self.spark, folder):
-            return []
-        found = []
-        for status in _fs(self.spark, folder).listStatus(_path(self.spark, folder)):
-            name = status.getPath().getName()
-            if name.startswith(prefix) and _exists(self.spark, f"{folder}/{name}/_SUCCESS"):
-                found.append(int(name[len(prefix):]))
-        return sorted(found)
-
-    def append(self, batch: DataFrame, number: int) -> bool:
-        if number in self._complete("changes", "batch="):
-            return False
-        batch.write.mode("overwrite").parquet(f"{self.root}/changes/batch={number}")
-        return True
-
-    def _parts(self):
-        versions = self._complete("base", "v=")
-        base = versions[-1] if versions else None
-        later = [n for n in self._complete("changes", "batch=") if base is None or n > base]
-        return base, later
-
-    def current(self, schema=None) -> DataFrame:
-        """Latest row per key; ``first`` columns as first written."""
-        base, later = self._parts()
-        frames = [] if base is None else [
-            self.spark.read.parquet(f"{self.root}/base/v={base}").withColumn("_batch", F.lit(-1).cast("long"))]
-        if later:
-            paths = [f"{self.root}/changes/batch={n}" for n in later]
-            frames.append(self.spark.read.option("basePath", f"{self.root}/changes").parquet(*paths)
-                          .withColumn("_batch", F.col("batch").cast("long")).drop("batch"))
-        if not frames:
-            return self.spark.createDataFrame([], schema)
-        log = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
-        order = [F.col("_batch"), *[F.col(c) for c in self.order]]
-        return upsert_log(log, self.key, order, self.first).drop("_batch")
-
-    def compact(self) -> bool:
-        """Publishes the current state as the base of its newest batch."""
-        _, later = self._parts()
-        if not later:
-            return False
-        self.current().write.mode("overwrite").parquet(f"{self.root}/base/v={later[-1]}")
-        return True
+def current(log: DataFrame, key, order, first=KEEP, batch="batch") -> DataFrame:
+    """State after all batches of a change folder: later batches win, ``order`` decides within one."""
+    in_batch = [F.col(c) if isinstance(c, str) else c for c in order]
+    return upsert_log(log, key, [F.col(batch), *in_batch], first).drop(batch)

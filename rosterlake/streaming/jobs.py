@@ -1,11 +1,11 @@
 """Streaming ingest, de-duplication, request windows and stage metrics."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..session import fresh_path
-from ..sinks.tables import ChangeTable
+from ..sinks import tables
 
 
 def file_stream(spark: SparkSession, path: str, schema, pattern: str = None, per_trigger: int = None) -> DataFrame:
@@ -17,26 +17,34 @@ def file_stream(spark: SparkSession, path: str, schema, pattern: str = None, per
     return reader.parquet(path)
 
 
-def run_available(stream: DataFrame, label: str, mode="append") -> DataFrame:
-    """Runs a stream over what has arrived and returns what it wrote."""
-    spark = stream.sparkSession
-    out = fresh_path(spark, label)
-    query = (stream.writeStream.outputMode(mode).format("parquet")
+def run_available(stream: DataFrame, out: str) -> DataFrame:
+    """Runs a stream over what has arrived and returns what it wrote.
+
+    ``out`` is a folder that all executors share; progress is kept beside it.
+    """
+    query = (stream.writeStream.outputMode("append").format("parquet")
              .option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start(out))
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-def upsert_stream(stream: DataFrame, table: ChangeTable, checkpoint: str):
-    """Appends each micro-batch under its number; a replayed batch is recognised
-    and skipped.  The upsert itself happens when the table is read or compacted."""
+def append_stream(stream: DataFrame, out: str, mode="append"):
+    """Appends each micro-batch to the folder ``out`` under its number; a replayed
+    batch replaces itself.  ``tables.current`` reads the state."""
     def apply(batch: DataFrame, epoch: int):
-        table.append(batch, int(epoch))
+        tables.append_batch(batch, out, int(epoch))
 
-    return (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return (stream.writeStream.outputMode(mode).foreachBatch(apply).option("checkpointLocation", f"{out}-progress")
             .trigger(availableNow=True).start())
 
 
+def run_updates(stream: DataFrame, out: str, key, order=()) -> DataFrame:
+    """Latest row per key of a stream in update mode: rows of open windows are there too."""
+    append_stream(stream, out, "update").awaitTermination()
+    log = stream.sparkSession.read.schema(stream.schema.add("batch", "long")).parquet(out)
+    return tables.current(log, key, order, ())
+
+
 def dedupe_stream(stream: DataFrame, key, ts: str, delay="1 hour") -> DataFrame:
     """First row per key; keys are forgotten ``delay`` after their last event."""
     keys = [key] if isinstance(key, str) else list(key)
@@ -47,7 +55,9 @@ def rate_stream(stream: DataFrame, key: str, ts: str, event_id: str, limit: int,
                 delay="1 hour") -> DataFrame:
     """Verdict per request with windows opened by the key's first request.
 
-    State per key is two numbers, dropped once the watermark (``delay`` behind
+    Rows that arrive more than ``delay`` late are dropped by the watermark, as
+    in any windowed stream; ``request_verdicts`` judges them in batch.  State
+    per key is two numbers, dropped once the watermark (``delay`` behind
     the newest event) has passed the window: the next request would open a new
     one anyway.  A key's rows are ordered within the micro-batch, whose size
     the source bounds.
@@ -62,13 +72,16 @@ def rate_stream(stream: DataFrame, key: str, ts: str, event_id: str, limit: int,
             return
         opened, used = state.get if state.exists else (None, 0)
         rows = pd.concat(list(parts), ignore_index=True).sort_values(["us", event_id], kind="stable")
-        verdicts, opens = [], []
-        for us in rows["us"].to_numpy():
-            if opened is None or us > opened + width:
-                opened, used = int(us), 0
-            verdicts.append(used < limit)
-            used = min(used + 1, limit)
-            opens.append(opened)
+        us, at = rows["us"].to_numpy(), 0
+        place, opens = np.empty(len(us), np.int64), np.empty(len(us), np.int64)
+        while at < len(us):     # one step per window, not per request
+            if opened is None or us[at] > opened + width:
+                opened, used = int(us[at]), 0
+            stop = int(np.searchsorted(us, opened + width, side="right"))
+            place[at:stop] = used + np.arange(stop - at)
+            opens[at:stop] = opened
+            used, at = min(used + stop - at, limit), stop
+        verdicts = place < limit
         state.update((opened, used))
         closes = (opened + width) // 1000 + 1
         state.setTimeoutTimestamp(max(closes, state.getCurrentWatermarkMs() + 1))
