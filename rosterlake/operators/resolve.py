@@ -32,6 +32,14 @@ def split_anonymous(df: DataFrame, key="cid"):
     return df.filter(F.col(key) != nothing), df.filter(F.col(key) == nothing)
 
 
+def with_own_id(df: DataFrame, key="cid", seq="seq", source_url="source_url") -> DataFrame:
+    """Gives every anonymous row an id of its own, from its source URL, if there
+    is one, and its sequence; they are neither merged nor one hot key."""
+    parts = ([F.col(source_url).cast("string")] if source_url in df.columns else []) + [F.col(seq).cast("string")]
+    own = F.sha2(F.concat_ws("|", F.lit("anonymous"), *parts), 256)
+    return df.withColumn(key, F.when(F.col(key) == F.sha2(F.lit(""), 256), own).otherwise(F.col(key)))
+
+
 def _order(trust: str, seq: str) -> Column:
     return F.struct(F.col(trust).alias("trust"), (-F.col(seq)).alias("neg_seq"))
 
@@ -48,20 +56,34 @@ def best_rows(df: DataFrame, key="cid", trust="trust", seq="seq", columns=None,
 def merge_scalars(df: DataFrame, key="cid", trust="trust", seq="seq", scalars=(), first_seen="first_seen",
                   last_seen="last_seen", content="raw_content") -> DataFrame:
     """One row per key: scalars of the best row, first non-null ``first_seen``
-    in trust order, latest ``last_seen``, best non-empty content."""
+    in trust order, latest ``last_seen``, best non-empty content.
+
+    The aggregate reads ranks and times only and yields the winners' ``seq``;
+    their wide columns are then fetched by (key, seq).
+    """
     order = _order(trust, seq)
     has = lambda c: c in df.columns
-    aggs = [F.max_by(F.struct(*scalars), order).alias("_best"), F.count("*").alias("members")]
+    aggs = [F.max(order).alias("_best"), F.count("*").alias("members")]
     if has(first_seen):
         aggs.append(F.max_by(first_seen, F.when(F.col(first_seen).isNotNull(), order)).alias(first_seen))
     if has(last_seen):
         aggs.append(F.max(last_seen).alias(last_seen))
     if has(content):
-        nonempty = F.coalesce(F.col(content), F.lit("")) != ""
-        aggs.append(F.max_by(content, F.when(nonempty, order)).alias(content))
-    extra = [c for c, present in ((first_seen, has(first_seen)), (last_seen, has(last_seen)),
-                                  (content, has(content))) if present]
-    return df.groupBy(key).agg(*aggs).select(key, "members", "_best.*", *extra)
+        aggs.append(F.max(F.when(F.coalesce(F.col(content), F.lit("")) != "", order)).alias("_full"))
+    times = [c for c in (first_seen, last_seen) if has(c)]
+    won = df.groupBy(key).agg(*aggs)
+    won = won.select(key, "members", *times, (-F.col("_best.neg_seq")).alias(seq),
+                     *([(-F.col("_full.neg_seq")).alias("_full")] if has(content) else []))
+    wide = [c for c in scalars if c not in times and c not in (key, seq, content)]
+    rows = df.select(key, seq, *wide, *([F.col(content).alias("_own")] if has(content) else [])).join(won, [key, seq])
+    if not has(content):
+        return rows.select(key, "members", *wide, *times)
+    # the best row's content nearly always is the best content; only the others are fetched
+    elsewhere = won.filter(F.col("_full") != F.col(seq)).select(key, F.col("_full").alias(seq))
+    other = df.select(key, seq, F.col(content).alias("_other")).join(elsewhere, [key, seq]).select(key, "_other")
+    text = F.when(F.col("_full").isNotNull() & (F.col("_full") != F.col(seq)), F.col("_other")) \
+            .when(F.col("_full").isNotNull(), F.col("_own"))
+    return rows.join(other, key, "left").select(key, "members", *wide, *times, text.alias(content))
 
 
 def merge_items(df: DataFrame, items: str, item_key, key="cid", trust="trust", seq="seq") -> DataFrame:

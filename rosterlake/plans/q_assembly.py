@@ -2,12 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import findings, relevance as R, stats
+from ..operators import findings, relevance as R, resolve, stats
 from ..rules import patterns as P, vocab
 from . import bindings as B, registry
 from .book import query
 from .q_classify import CLASSIFIED
-from .q_findings import _ASSEMBLED, _HITS, _VERDICT, RULES, _counts_sql
+from .q_findings import _ASSEMBLED, _HITS, _LIMITS, _VERDICT, RULES, SIGNALS_SQL, _counts_sql
 from .q_relevance import AI, AI_SQL, REGION, REGION_SQL
 from .q_stats import _COMP
 
@@ -43,6 +43,63 @@ def registry_build(spark, d):
         F.count("*").alias("entities"), F.sum("members").alias("records"))
 
 
+_LEGACY = f"hits AS ({_counts_sql(P.LEGACY_RULES, P.LEGACY_FAMILIES, text='raw_content', source='ents', key='id')})"
+
+
+@query("first_security", f"""WITH {B.ENTS}, {_LEGACY}, {SIGNALS_SQL},
+f AS (SELECT id, severity, confidence, hits FROM hits UNION ALL SELECT id, severity, confidence, 1 FROM signals WHERE type <> 'account_anomaly'),
+v AS (SELECT id, CASE WHEN bool_or(severity IN ('CRITICAL', 'HIGH')) THEN 'QUARANTINED' WHEN bool_or(severity = 'MEDIUM') THEN 'SUSPICIOUS' ELSE 'CLEAN' END AS status,
+  sum(hits) AS findings, sum(hits * confidence) / sum(hits) AS confidence FROM f GROUP BY id)
+SELECT e.id, coalesce(status, 'CLEAN') AS status, CAST(coalesce(findings, 0) AS INTEGER) AS findings, round(coalesce(confidence, 1.0), 6) AS confidence
+FROM ents e LEFT JOIN v ON v.id = e.id""")
+def first_security(spark, d):
+    """First-generation scan: rules, secrets and anomalies in one verdict per entity."""
+    out = registry.scan_first(B.doc_entities(spark, d).select("id", "raw_content"), limits=_LIMITS)
+    return out.select("id", F.col("security_status").alias("status"), "findings",
+                      F.round("security_confidence", 6).alias("confidence"))
+
+
+@query("registry_build_first", f"""WITH {_MERGED}, {_LEGACY}, {SIGNALS_SQL},
+f AS (SELECT id, severity, hits FROM hits UNION ALL SELECT id, severity, 1 FROM signals WHERE type <> 'account_anomaly'),
+v AS (SELECT id, CASE WHEN bool_or(severity IN ('CRITICAL', 'HIGH')) THEN 'QUARANTINED' WHEN bool_or(severity = 'MEDIUM') THEN 'SUSPICIOUS' ELSE 'CLEAN' END AS status,
+  sum(hits) AS findings FROM f GROUP BY id)
+SELECT e.id, coalesce(status, 'CLEAN') AS security_status, CAST(coalesce(findings, 0) AS INTEGER) AS findings, CAST(members AS BIGINT) AS members,
+  md5(name) AS name_md5, md5(raw_content) AS content_md5, CAST(len(endpoints) AS INTEGER) AS endpoints, CAST(len(tools) AS INTEGER) AS tools
+FROM ents e LEFT JOIN v ON v.id = e.id""")
+def registry_build_first(spark, d):
+    """The job with the first-generation scan, row by row: winners, merged lists, findings."""
+    out = registry.build(B.doc_entities(spark, d), B.as_of(), region=R.region(REGION), ai=R.ai(AI), security="first", limits=_LIMITS, seq="doc_id")
+    return out.select("id", "security_status", "findings", "members", F.md5("name").alias("name_md5"), F.md5("raw_content").alias("content_md5"),
+                      F.size("endpoints").alias("endpoints"), F.size("tools").alias("tools"))
+
+
+@query("registry_modes", f"""WITH {CLASSIFIED} SELECT 'classify' AS mode, primary_class AS value, count(*) AS entities FROM classified GROUP BY 2
+UNION ALL SELECT 'verify', 'PASSED', count(*) FROM ents WHERE doc_id % 3 = 0""")
+def registry_modes(spark, d):
+    """Classify-only ends with the classifier; verify-only takes the stored discovered rows."""
+    from .q_classify import scored_entities
+    stored = scored_entities(spark, d)
+    one = registry.build(stored, B.as_of(), mode="classify-only", region=R.region(REGION), ai=R.ai(AI))
+    status = F.when(F.col("doc_id") % 3 == 0, "DISCOVERED").otherwise("VERIFIED")
+    two = registry.build(B.doc_entities(spark, d).withColumn("entity_status", status), B.as_of(), mode="verify-only")
+    return one.groupBy(F.lit("classify").alias("mode"), F.col("primary_class").alias("value")).agg(F.count("*").alias("entities")).unionByName(
+        two.groupBy(F.lit("verify").alias("mode"), F.col("runtime_status").alias("value")).agg(F.count("*").alias("entities")))
+
+
+@query("persisted_entities", f"""WITH {B.ENTS}, k AS (SELECT *, {B.CID_SQL} AS cid FROM ents),
+b AS (SELECT cid AS id, arg_max(name, struct_pack(t := trust, s := -doc_id)) AS name, strftime(min(last_seen), '%Y-%m-%d %H:%M:%S') AS first_seen FROM k GROUP BY 1),
+old AS (SELECT DISTINCT cid AS id FROM k WHERE doc_id % 2 = 0)
+SELECT b.id, md5(name) AS name_md5, CASE WHEN old.id IS NULL THEN 'new' ELSE 'kept' END AS state FROM b LEFT JOIN old ON old.id = b.id""")
+def persisted_entities(spark, d):
+    """A build's rows upserted into what is stored: new rows come in, ``first_seen`` of old ones stays."""
+    built = registry.build(B.doc_entities(spark, d), B.as_of(), mode="discovery-only", seq="doc_id").select(
+        "id", "name", F.lit("2024-07-01 00:00:00").alias("first_seen"))
+    old = resolve.with_canonical_id(B.doc_entities(spark, d).filter(F.col("doc_id") % 2 == 0)).select(F.col("cid").alias("id")).distinct().select(
+        "id", F.lit("stale").alias("name"), F.lit("2020-01-01 00:00:00").alias("first_seen"))
+    return registry.persist(old, built).select("id", F.md5("name").alias("name_md5"), F.when(
+        F.col("first_seen") < "2021", "kept").otherwise("new").alias("state"))
+
+
 @query("registry_discovery", f"""WITH {B.ENTS} SELECT count(DISTINCT {B.CID_SQL}) AS entities, count(*) AS records FROM ents""")
 def registry_discovery(spark, d):
     out = registry.build(B.doc_entities(spark, d), B.as_of(), mode="discovery-only", seq="doc_id")

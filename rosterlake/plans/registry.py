@@ -8,33 +8,38 @@ id, their list items once on (id, list, item); everything else is per row.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T, urls
-from ..operators import classify, findings, identity, lifecycle, match, quality, relevance, resolve
+from ..operators import anomaly, classify, findings, identity, lifecycle, match, quality, relevance, resolve, views
 from ..rules import patterns, signals
 from ..schemas import with_defaults
+from ..sinks import tables
 
 # fixed values: which steps a mode runs
 MODES = {
     "full": ("normalise", "resolve", "relevance", "classify", "identity", "runtime", "scan", "promote", "quality"),
     "discovery-only": ("normalise", "resolve"),
-    "classify-only": ("relevance", "classify", "identity", "quality"),
-    "verify-only": ("runtime",),
+    "classify-only": ("relevance", "classify"),
+    "verify-only": ("discovered", "runtime"),
 }
 
 
 def normalise(raw: DataFrame, known_sources=signals.KNOWN_SOURCES) -> DataFrame:
-    """Defaults, slug, cleaned description and content, endpoints named in the
-    readme before the listed ones, known data sources after the given ones."""
+    """Defaults, slug, owner and name from the URL where they are missing, cleaned
+    description and content, endpoints named in the readme before the listed
+    ones, transports, known data sources after the given ones."""
     df = with_defaults(raw, ("name", "slug", "description", "raw_content", "repo_url", "repo_owner", "repo_name",
                              "homepage", "language", "license", "topics", "package_files", "endpoints", "tools",
                              "resources", "data_sources", "sources", "stars", "forks"))
     name = urls.default_name(F.col("name"), F.col("repo_url"))
-    df = df.withColumn("raw_content", T.redact(F.col("raw_content")))
+    df = df.withColumns({
+        "raw_content": T.redact(F.col("raw_content")),
+        "repo_owner": F.coalesce(T.nonblank(F.col("repo_owner")), urls.owner(F.col("repo_url")), F.lit("")),
+        "repo_name": F.coalesce(T.nonblank(F.col("repo_name")), urls.last_segment(F.col("repo_url")), F.lit(""))})
     readme = F.transform(urls.readme_endpoints(F.col("raw_content")), lambda e: F.struct(
         e["url"].alias("url"), e["transport"].alias("transport"), e["tls"].alias("tls"), F.lit("").alias("type")))
     df = df.withColumn("endpoints", F.concat(readme, F.col("endpoints")))
     named = F.concat(F.array("repo_url", "homepage"), F.transform("endpoints", lambda e: e["url"]))
     return df.withColumns({
-        "name": name, "slug": urls.slug(name),
+        "name": name, "slug": urls.slug(name), "transport": urls.endpoint_transports(F.col("endpoints")),
         "description": T.describe(F.col("description"), F.col("raw_content")),
         "data_sources": F.concat("data_sources", match.known_sources(named, F.col("raw_content"), known_sources)),
         "license": T.license_or_unknown(F.col("license"))})
@@ -47,9 +52,11 @@ SCALARS = ("name", "slug", "description", "repo_url", "repo_owner", "repo_name",
 
 def resolve_entities(df: DataFrame, trust="trust", seq="seq") -> DataFrame:
     """One row per canonical id: scalars of the most trusted record, lists merged
-    over all records.  Both aggregates end partitioned by the id, so joining
-    them moves nothing.  For lists too long for a row see ``resolve.merge_items``."""
-    keyed = resolve.with_canonical_id(df)
+    over all records.  ``(trust, seq)`` must tell records apart; records without
+    URL, name and fingerprint stay entities of their own.  The winner is found
+    on narrow columns, so texts are moved once and never sorted.  For lists too
+    long for a row see ``resolve.merge_items``."""
+    keyed = resolve.with_own_id(resolve.with_canonical_id(df), seq=seq)
     lists = [c for c in resolve.LIST_KEYS if c in keyed.columns]
     cols = [c for c in SCALARS if c in keyed.columns and c not in lists]
     rows = resolve.merge_scalars(keyed, "cid", trust, seq, scalars=cols)
@@ -95,10 +102,27 @@ def mark_runtime(df: DataFrame, verdicts: DataFrame = None, key="id") -> DataFra
     return df.join(v, key, "left")
 
 
+def scan_first(df: DataFrame, rules=patterns.LEGACY_RULES, families=patterns.LEGACY_FAMILIES, limits=None) -> DataFrame:
+    """First-generation scan of the content: rules, secrets and text anomalies in
+    one verdict; every match and every anomaly is a finding."""
+    hit = findings.with_hits(df, "raw_content", rules, families, out="_hits")
+    both = anomaly.detect(hit, "raw_content", out="_odd", limits=limits)
+    hits, odd = F.col("_hits"), F.col("_odd.signals")
+    has = lambda *levels: (F.exists(hits, lambda h: h["severity"].isin(*levels))
+                           | F.exists(odd, lambda s: s["severity"].isin(*levels)))
+    total = F.aggregate(hits, F.lit(0), lambda n, h: n + h["hits"]) + F.size(odd)
+    weight = (F.aggregate(hits, F.lit(0.0), lambda w, h: w + h["hits"] * h["confidence"])
+              + F.aggregate(odd, F.lit(0.0), lambda w, s: w + s["confidence"]))
+    return both.withColumns({
+        "security_status": findings.status_of(has("CRITICAL", "HIGH"), has("MEDIUM")), "findings": total,
+        "security_confidence": F.coalesce(F.try_divide(weight, total), F.lit(1.0))}).drop("_hits", "_odd")
+
+
 def scan(df: DataFrame, rules=patterns.SCAN_RULES, families=patterns.SCAN_FAMILIES) -> DataFrame:
     out = findings.verdict(df.withColumn("_scan", findings.assemble(df)), "_scan", rules, families)
     return out.withColumns({"security_status": F.col("security.status"),
-                            "findings": F.col("security.findings")}).drop("security", "_scan")
+                            "findings": F.col("security.findings"),
+                            "security_confidence": F.col("security.confidence")}).drop("security", "_scan")
 
 
 def promote(df: DataFrame) -> DataFrame:
@@ -114,8 +138,15 @@ def rate(df: DataFrame, as_of: Column) -> DataFrame:
 
 
 def build(raw: DataFrame, as_of: Column, mode="full", region=None, ai=None, probes: DataFrame = None,
-          detector=False, rules=patterns.SCAN_RULES, trust="trust", seq="seq") -> DataFrame:
-    """Runs the steps of a mode as one plan."""
+          detector=False, security="second", rules=None, families=None, limits=None, trust="trust", seq="seq") -> DataFrame:
+    """Runs the steps of a mode as one plan.
+
+    ``security`` picks the generation of the scan; ``rules`` and ``families``
+    replace its tables.
+    """
+    first = security == "first"
+    rules = rules or (patterns.LEGACY_RULES if first else patterns.SCAN_RULES)
+    families = families or (patterns.LEGACY_FAMILIES if first else patterns.SCAN_FAMILIES)
     steps = {
         "normalise": normalise,
         "resolve": lambda df: resolve_entities(df, trust, seq),
@@ -123,7 +154,8 @@ def build(raw: DataFrame, as_of: Column, mode="full", region=None, ai=None, prob
         "classify": assign_class,
         "identity": lambda df: assign_identity(df, as_of, detector),
         "runtime": lambda df: mark_runtime(df, probes),
-        "scan": lambda df: scan(df, rules),
+        "discovered": lambda df: df.filter(F.col("entity_status") == "DISCOVERED"),
+        "scan": lambda df: scan_first(df, rules, families, limits) if first else scan(df, rules, families),
         "promote": promote,
         "quality": lambda df: rate(df, as_of),
     }
@@ -133,6 +165,16 @@ def build(raw: DataFrame, as_of: Column, mode="full", region=None, ai=None, prob
     return out
 
 
+def persist(stored: DataFrame, built: DataFrame, key="id") -> DataFrame:
+    """The stored entities after an idempotent upsert of a build's rows."""
+    return tables.upsert(stored, built, key)
+
+
+def publish(entities: DataFrame, catalogue=None) -> DataFrame:
+    """View flags of the entities, as the last step of a full run."""
+    return views.flags(entities, catalogue)
+
+
 def assemble(entities: DataFrame, *verdicts: DataFrame, key="id") -> DataFrame:
     """Entities with separately computed verdict tables joined on one key."""
     out = entities
