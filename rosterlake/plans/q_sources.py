@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import probes
+from ..session import fresh_path
 from ..sources import landed, manifests, pages as P
 from . import bindings as B
 from .book import query
@@ -153,6 +154,21 @@ def file_types(spark, d):
     return B.table(spark, d, "part").groupBy(manifests.file_type(name).alias("file_type")).agg(F.count("*").alias("files"))
 
 
+@query("labelled_files", """SELECT CAST(l.doc_id AS VARCHAR) AS id, quality = 1 AS expected, length(text) AS chars FROM labels l JOIN documents d ON d.doc_id = l.doc_id""")
+def labelled_files(spark, d):
+    """Label files written from the labelled documents and read again; the folder is the label."""
+    docs = B.table(spark, d, "documents").join(B.table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    one = F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("raw_content"))
+    # a file is one JSON array of a few labels
+    files = docs.groupBy("quality", F.floor(F.col("doc_id") / 50).alias("file")).agg(F.to_json(F.collect_list(one)).alias("value"))
+    folder = fresh_path(spark, "labels")
+    for quality, name in ((1, "positive"), (0, "negative")):
+        files.filter(F.col("quality") == quality).select("value").write.option("maxRecordsPerFile", 1).option("compression", "none").format(
+            "text").save(f"{folder}/{name}")
+    rows = landed.labelled_fixtures(spark, folder, pattern="*.txt")
+    return rows.select("id", "expected", F.length("raw_content").cast("long").alias("chars"))
+
+
 # --- legacy rows and seeding -------------------------------------------------------------
 
 @query("legacy_rows", f"""WITH {B.ENTS} SELECT id, CASE WHEN doc_id % 4 = 0 THEN 'VERIFIED' WHEN doc_id % 4 = 1 THEN 'QUARANTINED' ELSE 'DISCOVERED' END AS entity_status,

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import resolve
+from ..session import fresh_path
 from ..sinks import tables as K
 from ..sources import landed
 from . import bindings as B
@@ -105,6 +106,28 @@ def run_log(spark, d):
     return K.run_history(runs).select("crawl_id", _stamp("started_at"), _stamp("finished_at"), "candidates_found", "failed")
 
 
+@query("run_folders", f"WITH {LOG} SELECT crawl_id, count(*) AS rows, count(DISTINCT id) AS ids FROM log GROUP BY crawl_id")
+def run_folders(spark, d):
+    """Runs appended one after the other to a history with a folder each."""
+    log, path = _log(spark, d).select("id", "event_id", "crawl_id"), fresh_path(spark, "history")
+    for half in (F.col("event_id") % 2 == 0, F.col("event_id") % 2 != 0):
+        K.append_history(log.filter(half), path)
+    # a folder's name would otherwise be read as a number
+    kept = spark.read.schema("id long, event_id long, crawl_id string").parquet(path)
+    return kept.groupBy("crawl_id").agg(F.count("*").alias("rows"), F.countDistinct("id").alias("ids"))
+
+
+@query("backed_up_orders", "SELECT o_orderstatus, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderstatus")
+def backed_up_orders(spark, d):
+    """A copy is made once; a second backup of changed rows leaves it as it is."""
+    orders, path = B.table(spark, d, "orders").select("o_orderstatus", "o_totalprice"), fresh_path(spark, "backup")
+    first = K.backup_once(spark, orders, path)
+    second = K.backup_once(spark, orders.withColumn("o_totalprice", F.lit(0.0)), path)
+    if (first, second) != (True, False):
+        raise RuntimeError("the backup was not made exactly once")
+    return spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 @query("migration_log", f"""WITH {B.ENTS} SELECT id AS old_id, CASE WHEN doc_id % 6 > 0 THEN {B.CID_SQL} END AS new_id,
   CASE WHEN doc_id % 6 > 0 THEN 'SUCCESS' ELSE 'FAILED' END AS status, CASE WHEN doc_id % 6 = 0 THEN 'bad row ' || id END AS error_message FROM ents""")
 def migration_log(spark, d):

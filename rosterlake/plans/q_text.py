@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import bands, encoding, text as T, urls
 from ..operators import categories, evidence, match, resolve
 from ..rules import classes, vocab
+from ..session import fresh_path
 from ..sources import landed
 from . import bindings as B
 from .book import query
@@ -228,14 +229,38 @@ def category_folds(spark, d):
         categories.fold_b(F.col("raw")).alias("fold_b"))
 
 
-@query("encoding_repair")
+# bytes in some encoding, what decides on them, and the text they stand for
+_LANDED = (
+    ("", "utf8", ""),
+    ("E58FB0E781A3", "utf8", "台灣"),
+    ("A578C657", "big5", "台灣"),
+    ("C6A1C7FD", "gbk", "啤驱"),
+    ("E974E920", "replaced", "\ufffdt\ufffd "),
+)
+
+
+@query("encoding_repair", f"""SELECT doc_id, {B.sql_pick(tuple(v for _, v, _ in _LANDED), 'doc_id')} AS verdict,
+  md5(lang || '-' || {B.sql_pick(tuple(t for _, _, t in _LANDED), 'doc_id')}) AS text_md5 FROM documents""")
 def encoding_repair(spark, d):
-    """Documents as landed bytes: Latin-1 bytes are invalid UTF-8 for accented text."""
-    raw = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "ISO-8859-1"))
-    landed_rows = B.texts(spark, d, "documents").select("doc_id", "lang", raw.alias("raw"))
-    fixed = encoding.repair_frame(landed_rows, "raw")
-    return fixed.groupBy("lang", "verdict").agg(F.count("*").alias("documents"),
-                                                F.sum(F.length("text")).alias("chars"))
+    """Landed bytes in four encodings, each with an answer known beforehand."""
+    tail = F.unhex(B._pick(tuple(h for h, _, _ in _LANDED), F.col("doc_id")))
+    landed_rows = B.texts(spark, d, "documents").select(
+        "doc_id", F.concat(F.encode(F.concat("lang", F.lit("-")), "UTF-8"), tail).alias("raw"))
+    return encoding.repair_frame(landed_rows, "raw").select("doc_id", "verdict", F.md5("text").alias("text_md5"))
+
+
+@query("signal_file_hits", """WITH words AS (SELECT DISTINCT source AS word FROM documents UNION SELECT unnest(['-en', '-de']))
+SELECT doc_id, word FROM documents JOIN words ON contains(source || '-' || lang, word)""")
+def signal_file_hits(spark, d):
+    """A dictionary file written from the table's sources; its empty list falls back to the default."""
+    docs = B.table(spark, d, "documents")
+    words = docs.select("source").distinct().agg(F.sort_array(F.collect_list("source")).alias("sources"))
+    path = fresh_path(spark, "signals")
+    words.select("sources", F.array().cast("array<string>").alias("languages")).coalesce(1).write.json(path)
+    sets = landed.load_signals_file(spark, path, {"sources": ("none",), "languages": ("-en", "-de")})
+    dictionary = match.terms(sets["sources"]) + match.terms(sets["languages"])
+    tagged = docs.select("doc_id", F.concat_ws("-", "source", "lang").alias("tag"))
+    return match.long_hits(tagged, "doc_id", "tag", dictionary).select("doc_id", "word")
 
 
 @query("base64_contents", """
@@ -299,6 +324,30 @@ def evidence_confidence(spark, d):
         F.round(c, 6).alias(c) for c in ("mean_confidence", "type_confidence", "rule_confidence")])
 
 
+_LINES = f"""SELECT l_orderkey AS id, {B.sql_pick(tuple(classes.TYPE_WEIGHTS) + ('RULE_MATCH',), 'l_partkey')} AS kind,
+  {B.sql_pick(_RULES, 'l_linenumber + l_partkey')} AS rule, l_quantity / 50.0 AS conf FROM lineitem"""
+
+
+@query("evidence_arrays", f"""WITH e AS ({_LINES}) SELECT id, bool_or(rule NOT IN {_in(classes.WEAK_RULES)}) AS strong, bool_or(rule NOT IN {_in(classes.BRIDGE_RULES)}) AS bridge,
+  bool_or(rule IN {_in(classes.RUNTIME_RULES)}) AS runtime, round(least(avg(conf), 1.0), 6) AS mean_confidence,
+  round(least(sum(conf * {_weight_case(classes.TYPE_WEIGHTS, 0.5)}) / sum({_weight_case(classes.TYPE_WEIGHTS, 0.5)}), 1.0), 6) AS type_confidence,
+  round(least(sum(conf * {_RULE_W}), 100.0), 6) AS rule_confidence, CAST(count(*) FILTER (kind = 'RUNTIME') AS INTEGER) AS runtime_items
+FROM e GROUP BY id""")
+def evidence_arrays(spark, d):
+    """The array forms of the evidence filters and confidences, over the lines of an order."""
+    n, k = F.col("l_partkey"), F.col("l_linenumber")
+    item = F.struct(B._pick(tuple(classes.TYPE_WEIGHTS) + ("RULE_MATCH",), n).alias("type"), B._pick(_RULES, k + n).alias("rule"),
+                    F.lit(0.0).alias("score"), (F.col("l_quantity") / 50.0).alias("confidence"))
+    # an order has a handful of lines
+    rows = B.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(item).alias("ev"))
+    e = F.col("ev")
+    return rows.select(
+        "id", evidence.is_strong(e).alias("strong"), evidence.is_bridge(e).alias("bridge"), evidence.has_runtime(e).alias("runtime"),
+        F.round(evidence.mean_confidence(e), 6).alias("mean_confidence"), F.round(evidence.type_weighted_confidence(e), 6).alias("type_confidence"),
+        F.round(evidence.rule_weighted_confidence(e), 6).alias("rule_confidence"),
+        F.size(evidence.by_type(e, "RUNTIME")).alias("runtime_items"))
+
+
 @query("evidence_rows", f"""
 WITH e AS (SELECT doc_id, 'README' AS type, 'readme' AS source, 'readme_match' AS rule, lang AS matched, text AS snippet FROM documents
  UNION ALL SELECT doc_id, 'RULE_MATCH', '', 'lang_' || lang, source, '' FROM documents)

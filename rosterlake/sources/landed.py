@@ -139,10 +139,10 @@ def legacy_servers(files: DataFrame, limit: int = 0) -> DataFrame:
     return rows.limit(limit) if limit > 0 else rows
 
 
-def labelled_fixtures(spark: SparkSession, folder: str) -> DataFrame:
+def labelled_fixtures(spark: SparkSession, folder: str, pattern="*.json") -> DataFrame:
     """Label files under ``positive/`` and ``negative/``; the folder is the label."""
     df = spark.read.schema(LABEL).options(
-        multiLine=True, recursiveFileLookup=True, pathGlobFilter="*.json").json(folder)
+        multiLine=True, recursiveFileLookup=True, pathGlobFilter=pattern).json(folder)
     return df.withColumn("label", F.regexp_extract(F.col("_metadata.file_path"), r"/(positive|negative)/[^/]*\z", 1)) \
              .withColumn("expected", F.col("label") == "positive")
 
