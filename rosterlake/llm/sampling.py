@@ -10,9 +10,9 @@ def part(*columns) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(PARTS))
 
 
-def thinned(df: DataFrame, key: Column, rows: int, total: int) -> DataFrame:
-    """About ``rows`` of ``total`` rows; all of them if there are no more."""
-    return df if total <= rows else df.filter(part(key, F.lit(17)) < F.lit(int(PARTS * rows / total) + 1))
+def thinned(df: DataFrame, key: Column, rows: int, total: int, salt=17) -> DataFrame:
+    """About ``rows`` of ``total`` rows; all of them if there are no more.  Another ``salt`` gives an independent choice."""
+    return df if total <= rows else df.filter(part(key, F.lit(salt)) < F.lit(int(PARTS * rows / total) + 1))
 
 
 def window_of(text: Column, key: Column, chars: int) -> Column:

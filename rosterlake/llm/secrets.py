@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import crf
 from .common import slices
-from .sampling import part, thinned, window_of
+from .sampling import thinned, window_of
 
 # fixed patterns: kind, expression, group to measure, least length
 KEY_WORDS = ("password", "passwd", "secret", "token", "api_?key")
@@ -100,14 +100,15 @@ def train(docs: DataFrame, rows=TRAIN_ROWS, windows=TRAIN_WINDOWS, chars=WINDOW_
     """The field, or None if the rows looked through hold no secret."""
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null")
     seen = thinned(texts, F.col("doc_id"), rows, texts.select("doc_id").count())
-    at = F.regexp_instr("text", F.lit(_GATE))
-    found = seen.withColumn("at", at)
+    found = seen.withColumn("at", F.regexp_instr("text", F.lit(_GATE)))
     near = F.substring("text", F.greatest(F.lit(1), F.col("at") - chars // 2), F.lit(chars))
-    kept = (part(F.col("doc_id"), F.lit(3)), F.xxhash64("text"))
-    positive = found.filter("at > 0").orderBy(*kept).select(near.alias("text")).limit(windows).collect()
-    negative = found.filter("at = 0").orderBy(*kept).select(window_of(F.col("text"), F.col("doc_id"), chars).alias("text")).limit(windows).collect()
+    window = F.when(F.col("at") > 0, near).otherwise(window_of(F.col("text"), F.col("doc_id"), chars))
+    counts = found.agg(F.count_if(F.col("at") > 0), F.count_if(F.col("at") == 0)).first()
+    # about ``windows`` rows of either sort reach the driver, however many tasks read the table
+    picked = [thinned(found.filter(sort), F.col("doc_id"), windows, n, salt=3) for sort, n in zip(("at > 0", "at = 0"), counts)]
+    rows = picked[0].unionByName(picked[1]).select("at", window.alias("text")).collect()
     sequences, any_ = [], False
-    for r in positive + negative:
+    for r in sorted(rows, key=lambda r: (r["at"] == 0, r["text"])):
         tokens, tags, file = _tagged(r["text"])
         sequences.append((tokens, tags, file))
         if any(tags):
