@@ -25,11 +25,6 @@ def grade(score: Column) -> Column:
     return _floor_ladder(score, vocab.GRADE_BANDS, "F")
 
 
-def level_text(level: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in vocab.REGION_LEVEL_TEXT.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, level), F.lit("Unknown"))
-
-
 def age_days(when: Column, as_of: Column) -> Column:
     seconds = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(when.cast("timestamp"))
     return seconds / F.lit(86_400_000_000.0)

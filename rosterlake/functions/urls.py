@@ -7,14 +7,6 @@ from . import regex
 from .text import or_empty, trim_blank
 
 
-def _drop_suffix(c: Column, suffix: str) -> Column:
-    return F.when(F.endswith(c, F.lit(suffix)), F.left(c, F.length(c) - len(suffix))).otherwise(c)
-
-
-def _drop_prefix(c: Column, prefix: str) -> Column:
-    return F.when(F.startswith(c, F.lit(prefix)), F.substr(c, F.lit(len(prefix) + 1))).otherwise(c)
-
-
 def storage_url(url: Column) -> Column:
     """Trim, drop one trailing slash, then ``.git``.  Case and scheme stay."""
     return F.regexp_replace(F.regexp_replace(trim_blank(url), r"/\z", ""), r"\.git\z", "")

@@ -31,10 +31,6 @@ def fold_b(category: Column) -> Column:
                       F.when(c.isin(*vocab.FUNCTIONAL_CATEGORIES), c), F.lit("other"))
 
 
-def fold_list_a(categories: Column) -> Column:
-    return F.array_distinct(F.transform(categories, fold_a))
-
-
 def fold_list_b(categories: Column) -> Column:
     """Distinct folded keys; 'other' only when nothing functional is left."""
     folded = F.array_distinct(F.transform(categories, fold_b))

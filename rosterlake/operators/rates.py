@@ -7,207 +7,214 @@ and answers a different question (``aligned_windows`` offers it by name).
 Where a window opens depends on all earlier ones of the key.  To keep one busy
 key from becoming one task, its timeline is cut into chunks:
 
-1. every (key, chunk) is folded on its own, once per possible carry-in: which
-   event would open the first window, and where the last window would end;
-2. the chunks of a key are chained, reading only those few candidate rows;
+1. every (key, chunk) is folded on its own into a small function: which event
+   would open its first window, and where its last window would then end;
+2. the functions of ``FAN`` neighbouring chunks are composed into one of the
+   next level, until a key has one left; on the way back every chunk learns
+   the window that is open when it begins;
 3. every chunk, now with its real carry-in, labels its events.
 
-Each fold streams over a sorted partition and holds one window of state.
-"""
+A task sees the distinct event times of one chunk, or the candidates of
+``FAN`` chunks, never all of a key.  Folds are array operations: pointer
+doubling over the successors found by binary search, one step per window
+where windows are laid out.
 
-from collections import deque
+Rows with a null key are a key of their own; rows with an unknown time belong
+to no window.
+"""
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialise
 
 _NO_CARRY = -(1 << 62)
-
-
-def _frame(group_cols, columns, out):
-    """One frame per input batch: output arrays of its groups, keys repeated."""
-    sizes = [len(arrays[0]) for _, arrays in out]
-    data = {c: np.repeat(np.array([g[i] for g, _ in out]), sizes) for i, c in enumerate(group_cols)}
-    data.update({c: np.concatenate([arrays[i] for _, arrays in out]) for i, c in enumerate(columns)})
-    return pd.DataFrame(data)
-
-
-def _stream_groups(batches, group_cols, value_cols, columns, start, step, finish=None):
-    """Streams sorted batches group by group, arrays only.
-
-    ``start(group)`` makes a state, ``step(group, arrays, state)`` consumes the
-    part of a group that lies in one batch, ``finish(group, state)`` closes it.
-    The last two return output arrays or None.
-    """
-    group, state = None, None
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        keys = [pdf[c].to_numpy() for c in group_cols]
-        values = [pdf[c].to_numpy() for c in value_cols]
-        new = np.ones(len(pdf), dtype=bool)
-        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-        first, out = np.flatnonzero(new), []
-        for lo, hi in zip(first, np.append(first[1:], len(pdf))):
-            here = tuple(k[lo] for k in keys)
-            if here != group:
-                if finish and group is not None:
-                    out.append((group, finish(group, state)))
-                group, state = here, start(here)
-            if (made := step(group, [v[lo:hi] for v in values], state)) is not None:
-                out.append((group, made))
-        if out:
-            yield _frame(group_cols, columns, out)
-    if finish and group is not None:
-        yield _frame(group_cols, columns, [(group, finish(group, state))])
-
-
-def _transitions(key, width, chunk_us):
-    """(key, chunk) -> (candidate opener, end of the chunk's last window).
-
-    A carry-in ends at most one width into the chunk, so the openers to try are
-    the events up to there and the first one after.  Chains that open at the
-    same event are the same from then on and are merged.
-    """
-    def start(group):
-        return {"chains": deque(), "beyond": False}
-
-    def step(group, arrays, st):
-        us, chains, zone = arrays[0], st["chains"], int(group[1]) * chunk_us + width
-        i = 0
-        while i < len(us):
-            if st["beyond"]:
-                i = max(i, int(np.searchsorted(us, chains[0][0], side="right")))
-                if i >= len(us):
-                    break
-            at, joined = int(us[i]), []
-            while chains and chains[0][0] < at:
-                cands = chains.popleft()[1]
-                joined = joined + cands if joined else cands
-            if not st["beyond"]:
-                joined = joined + [at]
-                st["beyond"] = at > zone
-            if joined:
-                chains.append((at + width, joined))
-            i += 1
-
-    def finish(group, st):
-        ends = [(c, end) for end, cands in st["chains"] for c in cands]
-        return np.array([c for c, _ in ends]), np.array([e for _, e in ends])
-
-    return lambda batches: _stream_groups(
-        batches, [key, "chunk"], ["us"], ["cand", "exit"], start, step, finish)
-
-
-def _carries(key):
-    """Chains the chunks of a key: (key, chunk, carry) with the end of the window
-    that is open when the chunk begins."""
-    def start(group):
-        return {"chunk": None, "carry": _NO_CARRY, "exit": None}
-
-    def step(group, arrays, st):
-        chunks, carries = [], []
-        for chunk, cand, leave in zip(*(a.tolist() for a in arrays)):
-            if chunk != st["chunk"]:
-                if st["exit"] is not None:
-                    st["carry"] = st["exit"]
-                st["chunk"], st["exit"] = chunk, None
-                chunks.append(chunk)
-                carries.append(st["carry"])
-            if st["exit"] is None and cand > st["carry"]:
-                st["exit"] = leave
-        return (np.array(chunks), np.array(carries)) if chunks else None
-
-    return lambda batches: _stream_groups(
-        batches, [key], ["chunk", "cand", "exit"], ["chunk", "carry"], start, step)
-
-
-def _labels(key, width):
-    """Labels every instant of a chunk with the opening time of its window and
-    the number of requests before it, within window and chunk."""
-    def start(group):
-        return {"end": None, "open": None, "used": 0}
-
-    def step(group, arrays, st):
-        us, requests, carry = arrays
-        if st["end"] is None:
-            st["end"] = int(carry[0])
-            st["open"] = st["end"] - width
+FAN = 256
+
+
+def _key(column: Column) -> Column:
+    """Key as text that is never null."""
+    return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))
+
+
+def _unkey(column: Column, kind: str) -> Column:
+    return F.when(column != "", F.substr(column, F.lit(2))).cast(kind)
+
+
+def _groups(fold, columns):
+    """Sorted batches -> one call of ``fold(arrays)`` per (k, c); its output arrays with the group's k and c."""
+    def emit(group, parts, names):
+        arrays = [np.concatenate([p[i] for p in parts]) for i in range(len(names))]
+        out = fold(*arrays)
+        return pd.DataFrame({"k": group[0], "c": group[1], **dict(zip(columns, out))}) if len(out[0]) else None
+
+    def run(batches):
+        group, parts, names = None, [], None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            names = [n for n in pdf.columns if n not in ("k", "c")]
+            keys, chunks = pdf["k"].to_numpy(), pdf["c"].to_numpy()
+            new = np.flatnonzero((keys[1:] != keys[:-1]) | (chunks[1:] != chunks[:-1])) + 1
+            values, made = [pdf[n].to_numpy() for n in names], []
+            for lo, hi in zip([0, *new], [*new, len(pdf)]):
+                here = (keys[lo], chunks[lo])
+                if here != group:
+                    if parts:
+                        made.append(emit(group, parts, names))
+                    group, parts = here, []
+                parts.append([v[lo:hi] for v in values])
+            made = [m for m in made if m is not None]
+            if made:
+                yield pd.concat(made, ignore_index=True)
+        if parts and (last := emit(group, parts, names)) is not None:
+            yield last
+    return run
+
+
+def _by_chunk(df: DataFrame, *order) -> DataFrame:
+    return df.repartition("k", "c").sortWithinPartitions("k", "c", *order)
+
+
+def _openers(width, chunk_us):
+    """A chunk's function: the events that may open its first window, and the end of its last window for each."""
+    def fold(us, start):
+        jump = np.searchsorted(us, us + width, side="right")
+        last = np.where(jump < len(us), jump, np.arange(len(us)))
+        while True:                                  # pointer doubling: the last opener of every chain
+            further = last[last]
+            if np.array_equal(further, last):
+                break
+            last = further
+        n = int(np.searchsorted(us, start[0] + width, side="right")) + 1
+        return us[:n], (us[last] + width)[:n]
+    return _groups(fold, ["cand", "exit"])
+
+
+def _apply(ends, cand, leave):
+    """Where the window open after a chunk ends, for windows that end at ``ends`` when it begins."""
+    at = np.searchsorted(cand, ends, side="right")
+    found = at < len(cand)
+    return np.where(found, leave[np.minimum(at, len(cand) - 1)], ends)
+
+
+def _cuts(child):
+    return [0, *(np.flatnonzero(np.diff(child)) + 1).tolist(), len(child)]
+
+
+def _compose(child, cand, leave):
+    """One function from those of neighbouring chunks."""
+    cuts = _cuts(child)
+    # a carry-in reaches into the first chunk at most; if it covers that, the next one's first event opens
+    first, second = cuts[1], (cuts[2] if len(cuts) > 2 else cuts[1])
+    starts = cand[:min(first + 1, second)]
+    ends = leave[:len(starts)].copy()
+    for n, (lo, hi) in enumerate(zip(cuts[1:], cuts[2:])):
+        inner = slice(0, first) if n == 0 else slice(None)    # the extra opener is the second chunk's own
+        ends[inner] = _apply(ends[inner], cand[lo:hi], leave[lo:hi])
+    return starts, ends
+
+
+def _spread(child, cand, leave, carry):
+    """Carry-in of every chunk from that of the group."""
+    cuts, end, chunks, carries = _cuts(child), carry[:1], [], []
+    for lo, hi in zip(cuts, cuts[1:]):
+        chunks.append(child[lo])
+        carries.append(end[0])
+        end = _apply(end, cand[lo:hi], leave[lo:hi])
+    return np.array(chunks), np.array(carries)
+
+
+def _labels(width):
+    """Opening time of the window of every instant, and the requests before it within window and chunk."""
+    def fold(us, requests, carry):
         sums = np.concatenate(([0], np.cumsum(requests)))
         opened, before, i = np.empty(len(us), dtype=np.int64), np.empty(len(us), dtype=np.int64), 0
-        while i < len(us):
-            if us[i] > st["end"]:
-                st["open"], st["used"] = int(us[i]), 0
-                st["end"] = st["open"] + width
-            j = int(np.searchsorted(us, st["end"], side="right"))
-            opened[i:j] = st["open"]
-            before[i:j] = sums[i:j] - sums[i] + st["used"]
-            st["used"] += int(sums[j] - sums[i])
+        end = int(carry[0])
+        while i < len(us):                           # one step per window
+            if us[i] > end:
+                end = int(us[i]) + width
+            j = int(np.searchsorted(us, end, side="right"))
+            opened[i:j] = end - width
+            before[i:j] = sums[i:j] - sums[i]
             i = j
         return us, requests, opened, before
+    return _groups(fold, ["us", "requests", "open_us", "before"])
+
 
-    return lambda batches: _stream_groups(
-        batches, [key, "chunk"], ["us", "requests", "carry"], ["us", "requests", "open_us", "before"], start, step)
+_FUNCTION = "k string, c long, cand long, exit long"
 
 
-def _by_chunk(df: DataFrame, key: str, *order) -> DataFrame:
-    return df.repartition(key, "chunk").sortWithinPartitions(key, "chunk", *order)
+def _carries(level: DataFrame, fan=FAN) -> DataFrame:
+    """(k, c, carry): the end of the window that is open when a chunk begins."""
+    lo, hi = level.agg(F.min("c"), F.max("c")).first()
+    levels = [level]
+    while lo is not None and lo != hi:
+        up = levels[-1].select("k", F.floor(F.col("c") / fan).cast("long").alias("c"), F.col("c").alias("child"), "cand", "exit")
+        levels.append(materialise(_by_chunk(up, "child", "cand").mapInPandas(_groups(_compose, ["cand", "exit"]), _FUNCTION), "windows"))
+        lo, hi = lo // fan, hi // fan
+    carries = levels[-1].select("k", "c").distinct().withColumn("carry", F.lit(_NO_CARRY))
+    for below in reversed(levels[:-1]):
+        under = below.select("k", F.floor(F.col("c") / fan).cast("long").alias("c"), F.col("c").alias("child"), "cand", "exit")
+        spread = _by_chunk(under.join(carries, ["k", "c"]), "child", "cand").mapInPandas(
+            _groups(_spread, ["child", "carry"]), "k string, c long, child long, carry long")
+        carries = spread.select("k", F.col("child").alias("c"), "carry")
+    return carries
 
 
-def window_labels(df: DataFrame, key: str, ts: str, seconds=60, chunk_windows=240) -> DataFrame:
-    """(key, chunk, us, requests, open_us, before): distinct event times with
-    their window."""
+def window_labels(df: DataFrame, key: str, ts: str, seconds=60, chunk_windows=240, fan=FAN) -> DataFrame:
+    """(k, c, us, requests, open_us, before): distinct event times with their
+    window; ``k`` is the key as text, ``c`` the chunk."""
     width = int(seconds * 1_000_000)
     chunk_us = width * chunk_windows
-    kind = dict(df.dtypes)[key]
-    instants = (df.filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
-                .groupBy(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+    instants = (df.filter(F.col(ts).isNotNull())
+                .groupBy(_key(F.col(key)).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
                 .agg(F.count("*").alias("requests"))
-                .withColumn("chunk", F.floor(F.col("us") / chunk_us).cast("long")))
-    moves = _by_chunk(instants.select(key, "chunk", "us"), key, "us").mapInPandas(
-        _transitions(key, width, chunk_us), f"{key} {kind}, chunk long, cand long, exit long")
-    carries = (moves.repartition(key).sortWithinPartitions(key, "chunk", "cand")
-               .mapInPandas(_carries(key), f"{key} {kind}, chunk long, carry long"))
+                .withColumn("c", F.floor(F.col("us") / chunk_us).cast("long")))
+    begins = instants.select("k", "c", "us", (F.col("c") * chunk_us).alias("start"))
+    level = materialise(_by_chunk(begins, "us").mapInPandas(_openers(width, chunk_us), _FUNCTION), "windows")
     # partitioned after the join: a skew-split join must not cut a chunk in two
-    return _by_chunk(instants.join(carries, [key, "chunk"]), key, "us").mapInPandas(
-        _labels(key, width), f"{key} {kind}, chunk long, us long, requests long, open_us long, before long")
+    known = instants.join(_carries(level, fan), ["k", "c"]).select("k", "c", "us", "requests", "carry")
+    return _by_chunk(known, "us").mapInPandas(
+        _labels(width), "k string, c long, us long, requests long, open_us long, before long")
 
 
-def key_opened_windows(df: DataFrame, key: str, ts: str, limit: int, seconds=60, chunk_windows=240) -> DataFrame:
+def key_opened_windows(df: DataFrame, key: str, ts: str, limit: int, seconds=60, chunk_windows=240, fan=FAN) -> DataFrame:
     """One row per window: opened_at, requests, allowed, throttled."""
-    labels = window_labels(df, key, ts, seconds, chunk_windows)
-    return (labels.groupBy(key, "open_us").agg(F.sum("requests").alias("requests"))
-            .select(key, F.timestamp_micros("open_us").alias("opened_at"), "requests",
+    labels = window_labels(df, key, ts, seconds, chunk_windows, fan)
+    return (labels.groupBy("k", "open_us").agg(F.sum("requests").alias("requests"))
+            .select(_unkey(F.col("k"), dict(df.dtypes)[key]).alias(key), F.timestamp_micros("open_us").alias("opened_at"), "requests",
                     F.least("requests", F.lit(limit)).alias("allowed"),
                     F.greatest(F.col("requests") - limit, F.lit(0)).alias("throttled")))
 
 
 def request_verdicts(df: DataFrame, key: str, ts: str, event_id: str, limit: int, seconds=60,
-                     chunk_windows=240) -> DataFrame:
+                     chunk_windows=240, fan=FAN) -> DataFrame:
     """Every request with its ``place`` in the window and ``allowed``; the order
-    inside a window is time, then id.
+    inside a window is time, then id.  A request with an unknown time has
+    neither.
 
     Places come from running counts, so a crowded window is not sorted as one
     group; only requests of the same key and microsecond are ordered together.
     """
     width = int(seconds * 1_000_000)
     chunk_us = width * chunk_windows
-    labels = materialise(window_labels(df, key, ts, seconds, chunk_windows), "windows")
+    labels = materialise(window_labels(df, key, ts, seconds, chunk_windows, fan), "windows")
     home = F.floor(F.col("open_us") / chunk_us).cast("long")
     # a window reaches at most one chunk further; what it used at home is added there
-    spilling = (F.col("chunk") == home) & (F.col("open_us") + width >= (F.col("chunk") + 1) * chunk_us)
-    used = (labels.filter(spilling).groupBy(key, "open_us").agg(F.sum("requests").alias("_used"))
-            .select(F.col(key).alias("_k"), F.col("open_us").alias("_o"), "_used"))
-    over = (F.col(key) == F.col("_k")) & (F.col("open_us") == F.col("_o")) & (F.col("chunk") != home)
+    spilling = (F.col("c") == home) & (F.col("open_us") + width >= (F.col("c") + 1) * chunk_us)
+    used = (labels.filter(spilling).groupBy(F.col("k").alias("_k0"), F.col("open_us").alias("_o")).agg(F.sum("requests").alias("_used")))
+    over = (F.col("k") == F.col("_k0")) & (F.col("open_us") == F.col("_o")) & (F.col("c") != home)
     starts = labels.join(used, over, "left").select(
-        key, "us", (F.col("before") + F.coalesce("_used", F.lit(0))).alias("_before"))
-    ties = Window.partitionBy(key, "us").orderBy(event_id)
-    timed = df.withColumn("us", F.unix_micros(F.col(ts).cast("timestamp")))
-    return (timed.join(starts, [key, "us"])
-            .withColumn("place", F.col("_before") + F.row_number().over(ties))
-            .withColumn("allowed", F.col("place") <= limit).drop("us", "_before"))
+        F.col("k").alias("_k"), F.col("us").alias("_us"), (F.col("before") + F.coalesce("_used", F.lit(0))).alias("_before"))
+    ties = Window.partitionBy("_k", "_us").orderBy(event_id)
+    timed = df.withColumns({"_k": _key(F.col(key)), "_us": F.unix_micros(F.col(ts).cast("timestamp"))})
+    known = (timed.filter("_us is not null").join(starts, ["_k", "_us"])
+             .withColumn("place", F.col("_before") + F.row_number().over(ties)))
+    unknown = timed.filter("_us is null").withColumn("place", F.lit(None).cast("long"))
+    both = known.select(*df.columns, "place").unionByName(unknown.select(*df.columns, "place"))
+    return both.withColumn("allowed", F.col("place") <= limit)
 
 
 def aligned_windows(df: DataFrame, key: str, ts: str, limit: int, seconds=60) -> DataFrame:

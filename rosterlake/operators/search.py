@@ -1,6 +1,7 @@
 """Faceted filtering, text match and ranked search."""
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -24,19 +25,29 @@ class EntityFilter:
     security_status: str = ""
     min_quality: int = 0
 
-    def apply(self, df: DataFrame) -> DataFrame:
-        for column in ("entity_status", "primary_class", "identity_status", "region_level", "security_status"):
-            value = getattr(self, column)
-            if value:
-                df = df.filter(F.col(column) == value)
+    def conditions(self) -> list:
+        named = ("entity_status", "primary_class", "identity_status", "region_level", "security_status")
+        out = [F.col(c) == getattr(self, c) for c in named if getattr(self, c)]
         if self.min_region_level:
-            df = df.filter((F.col("region_level") >= self.min_region_level)
-                           & F.col("region_level").between("T1", "T5"))
+            out += [F.col("region_level") >= self.min_region_level, F.col("region_level").between("T1", "T5")]
         if self.min_quality > 0:
-            df = df.filter(F.col("quality_score") >= self.min_quality)
+            out.append(F.col("quality_score") >= self.min_quality)
+        return out
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        for condition in self.conditions():
+            df = df.filter(condition)
         return df
 
 
+def filter_counts(df: DataFrame, filters: dict) -> DataFrame:
+    """(filter, entities) of several named filters, counted in one pass."""
+    every = lambda conditions: reduce(lambda a, b: a & b, conditions, F.lit(True))
+    wide = df.agg(*[F.count_if(every(f.conditions())).alias(f"_{i}") for i, f in enumerate(filters.values())])
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(n).alias("filter"), F.col(f"_{i}").alias("entities"))
+                                          for i, n in enumerate(filters)])))
+
+
 def listing(df: DataFrame, flt: EntityFilter = EntityFilter(), page=1, limit=ranking.DEFAULT_LIMIT,
             everything=False, text="") -> DataFrame:
     """Entity listing: level floor T1 unless ``everything``; filter first, then

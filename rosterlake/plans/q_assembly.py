@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import findings, relevance as R, resolve, stats
 from ..rules import patterns as P, vocab
+from ..session import materialise
 from . import bindings as B, registry
 from .book import query
 from .q_classify import CLASSIFIED
@@ -113,7 +114,8 @@ def assembled_verdicts(spark, d):
     """Verdict tables computed separately, joined on the entity id."""
     from ..operators import classify
     from .q_classify import scored_entities
-    rows = scored_entities(spark, d)
+    # scored once, stored, and read by each verdict
+    rows = materialise(scored_entities(spark, d), "scored")
     classes = classify.classify(rows).select("id", F.col("classification.primary").alias("primary_class"))
     found = findings.summarise(findings.counts(rows, "id", "raw_content", RULES, P.SCAN_FAMILIES), "id", "hits")
     out = registry.assemble(rows.select("id", "region_level", "ai_level"), classes,

@@ -57,10 +57,40 @@ def merged_tools(spark, d):
                          F.col("rank_seq").alias("from_doc"), "position")
 
 
-@query("merged_sources", f"""WITH {B.ENTS}, {_RANK} SELECT DISTINCT cid, trust_source || '|' || homepage AS item_key FROM r""")
+@query("merged_sources", f"""WITH {B.ENTS}, {_RANK}, k AS (SELECT cid, trust_source || '|' || homepage AS item_key, trust, doc_id FROM r)
+SELECT cid, item_key, max(trust) AS trust, arg_max(doc_id, struct_pack(t := trust, s := -doc_id)) AS from_doc FROM k GROUP BY cid, item_key""")
 def merged_sources(spark, d):
     key = lambda s: F.concat_ws("|", s["source"], s["url"])
-    return S.merge_items(_identified(spark, d), "sources", key, "cid", "trust", "doc_id").select("cid", "item_key")
+    merged = S.merge_items(_identified(spark, d), "sources", key, "cid", "trust", "doc_id")
+    return merged.select("cid", "item_key", F.col("item.trust_score").alias("trust"), F.col("rank_seq").alias("from_doc"))
+
+
+_FILLED = """l AS (SELECT cid, trust, doc_id, unnest(range(1, doc_id % 3 + 2)) AS i, language, repo_owner FROM r),
+i AS (SELECT cid, trust, doc_id, i, 'resources' AS list, 'file:///' || language || '/' || i AS item_key, repo_owner || ' ' || i AS detail FROM l
+  UNION ALL SELECT cid, trust, doc_id, i, 'prompts', language || '_' || i, repo_owner || ' ' || i FROM l
+  UNION ALL SELECT cid, trust, doc_id, i, 'data_sources', repo_owner || '-' || i, language FROM l)"""
+
+
+@query("merged_lists", f"""WITH {B.ENTS}, {_RANK}, {_FILLED},
+k AS (SELECT *, row_number() OVER (PARTITION BY cid, list, item_key ORDER BY trust DESC, doc_id, i) AS n FROM i),
+o AS (SELECT cid, list, item_key || '=' || detail AS entry, trust, doc_id, i FROM k WHERE n = 1)
+SELECT cid, list, string_agg(entry, ',' ORDER BY trust DESC, doc_id, i) AS entries FROM o GROUP BY cid, list""")
+def merged_lists(spark, d):
+    """Resources, prompts and data sources of an entity, merged over its records, item by item."""
+    n = (F.col("doc_id") % 3 + 1).cast("int")
+    each = lambda item: F.transform(F.sequence(F.lit(1), n), item)
+    numbered = lambda c, i: F.concat_ws(" ", c, i.cast("string"))
+    rows = _identified(spark, d).withColumns({
+        "resources": each(lambda i: F.struct(F.concat_ws("/", F.lit("file://"), "language", i.cast("string")).alias("uri"),
+                                             numbered("repo_owner", i).alias("name"))),
+        "prompts": each(lambda i: F.struct(F.concat_ws("_", "language", i.cast("string")).alias("name"), numbered("repo_owner", i).alias("description"))),
+        "data_sources": each(lambda i: F.struct(F.concat_ws("-", "repo_owner", i.cast("string")).alias("name"), F.col("language").alias("type")))})
+    shown = {"resources": ("uri", "name"), "prompts": ("name", "description"), "data_sources": ("name", "type")}
+    lists = {c: S.LIST_KEYS[c] for c in shown}
+    merged = S.merge_lists(rows.select("cid", "trust", F.col("doc_id").alias("seq"), *lists), lists)
+    entries = [F.struct(F.lit(c).alias("list"), F.array_join(F.transform(c, lambda x: F.concat_ws("=", x[a], x[b])), ",").alias("entries"))
+               for c, (a, b) in shown.items()]
+    return merged.select("cid", F.inline(F.array(*entries)))
 
 
 @query("merged_topics", _items_sql("topics", "item", ", trust AS trust"))

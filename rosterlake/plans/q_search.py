@@ -30,18 +30,14 @@ def entity_listing(spark, d):
 @query("entity_filters", f"""WITH {ROWS} SELECT 'all fields' AS filter, count(*) AS entities FROM registry WHERE entity_status = 'CANDIDATE' AND identity_status = 'CANDIDATE'
 UNION ALL SELECT 'level', count(*) FROM registry WHERE region_level = 'T3'
 UNION ALL SELECT 'min level', count(*) FROM registry WHERE region_level >= 'T4'
+UNION ALL SELECT 'class', count(*) FROM registry WHERE primary_class = 'MCP_SERVER'
 UNION ALL SELECT 'none', count(*) FROM registry""")
 def entity_filters(spark, d):
     rows = registry_rows(spark, d)
     filters = {"all fields": S.EntityFilter(entity_status="CANDIDATE", identity_status="CANDIDATE"),
                "level": S.EntityFilter(region_level="T3"), "min level": S.EntityFilter(min_region_level="T4"),
-               "none": S.EntityFilter()}
-    counted = [f.apply(rows).agg(F.count("*").alias("entities")).select(F.lit(n).alias("filter"), "entities")
-               for n, f in filters.items()]
-    out = counted[0]
-    for c in counted[1:]:
-        out = out.unionByName(c)
-    return out
+               "class": S.EntityFilter(primary_class="MCP_SERVER"), "none": S.EntityFilter()}
+    return S.filter_counts(rows, filters)
 
 
 @query("text_listing", f"""WITH {ROWS} SELECT id FROM registry WHERE contains(lower(name), 'mit') OR contains(lower(description), 'mit') OR contains(lower(slug), 'mit')

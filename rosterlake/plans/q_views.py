@@ -182,13 +182,19 @@ def link_fallbacks(spark, d):
 @query("registry_json", f"""WITH {ROWS} SELECT id, name, region_level AS level, region_score AS score, TRUE AS official, stars, quality_score AS quality, entity_status AS status,
   upper(CASE WHEN health = '' THEN 'unknown' ELSE health END) AS health, array_to_string(categories, '|') AS category FROM registry""")
 def registry_json(spark, d):
-    rows = registry_rows(spark, d)
-    full = exports.registry_rows(rows).select(
-        "id", F.col("taiwan_relevance.level").alias("level"), F.col("taiwan_relevance.score").alias("score"),
+    full = exports.registry_rows(registry_rows(spark, d), exports.health().alias("health"))
+    return full.select(
+        "id", "name", F.col("taiwan_relevance.level").alias("level"), F.col("taiwan_relevance.score").alias("score"),
         F.col("official_data_source").alias("official"), F.col("repository.stars").alias("stars"),
-        F.col("quality.score").alias("quality"), "status")
+        F.col("quality.score").alias("quality"), "status", "health", F.array_join("category", "|").alias("category"))
+
+
+@query("registry_parts", f"""WITH {ROWS} SELECT id, name, array_to_string(categories, '|') AS category, upper(CASE WHEN health = '' THEN 'unknown' ELSE health END) AS health FROM registry""")
+def registry_parts(spark, d):
+    """The minimal and the health file, joined back on the id."""
+    rows = registry_rows(spark, d)
     small = exports.minimal_rows(rows).select("id", "name", F.array_join("category", "|").alias("category"))
-    return full.join(small, "id").join(exports.health_rows(rows).select("id", "health"), "id")
+    return small.join(exports.health_rows(rows).select("id", "health"), "id")
 
 
 @query("safety_flags", f"""WITH {ROWS} SELECT id, security_status NOT IN ('BLOCKED', 'QUARANTINED') AS safe, security_status <> 'BLOCKED' AS listable,

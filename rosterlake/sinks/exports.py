@@ -10,8 +10,12 @@ from ..operators import categories, findings, ranking, views
 from ..rules import vocab
 
 
-def registry_rows(df: DataFrame) -> DataFrame:
-    """Full projection of the registry file."""
+def health(column="health") -> Column:
+    return F.upper(F.coalesce(F.nullif(column, F.lit("")), F.lit("UNKNOWN")))
+
+
+def registry_rows(df: DataFrame, *more: Column) -> DataFrame:
+    """Full projection of the registry file, with further columns of the same rows."""
     return df.select(
         "id", "name", "description", F.col("categories").alias("category"),
         F.array(F.lit("TW")).alias("region"),
@@ -19,7 +23,7 @@ def registry_rows(df: DataFrame) -> DataFrame:
         (F.size("data_sources") > 0).alias("official_data_source"),
         F.struct(F.col("repo_url").alias("url"), "stars", "license").alias("repository"),
         "transport", "tools", F.struct(F.col("quality_score").alias("score")).alias("quality"),
-        F.col("entity_status").alias("status"))
+        F.col("entity_status").alias("status"), *more)
 
 
 def minimal_rows(df: DataFrame) -> DataFrame:
@@ -27,7 +31,7 @@ def minimal_rows(df: DataFrame) -> DataFrame:
 
 
 def health_rows(df: DataFrame) -> DataFrame:
-    return df.select("id", "name", F.upper(F.coalesce(F.nullif("health", F.lit("")), F.lit("UNKNOWN"))).alias("health"))
+    return df.select("id", "name", health().alias("health"))
 
 
 def write_json(df: DataFrame, path: str):

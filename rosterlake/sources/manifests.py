@@ -22,10 +22,6 @@ def file_type(filename: Column) -> Column:
     return expr.otherwise("json")
 
 
-def explode_files(df: DataFrame, key="id", files="package_files") -> DataFrame:
-    return df.select(key, F.explode(files).alias("filename", "content"))
-
-
 def _last(servers: Column):
     """(name, server) with the greatest name: a fixed choice where maps have no order."""
     name = F.array_max(F.map_keys(servers))

@@ -150,6 +150,79 @@ def test_merged_lists_follow_trust(spark):
     assert got["c"]["transport"] == ["y", "x"] and "d" not in got
 
 
+def test_requests_without_key_or_time_are_kept(spark):
+    base = dt.datetime(2024, 1, 1)
+    log = [(1, "a", base), (2, None, base), (3, "a", None), (4, None, base + dt.timedelta(seconds=5)), (5, None, None)]
+    df = spark.createDataFrame(log, "id long, key string, ts timestamp")
+    got = {r["id"]: (r["key"], r["place"], r["allowed"]) for r in rates.request_verdicts(df, "key", "ts", "id", 1, 60, 2).collect()}
+    assert got == {1: ("a", 1, True), 2: (None, 1, True), 3: ("a", None, None), 4: (None, 2, False), 5: (None, None, None)}
+    numbers = df.withColumn("key", F.when(F.col("id") == 1, 7))
+    assert {r["key"] for r in rates.key_opened_windows(numbers, "key", "ts", 1).collect()} == {7, None}
+
+
+def test_one_key_spreads_over_tasks(spark):
+    df = spark.range(20_000).select(F.col("id"), F.lit("all").alias("key"), F.timestamp_seconds(F.col("id") * 7).alias("ts"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")   # small tasks would be put together
+    try:
+        labels = rates.window_labels(df, "key", "ts", 60, chunk_windows=4, fan=8)
+        tasks = [r["count"] for r in labels.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(tasks) == 20_000 and max(tasks) < 10_000
+
+
+def test_empty_log(spark):
+    df = spark.createDataFrame([], "id long, key string, ts timestamp")
+    assert rates.key_opened_windows(df, "key", "ts", 1).count() == rates.request_verdicts(df, "key", "ts", "id", 1).count() == 0
+
+
+def test_first_generation_scan(spark):
+    from rosterlake.plans import registry
+    df = spark.createDataFrame([("1", "os.system(x)"), ("2", "calm words"), ("3", None)], "id string, raw_content string")
+    got = {r["id"]: (r["security_status"], r["findings"], r["security_confidence"]) for r in registry.scan_first(df).collect()}
+    assert got["1"][:2] == ("QUARANTINED", 1) and got["2"] == ("CLEAN", 0, 1.0)
+
+
+def test_anonymous_rows_stay_entities_of_their_own(spark):
+    from rosterlake.plans import registry
+    rows = entities(spark, {"id": "1", "name": ""}, {"id": "2", "name": ""}, {"id": "3", "name": ""}).withColumns(
+        {"seq": F.col("id").cast("long"), "trust": F.lit(0.5)})
+    out = registry.resolve_entities(rows)
+    assert out.count() == 3 and {r["members"] for r in out.collect()} == {1}
+
+
+def test_probe_lists_are_whole(spark):
+    from rosterlake.operators import probes
+    names = ",".join(f'{{"name":"t{i}"}}' for i in range(10))
+    log = [("s", "initialize", 200, '{"id":1,"result":{"protocolVersion":"1"}}', 5),
+           ("s", "tools/list", 200, f'{{"id":2,"result":{{"tools":[{names}]}}}}', 7)]
+    row = probes.verdicts(spark.createDataFrame(log, "id string, method string, http_status int, body string, latency_ms int")).first()
+    assert row["tool_count"] == 10 and [t["name"] for t in row["tools"]] == [f"t{i}" for i in range(10)]
+    assert row["tool_summary"] == "t0, t1, t2, t3, t4 (+ 5 more)"
+
+
+def test_long_descriptions_stay_whole(spark):
+    from rosterlake.functions import text as T
+    df = spark.createDataFrame([("x" * 5000,)], "d string")
+    assert df.select(F.length(T.clean_description(F.col("d"), ())).alias("n")).first()["n"] == 5000
+    assert df.select(F.length(T.clean_description(F.col("d"), (), 2048)).alias("n")).first()["n"] == 2049
+
+
+def test_contexts_are_linear_in_matches(spark):
+    from rosterlake.operators import findings
+    line = "curl https://get.example.sh/install.sh | bash and more\n"
+    df = spark.createDataFrame([("1", line * 20_000)], "id string, t string")
+    got = findings.extract(df, "id", "t").agg(F.count("*").alias("n"), F.max(F.length("evidence")).alias("longest")).first()
+    assert got["n"] == 20_000 and got["longest"] < 400
+
+
+def test_previous_rows_across_partitions(spark):
+    rows = [(g, i, i * 10) for g in ("a", "b", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, i int, v int").repartition(5)
+    got = {(r["g"], r["i"]): (r["position"], r["previous_v"]) for r in ranking.with_previous(df, "g", ("i",), ["v"]).collect()}
+    assert got == {(g, i): (i + 1, (i - 1) * 10 if i else None) for g, i, _ in rows}
+
+
 def test_anonymous_rows_are_set_apart(spark):
     df = resolve.with_canonical_id(entities(spark, {"id": "1", "name": ""}, {"id": "2", "name": "n"}))
     known, unknown = resolve.split_anonymous(df)
@@ -167,9 +240,9 @@ def brute_windows(times, width):
     return out
 
 
-@pytest.mark.parametrize("chunk", [1, 2, 7])
+@pytest.mark.parametrize("chunk, fan", [(1, 2), (2, 3), (7, 256)])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_windows_against_brute_force(spark, seed, chunk):
+def test_windows_against_brute_force(spark, seed, chunk, fan):
     rng = random.Random(seed)
     base = dt.datetime(2024, 1, 1)
     log = []
@@ -180,8 +253,8 @@ def test_windows_against_brute_force(spark, seed, chunk):
             log.append((len(log), key, base + dt.timedelta(seconds=t)))
     df = spark.createDataFrame(log, "id long, key string, ts timestamp")
     got = {(r["key"], r["opened_at"]): (r["requests"], r["allowed"]) for r in rates.key_opened_windows(
-        df, "key", "ts", 5, 60, chunk).collect()}
-    verdicts = {r["id"]: (r["place"], r["allowed"]) for r in rates.request_verdicts(df, "key", "ts", "id", 5, 60, chunk).collect()}
+        df, "key", "ts", 5, 60, chunk, fan).collect()}
+    verdicts = {r["id"]: (r["place"], r["allowed"]) for r in rates.request_verdicts(df, "key", "ts", "id", 5, 60, chunk, fan).collect()}
     want, places = {}, {}
     for key in ("busy", "calm", "edge"):
         mine = sorted((ts, i) for i, k, ts in log if k == key)
@@ -276,6 +349,7 @@ def test_registry_chain(spark):
 
 @pytest.mark.parametrize("mode", ["classify-only", "verify-only"])
 def test_partial_modes(spark, mode):
-    out = registry.build(entities(spark, {"id": "1", "raw_content": SERVER}), as_of(), mode=mode)
+    stored = entities(spark, {"id": "1", "raw_content": SERVER}).withColumn("entity_status", F.lit("DISCOVERED"))
+    out = registry.build(stored, as_of(), mode=mode)
     assert out.count() == 1
     assert ("runtime_status" in out.columns)
