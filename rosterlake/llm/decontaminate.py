@@ -87,6 +87,7 @@ def sizes(docs: DataFrame) -> DataFrame:
 def _ranked(postings: DataFrame, places: DataFrame) -> DataFrame:
     """places with ``rank`` 0 for the rarest term of its window, 1 for the next; terms the corpus lacks are rarest."""
     seen = postings.groupBy("id").agg(F.count("*").alias("df"))
+    seen = _small(materialise(seen, "frequencies"), BROADCAST_ROWS)     # a row per term of the benchmark
     known = places.withColumn("id", F.xxhash64("term")).join(seen, "id", "left").fillna(0, ["df"])
     order = Window.partitionBy("w").orderBy("df", "spot")
     whole = F.min("df").over(Window.partitionBy("w")) > 0     # a window with an unseen term cannot occur
