@@ -36,6 +36,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or 0) <= 255
+
+
 def _emails(text):
     """Leftmost, non-overlapping: the run of local characters before each ``@`` with a domain."""
     free = 0
@@ -53,8 +58,7 @@ def base_spans(text: str) -> list:
     out = list(_emails(text)) if "@" in text else []
     if _ANY_DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(int(p) <= 255 for p in m[0].split(".") if len(p.lstrip("0")) <= 3) and \
-                    all(len(p.lstrip("0")) <= 3 for p in m[0].split(".")):
+            if all(_octet(p) for p in m[0].split(".")):
                 out.append(("ip", m.start(), m.end()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 14:
