@@ -348,15 +348,27 @@ def evidence_arrays(spark, d):
         F.size(evidence.by_type(e, "RUNTIME")).alias("runtime_items"))
 
 
+_KINDS = tuple(classes.EVIDENCE_KINDS)
+_KIND_SQL = " UNION ALL ".join(
+    f"SELECT doc_id, {B.quote(k)} AS type, {B.quote(src)} AS source, {'NULL' if rule is None else B.quote(rule)} AS fixed FROM documents"
+    for k, (src, rule) in classes.EVIDENCE_KINDS.items())
+
+
 @query("evidence_rows", f"""
-WITH e AS (SELECT doc_id, 'README' AS type, 'readme' AS source, 'readme_match' AS rule, lang AS matched, text AS snippet FROM documents
- UNION ALL SELECT doc_id, 'RULE_MATCH', '', 'lang_' || lang, source, '' FROM documents)
+WITH k AS ({_KIND_SQL}), e AS (SELECT d.doc_id, type, k.source, coalesce(fixed, 'lang_' || lang) AS rule,
+  CASE WHEN type = 'README' THEN lang ELSE d.source END AS matched, CASE WHEN type = 'README' THEN text ELSE '' END AS snippet
+  FROM k JOIN documents d ON d.doc_id = k.doc_id)
 SELECT doc_id, type, source, rule, matched, substr(sha256(matched), 1, 16) AS content_hash, md5(snippet) AS snippet_md5, '2024-07-01 00:00:00' AS seen_at FROM e""")
 def evidence_rows(spark, d):
+    """Evidence of all five kinds; readme evidence carries the whole text."""
     docs = B.texts(spark, d, "documents")
-    readme = evidence.typed_rows(docs, "doc_id", "README", F.col("lang"), F.lit(0.7), B.as_of(), snippet=F.col("text"))
-    rule = evidence.typed_rows(docs, "doc_id", "RULE_MATCH", F.col("source"), F.lit(1.0), B.as_of(),
-                               rule=F.concat(F.lit("lang_"), "lang"))
-    return readme.unionByName(rule).select(
+    out = None
+    for kind in _KINDS:
+        readme = kind == "README"
+        rows = evidence.typed_rows(
+            docs, "doc_id", kind, F.col("lang" if readme else "source"), F.lit(0.7), B.as_of(),
+            snippet=F.col("text") if readme else None, rule=F.concat(F.lit("lang_"), "lang"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.select(
         "doc_id", "type", "source", "rule", "matched", "content_hash", F.md5("snippet").alias("snippet_md5"),
         F.date_format("seen_at", "yyyy-MM-dd HH:mm:ss").alias("seen_at"))
