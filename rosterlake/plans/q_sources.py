@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import probes
-from ..session import fresh_path
+from ..session import expire, fresh_path
 from ..sources import landed, manifests, pages as P
 from . import bindings as B
 from .book import query
@@ -165,6 +165,7 @@ def labelled_files(spark, d):
     for quality, name in ((1, "positive"), (0, "negative")):
         files.filter(F.col("quality") == quality).select("value").write.option("maxRecordsPerFile", 1).option("compression", "none").format(
             "text").save(f"{folder}/{name}")
+    expire(spark, folder)
     rows = landed.labelled_fixtures(spark, folder, pattern="*.txt")
     return rows.select("id", "expected", F.length("raw_content").cast("long").alias("chars"))
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import rates
-from ..session import fresh_path
+from ..session import expire, fresh_path
 from ..sinks import tables
 from ..streaming import jobs
 from . import bindings as B
@@ -57,7 +57,7 @@ def request_verdicts(spark, d):
 def request_stream(spark, d):
     """The same verdicts from the stateful stream."""
     stream = jobs.rate_stream(_stream(spark, d), "user_id", "ts", "event_id", 2, _DAY)
-    return jobs.run_available(stream, fresh_path(spark, "rates")).drop("opened_us")
+    return jobs.run_available(stream, fresh_path(spark, "rates"), keep=False).drop("opened_us")
 
 
 @query("aligned_windows", f"""SELECT user_id, strftime(time_bucket(INTERVAL 1 DAY, ts), {_TS}) AS opened_at, count(*) AS requests, least(count(*), 2) AS allowed, greatest(count(*) - 2, 0) AS throttled
@@ -72,7 +72,7 @@ def deduplicated_stream(spark, d):
     """First sight of (user, type, day) over the arriving events."""
     stream = _stream(spark, d).withColumn("day", F.date_format("ts", "yyyyMMdd"))
     kept = jobs.dedupe_stream(stream, ["user_id", "event_type", "day"], "ts", "40 days")
-    return jobs.run_available(kept.select("user_id", "event_type", "day", "ts"), fresh_path(spark, "dedupe")).drop("ts")
+    return jobs.run_available(kept.select("user_id", "event_type", "day", "ts"), fresh_path(spark, "dedupe"), keep=False).drop("ts")
 
 
 @query("upserted_stream", """SELECT user_id AS id, arg_max(event_type, event_id) AS status, strftime(arg_min(ts, event_id), '%Y-%m-%d %H:%M:%S') AS first_seen,
@@ -83,6 +83,8 @@ def upserted_stream(spark, d):
                                     F.col("ts").alias("first_seen"), F.col("ts").alias("last_seen"))
     folder = fresh_path(spark, "entities")
     jobs.append_stream(rows, folder).awaitTermination()
+    for path in (folder, f"{folder}-progress"):
+        expire(spark, path)
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return tables.current(spark.read.parquet(folder), "id", ["event_id"], ("first_seen",)).select("id", "status", stamp("first_seen"), stamp("last_seen"))
 
@@ -107,4 +109,4 @@ def stage_metrics_stream(spark, d):
     """All windows so far, open ones included."""
     stream = _stream(spark, d).withColumn("bad", F.col("value") > 50)
     counted = jobs.stage_metrics(stream, "ts", "event_type", "value", "bad")
-    return _metric_rows(jobs.run_updates(counted, fresh_path(spark, "metrics"), ["window_start", "event_type"]))
+    return _metric_rows(jobs.run_updates(counted, fresh_path(spark, "metrics"), ["window_start", "event_type"], keep=False))

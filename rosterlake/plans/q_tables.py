@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import resolve
-from ..session import fresh_path
+from ..session import expire, fresh_path
 from ..sinks import tables as K
 from ..sources import landed
 from . import bindings as B
@@ -116,6 +116,7 @@ def run_folders(spark, d):
     log, path = _log(spark, d).select("id", "event_id", "crawl_id"), fresh_path(spark, "history")
     for half in (F.col("event_id") % 2 == 0, F.col("event_id") % 2 != 0):
         K.append_history(log.filter(half), path)
+    expire(spark, path)
     # a folder's name would otherwise be read as a number
     kept = spark.read.schema("id long, event_id long, crawl_id string").parquet(path)
     return kept.groupBy("crawl_id").agg(F.count("*").alias("rows"), F.countDistinct("id").alias("ids"))
@@ -129,6 +130,7 @@ def backed_up_orders(spark, d):
     second = K.backup_once(spark, orders.withColumn("o_totalprice", F.lit(0.0)), path)
     if (first, second) != (True, False):
         raise RuntimeError("the backup was not made exactly once")
+    expire(spark, path)
     return spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import bands, encoding, text as T, urls
 from ..operators import categories, evidence, match, resolve
 from ..rules import classes, vocab
-from ..session import fresh_path
+from ..session import expire, fresh_path
 from ..sources import landed
 from . import bindings as B
 from .book import query
@@ -257,6 +257,7 @@ def signal_file_hits(spark, d):
     words = docs.select("source").distinct().agg(F.sort_array(F.collect_list("source")).alias("sources"))
     path = fresh_path(spark, "signals")
     words.select("sources", F.array().cast("array<string>").alias("languages")).coalesce(1).write.json(path)
+    expire(spark, path)
     sets = landed.load_signals_file(spark, path, {"sources": ("none",), "languages": ("-en", "-de")})
     dictionary = match.terms(sets["sources"]) + match.terms(sets["languages"])
     tagged = docs.select("doc_id", F.concat_ws("-", "source", "lang").alias("tag"))

@@ -21,6 +21,12 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def expire(spark: SparkSession, path: str):
+    """Has an intermediate folder deleted when the session's JVM ends; nothing can read it after that."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def materialise(df: DataFrame, label="stage", partition_by=None) -> DataFrame:
     """Writes ``df`` to a table in the shared folder and reads it back.
 
@@ -32,6 +38,7 @@ def materialise(df: DataFrame, label="stage", partition_by=None) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    expire(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

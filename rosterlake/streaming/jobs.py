@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..session import expire
 from ..sinks import tables
 
 
@@ -17,14 +18,21 @@ def file_stream(spark: SparkSession, path: str, schema, pattern: str = None, per
     return reader.parquet(path)
 
 
-def run_available(stream: DataFrame, out: str) -> DataFrame:
+def _done(stream: DataFrame, out: str, keep: bool):
+    for path in () if keep else (out, f"{out}-progress"):
+        expire(stream.sparkSession, path)
+
+
+def run_available(stream: DataFrame, out: str, keep=True) -> DataFrame:
     """Runs a stream over what has arrived and returns what it wrote.
 
     ``out`` is a folder that all executors share; progress is kept beside it.
+    With ``keep=False`` both go when the session ends.
     """
     query = (stream.writeStream.outputMode("append").format("parquet")
              .option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start(out))
     query.awaitTermination()
+    _done(stream, out, keep)
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
@@ -38,9 +46,10 @@ def append_stream(stream: DataFrame, out: str, mode="append"):
             .trigger(availableNow=True).start())
 
 
-def run_updates(stream: DataFrame, out: str, key, order=()) -> DataFrame:
+def run_updates(stream: DataFrame, out: str, key, order=(), keep=True) -> DataFrame:
     """Latest row per key of a stream in update mode: rows of open windows are there too."""
     append_stream(stream, out, "update").awaitTermination()
+    _done(stream, out, keep)
     log = stream.sparkSession.read.schema(stream.schema.add("batch", "long")).parquet(out)
     return tables.current(log, key, order, ())
 
