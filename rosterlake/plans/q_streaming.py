@@ -57,7 +57,7 @@ def request_verdicts(spark, d):
 def request_stream(spark, d):
     """The same verdicts from the stateful stream."""
     stream = jobs.rate_stream(_stream(spark, d), "user_id", "ts", "event_id", 2, _DAY)
-    return jobs.run_available(stream, fresh_path(spark, "rates"), keep=False).drop("opened_us")
+    return jobs.run_available(stream, fresh_path(spark, "rates"), keep=False, allow_late=False).drop("opened_us")
 
 
 @query("aligned_windows", f"""SELECT user_id, strftime(time_bucket(INTERVAL 1 DAY, ts), {_TS}) AS opened_at, count(*) AS requests, least(count(*), 2) AS allowed, greatest(count(*) - 2, 0) AS throttled
@@ -72,7 +72,7 @@ def deduplicated_stream(spark, d):
     """First sight of (user, type, day) over the arriving events."""
     stream = _stream(spark, d).withColumn("day", F.date_format("ts", "yyyyMMdd"))
     kept = jobs.dedupe_stream(stream, ["user_id", "event_type", "day"], "ts", "40 days")
-    return jobs.run_available(kept.select("user_id", "event_type", "day", "ts"), fresh_path(spark, "dedupe"), keep=False).drop("ts")
+    return jobs.run_available(kept.select("user_id", "event_type", "day", "ts"), fresh_path(spark, "dedupe"), keep=False, allow_late=False).drop("ts")
 
 
 @query("upserted_stream", """SELECT user_id AS id, arg_max(event_type, event_id) AS status, strftime(arg_min(ts, event_id), '%Y-%m-%d %H:%M:%S') AS first_seen,

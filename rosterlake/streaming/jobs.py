@@ -18,20 +18,28 @@ def file_stream(spark: SparkSession, path: str, schema, pattern: str = None, per
     return reader.parquet(path)
 
 
+def late_rows(query) -> int:
+    """Rows that a query has dropped, in its recent batches, as later than its watermark."""
+    return sum(int(op.numRowsDroppedByWatermark) for p in query.recentProgress for op in p.stateOperators)
+
+
 def _done(stream: DataFrame, out: str, keep: bool):
     for path in () if keep else (out, f"{out}-progress"):
         expire(stream.sparkSession, path)
 
 
-def run_available(stream: DataFrame, out: str, keep=True) -> DataFrame:
+def run_available(stream: DataFrame, out: str, keep=True, allow_late=True) -> DataFrame:
     """Runs a stream over what has arrived and returns what it wrote.
 
     ``out`` is a folder that all executors share; progress is kept beside it.
-    With ``keep=False`` both go when the session ends.
+    With ``keep=False`` both go when the session ends.  ``allow_late=False``
+    fails a run that has dropped late rows.
     """
     query = (stream.writeStream.outputMode("append").format("parquet")
              .option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start(out))
     query.awaitTermination()
+    if not allow_late and (late := late_rows(query)):
+        raise RuntimeError(f"{late} rows came later than the watermark and were dropped")
     _done(stream, out, keep)
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 

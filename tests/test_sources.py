@@ -170,3 +170,23 @@ def test_upsert_stream_over_batches(spark, sf_dir):
     assert log.select("batch").distinct().count() == 3 and log.count() == events.count()
     want = events.groupBy("user_id").agg(F.max("event_id").alias("event_id"))
     assert sorted(rows(tables.current(log, "user_id", ["event_id"], ()).select("user_id", "event_id"))) == sorted(rows(want))
+
+
+def test_late_rows_are_reported(spark, tmp_path):
+    import os
+    import time
+
+    import pytest
+    from rosterlake.streaming import jobs
+    for n, day in ((0, 20), (1, 21), (2, 2)):
+        df = spark.createDataFrame([(n, f"2024-01-{day:02d} 00:00:00")], "k long, t string").selectExpr("k", "cast(t as timestamp) ts")
+        df.coalesce(1).write.parquet(str(tmp_path / f"w{n}"))
+        (part,) = [f for f in os.listdir(tmp_path / f"w{n}") if f.startswith("part")]
+        os.makedirs(tmp_path / "in", exist_ok=True)
+        os.link(tmp_path / f"w{n}" / part, tmp_path / "in" / f"{n}.parquet")
+        os.utime(tmp_path / "in" / f"{n}.parquet", (time.time() - 100 + n * 10,) * 2)
+    stream = jobs.file_stream(spark, str(tmp_path / "in"), df.schema, per_trigger=1)
+    kept = jobs.dedupe_stream(stream, ["k"], "ts", "1 hour")
+    assert jobs.run_available(kept, str(tmp_path / "out")).count() == 2
+    with pytest.raises(RuntimeError, match="1 rows came later"):
+        jobs.run_available(kept, str(tmp_path / "out2"), allow_late=False)
