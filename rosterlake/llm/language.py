@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import crf
 from .common import fold, slices
-from .sampling import thinned, window_of
+from .sampling import thinned_by, window_of
 
 TRAIN_DOCS = 500
 TRAIN_CHARS = 500
@@ -49,10 +49,7 @@ def train(docs: DataFrame, per_language=TRAIN_DOCS, chars=TRAIN_CHARS, held_out=
     counts = sorted((r["lang"], r["count"]) for r in rows.groupBy("lang").count().collect())
     if not counts:
         return None
-    sample = None
-    for lang, n in counts:
-        part = thinned(rows.filter(F.col("lang") == lang), F.col("doc_id"), per_language, n)
-        sample = part if sample is None else sample.unionByName(part)
+    sample = thinned_by(rows, F.col("lang"), F.col("doc_id"), per_language, dict(counts))
     got = sample.select("lang", window_of(F.col("text"), F.col("doc_id"), chars).alias("text")).collect()
     labels = [lang for lang, _ in counts]
     sequences = []

@@ -15,6 +15,14 @@ def thinned(df: DataFrame, key: Column, rows: int, total: int, salt=17) -> DataF
     return df if total <= rows else df.filter(part(key, F.lit(salt)) < F.lit(int(PARTS * rows / total) + 1))
 
 
+def thinned_by(df: DataFrame, by: Column, key: Column, rows: int, totals: dict, salt=17) -> DataFrame:
+    """About ``rows`` rows of every value of ``by``, in one pass; ``totals`` has the number of rows of each."""
+    keep = F.lit(False)
+    for value, total in totals.items():
+        keep = F.when(by == value, part(key, F.lit(salt)) < F.lit(int(PARTS * rows / total) + 1)).otherwise(keep)
+    return df.filter(keep)
+
+
 def window_of(text: Column, key: Column, chars: int) -> Column:
     """A stretch of ``chars`` characters at a place that the row's hash chooses."""
     room = F.greatest(F.char_length(text) - chars, F.lit(0)) + 1
