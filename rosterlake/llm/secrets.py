@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialise
 from . import crf
 from .common import slices
-from .sampling import thinned, window_of
+from .sampling import thinned, thinned_by, window_of
 
 # fixed patterns: kind, expression, group to measure, least length
 KEY_WORDS = ("password", "passwd", "secret", "token", "api_?key")
@@ -103,12 +104,12 @@ def train(docs: DataFrame, rows=TRAIN_ROWS, windows=TRAIN_WINDOWS, chars=WINDOW_
     found = seen.withColumn("at", F.regexp_instr("text", F.lit(_GATE)))
     near = F.substring("text", F.greatest(F.lit(1), F.col("at") - chars // 2), F.lit(chars))
     window = F.when(F.col("at") > 0, near).otherwise(window_of(F.col("text"), F.col("doc_id"), chars))
-    counts = found.agg(F.count_if(F.col("at") > 0), F.count_if(F.col("at") == 0)).first()
+    cut = materialise(found.select("doc_id", (F.col("at") > 0).alias("hit"), window.alias("text")), "windows")
+    totals = {r["hit"]: r["count"] for r in cut.groupBy("hit").count().collect()}
     # about ``windows`` rows of either sort reach the driver, however many tasks read the table
-    picked = [thinned(found.filter(sort), F.col("doc_id"), windows, n, salt=3) for sort, n in zip(("at > 0", "at = 0"), counts)]
-    rows = picked[0].unionByName(picked[1]).select("at", window.alias("text")).collect()
+    rows = thinned_by(cut, F.col("hit"), F.col("doc_id"), windows, totals, salt=3).collect()
     sequences, any_ = [], False
-    for r in sorted(rows, key=lambda r: (r["at"] == 0, r["text"])):
+    for r in sorted(rows, key=lambda r: (not r["hit"], r["text"])):
         tokens, tags, file = _tagged(r["text"])
         sequences.append((tokens, tags, file))
         if any(tags):
