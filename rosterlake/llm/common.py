@@ -24,6 +24,19 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS, F.lit(0))
 
 
+BATCH = "4m"      # of Arrow data that a task hands to Python at a time
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_arrow(df: DataFrame, fn, schema) -> DataFrame:
+    """``mapInArrow`` with small batches, so that a task's memory does not depend on the length of texts.
+
+    The setting is the session's, and is read when the plan runs.
+    """
+    df.sparkSession.conf.set(_BATCH_KEY, BATCH)
+    return df.mapInArrow(fn, schema)
+
+
 def slices(batches, max_bytes=SLICE_BYTES, column="text"):
     """Cuts record batches so that a piece holds about ``max_bytes`` of the text column."""
     for batch in batches:

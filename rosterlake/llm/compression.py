@@ -16,7 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fold, slices
+from .common import fold, in_arrow, slices
 from .sampling import thinned, window_of
 
 TRAIN_DOCS = 1500
@@ -140,6 +140,6 @@ def scores(docs: DataFrame, labels: DataFrame, held_out=0, threshold=THRESHOLD)
     """
     scorer = train(docs, labels, held_out=held_out)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scored(scorer), "doc_id long, score double").select(
+    return rows.transform(in_arrow, _scored(scorer), "doc_id long, score double").select(
         "doc_id", (fold(F.col("doc_id")) == held_out).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))

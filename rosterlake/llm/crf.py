@@ -11,7 +11,7 @@ import zlib
 
 import numpy as np
 
-CACHE_WORDS = 200_000    # distinct words a task remembers; beyond, the memory starts anew
+CACHE_WORDS = 100_000    # distinct words a task remembers; beyond, the memory starts anew
 SEGMENT = 256            # words of a chain
 CELLS = 200_000          # words decoded side by side at most
 
@@ -38,7 +38,7 @@ class Buckets(dict):
         self.size = size
 
     def __missing__(self, name):
-        if len(self) > 4 * CACHE_WORDS:
+        if len(self) > CACHE_WORDS:
             self.clear()
         self[name] = at = zlib.crc32(name.encode("utf-8", "surrogatepass")) % self.size
         return at

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialise
-from .common import SPACE, WordHash, bytes_of, list_array, slices, spans, windows, within
+from .common import SPACE, WordHash, bytes_of, in_arrow, list_array, slices, spans, windows, within
 from .components import components
 
 WORDS = 5          # words of a shingle
@@ -124,7 +124,7 @@ def _signatures(percent):
 
 def signatures(docs: DataFrame, percent=PERCENT) -> DataFrame:
     """doc_id, n (set size), print (fingerprint), prefix, bits, sketch; one row per row of ``docs``."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(in_arrow,
         _signatures(percent), "doc_id long, n long, print binary, prefix array<long>, bits binary, sketch array<long>")
 
 
@@ -173,14 +173,14 @@ def _links(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, percent) -> Data
     one = sizes.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
     two = sizes.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
     possible = (pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
-                .mapInArrow(_bounded(percent), "a long, b long"))
+                .transform(in_arrow, _bounded(percent), "a long, b long"))
     possible = materialise(possible, "pairs")
     ids = possible.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialise(_texts_of(docs, ids).mapInArrow(_sets, "doc_id long, items array<long>"), "sets")
+    sets = materialise(_texts_of(docs, ids).transform(in_arrow, _sets, "doc_id long, items array<long>"), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b"))
     found = (possible.join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b")
-             .mapInArrow(_verified(percent), "a long, b long").distinct())
+             .transform(in_arrow, _verified(percent), "a long, b long").distinct())
     return materialise(found, "links")
 
 
@@ -251,11 +251,11 @@ def _postings(docs: DataFrame, kept: DataFrame, percent, crowd) -> DataFrame:
         # of a passage, a prefix shows a part only: count as many hashes again of the documents that hold a piece of it
         def holders():
             return materialise(flat.join(F.broadcast(hot), "h", "left_semi").select(F.col("doc").alias("doc_id")).distinct(), "holders")
-        beyond = _texts_of(docs, holders()).mapInArrow(_beyond(percent), "h long")
+        beyond = _texts_of(docs, holders()).transform(in_arrow, _beyond(percent), "h long")
         hot = materialise(_most(beyond.groupBy("h").agg(F.count("*").alias("members")), crowd).union(hot).distinct(), "hot")
         held = holders()
         late = np.sort(np.array([r["h"] for r in hot.collect()], np.int64))     # 2 * HOT numbers at most
-        moved = materialise(_texts_of(docs, held).mapInArrow(
+        moved = materialise(_texts_of(docs, held).transform(in_arrow,
             _reordered(late, percent), "h long, doc long, n long, pos long, fresh boolean"), "moved")
         flat = flat.join(_checked(held.withColumnRenamed("doc_id", "doc")), "doc", "left_anti").unionByName(moved.drop("fresh"))
         keys = keys.union(moved.filter("fresh").select("h")).distinct()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import crf
-from .common import fold, slices
+from .common import fold, in_arrow, slices
 from .sampling import thinned_by, window_of
 
 TRAIN_DOCS = 500
@@ -92,7 +92,7 @@ def labelled(df: DataFrame, model, names=("lang_pred", "score")) -> DataFrame:
     Every row is judged alone; repeated rows get equal results and an empty table gives an empty one.
     """
     more = [T.StructField(name, kind) for name, kind in zip(names, (T.StringType(), T.DoubleType()))]
-    return df.mapInArrow(_label(model, names), T.StructType([*df.schema.fields, *more]))
+    return df.transform(in_arrow, _label(model, names), T.StructType([*df.schema.fields, *more]))
 
 
 def predictions(docs: DataFrame, held_out=0) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise
-from .common import slices
+from .common import in_arrow, slices
 
 CAPACITY = 2048
 END = 0               # id that ends a document
@@ -79,7 +79,7 @@ def _pieces(path, capacity):
 
 def pieces(docs: DataFrame, path: str, capacity=CAPACITY) -> DataFrame:
     """Token pieces of every document: doc_id, piece, start, length, ids_crc32."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).transform(in_arrow,
         _pieces(path, capacity), PIECES)
 
 
@@ -254,7 +254,7 @@ def packed(docs: DataFrame, path: str, capacity=CAPACITY, shard_pieces=SHARD_PIE
     # one shard a partition: whole shards are dealt by their number, which takes almost no time to pack
     short = (all_.filter(F.col("length") < capacity).withColumn("copy", F.monotonically_increasing_id())
              .withColumn("shard", shard))
-    placed = short.repartition(shards, "shard").mapInArrow(
+    placed = short.repartition(shards, "shard").transform(in_arrow,
         _pack_shards(capacity), PIECES + ", sequence_id long, offset long")
     full = all_.filter(F.col("length") == capacity).select(
         "*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

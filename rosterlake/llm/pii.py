@@ -15,7 +15,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices
+from .common import in_arrow, slices
 
 # fixed patterns; phone and card lengths count digits
 KINDS = ("email", "ip", "card", "phone")
@@ -249,7 +249,7 @@ def search(docs: DataFrame) -> DataFrame:
     Null text counts as empty; a null doc_id is kept; repeated rows get equal results; an empty table gives an empty
     one; other columns are ignored.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(in_arrow,
         _found, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
@@ -267,4 +267,4 @@ def _masked(batches):
 
 def without_personal_data(docs: DataFrame) -> DataFrame:
     """``docs`` with all findings masked in ``text``; ``n_chars``, where there is one, follows the new text."""
-    return docs.mapInArrow(_masked, docs.schema)
+    return docs.transform(in_arrow, _masked, docs.schema)

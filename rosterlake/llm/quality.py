@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialise
-from .common import SPACE, WordHash, byte_set, bytes_of, slices, spans, windows, within
+from .common import SPACE, WordHash, byte_set, bytes_of, in_arrow, slices, spans, windows, within
 
 REPEAT_WORDS = 5
 SYMBOLS = byte_set(b"#*$%&|<>")
@@ -152,7 +152,7 @@ def judged(docs: DataFrame, rules=RULES, prior=PRIOR, keep_from=KEEP_FROM) -> Da
     repeated rows count each and get equal results; an empty table gives an empty one; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = materialise(rows.mapInArrow(_measured, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)), "measures")
+    table = materialise(rows.transform(in_arrow, _measured, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)), "measures")
     named = [f"vote_{name}" for name, _, _ in rules]
     voted = table.select("*", *votes(rules))
     found = voted.groupBy(*named).count().collect()       # at most 3 ** rules rows

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise
 from . import crf
-from .common import slices
+from .common import in_arrow, slices
 from .sampling import thinned, thinned_by, window_of
 
 # fixed patterns: kind, expression, group to measure, least length
@@ -187,5 +187,5 @@ def scan(docs: DataFrame) -> DataFrame:
     pattern spans are given.
     """
     model = train(docs)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(in_arrow,
         _found(model), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
