@@ -29,10 +29,9 @@ def assemble(df: DataFrame) -> Column:
     return F.array_join(F.filter(parts, lambda p: F.coalesce(p, F.lit("")) != ""), "\n\n")
 
 
-# ASCII punctuation that prose seldom has; a text is reduced to these once, and
-# most rules end at a look into that short string
+# ASCII punctuation that prose seldom has; the marks of a text are looked up
+# once, and most rules end at a look into that short string
 _MARKS = "!\"#$%&'()*+/:;<=>?@[\\]^_`{|}~-"
-_NO_MARK = "[^" + "".join("\\" + c for c in _MARKS) + "]+"
 
 
 def _has_marks(chars, marks="_marks") -> list:
@@ -54,7 +53,7 @@ def _may_match(text: str, rule) -> str:
 
 def _with_folded(df: DataFrame, text: str) -> DataFrame:
     return df.withColumns({"_folded": regex.fold_case(F.col(text)),
-                           "_marks": F.regexp_replace(text, _NO_MARK, "")})
+                           "_marks": F.concat_ws("", *[F.when(F.contains(text, F.lit(c)), c) for c in _MARKS])})
 
 
 def hit_structs(text: str, rules, families) -> Column:
