@@ -56,12 +56,17 @@ _SHAPES = [(re.compile("[A-Z]+"), "X"), (re.compile("[a-z]+"), "x"), (re.compile
 
 def token_features(token: str) -> list:
     """Shape, length, alphabet, spread of characters, affixes; nothing of the file."""
+    core = token.strip("\"'`,;()[]{}<>")
+    out = ["bias", "n=" + str(min(12, len(core).bit_length() * 2 + (len(core) & (len(core) >> 1) > 0)))]
+    if len(core) < LEAST_CHARS and core.isascii() and core.isalpha() and (core[1:].islower() or len(core) == 1):
+        # a plain word, perhaps with signs around it, needs no closer look
+        shape = token.replace(core, "Xx" if core[0].isupper() else "x", 1)
+        return [*out, "shape=" + shape[:24], "w=" + token.lower(), "end=" + token[-1], *["sign" + c for c in "=:\"'@/_-+." if c in token]]
     shape = token
     for pattern, mark in _SHAPES:
         shape = pattern.sub(mark, shape)
-    core = token.strip("\"'`,;()[]{}<>")
     digits, letters = sum(map(str.isdigit, core)), sum(map(str.isalpha, core))
-    out = ["bias", "n=" + str(min(12, len(core).bit_length() * 2 + (len(core) & (len(core) >> 1) > 0))), "shape=" + shape[:24]]
+    out.append("shape=" + shape[:24])
     if digits:
         out.append("digits" + ("+letters" if letters else ""))
     if digits and letters and len(core) >= LEAST_CHARS:
