@@ -1,9 +1,11 @@
 """Quality rules under weak supervision.
 
-Each rule votes good, bad or abstains.  Expectation-maximisation over the votes of the whole table estimates each
-rule's accuracy, that is how often its votes are right; a rule whose votes others corroborate gains weight, one that stands
-alone loses it.  The share of good documents is given, as votes alone cannot tell it.  The posterior probability of a good document decides, in
-place of a demand that all rules pass.  A table of vote patterns and their counts is all that the estimation needs:
+Each rule votes good, bad or abstains.  Expectation-maximisation over the votes of the whole table estimates how often
+each rule votes bad and how often good, among good documents and among bad ones, and the share of good documents within
+bounds.  It starts from one accuracy per rule, estimated under a given share.  A rule that
+mostly speaks alone decides, if others second it at times and hardly speak against it; one that fires beside good votes
+loses weight, and one that nothing ever seconds stays open.  The posterior probability of a good document
+decides, in place of a demand that all rules pass.  A table of vote patterns and their counts is all that the estimation needs:
 it has at most 3 ** rules rows, whatever the corpus, and is the only thing that reaches the driver.
 """
 
@@ -25,6 +27,8 @@ PRIOR = 0.8              # share of good documents
 RIGHT = 0.8              # accuracy that a rule is expected to have
 TRUST = 1.0              # weight of that expectation against the rule's own votes, per vote
 LEAST, MOST = 0.5, 0.999  # a rule is taken to be no worse than chance, and never certain
+GOOD_SHARE = (0.5, 0.95)  # bounds of the estimated share of good documents
+EXPECTED = 2.0           # documents of either sort that the expectation of a rule's rates counts as
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_alpha")
 
@@ -144,6 +148,33 @@ def posterior(patterns, prior, accuracy):
     return 1 / (1 + np.exp(-odds))
 
 
+def vote_weights(patterns, counts, prior=PRIOR, rounds=ROUNDS):
+    """(share of good documents, log odds of good that each rule's votes -1, 0, 1 carry).
+
+    A rule has a rate of bad votes and one of good votes in either sort of document, drawn towards the rule's rates in
+    the whole table, tilted by ``RIGHT``, with the weight of ``EXPECTED`` documents.  Abstaining carries nothing.
+    """
+    patterns, counts = np.asarray(patterns, np.int64).reshape(len(counts), -1), np.asarray(counts, float)
+    good = posterior(patterns, prior, estimate(patterns, counts, prior, rounds))
+    cast = np.stack([patterns == -1, patterns == 1], axis=2)
+    all_ = np.einsum("p,prv->rv", counts, cast) / counts.sum()
+    tilt = 2 * np.array([1 - RIGHT, RIGHT])
+    most = math.log(MOST / (1 - MOST))
+    for _ in range(rounds):
+        in_good = np.einsum("p,prv->rv", counts * good, cast) + EXPECTED * all_ * tilt
+        in_bad = np.einsum("p,prv->rv", counts * (1 - good), cast) + EXPECTED * all_ * (2 - tilt)
+        n_good, n_bad = (counts * good).sum() + EXPECTED, (counts * (1 - good)).sum() + EXPECTED
+        odds = np.log(np.where(all_ > 0, in_good, 1) / np.where(all_ > 0, in_bad, 1) * np.where(all_ > 0, n_bad / n_good, 1))
+        weights = np.zeros((patterns.shape[1], 3))
+        weights[:, 0], weights[:, 2] = np.clip(odds[:, 0], -most, 0), np.clip(odds[:, 1], 0, most)
+        prior = float(np.clip((counts * good).sum() / counts.sum(), *GOOD_SHARE))
+        total = math.log(prior / (1 - prior)) + np.take_along_axis(weights, patterns.T + 1, axis=1).sum(axis=0)
+        before, good = good, 1 / (1 + np.exp(-total))
+        if np.abs(good - before).max() < SETTLED:
+            break
+    return prior, weights
+
+
 def judged(docs: DataFrame, rules=RULES, prior=PRIOR, keep_from=KEEP_FROM) -> DataFrame:
     """doc_id, counts, base_failed, kept, p_good and the votes; one row per row of ``docs``.
 
@@ -160,10 +191,10 @@ def judged(docs: DataFrame, rules=RULES, prior=PRIOR, keep_from=KEEP_FROM) -> Da
     if found:
         found = sorted(tuple(r) for r in found)
         patterns = [r[:-1] for r in found]
-        accuracy = estimate(patterns, [r[-1] for r in found], prior)
-        odds = F.lit(math.log(prior / (1 - prior)))
-        for name, weight in zip(named, np.log(accuracy / (1 - accuracy))):
-            odds = odds + F.col(name) * F.lit(float(weight))
+        share, weights = vote_weights(patterns, [r[-1] for r in found], prior)
+        odds = F.lit(math.log(share / (1 - share)))
+        for name, (bad, _, good) in zip(named, weights.tolist()):
+            odds = odds + F.when(F.col(name) == -1, bad).when(F.col(name) == 1, good).otherwise(0.0)
         p_good = 1 / (1 + F.exp(-odds))
     failed = F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words")
     return voted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -106,3 +106,17 @@ def test_corroborated_rule_gains_weight():
 def test_clean_documents_are_kept(spark, sf_dir):
     rows = OP(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").filter("quality = 1 and not base_failed").collect()
     assert sum(r.kept for r in rows) >= 0.99 * len(rows)
+
+
+def test_mostly_lone_rule_decides_unless_spoken_against():
+    # rule 0 mostly speaks alone, rule 3 seconds it at times; rule 1 fires beside the good vote of rule 2
+    patterns = [(-1, 0, 0, 0), (-1, 0, 0, -1), (0, -1, 0, 0), (0, -1, 1, 0), (0, 0, 0, 0), (0, 0, 1, 0)]
+    share, weights = quality.vote_weights(patterns, [30, 5, 5, 80, 50, 800])
+    odds = [np.log(share / (1 - share)) + sum(w[v + 1] for w, v in zip(weights, p)) for p in patterns]
+    assert max(odds[:2]) < 0 < min(odds[2:])
+    assert (weights[:, 0] <= 0).all() and (weights[:, 1] == 0).all() and (weights[:, 2] >= 0).all()
+
+
+def test_bad_documents_are_dropped(spark, sf_dir):
+    rows = OP(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").filter("quality = 0 and not base_failed").collect()
+    assert rows and sum(not r.kept for r in rows) >= 0.9 * len(rows)
