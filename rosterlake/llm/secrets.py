@@ -1,9 +1,10 @@
 """Secret scan: fixed patterns, and a linear-chain conditional random field that adds what they miss.
 
 The field tags tokens as secret begin, inside or outside from their shape, their neighbours and features of the
-file, decoded by Viterbi.  It learns from the spans that the patterns find: at most ``TRAIN_ROWS`` rows, chosen by a
-hash of the id, give windows around a finding and windows elsewhere.  So that it does not depend on the key words
-that the patterns need, every finding is also shown with its key word replaced.
+file, decoded by Viterbi.  It learns from the spans that the patterns find: the whole table is looked through, and
+``TRAIN_WINDOWS`` of the rows with a finding and as many of those without, chosen by a hash of the id, give a window
+each, around a finding or elsewhere.  So that it does not depend on the key words that the patterns need, every finding
+is also shown with its key word replaced.
 
 Spans count code points of the text, end exclusive.
 """
@@ -19,7 +20,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import materialise
 from . import crf
 from .common import in_arrow, slices
-from .sampling import thinned, thinned_by, window_of
 
 # fixed patterns: kind, expression, group to measure, least length
 KEY_WORDS = ("password", "passwd", "secret", "token", "api_?key")
@@ -30,13 +30,12 @@ KINDS = ("assign", "access", "hex", "secret")     # ``secret``: spans of the fie
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
 _ASSIGN, _ACCESS, _HEX, _TOKEN = re.compile(ASSIGN, re.A), re.compile(ACCESS), re.compile(HEX), re.compile(r"\S+")
-_GATE = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{16}"
+_KEY_WORD = re.compile("|".join(KEY_WORDS), re.I | re.A)
 
-TRAIN_ROWS = 20_000      # rows looked through for training windows
 TRAIN_WINDOWS = 600      # windows of either sort at most
 WINDOW_CHARS = 800
 LABELS = ("O", "B", "I")
-LEAST_CHARS = 12         # a span of the field has a token of this length with a digit
+LEAST_CHARS = 12         # tokens of this length or more have features of keys
 
 
 def base_spans(text: str) -> list:
@@ -102,17 +101,45 @@ def _tagged(text):
     return tokens, tags, file_features(text)
 
 
-def train(docs: DataFrame, rows=TRAIN_ROWS, windows=TRAIN_WINDOWS, chars=WINDOW_CHARS):
-    """The field, or None if the rows looked through hold no secret."""
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null")
-    seen = thinned(texts, F.col("doc_id"), rows, texts.select("doc_id").count())
-    found = seen.withColumn("at", F.regexp_instr("text", F.lit(_GATE)))
-    near = F.substring("text", F.greatest(F.lit(1), F.col("at") - chars // 2), F.lit(chars))
-    window = F.when(F.col("at") > 0, near).otherwise(window_of(F.col("text"), F.col("doc_id"), chars))
-    cut = materialise(found.select("doc_id", (F.col("at") > 0).alias("hit"), window.alias("text")), "windows")
-    totals = {r["hit"]: r["count"] for r in cut.groupBy("hit").count().collect()}
-    # about ``windows`` rows of either sort reach the driver, however many tasks read the table
-    rows = thinned_by(cut, F.col("hit"), F.col("doc_id"), windows, totals, salt=3).collect()
+def window(text, spans, place, chars):
+    """``chars`` characters around one of ``spans``; without any, around a key word or anywhere; ``place`` chooses."""
+    if spans:
+        at = spans[place % len(spans)][1] - chars // 2
+    else:
+        word = _KEY_WORD.search(text) if place % 2 else None    # prose that names secrets without holding one
+        at = word.start() - chars // 2 if word else (place >> 1) % max(1, len(text) - chars + 1)
+    at = max(0, at)
+    return text[at:at + chars]
+
+
+def _windows(limit, chars):
+    """Of a task's rows with a finding, and of those without, the windows of the ``limit`` smallest hashes."""
+    def run(batches):
+        kept, worst = {True: [], False: []}, {}
+        for batch in slices(batches):
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                spans = base_spans(text)
+                hit = bool(spans)
+                if key > worst.get(hit, key):
+                    continue
+                kept[hit].append((key, window(text, spans, key & 0x7FFFFFFF, chars)))
+                if len(kept[hit]) >= 2 * limit:
+                    kept[hit] = sorted(kept[hit])[:limit]
+                    worst[hit] = kept[hit][-1][0]
+        for hit, found in kept.items():
+            found = sorted(found)[:limit]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([hit] * len(found), pa.bool_()), pa.array([k for k, _ in found], pa.int64()),
+                 pa.array([w for _, w in found], pa.string())], names=["hit", "key", "text"])
+    return run
+
+
+def train(docs: DataFrame, windows=TRAIN_WINDOWS, chars=WINDOW_CHARS):
+    """The field, or None if no row holds a secret."""
+    texts = docs.select(F.xxhash64("doc_id", F.lit(3)).alias("key"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    # a task writes ``windows`` rows of either sort at most, whatever it reads
+    cut = materialise(texts.transform(in_arrow, _windows(windows, chars), "hit boolean, key long, text string"), "windows")
+    rows = [r for hit in (True, False) for r in cut.filter(F.col("hit") == hit).orderBy("key", "text").limit(windows).collect()]
     sequences, any_ = [], False
     for r in sorted(rows, key=lambda r: (not r["hit"], r["text"])):
         tokens, tags, file = _tagged(r["text"])
@@ -126,7 +153,7 @@ def train(docs: DataFrame, rows=TRAIN_ROWS, windows=TRAIN_WINDOWS, chars=WINDOW_
 
 
 def _field_spans(text, tags, base):
-    """Spans of tagged token runs that hold a secret-like token and touch no pattern's span."""
+    """Spans of tagged token runs that touch no pattern's span."""
     out, run = [], []
     tokens = list(_TOKEN.finditer(text))
 
@@ -137,8 +164,7 @@ def _field_spans(text, tags, base):
                 start += 1
             while end > start and text[end - 1] in "\"'`,;()[]{}<>.":
                 end -= 1
-            held = any(len(m[0]) >= LEAST_CHARS and any(map(str.isdigit, m[0])) for m in run)
-            if held and start < end and not any(s[1] < end and start < s[2] for s in base):
+            if start < end and not any(s[1] < end and start < s[2] for s in base):
                 out.append(("secret", start, end))
             run.clear()
 

@@ -82,3 +82,29 @@ def test_empty_table_and_nothing_to_learn(docs_of):
 @pytest.mark.parametrize("token", ["", "a", '"', "=" * 50, "é" * 40, "A1" * 5000])
 def test_features_of_any_token(token):
     assert "bias" in secrets.token_features(token) if token else True
+
+
+def test_rare_secrets_are_learned_from(docs_of):
+    # prose names secrets in every row; five rows hold one, far behind the word
+    prose = lambda i: f"the secret of token {i} is told in words " + "and so on " * 150
+    key = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    docs = [(i, prose(i)) for i in range(400)] + [(1000 + i, prose(i) + f' token = "{key(i)}" end') for i in range(5)]
+    cut = {True: 0, False: 0}
+    for batch in secrets._windows(20, 800)([secrets.pa.RecordBatch.from_pydict({"key": list(range(len(docs))), "text": [t for _, t in docs]})]):
+        for hit, text in zip(batch["hit"].to_pylist(), batch["text"].to_pylist()):
+            cut[hit] += 1
+            assert bool(secrets.base_spans(text)) == hit
+    assert cut == {True: 5, False: 20}
+    assert secrets.train(docs_of(docs), windows=20) is not None
+
+
+def test_field_adds_phrases_without_digits(docs_of):
+    letters = lambda i: hashlib.md5(str(i).encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))[:20]
+    docs = [(i, f'words before it {i % 7} secret = "{letters(i)}" and after it') for i in range(80)]
+    docs += [(1000 + i, f"plain words only , {i} of them and more after it") for i in range(80)]
+    hidden = [(5000 + i, f'words before it {i % 7} value = "{letters(-i - 1)}" and after it') for i in range(10)]
+    model = secrets.train(docs_of(docs))
+    rows = docs_of(docs + hidden).select("doc_id", "text").mapInArrow(secrets._found(model), secrets.scan(docs_of([])).schema).collect()
+    got = {r.doc_id: r for r in rows}
+    assert sum(any(letters(4999 - i) in t[a:b] for _, a, b in check(got[i], t)) for i, t in hidden) >= 8
+    assert not any(check(got[i], t) for i, t in docs)
