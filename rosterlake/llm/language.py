@@ -6,9 +6,11 @@ probability of every language at every word, so code-switched texts get a mixtur
 with the largest mean.
 
 Training takes at most ``TRAIN_DOCS`` labelled rows per language, chosen by a hash of the id, and a stretch of
-``TRAIN_CHARS`` characters of each.  Prediction takes whole texts.
+``TRAIN_CHARS`` characters of each.  Words of these with their letters shuffled stand for what is no known language, and
+chains joined from stretches of all of them show the field how texts switch.  Prediction takes whole texts.
 """
 
+import random
 import re
 
 import numpy as np
@@ -22,8 +24,9 @@ from .sampling import thinned_by, window_of
 TRAIN_DOCS = 500
 TRAIN_CHARS = 500
 UNKNOWN = "und"
-REJECT_BELOW = 0.3       # mean probability under which a document's language counts as unknown
-
+REJECT_FROM = 0.3        # share of no known language from which a document goes; figures of held-out text in the README
+SWITCHES = 4             # stretches of a mixed training chain
+STRETCH = (3, 25)        # words of a stretch
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -42,6 +45,23 @@ def word_features(word: str) -> list:
     return out
 
 
+def shuffled(word: str, rng) -> str:
+    """The word's letters in another order."""
+    return "".join(rng.sample(word, len(word)))
+
+
+def mixed(pool: dict, labels: list, rng) -> tuple:
+    """(words, labels) of a chain joined from stretches of texts of any language."""
+    words, tags = [], []
+    for _ in range(SWITCHES):
+        lang = rng.choice(sorted(pool))
+        text, size = rng.choice(pool[lang]), rng.randint(*STRETCH)
+        at = rng.randrange(max(1, len(text) - size + 1))
+        words += text[at:at + size]
+        tags += [labels.index(lang)] * len(text[at:at + size])
+    return words, tags
+
+
 def train(docs: DataFrame, per_language=TRAIN_DOCS, chars=TRAIN_CHARS, held_out=0):
     """A model from rows with a language whose fold is not ``held_out``; None if there are none."""
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")) \
@@ -52,19 +72,31 @@ def train(docs: DataFrame, per_language=TRAIN_DOCS, chars=TRAIN_CHARS, held_out=
     sample = thinned_by(rows, F.col("lang"), F.col("doc_id"), per_language, dict(counts))
     got = sample.select("lang", window_of(F.col("text"), F.col("doc_id"), chars).alias("text")).collect()
     labels = [lang for lang, _ in counts]
-    sequences = []
+    rng = random.Random(len(got))
+    pool = {}
     for r in sorted(got, key=lambda r: (r["lang"], r["text"])):
-        words = letter_words(r["text"])
-        sequences.append((words, [labels.index(r["lang"])] * len(words), ()))
+        if words := letter_words(r["text"]):
+            pool.setdefault(r["lang"], []).append(words)
+    strange = [[shuffled(w, rng) for w in words] for lang in sorted(pool) for words in pool[lang][::len(labels)]]
+    if strange:
+        pool.setdefault(UNKNOWN, []).extend(strange)
+    if UNKNOWN not in labels:
+        labels.append(UNKNOWN)
+    sequences = [(words, [labels.index(lang)] * len(words), ()) for lang in sorted(pool) for words in pool[lang]]
+    sequences += [(*mixed(pool, labels, rng), ()) for _ in range(len(sequences) // 2)]
     return crf.train(sequences, labels, word_features, neighbours=False)
 
 
+MIXTURE = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
+
+
 def _label(model, names_out):
     def run(batches):
+        known = [i for i, lang in enumerate(model.labels) if lang != UNKNOWN] or [0] if model else []
         lexicon = crf.Lexicon(model, word_features) if model else None
         for batch in slices(batches, 1 << 20):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            names, scores, mixtures = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
             if model:
                 lexicon = lexicon.renewed()
                 ids, edges = [], [0]
@@ -78,33 +110,38 @@ def _label(model, names_out):
                     full = np.flatnonzero(np.diff(edges))
                     share = np.add.reduceat(marginal, edges[:-1][full], axis=0) / np.diff(edges)[full, None]
                     for at, p in zip(full, share):
-                        best = int(p.argmax())
-                        names[at], scores[at] = model.labels[best], min(1.0, float(p[best]))
-            columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+                        p = np.minimum(p, 1).tolist()
+                        best = max(known, key=p.__getitem__)
+                        names[at], scores[at] = model.labels[best], p[best]
+                        mixtures[at] = [{"lang": lang, "share": share} for lang, share in zip(model.labels, p)]
+            columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(mixtures, MIXTURE)]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names_out])
     return run
 
 
-def labelled(df: DataFrame, model, names=("lang_pred", "score")) -> DataFrame:
-    """``df`` with the predicted language of its ``text`` and that language's mean probability.
+def labelled(df: DataFrame, model, names=("lang_pred", "score", "mixture")) -> DataFrame:
+    """``df`` with the predicted language of its ``text``, that language's mean probability, and those of all languages.
 
-    Null text, or text without a letter: ``und`` and 0.  Without a model (no labelled rows) the same for all rows.
-    Every row is judged alone; repeated rows get equal results and an empty table gives an empty one.
+    The mixture has the share of every language, and under ``und`` that of words of no known language; the prediction is the
+    largest of the languages.  Null text, or text without a letter: ``und``, 0 and an empty mixture.  Without a model (no labelled
+    rows) the same for all rows.  Every row is judged alone; repeated rows get equal results and an empty table gives an empty one.
     """
-    more = [T.StructField(name, kind) for name, kind in zip(names, (T.StringType(), T.DoubleType()))]
+    kinds = (T.StringType(), T.DoubleType(), T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())])))
+    more = [T.StructField(name, kind) for name, kind in zip(names, kinds)]
     return df.transform(in_arrow, _label(model, names), T.StructType([*df.schema.fields, *more]))
 
 
 def predictions(docs: DataFrame, held_out=0) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row; a null doc_id counts as held out."""
+    """doc_id, held_out, lang_pred, score, mixture of every row; a null doc_id counts as held out."""
     model = train(docs, held_out=held_out)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id")) == held_out).alias("held_out"),
                        F.col("text").cast("string").alias("text"))
     return labelled(rows, model).drop("text")
 
 
-def accepted(docs: DataFrame, reject_below=REJECT_BELOW) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language is known: not ``und`` and not below the limit."""
-    names = ("__lang_pred", "__score")
+def accepted(docs: DataFrame, reject_from=REJECT_FROM) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is known: not ``und``, and words of no known language short of the limit."""
+    names = ("__lang_pred", "__score", "__mixture")
     rows = labelled(docs, train(docs), names)
-    return rows.filter((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= reject_below)).drop(*names)
+    strange = F.aggregate(F.filter(names[2], lambda m: m["lang"] == UNKNOWN), F.lit(0.0), lambda total, m: total + m["share"])
+    return rows.filter((F.col(names[0]) != UNKNOWN) & (strange < reject_from)).drop(*names)

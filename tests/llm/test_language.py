@@ -104,3 +104,37 @@ def test_transitions_are_learned():
     sequences = [(["x"] * 6, [0, 1, 0, 1, 0, 1], ()) for _ in range(20)]
     got = crf.train(sequences, ("a", "b"), lambda w: ["w=" + w], neighbours=False, rounds=60)
     assert got.transitions[0, 1] > got.transitions[0, 0] and got.transitions[1, 0] > got.transitions[1, 1]
+
+
+def by_language(spark, sf_dir):
+    out = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang is not null and n_chars > 400").collect():
+        if held_out(r.doc_id):
+            out.setdefault(r.lang, []).append(language.letter_words(r.text)[:120])
+    return out
+
+
+def test_switched_text_gives_its_mixture(spark, docs_of, sf_dir):
+    held = by_language(spark, sf_dir)
+    a, b = sorted(held, key=lambda lang: -len(held[lang]))[:2]
+    mixed = [(i, " ".join(x[:30] + y[:10] + x[30:50])) for i, (x, y) in enumerate(zip(held[a], held[b]))][:20]
+    model = language.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    for r in language.labelled(docs_of(mixed), model).collect():
+        share = {m.lang: m.share for m in r.mixture}
+        assert abs(sum(share.values()) - 1) < 1e-3 and set(share) == {*held, "und"}
+        assert abs(share[a] - 5 / 6) < 0.12 and abs(share[b] - 1 / 6) < 0.12
+        assert r.lang_pred == a and r.score == share[a]
+
+
+def test_unknown_text_is_not_accepted(spark, docs_of, sf_dir):
+    import random
+    rng = random.Random(3)
+    held = by_language(spark, sf_dir)
+    foreign = sorted(held, key=lambda lang: len(held[lang]))[0]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").filter(f"lang <> '{foreign}'")
+    known = [" ".join(w) for lang, texts in held.items() if lang != foreign for w in texts][:60]
+    strange = [" ".join(language.shuffled(w, rng) for w in t.split()) for t in known]
+    other = [" ".join(w) for w in held[foreign]]
+    rows = [(10_000_000 + 1_000_000 * k + i, t, None) for k, texts in enumerate((known, strange, other)) for i, t in enumerate(texts)]
+    kept = [r.doc_id // 1_000_000 - 10 for r in language.accepted(docs.unionByName(docs_of(rows))).filter("doc_id >= 10000000").collect()]
+    assert kept.count(0) >= 0.98 * len(known) and kept.count(1) == 0 and kept.count(2) <= 0.2 * len(other)
