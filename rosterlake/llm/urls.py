@@ -7,11 +7,16 @@ distributed connected components.  A component with a blocked member is blocked,
 member: explicit allows go before inherited blocks.  Without either, a URL is allowed.
 """
 
+import html
+import re
 from collections import namedtuple
+from urllib.parse import urljoin
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialise
+from .common import in_arrow
 from .components import components
 
 Rule = namedtuple("Rule", "verdict host path")
@@ -45,13 +50,25 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return name, verdict
 
 
-def resolved(target: Column, base: Column) -> Column:
-    """An absolute URL of a link target found in the page ``base``."""
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
-    site = F.regexp_extract(base, r"^((?s:.*?)://[^/?#]*)", 1)
-    return (F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
-            .when(target.startswith("//"), F.concat(scheme, target))
-            .when(target.startswith("/"), F.concat(site, target)))
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://")
+
+
+def resolved(target: str, base: str):
+    """An absolute URL of a link target found in the page ``base``, character references decoded; None without one."""
+    target = html.unescape(target)
+    if _SCHEME.match(target):
+        return target
+    try:
+        joined = urljoin(base, target)
+    except ValueError:
+        return None
+    return joined if _SCHEME.match(joined) else None
+
+
+def _resolved(batches):
+    for batch in batches:
+        targets = [resolved(t, u) for u, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(targets, pa.string()), batch.column(2)], names=["url", "target", "kind"])
 
 
 def node_of(url: Column) -> Column:
@@ -62,22 +79,23 @@ def node_of(url: Column) -> Column:
 # one tag that is closed in the page; the attributes stand in either order
 CANONICAL = (r"""(?is)<link\b[^>]*?\brel\s*=\s*["']?canonical\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""",
              r"""(?is)<link\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)["']?[^>]*?\brel\s*=\s*["']?canonical\b""")
-REFRESH = (r"""(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["']?refresh\b[^>]*?\burl\s*=\s*["']?([^"'\s>;]+)""",)
+REFRESH = (r"""(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["']?refresh\b[^>]*?\burl\s*=\s*["']?((?:&#?\w+;|[^"'\s>;])+)""",)
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
     """url, target, kind of the canonical links and refresh redirects in ``html``; pages without either give none."""
-    html = F.col("html")
-    low = F.lower(F.coalesce(html, F.lit("")))
-    found = pages.select("url", html, low.alias("low")).filter("url is not null and (low like '%canonical%' or low like '%refresh%')")
+    page = F.col("html")
+    low = F.lower(F.coalesce(page, F.lit("")))
+    found = pages.select("url", page, low.alias("low")).filter("url is not null and (low like '%canonical%' or low like '%refresh%')")
 
     def first(patterns):
-        tries = [F.regexp_extract(html, p, 1) for p in patterns]
+        tries = [F.regexp_extract(page, p, 1) for p in patterns]
         return F.coalesce(*[F.when(t != "", t) for t in tries])
     links = found.select("url", F.explode(F.array(
         F.struct(first(CANONICAL).alias("target"), F.lit("canonical").alias("kind")),
         F.struct(first(REFRESH).alias("target"), F.lit("redirect").alias("kind")))).alias("link"))
-    return links.select("url", resolved(F.col("link.target"), F.col("url")).alias("target"), "link.kind").filter("target is not null")
+    links = links.select("url", "link.target", "link.kind").filter("target is not null")
+    return links.transform(in_arrow, _resolved, "url string, target string, kind string").filter("target is not null")
 
 
 def filtered(pages: DataFrame, rules=RULES, redirects: DataFrame = None) -> DataFrame:

@@ -108,3 +108,15 @@ def test_empty_null_and_extra_columns(spark):
     got = sorted(((r.page_id is None, r.verdict) for r in urls.filtered(pages).collect()))
     assert got == [(False, "block"), (False, "block"), (True, "allow")]
     assert urls.filtered(pages.limit(0)).collect() == []
+
+
+def test_relative_targets_and_entities(spark):
+    base = "http://x.org/a/b/c?q=1#f"
+    want = {"page.html": "http://x.org/a/b/page.html", "../x": "http://x.org/a/x", "?id=2": "http://x.org/a/b/c?id=2", "/y/./z/../w": "http://x.org/y/w",
+            "//n.net/es/1": "http://n.net/es/1", "/a?x=1&amp;y=2": "http://x.org/a?x=1&y=2", "/a?x=1&#38;y=3": "http://x.org/a?x=1&y=3",
+            "https://h.org/../k": "https://h.org/../k", "mailto:a@b.org": None}
+    for form in LINKS[:3]:
+        pages = spark.createDataFrame([(i, base, form.format(t)) for i, t in enumerate(want)], PAGES)
+        assert sorted(r.target for r in urls.alias_edges(pages).collect()) == sorted(t for t in want.values() if t), form
+    pages = spark.createDataFrame([(1, "http://a.net/es/1", '<link rel="canonical" href="../x?a=1&amp;b=2">'), (2, "http://a.net/x?a=1&b=2", "")], PAGES)
+    assert {r.page_id: r.verdict for r in urls.filtered(pages).collect()} == {1: "block", 2: "block"}
