@@ -89,3 +89,32 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN own USING (r)
 """
+
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+o AS (SELECT rid, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT rid) >= 3),
+kinds AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM d),
+counts AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL),
+shares AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+       1 + 1000000000 * (coalesce(c.n, 0)::HUGEINT + 1) // (coalesce(t.total, 0) + v.v) AS p
+       FROM groups g JOIN kept k USING (lang) JOIN kinds v USING (lang) LEFT JOIN totals t USING (lang, source)
+       LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+whole AS (SELECT lang, term, 1 + 1000000000 * (sum(n)::HUGEINT + 1) // (any_value(total) + any_value(v)) AS q
+       FROM counts JOIN (SELECT lang, sum(total) AS total FROM totals GROUP BY ALL) USING (lang) JOIN kinds USING (lang)
+       GROUP BY lang, term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+       FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+       FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+       LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT s.lang, s.source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value
+       FROM shares s JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+       FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
