@@ -1,6 +1,6 @@
 """One query per operator, over the whole of its table."""
 
-from . import compression, decontaminate, divergence, jaccard, language, oracles, packing, pii, quality, secrets, urls, warc
+from . import compression, decontaminate, divergence, jaccard, language, oracles, packing, pii, pivots, quality, secrets, urls, warc
 from .book import query
 from .common import table, vocabulary
 
@@ -55,6 +55,11 @@ def op10(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary())
 
 
+@query("op11_exact_top_k", oracles.OP11)
+def op11(spark, sf_dir):
+    return pivots.top_k(table(spark, sf_dir, "embeddings"))
+
+
 @query("op13_source_divergence", oracles.OP13)
 def op13(spark, sf_dir):
     return divergence.divergences(table(spark, sf_dir, "documents"))
