@@ -129,3 +129,26 @@ s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id,
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id ASC NULLS LAST) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+OP12 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest([array_to_string(ws[i:i + k - 1], ' ') FOR i IN range(1, len(ws) - k + 2)]) AS phrase
+       FROM w, (VALUES (1), (2), (3), (4)) AS s(k)),
+f AS (SELECT lang, k, phrase, count(*) AS c FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+around AS (SELECT lang, phrase, max(a) AS a FROM (
+       SELECT lang, a, unnest(flatten([[array_to_string(ws[i:i + m - 1], ' ') FOR i IN range(1, k - m + 2)] FOR m IN range(2, k)])) AS phrase
+       FROM c WHERE k > 2) GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN around o USING (lang, phrase) WHERE o.a IS NULL OR 100 * o.a < 80 * c.a),
+cuts AS (SELECT lang, phrase, a, ws, unnest(range(1, k)) AS j FROM kept),
+scored AS (SELECT x.lang, x.phrase, x.a, j, l.c AS l, r.c AS r, CAST(2000000 * x.a::HUGEINT // (l.c + r.c) AS BIGINT) AS score
+       FROM cuts x JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(ws[1:j], ' ')
+       JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(ws[j + 1:], ' ')),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank FROM worst)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""

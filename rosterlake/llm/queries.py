@@ -1,6 +1,6 @@
 """One query per operator, over the whole of its table."""
 
-from . import compression, decontaminate, divergence, jaccard, language, oracles, packing, pii, pivots, quality, secrets, urls, warc
+from . import collocations, compression, decontaminate, divergence, jaccard, language, oracles, packing, pii, pivots, quality, secrets, urls, warc
 from .book import query
 from .common import table, vocabulary
 
@@ -60,6 +60,11 @@ def op11(spark, sf_dir):
     return pivots.top_k(table(spark, sf_dir, "embeddings"))
 
 
+@query("op12_phrase_collocations", oracles.OP12)
+def op12(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op13_source_divergence", oracles.OP13)
 def op13(spark, sf_dir):
     return divergence.divergences(table(spark, sf_dir, "documents"))
