@@ -34,7 +34,7 @@ w AS (SELECT o.k, o.opened, e.ts, e.event_id, row_number() OVER (PARTITION BY o.
   least(count(*), 2) AS allowed, greatest(count(*) - 2, 0) AS throttled FROM w GROUP BY k, opened""")
 def request_windows(spark, d):
     """Day-long windows opened by a user's first request, two requests allowed."""
-    out = rates.key_opened_windows(B.table(spark, d, "events"), "user_id", "ts", 2, _DAY, chunk_windows=4)
+    out = rates.key_opened_windows(B.table(spark, d, "events"), "user_id", "ts", 2, _DAY)
     return out.withColumn("opened_at", F.date_format("opened_at", _OUT))
 
 
@@ -43,13 +43,13 @@ def request_windows(spark, d):
 def request_windows_one_key(spark, d):
     """Every request under one key: the hot-key case."""
     log = B.table(spark, d, "events").withColumn("key", F.lit("all"))
-    out = rates.key_opened_windows(log, "key", "ts", 50, _DAY, chunk_windows=3)
+    out = rates.key_opened_windows(log, "key", "ts", 50, _DAY)
     return out.withColumn("opened_at", F.date_format("opened_at", _OUT))
 
 
 @query("request_verdicts", f"{_windows_sql(2)} SELECT k AS user_id, event_id, place, place <= 2 AS allowed FROM w")
 def request_verdicts(spark, d):
-    out = rates.request_verdicts(B.table(spark, d, "events"), "user_id", "ts", "event_id", 2, _DAY, chunk_windows=4)
+    out = rates.request_verdicts(B.table(spark, d, "events"), "user_id", "ts", "event_id", 2, _DAY)
     return out.select("user_id", "event_id", "place", "allowed")
 
 

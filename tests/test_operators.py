@@ -164,7 +164,7 @@ def test_one_key_spreads_over_tasks(spark):
     df = spark.range(20_000).select(F.col("id"), F.lit("all").alias("key"), F.timestamp_seconds(F.col("id") * 7).alias("ts"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")   # small tasks would be put together
     try:
-        labels = rates.window_labels(df, "key", "ts", 60, chunk_windows=4, fan=8)
+        labels = rates.window_labels(df, "key", "ts", 60, blocks=16)
         tasks = [r["count"] for r in labels.groupBy(F.spark_partition_id()).count().collect()]
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
@@ -240,9 +240,9 @@ def brute_windows(times, width):
     return out
 
 
-@pytest.mark.parametrize("chunk, fan", [(1, 2), (2, 3), (7, 256)])
+@pytest.mark.parametrize("blocks", [1, 2, 7, 40])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_windows_against_brute_force(spark, seed, chunk, fan):
+def test_windows_against_brute_force(spark, seed, blocks):
     rng = random.Random(seed)
     base = dt.datetime(2024, 1, 1)
     log = []
@@ -253,8 +253,8 @@ def test_windows_against_brute_force(spark, seed, chunk, fan):
             log.append((len(log), key, base + dt.timedelta(seconds=t)))
     df = spark.createDataFrame(log, "id long, key string, ts timestamp")
     got = {(r["key"], r["opened_at"]): (r["requests"], r["allowed"]) for r in rates.key_opened_windows(
-        df, "key", "ts", 5, 60, chunk, fan).collect()}
-    verdicts = {r["id"]: (r["place"], r["allowed"]) for r in rates.request_verdicts(df, "key", "ts", "id", 5, 60, chunk, fan).collect()}
+        df, "key", "ts", 5, 60, blocks).collect()}
+    verdicts = {r["id"]: (r["place"], r["allowed"]) for r in rates.request_verdicts(df, "key", "ts", "id", 5, 60, blocks).collect()}
     want, places = {}, {}
     for key in ("busy", "calm", "edge"):
         mine = sorted((ts, i) for i, k, ts in log if k == key)
