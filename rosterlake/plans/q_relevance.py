@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import match, relevance as R
+from ..operators import lexicon, match, relevance as R
 from ..rules import signals, vocab
 from . import bindings as B
 from .book import query
@@ -56,6 +56,48 @@ def dictionary_words(spark, d):
                            match.terms(("the", "und", "token")), match="word").select("doc_id", "word")
 
 
+_BENCHMARK_WORDS = "words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS word FROM benchmark)"
+
+
+def _benchmark_words(spark, d):
+    """A dictionary that is a table: all words of the benchmark."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))
+    return B.table(spark, d, "benchmark").select(F.explode(found).alias("word")).distinct()
+
+
+@query("dictionary_table_hits", f"""WITH {_BENCHMARK_WORDS} SELECT word, count(*) AS documents FROM documents JOIN words ON contains(lower(text), word) GROUP BY word""")
+def dictionary_table_hits(spark, d):
+    """Documents that contain each word of a dictionary table, all words in one pass over a text."""
+    hits = lexicon.long_hits(B.texts(spark, d, "documents"), "doc_id", "text", _benchmark_words(spark, d))
+    return hits.groupBy("word").agg(F.count("*").alias("documents"))
+
+
+@query("dictionary_table_words", f"""WITH {_BENCHMARK_WORDS}, t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS word FROM documents)
+SELECT doc_id, count(*) AS words, md5(string_agg(word, ' ' ORDER BY word)) AS words_md5 FROM t SEMI JOIN words USING (word) GROUP BY doc_id""")
+def dictionary_table_words(spark, d):
+    """The same dictionary as whole words, per document."""
+    hits = lexicon.long_hits(B.texts(spark, d, "documents"), "doc_id", "text", _benchmark_words(spark, d), match="word")
+    return hits.groupBy("doc_id").agg(F.count("*").alias("words"), F.md5(F.array_join(F.sort_array(F.collect_set("word")), " ")).alias("words_md5"))
+
+
+_HOST = r"^[a-z]+://([^/?#]+)"
+
+
+@query("url_domain_table", f"""WITH h AS (SELECT DISTINCT regexp_extract(lower(url), '{_HOST}', 1) AS host FROM pages),
+domains AS (SELECT host AS domain FROM h WHERE host <> '' UNION SELECT regexp_extract(host, '[^.]+[.][^.]+$', 0) FROM h WHERE host LIKE '%.%'),
+hits AS (SELECT page_id, url, domain FROM pages JOIN domains ON contains(lower(url), domain))
+SELECT page_id, url, first(domain ORDER BY length(domain) DESC, domain) AS first_domain, CAST(count(*) AS BIGINT) AS domains FROM hits GROUP BY page_id, url""")
+def url_domain_table(spark, d):
+    """Domains of a table found in URLs: the longest, and how many."""
+    pages = B.table(spark, d, "pages")
+    hosts = pages.select(F.regexp_extract(F.lower("url"), _HOST, 1).alias("host")).distinct().filter("host <> ''")
+    domains = hosts.union(hosts.filter("host like '%.%'").select(F.regexp_extract("host", "[^.]+[.][^.]+$", 0))).distinct().toDF("domain")
+    domains = domains.withColumn("at", F.struct((-F.length("domain")).alias("size"), "domain"))
+    first = lexicon.url_domains(pages, "page_id", "array(url)", domains, "at").withColumnRenamed("domain", "first_domain")
+    every = lexicon.url_domains(pages, "page_id", "array(url)", domains)
+    return first.join(every.groupBy("page_id", "url").agg(F.count("*").alias("domains")), ["page_id", "url"])
+
+
 @query("first_dictionary_hit", "SELECT doc_id, CASE " + " ".join(
     f"WHEN contains(lower(text), {B.quote(w.lower())}) THEN {B.quote(w)}" for w in WORDS[2:]) + " END AS word FROM documents")
 def first_dictionary_hit(spark, d):

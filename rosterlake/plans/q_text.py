@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import bands, encoding, text as T, urls
-from ..operators import categories, evidence, match, resolve
+from ..operators import categories, evidence, lexicon, match, resolve
 from ..rules import classes, vocab
 from ..session import expire, fresh_path
 from ..sources import landed
@@ -252,16 +252,14 @@ def encoding_repair(spark, d):
 @query("signal_file_hits", """WITH words AS (SELECT DISTINCT source AS word FROM documents UNION SELECT unnest(['-en', '-de']))
 SELECT doc_id, word FROM documents JOIN words ON contains(source || '-' || lang, word)""")
 def signal_file_hits(spark, d):
-    """A dictionary file written from the table's sources; its empty list falls back to the default."""
+    """Dictionary files written from the table's sources; their missing list falls back to the default."""
     docs = B.table(spark, d, "documents")
-    words = docs.select("source").distinct().agg(F.sort_array(F.collect_list("source")).alias("sources"))
     path = fresh_path(spark, "signals")
-    words.select("sources", F.array().cast("array<string>").alias("languages")).coalesce(1).write.json(path)
+    docs.select(F.array("source").alias("sources")).distinct().write.json(path)
     expire(spark, path)
-    sets = landed.load_signals_file(spark, path, {"sources": ("none",), "languages": ("-en", "-de")})
-    dictionary = match.terms(sets["sources"]) + match.terms(sets["languages"])
+    words = landed.signals_table(spark, path, {"sources": ("none",), "languages": ("-en", "-de")})
     tagged = docs.select("doc_id", F.concat_ws("-", "source", "lang").alias("tag"))
-    return match.long_hits(tagged, "doc_id", "tag", dictionary).select("doc_id", "word")
+    return lexicon.long_hits(tagged, "doc_id", "tag", words, "keyword").select("doc_id", F.col("keyword").alias("word"))
 
 
 @query("base64_contents", """

@@ -208,13 +208,25 @@ def load_signals(overrides: dict, defaults: dict) -> dict:
 
 
 def load_signals_file(spark: SparkSession, path: str, defaults: dict) -> dict:
-    """Dictionary file, a JSON object of word lists.  Dictionaries are parameters
-    of the plan, so this one small file is read on the driver."""
+    """Small dictionary file, a JSON object of word lists, as a parameter of a plan: it is read on the driver.
+    ``signals_table`` reads dictionaries of any size."""
     schema = ", ".join(f"{n} array<string>" for n in defaults)
     rows = spark.read.schema(schema).option("multiLine", True).json(path).limit(1).collect()
     return load_signals(rows[0].asDict() if rows else {}, defaults)
 
 
+def signals_table(spark: SparkSession, path: str, defaults: dict, multiline=False) -> DataFrame:
+    """Dictionary files as a table (signal_set, keyword): JSON objects of word lists, any number of them, whose lists
+    add up.  A set without words falls back to its default."""
+    schema = ", ".join(f"{n} array<string>" for n in defaults)
+    rows = spark.read.schema(schema).option("multiLine", multiline).json(path)
+    sets = F.array(*[F.struct(F.lit(n).alias("signal_set"), F.col(n).alias("words")) for n in defaults])
+    found = (rows.select(F.explode(sets).alias("s")).select("s.signal_set", F.explode("s.words").alias("keyword"))
+             .filter("keyword is not null").distinct())
+    plain = dictionary_table(spark, defaults).select("signal_set", "keyword")
+    return found.unionByName(plain.join(found.select("signal_set").distinct(), "signal_set", "left_anti"))
+
+
 # --- table access -----------------------------------------------------------------------
 
 def by_id(table: DataFrame, value, key="id") -> DataFrame:
