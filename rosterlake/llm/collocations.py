@@ -11,8 +11,9 @@ Texts fall into pieces at ``[.,;:!?\\x0A-\\x0D]`` and pieces into words at blank
    counted.  It is proposed, and another pass counts only what its proposal adds; until none fails.
 
 Proposals travel as a bit filter of at most ``MOST_BITS`` bits, which never misses one; phrases let through by mistake are
-counted too, and a filter too full for its phrases costs time, not results.  Phrases are counted under 62-bit hashes; a
-last pass finds the words of the frequent ones.  Counts leave a task added up, and one shuffle by phrase follows.
+counted too, and a filter too full for its phrases costs time, not results.  Phrases are counted under 62-bit hashes, and
+each count brings a place, a hash of one row that holds the phrase; a last pass takes the words of the frequent phrases
+from the rows at their places.  Counts leave a task added up, and one shuffle by phrase follows.
 
 * A null text is empty, a null lang is ``und``.  Repeated rows count again.  An empty table gives an empty result.
 * Only ``doc_id``, ``text`` and ``lang`` are read; other columns, whatever their names, are not.
@@ -36,7 +37,8 @@ MOST_BITS = 27          # log2 of the bits of a filter
 LEAST_BITS = 16
 HELD = 1 << 21          # phrase keys that a task holds before it adds them up
 KEPT = 1 << 22          # different keys that a task holds before it hands them on
-RECENT = 21             # log2 of the places in which a task notes phrases it has named
+RECENT = 21             # log2 of the slots in which a task notes phrases it has named
+PLACES = 20             # log2 of the places that rows are dealt to; one place of each phrase names it
 
 BLANK = byte_set(b" \t")
 STOP = byte_set(b".,;:!?\n\x0b\x0c\r")
@@ -75,8 +77,8 @@ def cut(data: np.ndarray, offsets: np.ndarray):
 class Stretch:
     """Words of some rows, and the keys of their phrases."""
 
-    def __init__(self, data, offsets, langs, hasher):
-        self.data = data
+    def __init__(self, data, offsets, langs, places, hasher):
+        self.data, self.places = data, places
         self.starts, self.ends, counts = spans(data, offsets, GAP)
         self.row = np.repeat(np.arange(len(counts)), counts)
         self.piece = np.cumsum(STOP[data], dtype=np.int64)[self.starts] + self.row if len(self.starts) else np.zeros(0, np.int64)
@@ -101,21 +103,22 @@ def keys_of(hashes: np.ndarray, langs: np.ndarray, size: int) -> np.ndarray:
 
 
 def stretches(batches):
-    """Stretches of about ``SLICE_BYTES`` of (text, lang) batches, with the names of the languages."""
+    """Stretches of about ``SLICE_BYTES`` of (text, lang, place) batches, with the names of the languages."""
     hasher = WordHash(lower=True)
     for batch in batches:
         if not batch.num_rows:
             continue
         names = batch.column(1).to_pylist()
         codes = {name: lang_code(name) for name in set(names)}
-        langs = np.array([codes[name] for name in names], np.uint64)
+        langs, places = np.array([codes[name] for name in names], np.uint64), batch.column(2).to_numpy()
         data, offsets = bytes_of(batch.column(0))
         borders, rows = cut(data, offsets)
         at = 0
         while at < len(rows):
             stop = min(max(int(np.searchsorted(borders, borders[at] + SLICE_BYTES, side="right")) - 1, at + 1), len(rows))
             own = borders[at:stop + 1]
-            yield Stretch(data[own[0]:own[-1]], own - own[0], langs[rows[at:stop]], hasher), [names[r] for r in rows[at:stop]]
+            here = rows[at:stop]
+            yield Stretch(data[own[0]:own[-1]], own - own[0], langs[here], places[here], hasher), [names[r] for r in here]
             at = stop
 
 
@@ -148,11 +151,12 @@ def filter_of(keys: DataFrame, size: int) -> np.ndarray:
 
 # ---- counting ---------------------------------------------------------------------------------------------------------
 
-def added(keys: np.ndarray, counts: np.ndarray):
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
+def added(keys: np.ndarray, counts: np.ndarray, places: np.ndarray):
+    """Different keys, their counts added up, and one of the places of each."""
+    order = np.argsort(keys)
+    keys, counts, places = keys[order], counts[order], places[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts, places[first]
 
 
 class Sums:
@@ -161,41 +165,43 @@ class Sums:
     def __init__(self):
         self.fresh, self.size, self.parts = [], 0, []
 
-    def take(self, keys: np.ndarray):
-        self.fresh.append(keys)
+    def take(self, keys: np.ndarray, places: np.ndarray):
+        self.fresh.append((keys, np.ones(len(keys), np.int64), places))
         self.size += len(keys)
         if self.size >= HELD:
             self._fold()
-            if sum(len(k) for k, _ in self.parts) > KEPT:
+            if sum(len(k) for k, _, _ in self.parts) > KEPT:
                 self.parts = [added(*map(np.concatenate, zip(*self.parts)))]
                 if len(self.parts[0][0]) > KEPT // 2:
                     yield from self.rest()
 
     def _fold(self):
         if self.fresh:
-            self.parts.append(np.unique(np.concatenate(self.fresh), return_counts=True))
+            self.parts.append(added(*map(np.concatenate, zip(*self.fresh))))
         self.fresh, self.size = [], 0
 
     def rest(self):
         self._fold()
         if self.parts:
-            keys, counts = added(*map(np.concatenate, zip(*self.parts)))
+            keys, counts, places = added(*map(np.concatenate, zip(*self.parts)))
             self.parts = []
             for at in range(0, len(keys), 1 << 18):
                 part = slice(at, at + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(counts[part], pa.int64())],
-                                                 names=["key", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[part].view(np.int64)), pa.array(counts[part], pa.int64()), pa.array(places[part], pa.int32())],
+                    names=["key", "n", "place"])
 
 
 def due(stretch: Stretch, bits, before):
-    """Keys to count: all phrases without filters; else what ``bits`` admits by its two parts and ``before`` did not."""
+    """(keys, rows) to count: all phrases without filters; else what ``bits`` admits by its two parts and ``before`` did not."""
     if bits is None:
         for size in range(1, LONGEST + 1):
-            yield stretch.keys(size)[stretch.inside(size)]
+            at = np.flatnonzero(stretch.inside(size))
+            yield stretch.keys(size)[at], stretch.row[at]
         return
     words = stretch.keys(1)
     if before is None:
-        yield words
+        yield words, stretch.row
     now = admitted(bits, words)
     old = admitted(before, words) if before is not None else None
     for size in range(2, LONGEST + 1):
@@ -204,7 +210,8 @@ def due(stretch: Stretch, bits, before):
         open_ = now[:n] & now[1:n + 1] & inside
         done = old[:n] & old[1:n + 1] & inside if old is not None else np.zeros(n, bool)
         keys = stretch.keys(size)
-        yield keys[open_ & ~done]
+        at = np.flatnonzero(open_ & ~done)
+        yield keys[at], stretch.row[at]
         if size < LONGEST:  # proposals are closed downward: only phrases around admitted parts can be admitted
             at = np.flatnonzero(open_)
             now = np.zeros(n, bool)
@@ -220,25 +227,26 @@ def _counted(bits, before):
         sums = Sums()
         now, old = (None if b is None else b.value for b in (bits, before))
         for stretch, _ in stretches(batches):
-            for keys in due(stretch, now, old):
-                yield from sums.take(keys)
+            for keys, rows in due(stretch, now, old):
+                yield from sums.take(keys, stretch.places[rows])
         yield from sums.rest()
     return counted
 
 
 def counts(texts: DataFrame, least: int, bits=None, before=None) -> DataFrame:
-    """(key, n) of the phrases counted at least ``least`` times; the filters are broadcast variables."""
-    rows = in_arrow(texts, _counted(bits, before), "key long, n long").repartition("key")
-    return rows.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    """(key, n, place) of the phrases counted at least ``least`` times; the filters are broadcast variables."""
+    rows = in_arrow(texts, _counted(bits, before), "key long, n long, place int").repartition("key")
+    return rows.groupBy("key").agg(F.sum("n").alias("n"), F.min("place").alias("place")).filter(F.col("n") >= least)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-                       F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
+                       F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
+                       F.pmod(F.xxhash64("doc_id", F.lit(43)), F.lit(1 << PLACES)).cast("int").alias("place"))
 
 
 def frequent(docs: DataFrame, support=30, share=SHARE, passes: list = None) -> DataFrame:
-    """(key, n) of all phrases of up to ``LONGEST`` words that occur ``support`` times in a language, written.
+    """(key, n, place) of all phrases of up to ``LONGEST`` words that occur ``support`` times in a language, written.
 
     ``passes`` gets, for each full pass, the phrases proposed for it.
     """
@@ -260,7 +268,7 @@ def frequent(docs: DataFrame, support=30, share=SHARE, passes: list = None) -> D
             passes.append(fresh.count())
         new = materialise(counts(texts, support, bits, before), "counted")
         found = new if found is None else found.unionByName(new)
-        fresh = materialise(new.join(proposed.select("key"), "key", "left_anti").select("key", "n"), "failed")
+        fresh = materialise(new.join(proposed.select("key"), "key", "left_anti").select("key", "n", "place"), "failed")
         proposed = proposed.unionByName(fresh)
     for variable in shared:
         variable.unpersist()
@@ -269,6 +277,17 @@ def frequent(docs: DataFrame, support=30, share=SHARE, passes: list = None) -> D
 
 # ---- words of the frequent phrases --------------------------------------------------------------------------------------
 
+def placed(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Keys of phrases at places, which differ from place to place in the bits of both probes."""
+    places = places.astype(np.uint64)
+    return keys ^ (places << np.uint64(64 - PLACES)) ^ (places << np.uint64(17))
+
+
+def _placed(found: DataFrame) -> DataFrame:
+    place = F.col("place").cast("long")
+    return found.select(F.col("key").bitwiseXOR(F.shiftleft(place, 64 - PLACES)).bitwiseXOR(F.shiftleft(place, 17)).alias("key"))
+
+
 def _named(bits):
     def named(batches):
         now, words = bits.value, {}
@@ -279,12 +298,12 @@ def _named(bits):
             lower = stretch.data.tobytes().translate(LOWER)
             for size in range(2, LONGEST + 1):
                 keys, at = stretch.keys(size), np.flatnonzero(stretch.inside(size))
-                place = (keys[at] >> np.uint64(2)) & np.uint64((1 << RECENT) - 1)
-                fresh = recent[place] != keys[at]
-                at, place = at[fresh], place[fresh]
-                there = admitted(now, keys[at])
-                at, place = at[there], place[there]
-                recent[place] = keys[at]
+                slot = (keys[at] >> np.uint64(2)) & np.uint64((1 << RECENT) - 1)
+                fresh = recent[slot] != keys[at]
+                at, slot = at[fresh], slot[fresh]
+                there = admitted(now, placed(keys[at], stretch.places[stretch.row[at]]))
+                at, slot = at[there], slot[there]
+                recent[slot] = keys[at]
                 found, first = np.unique(keys[at], return_index=True)
                 at = at[first]
                 phrases = [b" ".join([lower[a:b] for a, b in zip(stretch.starts[i:i + size].tolist(), stretch.ends[i:i + size].tolist())])
@@ -333,7 +352,7 @@ def collocations(docs: DataFrame, support=30, best=2000, share=SHARE, cover=80)
     """
     spark = docs.sparkSession
     found = frequent(docs, support, share)
-    bits = spark.sparkContext.broadcast(filter_of(found, filter_size(found.count(), 64)))
+    bits = spark.sparkContext.broadcast(filter_of(_placed(found), filter_size(found.count(), 64)))
     named = materialise(in_arrow(_texts(docs), _named(bits), "key long, lang string, phrase string, n long")
                         .groupBy("key", "lang").agg(F.min("phrase").alias("phrase"), F.sum("n").alias("n")), "named")
     words = named.filter(F.col("key").isNull()).select("lang", "n")
