@@ -24,26 +24,44 @@ from .common import in_arrow, slices
 CAPACITY = 2048
 END = 0               # id that ends a document
 SHARD_PIECES = 40_000  # pieces that one task packs at most, on average
-PASSES = 4            # improvement passes over the underfull bins
 
 
-def encoder(path):
-    """Text -> ids.  The byte-level vocabulary file gives the ranks; strings of special tokens are ordinary text."""
+def encoder(path, special=True):
+    """Text -> ids, as the tokenizer library gives them for the vocabulary file without adding special tokens.
+
+    The byte-level vocabulary gives the ranks.  Strings of special tokens become those tokens' ids; with
+    ``special=False`` they are ordinary text.
+    """
     import json
+    import re
 
     import public_tokenizers
     import tiktoken
 
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
-    special = {x["content"] for x in spec["added_tokens"]}
+    added = {x["content"]: x["id"] for x in spec["added_tokens"]}
+    if any(x.get(flag) for x in spec["added_tokens"] for flag in ("lstrip", "rstrip", "single_word")):
+        raise ValueError(f"{path}: added tokens that take blanks with them are not supported")
     # byte-level vocabularies write bytes as printable characters: printable ones as they are, the rest from 256 on
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     chars = {chr(b): b for b in plain}
     chars.update({chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))})
-    ranks = {bytes(chars[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                             special_tokens={}).encode_ordinary
+    ranks = {bytes(chars[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in added}
+    encode = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                               special_tokens={}).encode_ordinary
+    if not special or not added:
+        return encode
+    marks = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+
+    def encode_all(text):
+        if not marks.search(text):
+            return encode(text)
+        out = []
+        for k, part in enumerate(marks.split(text)):
+            out.extend([added[part]] if k % 2 else encode(part))
+        return out
+    return encode_all
 
 
 def cut(n: int, capacity=CAPACITY):
@@ -108,13 +126,15 @@ def best_fit(lengths, capacity=CAPACITY):
 
 
 class Bins:
-    """Underfull bins with their pieces indexed by length."""
+    """Underfull bins by their gap, and their pieces by gap and length."""
 
     def __init__(self, bins, lengths, capacity):
         self.bins, self.lengths, self.capacity = bins, lengths, capacity
         self.fill = [sum(lengths[i] for i in b) for b in bins]
         self.by_gap = [{} for _ in range(capacity + 1)]   # gap -> bins in order of entry
         self.gap_list = []                                # sorted gaps in use
+        self.holders = [{} for _ in range(capacity + 1)]  # gap -> piece length -> bins with such a piece
+        self.held = [[] for _ in range(capacity + 1)]     # gap -> sorted piece lengths
         for b in range(len(bins)):
             self._enter(b)
 
@@ -124,13 +144,24 @@ class Bins:
             if not self.by_gap[gap]:
                 bisect.insort(self.gap_list, gap)
             self.by_gap[gap][b] = True
+            for n in {self.lengths[i] for i in self.bins[b]}:
+                if n not in self.holders[gap]:
+                    bisect.insort(self.held[gap], n)
+                    self.holders[gap][n] = {}
+                self.holders[gap][n][b] = True
 
     def _leave(self, b):
         gap = self.capacity - self.fill[b]
-        if b in self.by_gap[gap]:
-            del self.by_gap[gap][b]
-            if not self.by_gap[gap]:
-                self.gap_list.remove(gap)
+        if b not in self.by_gap[gap]:
+            return
+        del self.by_gap[gap][b]
+        if not self.by_gap[gap]:
+            self.gap_list.pop(bisect.bisect_left(self.gap_list, gap))
+        for n in {self.lengths[i] for i in self.bins[b]}:
+            del self.holders[gap][n][b]
+            if not self.holders[gap][n]:
+                del self.holders[gap][n]
+                self.held[gap].pop(bisect.bisect_left(self.held[gap], n))
 
     def replace(self, b, out, into):
         """Takes pieces ``out`` from bin ``b`` and puts ``into`` there."""
@@ -143,71 +174,83 @@ class Bins:
             self.fill[b] += self.lengths[i]
         self._enter(b)
 
-    def gains(self, source, target, out, into):
-        """Change of the sum of squared fills when ``into`` leaves source for target and ``out`` goes back."""
-        moved = sum(self.lengths[i] for i in into) - sum(self.lengths[i] for i in out)
-        return moved > 0 and moved * (self.fill[target] - self.fill[source] + moved) > 0
+    def gains(self, source, target, moved):
+        """Whether ``moved`` tokens from source to target increase the sum of squared fills."""
+        return self.fill[target] - self.fill[source] + moved > 0
 
     def exchange(self, source, target, out, into):
         self.replace(source, into, out)
         self.replace(target, out, into)
 
+    def other(self, bins, source):
+        """The first of some bins that is not ``source``."""
+        return next((b for b in itertools.islice(bins, 2) if b != source), None)
 
-def improve(bins, lengths, capacity=CAPACITY, passes=PASSES, tries=64):
-    """Moves pieces out of the emptiest bins; returns the bins that still hold something.
+    def room(self, source, n):
+        """A bin with the tightest gap that takes ``n`` more tokens."""
+        for gap in self.gap_list[bisect.bisect_left(self.gap_list, n):]:
+            b = self.other(self.by_gap[gap], source)
+            if b is not None:
+                return b if self.gains(source, b, n) else None   # wider gaps are emptier bins
+        return None
 
-    For every piece of the emptiest bin: move it into the tightest gap that takes it; else exchange it for one
-    smaller piece of a bin whose gap takes the difference; else two of its pieces for one.  Each step increases the
-    sum of squared fills.  No more bins can go than lie above the bound total / capacity, so the emptiest few are
-    tried.  ``tries`` bounds the target bins looked at for one piece; the packing stays valid whatever it is.
+    def partner(self, source, total):
+        """(bin, piece) to give back for ``total`` tokens: of the tightest gaps first, the piece that fills most."""
+        for gap in self.gap_list:
+            lengths = self.held[gap]
+            k = bisect.bisect_left(lengths, max(total - gap, 1))
+            while k < len(lengths) and lengths[k] < total:
+                b = self.other(self.holders[gap][lengths[k]], source)
+                if b is not None:
+                    if self.gains(source, b, total - lengths[k]):
+                        return b, next(j for j in self.bins[b] if self.lengths[j] == lengths[k])
+                    break                                         # longer pieces give back more, and gain less
+                k += 1
+        return None
+
+
+def improve(bins, lengths, capacity=CAPACITY):
+    """Moves pieces out of the emptiest bins until no exchange is left; returns the bins that still hold something.
+
+    For the pieces of a bin, the emptiest bins first: move one into the tightest gap that takes it; else exchange it
+    for one smaller piece of a bin whose gap takes the difference; else two of its pieces for one.  Each step
+    increases the sum of squared fills, so the search ends.  Gaps and pieces are looked up by size, so every bin is
+    a possible target and every pair of pieces is tried.  It also ends at the bound total / capacity.
     """
     state = Bins([list(b) for b in bins], lengths, capacity)
     least = -(-sum(lengths) // capacity)
 
-    def targets(source, least):
-        seen = 0
-        for gap in state.gap_list[bisect.bisect_left(state.gap_list, least):]:
-            for b in list(itertools.islice(state.by_gap[gap], tries)):
-                if b != source and state.fill[b] >= state.fill[source]:
-                    yield b, gap
-                    seen += 1
-                    if seen >= tries:
-                        return
-
-    def move(source, i):
-        for b, _ in targets(source, lengths[i]):
-            if state.gains(source, b, (), (i,)):
-                return b, (), (i,)
-        return None
-
-    def swap(source, incoming):
-        total = sum(lengths[i] for i in incoming)
-        for b, gap in targets(source, 1):
-            for j in state.bins[b]:
-                if 0 < total - lengths[j] <= gap and state.gains(source, b, (j,), incoming):
-                    return b, (j,), incoming
+    def step(source):
+        held = {}
+        for i in sorted(state.bins[source], key=lambda i: (-lengths[i], i)):
+            held.setdefault(lengths[i], []).append(i)
+        for n, own in held.items():
+            if (b := state.room(source, n)) is not None:
+                return b, (), (own[0],)
+        for n, own in held.items():
+            if found := state.partner(source, n):
+                return found[0], (found[1],), (own[0],)
+        tried = set()
+        for n, own in held.items():
+            for m, more in held.items():
+                if m <= n and (m < n or len(own) > 1) and n + m not in tried:
+                    tried.add(n + m)
+                    if found := state.partner(source, n + m):
+                        return found[0], (found[1],), (own[0], more[0] if m < n else own[1])
         return None
 
-    for _ in range(passes):
-        moved, left = 0, sum(map(bool, state.bins))
-        if left <= least:
-            break
-        order = sorted((b for s in state.by_gap for b in s), key=lambda b: (state.fill[b], b))
-        for source in order[:2 * (left - least) + 8]:
-            again = True
-            while again and state.bins[source]:
-                again = False
-                held = sorted(state.bins[source], key=lambda i: (-lengths[i], i))
-                pairs = [(i, j) for k, i in enumerate(held[:8]) for j in held[k + 1:8]]
-                options = itertools.chain((move(source, i) for i in held), (swap(source, (i,)) for i in held),
-                                          (swap(source, p) for p in pairs))
-                step = next(filter(None, options), None)
-                if step:
-                    state.exchange(source, *step)
-                    moved += 1
-                    again = True
-        if not moved:
-            break
+    left = sum(map(bool, state.bins))
+    moved = True
+    while moved and left > least:
+        moved = False
+        for source in sorted((b for gap in state.gap_list for b in state.by_gap[gap]), key=lambda b: (state.fill[b], b)):
+            while state.bins[source] and (found := step(source)):
+                state.exchange(source, *found)
+                moved = True
+            if not state.bins[source]:
+                left -= 1
+                if left <= least:
+                    break
     return [b for b in state.bins if b]
 
 

@@ -17,7 +17,6 @@ OP = load()[0]["op10_best_fit_packing"]
 def tokenize():
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(vocabulary())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [0]
 
 
@@ -56,6 +55,48 @@ def test_edge_rows(spark, stored, tokenize):
     check(OP(spark, stored(docs)).collect(), docs, tokenize)
 
 
+def test_special_tokens_and_random_texts(tokenize):
+    from tokenizers import Tokenizer
+    encode, plain = packing.encoder(vocabulary()), packing.encoder(vocabulary(), special=False)
+    assert encode("hello <|endoftext|> world") == [31373, 220, 50256, 995]
+    ordinary = Tokenizer.from_file(vocabulary())
+    ordinary.encode_special_tokens = True
+    rng = random.Random(9)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "it's", "é", "中", "123", "word", "\t", "<", "A", "\U0001f600", "'ll"]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 12)))
+        assert encode(text) == tokenize(text)[:-1], text
+        assert plain(text) == ordinary.encode(text, add_special_tokens=False).ids, text
+
+
+def test_gaps_beyond_the_first_sixty_four():
+    """Many bins with a gap of one token do not hide the bins that can take a piece."""
+    capacity = 100
+    lengths = [99] * 300 + [60] * 20 + [40] + [10] * 80
+    bins = [[i] for i in range(300)] + [[300 + k] for k in range(20)] + [[320]] + [[321 + k] for k in range(80)]
+    better = packing.improve(bins, lengths, capacity)
+    assert sorted(i for b in better for i in b) == list(range(len(lengths)))
+    assert all(sum(lengths[i] for i in b) <= capacity for b in better)
+    assert len(better) == 321
+
+
+def test_no_exchange_is_left():
+    """What the search returns allows no move and no exchange that would fill bins more unevenly."""
+    rng = random.Random(5)
+    lengths = [rng.randint(20, 60) for _ in range(150)]
+    bins = packing.improve([[i] for i in range(150)], lengths, 100)
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    if len(bins) > -(-sum(lengths) // 100):
+        for s, source in enumerate(bins):
+            for t, target in enumerate(bins):
+                if s == t:
+                    continue
+                for out in [[], *[[j] for j in target]]:
+                    for into in [[i] for i in source] + [[i, j] for i in source for j in source if i < j and out]:
+                        d = sum(lengths[i] for i in into) - sum(lengths[j] for j in out)
+                        assert not (0 < d <= 100 - fill[t] and fill[t] - fill[s] + d > 0 and fill[t] < 100 and fill[s] < 100)
+
+
 def test_empty_table_and_exact_multiples(spark, docs_of):
     assert packing.packed(docs_of([]), vocabulary()).collect() == []
     assert packing.cut(1) == [(0, 1)] and packing.cut(2048) == [(0, 2048)]
