@@ -1,14 +1,16 @@
 """Personal data: fixed patterns, and offset-preserving deobfuscation for what hides from them.
 
-A chain of transducers rewrites a text: look-alike characters to ASCII, invisible ones to nothing, spelled digits to
-digits, at/dot disguises to signs.  Every character of the result knows the source characters it stands for, so a
+A chain of transducers rewrites a text: character references and look-alike characters to ASCII, invisible ones to
+nothing, spelled digits to digits, at/dot disguises to signs.  Every character of the result knows the source characters it stands for, so a
 finding in the rewritten text maps back to a span of the source.  A cheap test per transducer decides whether it
 could change the text at all.
 
 Spans count code points of the text, end exclusive.
 """
 
+import bisect
 import hashlib
+import itertools
 import re
 import unicodedata
 
@@ -21,7 +23,7 @@ from .common import in_arrow, slices
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")   # inside a run of digits it would match from its start
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]+")
@@ -113,6 +115,12 @@ SIGNS = {"＠": "@", "﹫": "@", "．": ".", "。": ".", "․": ".", "＋": "+",
 INVISIBLE = "­​‌‍⁠﻿"
 
 
+# blocks of letters and digits in other shapes, which compatibility normalisation turns into plain ones
+SHAPES = ((0x2100, 0x214F), (0x2460, 0x24FF), (0xFF01, 0xFF5E), (0x1D400, 0x1D7FF), (0x1F110, 0x1F189), (0x1FBF0, 0x1FBF9))
+LATIN_ALIKES = dict(zip("ʝɑɡıȷʋɩⅼɴɪʀʏᴀᴄᴅᴇᴊᴋᴍᴏᴘᴛᴜᴠᴡᴢ", "jagijvilniryacdejkmoptuvwz"))
+LOOK_ALIKES.update(LATIN_ALIKES)
+
+
 def _plain(c):
     """ASCII character that ``c`` stands for: '' for invisible ones, None if there is none."""
     if c in INVISIBLE:
@@ -122,11 +130,29 @@ def _plain(c):
     if "！" <= c <= "～":
         return chr(ord(c) - 0xFEE0)
     d = unicodedata.decimal(c, None)
-    return None if d is None else str(d)
+    if d is not None:
+        return str(d)
+    plain = unicodedata.normalize("NFKC", c)
+    return plain if len(plain) == 1 and plain.isascii() and plain.isalnum() else None
 
 
 _STRANGE = re.compile("[" + "".join(map(re.escape, [*SIGNS, *LOOK_ALIKES, *INVISIBLE]))
-                      + r"！-～٠-٩۰-۹०-९০-৯\U0001d7ce-\U0001d7ff]")
+                      + "".join(f"{chr(a)}-{chr(b)}" for a, b in SHAPES) + "٠-٩۰-۹०-९০-৯]")
+
+
+_REFERENCE = re.compile(r"&(?:#([0-9]{1,7})|#[xX]([0-9a-fA-F]{1,6})|(commat|period|plus|nbsp|lpar|rpar));?")
+_NAMED = {"commat": "@", "period": ".", "plus": "+", "nbsp": " ", "lpar": "(", "rpar": ")"}
+
+
+def references(tape):
+    """Character references of HTML, for characters that are not controls."""
+    if "&" not in tape.text:
+        return tape
+
+    def one(m):
+        code = _NAMED.get(m[3]) or chr(min(int(m[1]) if m[1] else int(m[2], 16), 0x10FFFF))
+        return [(code, m.start(), m.end())] if code.isprintable() else None
+    return tape.rewritten(_REFERENCE, one)
 
 
 def homoglyphs(tape):
@@ -149,33 +175,52 @@ SPELLED = {
 _POINT = "point|dot|punkt|punto"
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 # a run of four or more spelled or plain digits that starts with a spelled one
-_RUN = re.compile(rf"(?i)(?<!\w)(?:plus[\s-]+)?(?:{_WORD})(?:[\s,-]+(?:(?:{_POINT})[\s-]+)?(?:{_WORD}|[0-9])(?!\w)){{3,}}")
-_PART = re.compile(rf"(?i)(?<!\w)(?:plus|{_POINT}|{_WORD}|[0-9])(?!\w)")
+_RUN = re.compile(rf"(?i)(?<!\w)(?:plus[\s-]+)?(?:{_WORD})(?:[\s,-]+(?:(?:{_POINT})[\s-]+)?(?:{_WORD}|[0-9]{{1,19}})(?!\w)){{3,}}")
+_PART = re.compile(rf"(?i)(?<!\w)(?:plus|{_POINT}|{_WORD}|[0-9]+)(?!\w)")
+# a spelled number needs no country code where a word asks to call it
+_CALL = re.compile(r"(?i)(?<!\w)(?:call|dial|ring|phone|tel|telephone|mobile|text|sms|fax|number|whatsapp|ruf|rufen|telefon|nummer|handy|"
+                   r"appelez|appeler|tél|téléphone|numéro|llama|llame|llamar|teléfono|número)[^\w\n]{1,3}(?:\w{1,9}[^\w\n]{1,3}){0,3}$")
 
 
-def spelled_digits(tape):
+def spelled_digits(tape, called):
+    """Spelled digits as digits; ``called`` gets the source spans of numbers that the text asks to call."""
     def one(m):
         out = []
         for w in _PART.finditer(m.string, m.start(), m.end()):
             word = w[0].lower()
-            char = "+" if word == "plus" else "." if word not in SPELLED and not word.isdigit() else str(SPELLED.get(word, word))
-            out.append((char, w.start(), w.end()))
+            if word.isdigit():
+                out += [(c, w.start() + i, w.start() + i + 1) for i, c in enumerate(word)]
+            else:
+                out.append(("+" if word == "plus" else str(SPELLED.get(word, ".")), w.start(), w.end()))
+        if 7 <= len(out) <= 15 and all(c.isdigit() for c, _, _ in out) and _CALL.search(m.string, max(0, m.start() - 60), m.start()):
+            called.append((tape.source(m.start(), m.start() + 1)[0], tape.source(m.end() - 1, m.end())[1]))
         return out
     return tape.rewritten(_RUN, one)
 
 
 _AT = r"at|arroba|arobase|chez|klammeraffe|ät"
-_BRACKETED = re.compile(rf"(?i)[ \t]*[\[({{<][ \t]*(?:({_AT}|@)|(dot|{_POINT}|\.))[ \t]*[\])}}>][ \t]*")
+_BRACKETED = re.compile(rf"(?i)(?:(?<![ \t])[ \t]*|(?<=[ \t]))[\[({{<][ \t]*(?:({_AT}|@)|(dot|{_POINT}|\.))[ \t]*[\])}}>][ \t]*")
 # a phrase without brackets counts only if it ends as addresses do
 ENDINGS = "com|org|net|edu|gov|info|biz|io|dev|eu|us|uk|ca|au|de|at|ch|fr|be|es|mx|ar|it|nl|pl|br|in|jp|cn"
-_LABELS = rf"[ \t]+[a-z0-9-]+(?:[ \t]+(?:{_POINT})[ \t]+[a-z0-9-]+)*?[ \t]+(?:{_POINT})[ \t]+(?:{ENDINGS})(?![\w-])"
-_SPOKEN = re.compile(rf"(?i)(?<![\w.+-])[a-z0-9._%+-]+[ \t]+(?:{_AT}){_LABELS}")
+_DOT = rf"(?:\.|[ \t]+(?:{_POINT})[ \t]+)"
+_LABELS = rf"[ \t]+[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)*?{_DOT}(?:{ENDINGS})(?![\w-]|\.\w)"
+_SPOKEN = re.compile(rf"(?i)(?<![\w.%+-])[a-z0-9._%+-]+[ \t]+(?:{_AT}){_LABELS}")
 _SPOKEN_SIGN = re.compile(rf"(?i)[ \t]+(?:({_AT})|({_POINT}))[ \t]+")
-_AFTER_SIGN = re.compile(rf"(?i)@[a-z0-9.-]+(?:[ \t]+(?:{_POINT})[ \t]+[a-z0-9-]+)*?[ \t]+(?:{_POINT})[ \t]+(?:{ENDINGS})(?![\w-])")
+# behind a sign any ending counts, unless the domain has one already
+_AFTER_SIGN = re.compile(rf"(?i)@(?:[a-z0-9.-]+(?:[ \t]+(?:{_POINT})[ \t]+[a-z0-9-]+)*?[ \t]+(?:{_POINT})[ \t]+(?:{ENDINGS})"
+                         rf"|[a-z0-9-]+[ \t]+(?:{_POINT})[ \t]+[a-z]{{2,24}})(?![\w-])")
+# blanks around the signs themselves
+_SPREAD = re.compile(rf"(?i)(?<![\w.%+-])([a-z0-9._%+-]+)[ \t]{{0,3}}@[ \t]{{0,3}}[a-z0-9-]+(?:[ \t]{{0,3}}\.[ \t]{{0,3}}[a-z0-9-]+)*?"
+                     rf"[ \t]{{0,3}}\.[ \t]{{0,3}}(?:{ENDINGS})(?![\w-]|\.\w)")
+
+
+_AT_WORD = re.compile(rf"(?i)[ \t](?:{_AT})[ \t]+[a-z0-9]")
+_POINT_WORD = re.compile(rf"(?i)[ \t](?:{_POINT})[ \t]")
+_BLANK_SIGN = re.compile(r"[ \t][@.]|[@.][ \t]")
 
 
 def at_and_dot(tape):
-    """``[at]``, ``(dot)`` and, where both stand in one phrase, spoken ``at`` and ``dot``."""
+    """``[at]``, ``(dot)``, spoken ``at`` before a domain with spoken or literal dots, and blanks around the signs."""
     if any(c in tape.text for c in "[({<"):
         tape = tape.rewritten(_BRACKETED, lambda m: [("@" if m[1] else ".", m.start(), m.end())])
 
@@ -186,30 +231,39 @@ def at_and_dot(tape):
             out.append(("@" if s[1] else ".", s.start(), s.end()))
             at = s.end()
         return out + [(c, at + i, at + i + 1) for i, c in enumerate(m.string[at:m.end()])]
-    low = tape.text.lower()
-    if any(f" {w} " in low for w in _POINT.split("|")):
+
+    def close(m):
+        return [(c, m.start() + i, m.start() + i + 1) for i, c in enumerate(m[0]) if c not in " \t"]
+    if _AT_WORD.search(tape.text):
         tape = tape.rewritten(_SPOKEN, phrase)
-        if "@" in tape.text:   # name@host dot org
+    if "@" in tape.text:
+        if _POINT_WORD.search(tape.text):   # name@host dot org
             tape = tape.rewritten(_AFTER_SIGN, phrase)
+        if _BLANK_SIGN.search(tape.text):
+            tape = tape.rewritten(_SPREAD, lambda m: close(m) if " " in m[0] or "\t" in m[0] else None)
     return tape
 
 
-TRANSDUCERS = (homoglyphs, at_and_dot, spelled_digits)
-
-
 def hidden_spans(text: str, base: list) -> list:
     """Findings of the rewritten text as spans of the source that reach beyond every span of ``base``."""
-    tape = Tape(text)
-    for step in TRANSDUCERS:
-        tape = step(tape)
+    called = []
+    tape = spelled_digits(at_and_dot(homoglyphs(references(Tape(text)))), called)
     if tape.text == text:
         return []
-    out = []
+    starts = [s[1] for s in base]
+    reach = list(itertools.accumulate((s[2] for s in base), max))
+    covered = lambda start, end: (k := bisect.bisect_right(starts, start)) > 0 and reach[k - 1] >= end
+    out, last = [], 0
     for kind, a, b in base_spans(tape.text):
         start, end = tape.source(a, b)
-        if not any(s[1] <= start and end <= s[2] for s in base):
+        if kind == "email":   # letters with other marks or shapes in front belong to the name
+            while start > last and not text[start - 1].isascii() and unicodedata.name(text[start - 1], "").startswith("LATIN"):
+                start -= 1
+            last = end
+        if not covered(start, end):
             out.append((kind, start, end))
-    return out
+    phones = {(start, end) for kind, start, end in out if kind == "phone"}
+    return out + [("phone", start, end) for start, end in called if not covered(start, end) and (start, end) not in phones]
 
 
 def all_spans(text: str):
