@@ -37,6 +37,14 @@ def in_arrow(df: DataFrame, fn, schema) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def slices(batches, max_bytes=SLICE_BYTES, column="text"):
     """Cuts record batches so that a piece holds about ``max_bytes`` of the text column."""
     for batch in batches:

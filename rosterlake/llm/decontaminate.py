@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialise
+from .common import free_name
 
 WINDOW = 10
 BROADCAST_ROWS = 1 << 18     # benchmark terms or window places sent to all executors at most
@@ -177,5 +178,6 @@ def clean(docs: DataFrame, items: DataFrame, size=WINDOW) -> DataFrame:
     """The rows of ``docs`` without a hit, with all their columns; every other row goes."""
     places, _ = test_windows(items, size)
     postings = materialise(index(docs, places), "postings")
-    bad = materialise(phrase_matches(postings, places).select(F.col("doc").alias("__bad")).distinct(), "contaminated")
-    return docs.join(_small(bad, BROADCAST_IDS), _key(docs) == F.col("__bad"), "left_anti")
+    name = free_name(docs, "contaminated_doc")
+    bad = materialise(phrase_matches(postings, places).select(F.col("doc").alias(name)).distinct(), "contaminated")
+    return docs.join(_small(bad, BROADCAST_IDS), _key(docs) == F.col(name), "left_anti")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialise
-from .common import SPACE, WordHash, bytes_of, in_arrow, list_array, slices, spans, windows, within
+from .common import SPACE, WordHash, bytes_of, free_name, in_arrow, list_array, slices, spans, windows, within
 from .components import components
 
 WORDS = 5          # words of a shingle
@@ -351,16 +351,16 @@ def one_per_group(docs: DataFrame, **options) -> DataFrame:
 
     Rows with a null doc_id stay.  Of rows that repeat a doc_id one stays: the first by text.
     """
-    found = near_duplicates(docs, **options)
-    gone = found.filter("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
-    twice = (found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_twice")).count()
-             .filter("count > 1").select("_twice"))
+    found, name = near_duplicates(docs, **options), free_name(docs, "other_doc")
+    gone = found.filter("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col(name), "left_anti")
+    twice = (found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias("rows"))
+             .filter("rows > 1").select(name))
     twice = materialise(twice, "repeated")
     if twice.isEmpty():
         return kept
     id_ = kept["doc_id"].cast("long")
-    repeated = kept.join(twice, id_ == twice["_twice"], "left_semi")
+    repeated = kept.join(twice, id_ == F.col(name), "left_semi")
     row = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    single = repeated.select(*repeated.columns, row.alias("__row")).filter("__row = 1").select(*repeated.columns)
-    return kept.join(twice, id_ == twice["_twice"], "left_anti").unionByName(single)
+    single = repeated.select(*repeated.columns, row.alias(name)).filter(F.col(name) == 1).select(*repeated.columns)
+    return kept.join(twice, id_ == F.col(name), "left_anti").unionByName(single)

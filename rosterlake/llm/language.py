@@ -12,13 +12,14 @@ chains joined from stretches of all of them show the field how texts switch.  Pr
 
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import crf
-from .common import fold, in_arrow, slices
+from .common import fold, free_name, in_arrow, slices
 from .sampling import thinned_by, window_of
 
 TRAIN_DOCS = 500
@@ -28,11 +29,25 @@ REJECT_FROM = 0.3        # share of no known language from which a document goes
 SWITCHES = 4             # stretches of a mixed training chain
 STRETCH = (3, 25)        # words of a stretch
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+
+def _members(categories) -> str:
+    """Ranges of a character class: all characters of some Unicode categories."""
+    points = [c for c in range(0x110000) if unicodedata.category(chr(c)) in categories]
+    out = []
+    for c in points:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+_LETTER = r"[^\W\d_" + _members(("Nl", "No")) + "]"     # \w also holds numerals such as fractions and Roman numbers
+_LETTERS = re.compile(f"{_LETTER}+(?:[{_members(('Mn', 'Mc', 'Me'))}]+{_LETTER}*)*")
 
 
 def letter_words(text: str) -> list:
-    """Runs of letters, lower-cased."""
+    """Runs of letters, with the marks that combine with them, lower-cased."""
     return _LETTERS.findall(text.lower())
 
 
@@ -141,7 +156,7 @@ def predictions(docs: DataFrame, held_out=0) -> DataFrame:
 
 def accepted(docs: DataFrame, reject_from=REJECT_FROM) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose language is known: not ``und``, and words of no known language short of the limit."""
-    names = ("__lang_pred", "__score", "__mixture")
+    names = tuple(free_name(docs, name) for name in ("lang_pred", "score", "mixture"))
     rows = labelled(docs, train(docs), names)
     strange = F.aggregate(F.filter(names[2], lambda m: m["lang"] == UNKNOWN), F.lit(0.0), lambda total, m: total + m["share"])
     return rows.filter((F.col(names[0]) != UNKNOWN) & (strange < reject_from)).drop(*names)

@@ -90,3 +90,13 @@ def test_proximity(spark, docs_of):
     near = lambda slop: sorted({keys[r.doc] for r in decontaminate.proximity_matches(postings, places, slop).collect()})
     assert near(0) == [1] and near(1) == [1, 2, 6] and near(3) == [1, 2, 6]
     assert near(4) == [1, 2, 5, 6] and near(6) == [1, 2, 3, 5, 6]
+
+
+def test_clean_keeps_clashing_columns(docs_of):
+    from pyspark.sql import functions as F
+    item = " ".join(f"w{k}" for k in range(12)).translate(str.maketrans("0123456789", "abcdefghij"))
+    docs = docs_of([(1, item), (2, "quite another text"), (None, None)])
+    wide = docs.withColumns({c: F.lit("z") for c in ("__bad", "contaminated_doc", "doc", "w", "pos", "id")})
+    items = docs.sparkSession.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontaminate.clean(wide, items)
+    assert got.columns == wide.columns and sorted((r.doc_id for r in got.collect()), key=str) == [2, None]

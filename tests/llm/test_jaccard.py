@@ -114,3 +114,11 @@ def test_bitmap_bound_is_never_too_low():
         a, b = np.unique(rng.choice(pool, rng.integers(1, 300))), np.unique(rng.choice(pool, rng.integers(1, 300)))
         top = jaccard.overlap_bound(jaccard.bitmap(a), jaccard.bitmap(b), len(a), len(b))
         assert top >= len(np.intersect1d(a, b))
+
+
+def test_one_per_group_keeps_clashing_columns(docs_of):
+    from pyspark.sql import functions as F
+    docs = docs_of([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "h i j k l m n"), (3, "o p q r s t u"), (None, "x")])
+    wide = docs.withColumns({c: F.lit("z") for c in ("__row", "_gone", "_twice", "other_doc", "rows", "print", "n")})
+    got = jaccard.one_per_group(wide)
+    assert got.columns == wide.columns and sorted((r.doc_id for r in got.collect()), key=str) == [1, 3, None]

@@ -138,3 +138,25 @@ def test_unknown_text_is_not_accepted(spark, docs_of, sf_dir):
     rows = [(10_000_000 + 1_000_000 * k + i, t, None) for k, texts in enumerate((known, strange, other)) for i, t in enumerate(texts)]
     kept = [r.doc_id // 1_000_000 - 10 for r in language.accepted(docs.unionByName(docs_of(rows))).filter("doc_id >= 10000000").collect()]
     assert kept.count(0) >= 0.98 * len(known) and kept.count(1) == 0 and kept.count(2) <= 0.2 * len(other)
+
+
+def test_letters_only():
+    assert language.letter_words("½ ² Ⅷ ① 12 _ 四") == ["四"]
+    assert language.letter_words("e\u0301te\u0301 naïve Straße x²y") == ["e\u0301te\u0301", "naïve", "straße", "x", "y"]
+    assert language.letter_words("हिन्दी भाषा") == ["हिन्दी", "भाषा"] and language.letter_words("\u0301 a") == ["a"]
+
+
+def test_numerals_have_no_language(docs_of):
+    docs = docs_of([(k, "the cat and the dog went out", "en") for k in range(40)] + [(k, "der Hund und die Katze sind da", "de") for k in range(40, 80)]
+                   + [(100, "½ ² Ⅷ ①")])
+    got = {r.doc_id: r for r in language.predictions(docs).collect()}
+    assert got[100].lang_pred == "und" and got[100].score == 0
+
+
+def test_accepted_keeps_clashing_columns(docs_of):
+    from pyspark.sql import functions as F
+    docs = docs_of([(k, "the cat and the dog went out", "en") for k in range(40)] + [(k, "der Hund und die Katze sind da", "de") for k in range(40, 80)])
+    names = ("lang_pred", "score", "mixture", "__score", "LANG_PRED_")
+    wide = docs.withColumns({c: F.lit("z") for c in names})
+    got = language.accepted(wide)
+    assert got.columns == wide.columns and got.count() == 80
