@@ -9,7 +9,9 @@ is also shown with its key word replaced.
 Spans count code points of the text, end exclusive.
 """
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 
@@ -92,11 +94,16 @@ def file_features(text: str) -> tuple:
 def _tagged(text):
     """Tokens and their tags from the fixed patterns."""
     spans = base_spans(text)
-    tokens, tags, last = [], [], None
+    tokens, tags, last, at = [], [], None, 0
     for m in _TOKEN.finditer(text):
-        hit = next((s for s in spans if s[1] < m.end() and m.start() < s[2]), None)
+        while at < len(spans) and spans[at][2] <= m.start():
+            at += 1
+        k = at
+        while k < len(spans) and spans[k][2] <= m.start():
+            k += 1
+        hit = spans[k] if k < len(spans) and spans[k][1] < m.end() else None
         tokens.append(m[0])
-        tags.append(0 if hit is None else 2 if last is not None else 1)
+        tags.append(0 if hit is None else 2 if hit is last else 1)    # a secret next to another begins anew
         last = hit
     return tokens, tags, file_features(text)
 
@@ -113,13 +120,14 @@ def window(text, spans, place, chars):
 
 
 def _windows(limit, chars):
-    """Of a task's rows with a finding, and of those without, the windows of the ``limit`` smallest hashes."""
+    """Of a task's rows with a finding, and of those without, the windows of the ``limit`` smallest hashes, and their number."""
     def run(batches):
-        kept, worst = {True: [], False: []}, {}
+        kept, worst, total = {True: [], False: []}, {}, {True: 0, False: 0}
         for batch in slices(batches):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 spans = base_spans(text)
                 hit = bool(spans)
+                total[hit] += 1
                 if key > worst.get(hit, key):
                     continue
                 kept[hit].append((key, window(text, spans, key & 0x7FFFFFFF, chars)))
@@ -129,17 +137,24 @@ def _windows(limit, chars):
         for hit, found in kept.items():
             found = sorted(found)[:limit]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([hit] * len(found), pa.bool_()), pa.array([k for k, _ in found], pa.int64()),
-                 pa.array([w for _, w in found], pa.string())], names=["hit", "key", "text"])
+                [pa.array([hit] * (len(found) + 1), pa.bool_()), pa.array([*(k for k, _ in found), None], pa.int64()),
+                 pa.array([*(w for _, w in found), None], pa.string()), pa.array([0] * len(found) + [total[hit]], pa.int64())],
+                names=["hit", "key", "text", "total"])
     return run
 
 
 def train(docs: DataFrame, windows=TRAIN_WINDOWS, chars=WINDOW_CHARS):
     """The field, or None if no row holds a secret."""
     texts = docs.select(F.xxhash64("doc_id", F.lit(3)).alias("key"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    # a task writes ``windows`` rows of either sort at most, whatever it reads
-    cut = materialise(texts.transform(in_arrow, _windows(windows, chars), "hit boolean, key long, text string"), "windows")
-    rows = [r for hit in (True, False) for r in cut.filter(F.col("hit") == hit).orderBy("key", "text").limit(windows).collect()]
+    # a task writes ``windows`` rows of either sort at most, whatever it reads; keys are even, so the share of them below
+    # a limit is known beforehand, and little more than ``windows`` rows of a sort leave the executors
+    cut = materialise(texts.transform(in_arrow, _windows(windows, chars), "hit boolean, key long, text string, total long"), "windows")
+    totals = {r["hit"]: r["total"] for r in cut.groupBy("hit").agg(F.sum("total").alias("total")).collect()}
+    rows = []
+    for hit, total in totals.items():
+        share = min(1.0, 1.2 * (windows + 50) / max(total, 1))
+        near = cut.filter((F.col("hit") == hit) & F.col("text").isNotNull() & (F.col("key") <= int((share * 2 - 1) * (2 ** 63 - 1025))))
+        rows += sorted(near.collect(), key=lambda r: (r["key"], r["text"]))[:windows]
     sequences, any_ = [], False
     for r in sorted(rows, key=lambda r: (not r["hit"], r["text"])):
         tokens, tags, file = _tagged(r["text"])
@@ -156,6 +171,7 @@ def _field_spans(text, tags, base):
     """Spans of tagged token runs that touch no pattern's span."""
     out, run = [], []
     tokens = list(_TOKEN.finditer(text))
+    starts, reach = [s[1] for s in base], list(itertools.accumulate((s[2] for s in base), max))
 
     def close():
         if run:
@@ -164,7 +180,8 @@ def _field_spans(text, tags, base):
                 start += 1
             while end > start and text[end - 1] in "\"'`,;()[]{}<>.":
                 end -= 1
-            if start < end and not any(s[1] < end and start < s[2] for s in base):
+            k = bisect.bisect_left(starts, end)
+            if start < end and not (k and reach[k - 1] > start):
                 out.append(("secret", start, end))
             run.clear()
 

@@ -108,3 +108,26 @@ def test_field_adds_phrases_without_digits(docs_of):
     got = {r.doc_id: r for r in rows}
     assert sum(any(letters(4999 - i) in t[a:b] for _, a, b in check(got[i], t)) for i, t in hidden) >= 8
     assert not any(check(got[i], t) for i, t in docs)
+
+
+def test_adjacent_secrets_begin_anew():
+    _, tags, _ = secrets._tagged("password=abcdefghijkl1234 token=zyxwvutsrqpo9876 then words")
+    assert tags[:2] == [1, 1] and not any(tags[2:])
+
+
+def test_many_spans_are_linear():
+    import time
+    text = " ".join(f"token=abcdefghijkl{k:06d} x{k}y" for k in range(30_000))
+    base = secrets.base_spans(text)
+    t = time.process_time()
+    secrets._tagged(text)
+    secrets._field_spans(text, [1] * len(text.split()), base)
+    assert time.process_time() - t < 6
+
+
+def test_little_more_than_the_windows_leave_the_executors(spark, docs_of, monkeypatch):
+    docs = docs_of([(k, f"password = abcdefgh{k:08d}" if k % 2 else f"plain words number {k}") for k in range(4000)]).repartition(8)
+    seen, plain = [], secrets.crf.train
+    monkeypatch.setattr(secrets.crf, "train", lambda sequences, *a, **b: seen.append(len(sequences)) or plain(sequences[:50], *a, **b))
+    secrets.train(docs, windows=40)
+    assert 100 <= seen[0] <= 40 * 2 + 40
