@@ -113,9 +113,9 @@ def _of_documents(postings, hits):
     return postings.join(_small(ids, BROADCAST_IDS), "doc", "left_semi").distinct()
 
 
-def phrase_matches(postings: DataFrame, places: DataFrame) -> DataFrame:
+def phrase_matches(postings: DataFrame, places: DataFrame, ranked: DataFrame = None) -> DataFrame:
     """w, doc, start, size: every place where a window's terms stand in order without gaps."""
-    ranked = materialise(_ranked(postings, places), "ranked")
+    ranked = materialise(_ranked(postings, places), "ranked") if ranked is None else ranked
     found = materialise(_candidates(postings, ranked).distinct(), "candidates")
     spots = _small(ranked.filter("rank > 1").select("w", F.col("id"), "spot"), BROADCAST_ROWS)
     asked = found.filter("size > 2").join(spots, "w").select(
@@ -125,23 +125,36 @@ def phrase_matches(postings: DataFrame, places: DataFrame) -> DataFrame:
     return full.drop("n").unionByName(found.filter("size <= 2"))
 
 
-def proximity_matches(postings: DataFrame, places: DataFrame, slop=2) -> DataFrame:
+def _near_candidates(postings, ranked, slop):
+    """Places of a window's rarest term from which the second rarest stands at most ``slop`` words off its own.
+
+    Starts are joined by their band of ``slop + 1`` words, so a start meets three bands and no list is multiplied by shifts.
+    """
+    def moved(rank):
+        spots = ranked.filter(F.col("rank") == rank).select("w", "id", "spot", "size")
+        return postings.join(_small(spots, BROADCAST_ROWS), "id").select("w", "doc", (F.col("pos") - F.col("spot")).alias("start"), "size").distinct()
+    band = F.floor(F.col("start") / (slop + 1))
+    one = moved(0)
+    two = moved(1).select("w", "doc", F.col("start").alias("other"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    both = one.filter("size > 1").withColumn("band", band).join(two, ["w", "doc", "band"]).filter(F.abs(F.col("other") - F.col("start")) <= slop)
+    return both.select("w", "doc", "start", "size").distinct().unionByName(one.filter("size = 1"))
+
+
+def proximity_matches(postings: DataFrame, places: DataFrame, slop=2, ranked: DataFrame = None) -> DataFrame:
     """w, doc, start: places where each of the window's terms stands within ``slop`` words of where it should.
 
     The place is that of the rarest term, moved back by its spot; it may lie before the text's first word.
     """
-    ranked = materialise(_ranked(postings, places), "ranked")
-    first = ranked.filter("rank = 0").select("w", "id", F.col("spot").alias("own"), "size")
-    seeds = materialise(postings.join(_small(first, BROADCAST_ROWS), "id")
-                        .select("w", "doc", (F.col("pos") - F.col("own")).alias("start"), "size").distinct(), "seeds")
-    others = _small(ranked.filter("rank > 0").select("w", "id", "spot"), BROADCAST_ROWS)
+    ranked = materialise(_ranked(postings, places), "ranked") if ranked is None else ranked
+    seeds = materialise(_near_candidates(postings, ranked, slop), "seeds")
+    others = _small(ranked.filter("rank > 1").select("w", "id", "spot"), BROADCAST_ROWS)
     # tolerance as an equality: one row per allowed shift
-    asked = seeds.join(others, "w").select("w", "doc", "start", "size", "id", "spot",
+    asked = seeds.filter("size > 2").join(others, "w").select("w", "doc", "start", "size", "id", "spot",
                                            F.explode(F.sequence(F.lit(-slop), F.lit(slop))).alias("shift"))
     asked = asked.withColumn("pos", F.col("start") + F.col("spot") + F.col("shift"))
-    full = (asked.join(_of_documents(postings, seeds), ["doc", "pos", "id"])
-            .groupBy("w", "doc", "start", "size").agg(F.countDistinct("spot").alias("n")).filter("n = size - 1"))
-    return full.drop("n", "size").unionByName(seeds.filter("size = 1").drop("size")).distinct()
+    full = (asked.join(_of_documents(postings, seeds.filter("size > 2")), ["doc", "pos", "id"])
+            .groupBy("w", "doc", "start", "size").agg(F.countDistinct("spot").alias("n")).filter("n = size - 2"))
+    return full.drop("n", "size").unionByName(seeds.filter("size <= 2").drop("size")).distinct()
 
 
 def hit_words(matches: DataFrame) -> DataFrame:
@@ -153,8 +166,11 @@ def hit_words(matches: DataFrame) -> DataFrame:
     return ends.withColumn("reach", reach).groupBy("doc").agg(F.sum(fresh).cast("long").alias("n_hit"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, size=WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; one row per row of ``docs``.
+def contamination(docs: DataFrame, items: DataFrame, size=WINDOW, slop=2) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near; one row per row of ``docs``.
+
+    The first columns are of exact phrases.  n_near counts the windows whose terms all stand at most ``slop`` words from
+    their places around the rarest one, so a passage with a word put in, left out or moved shows there.
 
     Null or wordless texts have no words and no hits; a null doc_id is kept.  Repeated rows get a row each, repeated
     items count once.  An empty benchmark contaminates nothing; an empty table gives an empty result.  Other columns
@@ -162,16 +178,19 @@ def contamination(docs: DataFrame, items: DataFrame, size=WINDOW) -> DataFrame:
     """
     places, owners = test_windows(items, size)
     postings = materialise(index(docs, places), "postings")
-    matches = materialise(phrase_matches(postings, places), "matches")
+    ranked = materialise(_ranked(postings, places), "ranked")
+    matches = materialise(phrase_matches(postings, places, ranked), "matches")
+    near = proximity_matches(postings, places, slop, ranked).select("doc", "w").distinct().groupBy("doc").agg(F.count("*").alias("n_near"))
     found = (matches.select("doc", "w").distinct().join(_small(owners, BROADCAST_ROWS), "w").filter("item_id is not null")
              .select("doc", "item_id").distinct().groupBy("doc")
              .agg(F.sort_array(F.collect_list("item_id")).alias("ids")))   # no more ids than a document has words
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    hits = hit_words(matches).join(found, "doc", "left")
+    hits = hit_words(matches).join(found, "doc", "left").join(near, "doc", "full")
     return sizes(docs).join(hits, "doc", "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
-        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"))
 
 
 def clean(docs: DataFrame, items: DataFrame, size=WINDOW) -> DataFrame:

@@ -1,7 +1,28 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from . import warc
+
+
+def _sql_map(table: dict) -> str:
+    """A map of SQL with the characters as code points."""
+    text = lambda s: "concat(" + ", ".join(f"chr({ord(c)})" for c in s) + ")"
+    key = lambda k: f"'{k}'" if isinstance(k, str) else str(k)
+    return "MAP {" + ", ".join(f"{key(k)}: {text(v)}" for k, v in table.items()) + "}"
+
+
+def _unescaped(text: str) -> str:
+    """Character references of an SQL text undone; ``names`` and ``numbers`` are maps."""
+    r = "x[2]"
+    number = f"CASE WHEN {r}[3:3] IN ('x', 'X') THEN CAST('0x' || {r}[4:-2] AS BIGINT) ELSE CAST({r}[3:-2] AS BIGINT) END"
+    point = f"CASE WHEN ({number}) > 1114111 OR ({number}) BETWEEN 55296 AND 57343 THEN chr(65533) ELSE coalesce(numbers[({number})], chr(CAST(({number}) AS INTEGER))) END"
+    char = f"CASE WHEN {r} IS NULL THEN '' WHEN {r}[2:2] = '#' THEN {point} ELSE coalesce(names[{r}[2:]], {r}) END"
+    return (f"array_to_string([x[1] || {char} FOR x IN list_zip(regexp_split_to_array({text}, '{warc.REFERENCE}'), "
+            f"regexp_extract_all({text}, '{warc.REFERENCE}'))], '')")
+
+
 OP2 = r"""
-WITH r AS (SELECT coalesce(CAST(page_id AS VARCHAR), '') AS p, url AS target_uri, coalesce(html, '') AS html FROM pages),
+WITH refs AS (SELECT @NAMES AS names, @NUMBERS AS numbers),
+r AS (SELECT coalesce(CAST(page_id AS VARCHAR), '') AS p, url AS target_uri, coalesce(html, '') AS html FROM pages),
 m AS (SELECT *, md5('response' || chr(10) || p || chr(10) || coalesce(target_uri, '') || chr(10) || html) AS h,
       'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10)
       || 'X-Page: ' || p AS source_headers FROM r),
@@ -14,11 +35,8 @@ t AS (SELECT *, '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '
 u AS (SELECT *, regexp_replace(regexp_replace(t1,
         '(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|footer|header|title|blockquote|pre)\b[^>]*>', chr(10), 'g'),
         '(?s)<[^>]*>', '', 'g') AS t2 FROM t),
-v AS (SELECT *, replace(replace(replace(replace(replace(replace(replace(t2, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
-        '&#39;', ''''), '&apos;', ''''), '&amp;', '&') AS t3,
-      replace(replace(replace(replace(replace(replace(replace(title, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
-        '&#39;', ''''), '&apos;', ''''), '&amp;', '&') AS title2,
-      regexp_extract(html, '(?i)<html[^>]*\blang=["'']?([A-Za-z-]+)', 1) AS language FROM u),
+v AS (SELECT *, @T2 AS t3, @TITLE AS title2,
+      regexp_extract(html, '(?i)<html[^>]*\blang=["'']?([A-Za-z-]+)', 1) AS language FROM u, refs),
 w AS (SELECT *, trim(regexp_replace(regexp_replace(t3, ' *\n[ \n]*', chr(10), 'g'), '^\n+|\n+$', '', 'g')) AS text,
       'software: derivative-builder/1.0' || chr(13) || chr(10) || 'http-status: 200' || chr(13) || chr(10)
       || 'http-content-type: text/html; charset=utf-8' || chr(13) || chr(10)
@@ -33,7 +51,7 @@ SELECT '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[1
        'sha256:' || sha256(block) AS block_digest, 'sha256:' || sha256(html) AS payload_digest,
        'sha256:' || sha256(response) AS source_digest, block
 FROM y
-"""
+""".replace("@T2", _unescaped("t2")).replace("@TITLE", _unescaped("title")).replace("@NAMES", _sql_map(warc.NAMES)).replace("@NUMBERS", _sql_map(warc.NUMBERS))
 
 OP3 = r"""
 WITH RECURSIVE p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
@@ -55,7 +73,10 @@ rules(verdict, rhost, rpath) AS (VALUES ('allow', 'com', '/'), ('block', 'exampl
         ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 fit AS (SELECT url, max_by(verdict, length(rhost || rpath)) AS own, max_by(rhost || rpath, length(rhost || rpath)) AS rule
         FROM parts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY url),
-nodes AS (SELECT parts.*, own, rule, CASE WHEN parts.url LIKE '%://%' THEN host || rest END AS node
+nodes AS (SELECT parts.*, own, rule, CASE WHEN parts.url LIKE '%://%' THEN regexp_replace(host, ':(80|443)?$', '') || CASE WHEN starts_with(rest, '/') THEN '' ELSE '/' END
+        || array_to_string([CASE WHEN i = 1 THEN x WHEN regexp_matches(upper(x[1:2]), '^(2[DE]|3[0-9]|4[1-9A-F]|5[0-9AF]|6[1-9A-F]|7[0-9AE])')
+             THEN chr(CAST('0x' || x[1:2] AS INTEGER)) || x[3:] WHEN regexp_matches(x, '^[0-9A-Fa-f]{2}') THEN '%' || upper(x[1:2]) || x[3:] ELSE '%' || x END
+           FOR x, i IN string_split(rest, '%')], '') END AS node
         FROM parts LEFT JOIN fit ON fit.url = parts.url),
 pair AS (SELECT a.node AS u, b.node AS v FROM link JOIN nodes a ON a.url = link.url JOIN nodes b ON b.url = link.target WHERE a.node <> b.node),
 edges AS (SELECT u, v FROM pair UNION SELECT v, u FROM pair),
@@ -84,10 +105,18 @@ m AS (SELECT DISTINCT r, st, dw.size, item_id FROM dw JOIN bw
 hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(st, st + size)) AS p FROM m) GROUP BY r),
 own AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
         FROM (SELECT DISTINCT r, item_id FROM m WHERE item_id IS NOT NULL) GROUP BY r)
-SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+, terms AS (SELECT DISTINCT terms, size, spot, terms[spot + 1] AS term FROM (SELECT *, unnest(range(0, size)) AS spot FROM bw)),
+post AS (SELECT r, unnest(words) AS term, unnest(range(0, len(words))) AS pos FROM d),
+df AS (SELECT term, count(*) AS n FROM post GROUP BY term),
+ranked AS (SELECT t.*, row_number() OVER (PARTITION BY terms ORDER BY n, spot) AS rk, count(n) OVER (PARTITION BY terms) AS seen FROM terms t LEFT JOIN df USING (term)),
+seeds AS (SELECT DISTINCT p.r, k.terms, k.size, p.pos - k.spot AS st FROM ranked k JOIN post p USING (term) WHERE rk = 1 AND seen = size),
+near AS (SELECT s.r, s.terms, s.st FROM seeds s JOIN ranked k ON k.terms = s.terms JOIN post p ON p.r = s.r AND p.term = k.term
+        AND (k.rk = 1 AND p.pos = s.st + k.spot OR k.rk > 1 AND abs(p.pos - s.st - k.spot) <= 2) GROUP BY s.r, s.terms, s.st, s.size HAVING count(DISTINCT k.spot) = s.size),
+close AS (SELECT r, count(DISTINCT terms) AS n_near FROM near GROUP BY r)
+SELECT CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (r) LEFT JOIN own USING (r)
+FROM d LEFT JOIN hit USING (r) LEFT JOIN own USING (r) LEFT JOIN close USING (r)
 """
 
 OP13 = r"""

@@ -6,6 +6,9 @@ and ``conversion`` (text/plain: the page's text).  Identifiers are derived from
 gives the same records.  All of it is column expressions: one pass over the responses, no shuffle.
 """
 
+import html
+from html import entities
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 SOFTWARE = "derivative-builder/1.0"
@@ -15,20 +18,68 @@ NEWLINE = "\r\n"
 DROPPED = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<nav\b.*?</nav\s*>"
 BREAKS = r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|footer|header|title|blockquote|pre)\b[^>]*>"
 TAGS = r"(?s)<[^>]*>"
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+# what HTML reads into a reference: its named characters, a no-break space as a blank; numbers that stand for no character
+# of their own, among them those of an old code page
+NAMES = {**{name: char for name, char in entities.html5.items() if name.endswith(";")}, "nbsp;": " "}
+NUMBERS = {code: html.unescape(f"&#{code};") for code in (0, *range(0x80, 0xA0)) if html.unescape(f"&#{code};") != chr(code)} | {160: " "}
+LONG = 1 << 16       # bytes from which openers that nothing closes are set aside
+_ASIDE = "\ue000"
+
+
+def _literal_map(table: dict) -> Column:
+    quoted = lambda s: "'" + str(s).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr("map(" + ", ".join(quoted(x) for pair in table.items() for x in pair) + ")")
+
+
+def _character(reference: Column) -> Column:
+    """The text that one reference stands for; an unknown name stays as it is."""
+    body = F.substr(reference, F.lit(2))
+    number = F.when(body.rlike("^#[xX]"), F.conv(F.regexp_extract(body, "^#[xX]([0-9A-Fa-f]+)", 1), 16, 10)) \
+        .when(body.startswith("#"), F.regexp_extract(body, "^#([0-9]+)", 1)).cast("long")
+    wrong = (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    point = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    numeric = F.when(wrong, "\ufffd").otherwise(F.coalesce(F.try_element_at(_literal_map(NUMBERS), number.cast("string")), point))
+    return F.when(number.isNull(), F.coalesce(F.try_element_at(_literal_map(NAMES), body), reference)).otherwise(numeric)
+
+
+def _with(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once however often it is used: as the only element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _unescaped(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Character references undone, once; named ones end in a semicolon."""
+    def undone(t):
+        found = F.transform(F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0)), _character)
+        joined = F.array_join(F.zip_with(F.split(t, REFERENCE, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        return F.when(t.contains("&"), joined).otherwise(t)
+    return _with(text, undone)
+
+
+def _openers_aside(page: Column) -> Column:
+    """A long page whose openers behind the last end of their kind are marked, so that no search for an end starts there."""
+    def marking(opener, ending):
+        return lambda p: _with(F.regexp_extract(p, rf"(?is)^(.*{ending})", 1), lambda closed: F.concat(
+            closed, F.regexp_replace(F.substr(p, F.length(closed) + 1), f"(?i){opener}", _ASIDE + "$1")))
+    page = _with(page, marking(r"<(!--)", "-->"))
+    for tag in ("script", "style", "head", "nav"):
+        page = _with(page, marking(rf"<({tag}\b)", rf"</{tag}\s*>"))
+    return page
+
+
+def _untagged(text: Column) -> Column:
+    """Tags dropped, those of blocks for line ends; what follows the last ``>`` is not searched for tags."""
+    return _with(text, lambda t: _with(F.substring_index(t, ">", -1), lambda rest: F.concat(
+        F.regexp_replace(F.regexp_replace(F.left(t, F.length(t) - F.length(rest)), BREAKS, "\n"), TAGS, ""), rest)))
 
 
-def plain_text(html: Column) -> Column:
+def plain_text(page: Column) -> Column:
     """Text of a page: markup, scripts, styles, navigation dropped; one line per block, single blanks."""
-    text = F.regexp_replace(html, DROPPED, "")
-    text = F.regexp_replace(F.regexp_replace(text, r"[\t\r\n ]+", " "), BREAKS, "\n")
-    text = _unescaped(F.regexp_replace(text, TAGS, ""))
+    def dropped(p):
+        aside = F.replace(F.regexp_replace(_openers_aside(p), DROPPED, ""), F.lit(_ASIDE), F.lit("<"))
+        return F.when(F.octet_length(p) >= LONG, aside).otherwise(F.regexp_replace(p, DROPPED, ""))
+    text = _unescaped(_untagged(F.regexp_replace(_with(page, dropped), r"[\t\r\n ]+", " ")))
     return F.trim(F.regexp_replace(F.regexp_replace(text, r" *\n[ \n]*", "\n"), r"^\n+|\n+$", ""))
 
 

@@ -100,3 +100,15 @@ def test_clean_keeps_clashing_columns(docs_of):
     items = docs.sparkSession.createDataFrame([(1, item)], "item_id long, text string")
     got = decontaminate.clean(wide, items)
     assert got.columns == wide.columns and sorted((r.doc_id for r in got.collect()), key=str) == [2, None]
+
+
+def test_passages_with_a_word_put_in_or_left_out(spark, docs_of):
+    words_ = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
+    item = " ".join(words_)
+    docs = docs_of([(1, item), (2, " ".join(w + (" extra" if k % 7 == 3 else "") for k, w in enumerate(words_))), (3, " ".join(words_[:6] + words_[7:14])),
+                    (4, " ".join(reversed(words_))), (5, "quite another text"), (6, " ".join(words_[:4] + ["x"] * 9 + words_[4:9]))])
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contamination(docs, items).collect()}
+    assert got[1].n_near == 31 and got[1].contaminated
+    assert got[2].n_hit == 0 and got[2].n_near > 0
+    assert got[4].n_near == got[5].n_near == got[6].n_near == 0

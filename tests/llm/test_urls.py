@@ -120,3 +120,37 @@ def test_relative_targets_and_entities(spark):
         assert sorted(r.target for r in urls.alias_edges(pages).collect()) == sorted(t for t in want.values() if t), form
     pages = spark.createDataFrame([(1, "http://a.net/es/1", '<link rel="canonical" href="../x?a=1&amp;b=2">'), (2, "http://a.net/x?a=1&b=2", "")], PAGES)
     assert {r.page_id: r.verdict for r in urls.filtered(pages).collect()} == {1: "block", 2: "block"}
+
+
+SAME = ["https://alias.org", "https://alias.org/", "http://alias.org:80", "https://ALIAS.org:443/", "https://alias.org:/#top", "//x"]
+
+
+def test_spellings_of_one_url(spark, tmp_path):
+    import duckdb
+    pages = [(k, u, "") for k, u in enumerate(SAME[:5])] + [(10, "http://a.net/es/1", '<link rel="canonical" href="https://alias.org">'),
+             (11, "https://b.org/%7euser/%41%2fx%zz", ""), (12, "http://a.net/fr/2", '<link rel="canonical" href="http://b.org/~user/A%2Fx%zz">'),
+             (13, "http://c.org?q=1", ""), (14, "http://a.net/fr/3", '<link rel="canonical" href="http://c.org/?q=1">'), (15, "http://alias.org:8080/", "")]
+    df = spark.createDataFrame(pages, PAGES)
+    got = {r.page_id: r.verdict for r in urls.filtered(df).collect()}
+    assert got == {**{k: "block" for k in range(5)}, 10: "block", 11: "block", 12: "block", 13: "block", 14: "block", 15: "allow"}
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    verdict, _, ok = compare(spark, con, str(tmp_path), NAME, QUERIES[NAME], ORACLES[NAME])
+    assert ok, verdict
+
+
+def test_table_of_rules(spark):
+    rng = random.Random(4)
+    hosts = ["com", "example.com", "www.example.com", "net", "a.net", "org", "x.y.org", "y.org"]
+    paths = ["", "/", "/en/", "/en/a", "/es/", "/x", "/xy/z"]
+    made = {(h, p): rng.choice(["allow", "block"]) for h in hosts for p in paths if rng.random() < 0.5}
+    rules = [urls.Rule(v, h, p) for (h, p), v in made.items()]
+    pages = [(k, f"http://{rng.choice(['', 'm.', 'www.'])}{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', 'a', '1'])}", rng.choice(LINKS).format("http://y.org/xy/z"))
+             for k in range(120)] + [(500, None, None), (501, "nothing", ""), (502, "http://.net/es/", "")]
+    df = spark.createDataFrame(pages, PAGES)
+    table = spark.createDataFrame([*rules, ("block", None, "/"), ("allow", rules[0].host, rules[0].path)], "verdict string, host string, path string")
+    rules[0] = rules[0]._replace(verdict="allow")
+    want = sorted(map(str, urls.filtered(df, rules).collect()))
+    assert sorted(map(str, urls.filtered(df, table).collect())) == want
+    assert urls.filtered(df, table.limit(0)).filter("rule is not null").count() == 0

@@ -4,6 +4,7 @@ import hashlib
 
 import pytest
 from check_oracles import compare
+from pyspark.sql import functions as F
 
 from rosterlake.llm import warc
 from rosterlake.llm.book import load
@@ -60,3 +61,50 @@ def test_empty_and_extra_columns(spark):
     for name in ("type", "body", "text", "metadata", "record", "refers_to", "content_type"):
         df = df.withColumn(name, F.lit(1))
     assert warc.derivatives(df).count() == 2
+
+
+REFERENCES = ["caf&eacute; &#8217;x&#x27; &mdash;", "&amp;lt; &amp;amp;lt;", "a&nbsp;b&#160;c", "&bogus; &amp &#; &#x; &;", "&#150;&#x80;&#0;", "&#xD800;&#1114112;&#x1F4A9;",
+              "&NotEqualTilde;&Aacute;&aacute;", "&#65&#66;", "x &#x1F600; y", "no references & none", "&lt;b&gt;"]
+
+
+def test_character_references(spark):
+    """As the standard library undoes them, but for the no-break space and names without a semicolon."""
+    import html as standard
+    import re
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(REFERENCES)], "k int, t string")
+    got = dict(map(tuple, df.select("k", warc._unescaped(F.col("t"))).collect()))
+    for k, t in enumerate(REFERENCES):
+        want = re.sub(warc.REFERENCE, lambda m: " " if m[0] in ("&nbsp;", "&#160;") else
+                      standard.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in standard.entities.html5 else m[0], t)
+        want = want.replace(standard.unescape("&#1114112;"), "\ufffd")
+        assert got[k] == want, t
+
+
+def test_references_in_records_and_sql(spark, stored):
+    import duckdb
+    from check_oracles import compare
+    from rosterlake.llm.book import load
+    pages = [(k, "http://a.org/" + str(k), f"<html><title>{t}</title><body><p>{t}</p></body></html>") for k, t in enumerate(REFERENCES)]
+    folder = stored(pages=spark.createDataFrame(pages, "page_id long, url string, html string"))
+    queries, sql = load()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+    verdict, _, ok = compare(spark, con, folder, "op2_warc_derivatives", queries["op2_warc_derivatives"], sql["op2_warc_derivatives"])
+    assert ok, verdict
+    blocks = [r.block for r in queries["op2_warc_derivatives"](spark, folder).filter("type = 'conversion'").collect()]
+    assert any("café ’x' —" in b for b in blocks)
+
+
+def test_openers_that_nothing_closes(spark, monkeypatch):
+    import time
+    parts = ["<p>a</p>", "<!-- c -->", "<!-- open", "<script>x()</script>", "<script", "<head><title>t</title></head>", "<nav>n</nav >", "<nav>", "</script>", "-->", "<scripted>", "<STYLE>s</style>", "<style "]
+    import random
+    rng = random.Random(1)
+    df = spark.createDataFrame([("".join(rng.choices(parts, k=rng.randint(0, 14))),) for _ in range(400)], "t string")
+    plain = [r[0] for r in df.select(warc.plain_text(F.col("t"))).collect()]
+    monkeypatch.setattr(warc, "LONG", 0)
+    assert [r[0] for r in df.select(warc.plain_text(F.col("t"))).collect()] == plain
+    long = spark.createDataFrame([("<!--" * 260_000,), ("<script " * 130_000,), ("x" + "<nav>" * 200_000,)], "t string")
+    t = time.time()
+    long.select(F.length(warc.plain_text(F.col("t")))).collect()
+    assert time.time() - t < 60
