@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import lifecycle, ranking, search as S
+from ..operators import lifecycle, pages, ranking, search as S
 from . import bindings as B
 from .book import query
 from .q_views import ROWS, registry_rows
@@ -110,3 +110,24 @@ def positions_per_segment(spark, d):
 @query("facet_order", "SELECT event_type, count(*) AS entries FROM events GROUP BY event_type ORDER BY entries DESC, event_type")
 def facet_order(spark, d):
     return ranking.counts_desc(B.table(spark, d, "events"), "event_type")
+
+
+_ORDER = ("-o_totalprice", "o_orderkey")
+
+
+def _order_index(spark, d):
+    return pages.order_index(B.table(spark, d, "orders").select("o_orderkey", "o_totalprice"), _ORDER, part_rows=2000)
+
+
+@query("indexed_page", """SELECT o_orderkey, o_totalprice, 29 AS page, 97 AS page_limit, (SELECT count(*) FROM orders) AS total,
+  CAST(ceil((SELECT count(*) FROM orders) / 97) AS BIGINT) AS total_pages FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 97 OFFSET 2716""")
+def indexed_page(spark, d):
+    """A deep page that reads the parts it falls into."""
+    return pages.page(_order_index(spark, d), 29, 97)
+
+
+@query("rows_after_key", """SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice < 200000 OR (o_totalprice = 200000 AND o_orderkey > 7)
+  ORDER BY o_totalprice DESC, o_orderkey LIMIT 2500""")
+def rows_after_key(spark, d):
+    """The rows behind a key, across parts."""
+    return pages.after(_order_index(spark, d), (200000.0, 7), 2500)
