@@ -11,10 +11,19 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables, which all executors share.
 
     It is named in ``spark.checkpoint.dir``.  Where that is unset the session's
-    warehouse, shared by definition, takes them.
+    warehouse takes them, unless it is a folder of one machine while executors
+    run on others.
     """
     configured = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
-    return configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+    return configured or fallback_dir(spark.conf.get("spark.sql.warehouse.dir"), spark.sparkContext.master)
+
+
+def fallback_dir(warehouse: str, master: str) -> str:
+    """Folder below the warehouse; raises where executors could not see it."""
+    one_machine = ":" not in warehouse or warehouse.startswith("file:")
+    if one_machine and not master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share; the warehouse {warehouse} is on one machine")
+    return warehouse.rstrip("/") + "/_intermediate"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

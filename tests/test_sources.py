@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -190,3 +191,15 @@ def test_late_rows_are_reported(spark, tmp_path):
     assert jobs.run_available(kept, str(tmp_path / "out")).count() == 2
     with pytest.raises(RuntimeError, match="1 rows came later"):
         jobs.run_available(kept, str(tmp_path / "out2"), allow_late=False)
+
+
+@pytest.mark.parametrize("warehouse, master, fine", [
+    ("file:/tmp/wh", "local[8]", True), ("/tmp/wh", "local", True), ("file:/tmp/wh", "yarn", False), ("/tmp/wh", "spark://host:7077", False),
+    ("hdfs://name/wh/", "yarn", True), ("s3a://bucket/wh", "k8s://https://host", True)])
+def test_intermediate_folder_is_shared_or_an_error(warehouse, master, fine):
+    from rosterlake import session
+    if fine:
+        assert session.fallback_dir(warehouse, master) == warehouse.rstrip("/") + "/_intermediate"
+    else:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.fallback_dir(warehouse, master)
