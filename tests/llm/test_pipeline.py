@@ -21,7 +21,6 @@ def tokenize():
 
     from rosterlake.llm.common import vocabulary
     t = Tokenizer.from_file(vocabulary())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [0]
 
 
@@ -91,5 +90,5 @@ def test_empty_repeated_and_extra_columns(spark, docs_of, stored):
 
 def test_all_queries_are_registered():
     names = [n for n in entry.queries() if n == "pipeline" or n.startswith("op")]
-    assert len([n for n in names if n in load()[0]]) == 10 and "pipeline" in names
-    assert {n.split("_")[0] for n in load()[0]} == {f"op{i}" for i in range(1, 11)}
+    assert len([n for n in names if n in load()[0]]) == 13 and "pipeline" in names
+    assert {n.split("_")[0] for n in load()[0]} == {f"op{i}" for i in range(1, 14)}
