@@ -110,3 +110,20 @@ def stage_metrics_stream(spark, d):
     stream = _stream(spark, d).withColumn("bad", F.col("value") > 50)
     counted = jobs.stage_metrics(stream, "ts", "event_type", "value", "bad")
     return _metric_rows(jobs.run_updates(counted, fresh_path(spark, "metrics"), ["window_start", "event_type"], keep=False))
+
+
+@query("compacted_stream", """SELECT user_id AS id, arg_max(event_type, event_id) AS status, strftime(arg_min(ts, event_id), '%Y-%m-%d %H:%M:%S') AS first_seen,
+  strftime(arg_max(ts, event_id), '%Y-%m-%d %H:%M:%S') AS last_seen FROM events GROUP BY 1""")
+def compacted_stream(spark, d):
+    """Batches appended to a folder, gathered twice on the way, one of them written again afterwards."""
+    rows = B.table(spark, d, "events").select(
+        F.col("user_id").alias("id"), "event_id", F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("first_seen"),
+        F.col("ts").cast("timestamp").alias("last_seen"))
+    cut = (rows.agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0] + 7) // 7
+    folder, arrived = fresh_path(spark, "batches"), rows.withColumn("number", F.floor(F.col("event_id") / cut))
+    expire(spark, folder)
+    for number in (0, 1, 2, 3, 4, 5, 6, 2):
+        tables.append_batch(arrived.filter(F.col("number") == number).drop("number"), folder, number)
+        tables.compact(spark, folder, "id", ["event_id"], ("first_seen",), threshold=3)
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return tables.current(tables.batches(spark, folder), "id", ["event_id"], ("first_seen",)).select("id", "status", stamp("first_seen"), stamp("last_seen"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators import ranking
 from ..operators.resolve import latest_per_key
+from ..session import materialise
 
 KEEP = ("first_seen", "created_at")
 
@@ -134,4 +135,44 @@ def append_batch(batch: DataFrame, path: str, number: int, column="batch"):
 def current(log: DataFrame, key, order, first=KEEP, batch="batch") -> DataFrame:
     """State after all batches of a change folder: later batches win, ``order`` decides within one."""
     in_batch = [F.col(c) if isinstance(c, str) else c for c in order]
-    return upsert_log(log, key, [F.col(batch), *in_batch], first).drop(batch)
+    return upsert_log(_numbered(log, batch), key, [F.col(batch), *in_batch], first).drop(batch)
+
+
+# folder value of rows that ``compact`` has gathered, and the column with the batch that each of them came in
+BASE, CAME_IN = -1, "came_in"
+
+
+def _numbered(log: DataFrame, batch="batch") -> DataFrame:
+    """``log`` with the batch that each row came in, also for gathered rows."""
+    return log.withColumn(batch, F.coalesce(CAME_IN, batch)).drop(CAME_IN) if CAME_IN in log.columns else log
+
+
+def batches(spark: SparkSession, path: str) -> DataFrame:
+    """The change folder's rows, gathered ones included."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
+def compact(spark: SparkSession, path: str, key, order, first=KEEP, batch="batch", threshold=64) -> bool:
+    """Gathers the batches of a change folder in one partition once there are ``threshold`` of them.
+
+    Of every key the rows stay that decide its state: the latest one and, for each of the ``first`` columns, the earliest
+    that has a value, each with the number of its batch.  So a batch written again later changes nothing, and neither does
+    a run that ends between writing the gathered rows and deleting the batches.  Returns whether it gathered.
+    """
+    log = batches(spark, path)
+    numbers = sorted(r[0] for r in log.select(batch).distinct().collect() if r[0] != BASE)
+    if len(numbers) < threshold:
+        return False
+    keys = [key] if isinstance(key, str) else list(key)
+    rows = _numbered(log, batch)
+    columns = rows.columns
+    row = F.struct(*columns)
+    at = F.struct(batch, *order)
+    deciding = [F.max_by(row, at), *[F.min_by(row, F.when(F.col(c).isNotNull(), at)) for c in first if c in columns]]
+    kept = (rows.groupBy(*keys).agg(F.array_distinct(F.array_compact(F.array(*deciding))).alias("_rows"))
+            .select(F.explode("_rows").alias("_row")).select("_row.*"))
+    staged = materialise(kept.withColumnRenamed(batch, CAME_IN).withColumn(batch, F.lit(BASE).cast("long")), "gathered")
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch).parquet(path)
+    for number in numbers:
+        _fs(spark, path).delete(_path(spark, f"{path.rstrip('/')}/{batch}={number}"), True)
+    return True

@@ -203,3 +203,34 @@ def test_intermediate_folder_is_shared_or_an_error(warehouse, master, fine):
     else:
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             session.fallback_dir(warehouse, master)
+
+
+def test_gathered_batches(spark, tmp_path):
+    """Few folders after many batches, the same state as the whole log, also after replays and a run that broke off."""
+    import os
+    import random
+    import shutil
+    rng = random.Random(3)
+    schema, made = "id long, seq int, status string, first_seen long, created_at long", {}
+    for number in range(14):
+        made[number] = [(rng.randrange(12), k, f"{number}-{k}", rng.choice([None, number * 100 + k]), number * 100 + k) for k in range(6)]
+    frame = lambda number: spark.createDataFrame(made[number], schema)
+    folder = str(tmp_path / "log")
+    want = lambda upto: rows(tables.current(spark.createDataFrame(
+        [(*r, n) for n in range(upto + 1) for r in made[n]], schema + ", batch long"), "id", ["seq"]).select("id", "seq", "status", "first_seen", "created_at"))
+    now = lambda: rows(tables.current(tables.batches(spark, folder), "id", ["seq"]).select("id", "seq", "status", "first_seen", "created_at"))
+    for number in range(14):
+        tables.append_batch(frame(number), folder, number)
+        before = sorted(x for x in os.listdir(folder) if x.startswith("batch="))
+        copies = {x: shutil.copytree(f"{folder}/{x}", str(tmp_path / f"{number}-{x}")) for x in before if x != "batch=-1"}
+        if tables.compact(spark, folder, "id", ["seq"], threshold=4):
+            assert [x for x in os.listdir(folder) if x.startswith("batch=")] == ["batch=-1"]
+            assert spark.read.parquet(f"{folder}/batch=-1").count() <= 12 * 3
+            if number == 7:      # broke off before it deleted the batches
+                for x, copy in copies.items():
+                    shutil.copytree(copy, f"{folder}/{x}")
+        assert sorted(now(), key=str) == sorted(want(number), key=str)
+        assert sum(x.startswith("batch=") for x in os.listdir(folder)) <= 5
+    for number in (2, 13, 5):    # replayed
+        tables.append_batch(frame(number), folder, number)
+        assert sorted(now(), key=str) == sorted(want(13), key=str)
