@@ -46,9 +46,17 @@ _LETTER = r"[^\W\d_" + _members(("Nl", "No")) + "]"     # \w also holds numerals
 _LETTERS = re.compile(f"{_LETTER}+(?:[{_members(('Mn', 'Mc', 'Me'))}]+{_LETTER}*)*")
 
 
+_LATIN = re.compile(r"[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+")    # the same where no character lies beyond Latin-1
+
+
 def letter_words(text: str) -> list:
     """Runs of letters, with the marks that combine with them, lower-cased."""
-    return _LETTERS.findall(text.lower())
+    low = text.lower()
+    try:
+        low.encode("latin-1")
+    except UnicodeEncodeError:
+        return _LETTERS.findall(low)
+    return _LATIN.findall(low)
 
 
 def word_features(word: str) -> list:

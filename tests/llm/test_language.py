@@ -160,3 +160,12 @@ def test_accepted_keeps_clashing_columns(docs_of):
     wide = docs.withColumns({c: F.lit("z") for c in names})
     got = language.accepted(wide)
     assert got.columns == wide.columns and got.count() == 80
+
+
+def test_both_patterns_agree_on_latin_1():
+    import random
+    rng = random.Random(3)
+    chars = [chr(c) for c in range(256)]
+    for _ in range(2000):
+        text = "".join(rng.choices(chars, k=30)).lower()
+        assert language._LATIN.findall(text) == language._LETTERS.findall(text)
