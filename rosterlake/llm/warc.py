@@ -76,10 +76,11 @@ def _untagged(text: Column) -> Column:
 
 def plain_text(page: Column) -> Column:
     """Text of a page: markup, scripts, styles, navigation dropped; one line per block, single blanks."""
-    def dropped(p):
-        aside = F.replace(F.regexp_replace(_openers_aside(p), DROPPED, ""), F.lit(_ASIDE), F.lit("<"))
-        return F.when(F.octet_length(p) >= LONG, aside).otherwise(F.regexp_replace(p, DROPPED, ""))
-    text = _unescaped(_untagged(F.regexp_replace(_with(page, dropped), r"[\t\r\n ]+", " ")))
+    blanks = lambda t: F.regexp_replace(t, r"[\t\r\n ]+", " ")
+    short = F.regexp_replace(F.regexp_replace(blanks(F.regexp_replace(page, DROPPED, "")), BREAKS, "\n"), TAGS, "")
+    # the same text, found without searching from openers and tags that nothing ends
+    long = _untagged(blanks(F.replace(F.regexp_replace(_openers_aside(page), DROPPED, ""), F.lit(_ASIDE), F.lit("<"))))
+    text = _unescaped(F.when(F.octet_length(page) >= LONG, long).otherwise(short))
     return F.trim(F.regexp_replace(F.regexp_replace(text, r" *\n[ \n]*", "\n"), r"^\n+|\n+$", ""))
 
 
