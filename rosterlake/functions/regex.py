@@ -14,6 +14,20 @@ _WORD = "[A-Za-z0-9_]"
 _BOUNDARY = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 
 
+def _boundary(pattern: str, at: int) -> str:
+    """The boundary in front of ``pattern[at:]``.
+
+    A plain character that has to follow is looked for first, and tells on which side the word is: nearly all places of
+    a text end at that character.
+    """
+    after, then = pattern[at:at + 1], pattern[at + 1:at + 2]
+    # an optional character does not tell; the long s and the Kelvin sign fold to ASCII letters
+    if not after or after in "\\[](){}.^$|?*+" or then in tuple("?*{") or "(?i" in pattern and after in "sSkKſ\u212a":
+        return _BOUNDARY
+    word = after.isascii() and (after.isalnum() or after == "_")
+    return f"(?={after})(?<{'!' if word else '='}{_WORD})"
+
+
 @lru_cache(maxsize=None)
 def jvm(pattern: str) -> str:
     """RE2 pattern -> equivalent java.util.regex pattern."""
@@ -27,7 +41,7 @@ def jvm(pattern: str) -> str:
             elif nxt == "S" and not in_class:
                 out.append(f"[^{_SPACE}]")
             elif nxt == "b" and not in_class:
-                out.append(_BOUNDARY)
+                out.append(_boundary(pattern, i + 2))
             elif nxt == "z":
                 out.append("\\z")
             else:

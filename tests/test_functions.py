@@ -179,3 +179,14 @@ def test_gates_never_hide_a_match(spark):
     got = df.agg(*hits.values(), *kept.values()).first().asDict()
     for r in rules:
         assert got[f"{r}|all"] == got[f"{r}|kept"] >= 1, r
+
+
+def test_boundary_looks_for_its_character_first(spark):
+    import re
+    assert regex.jvm(r"\bé[a-z]+\b").startswith("(?=é)(?<=")
+    assert regex.jvm(r"\bexec").startswith("(?=e)(?<!")
+    generic = regex.jvm(r"\b[a-z]")
+    assert regex.jvm(r"(?i)\bsudo").startswith("(?iu)" + generic[:-5]) and regex.jvm(r"\be?x").startswith(generic[:-5])
+    text = "éa aé éab_é xéz é éé 1éx exec _exec éexec exec"
+    for pattern in (r"\bé[a-z]+\b", r"\bexec"):
+        assert spark.range(1).select(regex.extract_all(F.lit(text), pattern).alias("x")).first()[0] == re.findall(pattern, text, re.A)

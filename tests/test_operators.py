@@ -353,3 +353,21 @@ def test_partial_modes(spark, mode):
     out = registry.build(stored, as_of(), mode=mode)
     assert out.count() == 1
     assert ("runtime_status" in out.columns)
+
+
+def test_contexts_of_dense_matches(spark):
+    # runs of matches closer together than the context, next to the ends of the text and to each other
+    import re
+    rule = P.FindingRule("fam", "digit", "HIGH", "[0-9]")
+    for width in (1, 2, 7, 30):
+        texts = ["1", "12", "123456789" * 9, "a1" * 40, "1a" * 40, "é" * 50 + "1", "1" + "é" * 50, "ab" * 9 + "1" + "c" * 40 + "2", ""]
+        found = findings.extract(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", "t", (rule,), {"fam": P.Family(width, 0.5, "s")})
+        want = {(i, n, m.group(), t[max(m.start() - width, 0):m.end() + width]) for i, t in enumerate(texts) for n, m in enumerate(re.finditer("[0-9]", t))}
+        assert {tuple(r) for r in found.select("id", "position", "matched", "evidence").collect()} == want
+
+
+def test_marks_are_gathered_in_one_pass(spark):
+    text = "a\nb" + findings._MARKS + "é. , c"
+    got = findings._with_folded(spark.createDataFrame([(text,), (None,), ("",)], "t string"), "t")
+    assert [r["_marks"] for r in got.collect()] == [findings._MARKS, "", ""]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Contains(") == 0
