@@ -17,16 +17,14 @@ def upsert(target: DataFrame, updates: DataFrame, key, keep=KEEP, order=None) ->
     """Rows of ``updates`` replace rows of ``target`` with the same key, except
     the ``keep`` columns, which stay as first written.
 
-    ``order`` picks the latest of several updates for one key.  The target is
-    only ever the streamed side: a small batch of updates is broadcast by the
-    optimizer (by its measured size) and the large table is not shuffled.
+    ``order`` picks the latest of several updates for one key.  One full join on
+    the key reads the target and the updates once each, whatever either of them
+    takes to compute.
     """
     keys = [key] if isinstance(key, str) else list(key)
     cols = target.columns
     fresh = updates if order is None else latest_per_key(updates, keys, order)
-    fresh = fresh.select(*cols)
     new = fresh.select(*keys, F.struct(*[c for c in cols if c not in keys]).alias("_new"))
-    joined = target.join(new, keys, "left")
 
     def value(c):
         if c in keys:
@@ -36,10 +34,7 @@ def upsert(target: DataFrame, updates: DataFrame, key, keep=KEEP, order=None) ->
             return F.coalesce(F.col(c), n).alias(c)
         return F.when(F.col("_new").isNotNull(), n).otherwise(F.col(c)).alias(c)
 
-    kept = joined.select(*[value(c) for c in cols])
-    known = target.select(*keys).join(fresh.select(*keys), keys, "left_semi")
-    added = fresh.join(known, keys, "left_anti")
-    return kept.unionByName(added)
+    return target.join(new, keys, "full").select(*[value(c) for c in cols])
 
 
 def upsert_log(log: DataFrame, key, order, first=KEEP) -> DataFrame:

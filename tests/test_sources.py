@@ -88,6 +88,15 @@ def test_upsert_twice_is_once(spark):
     assert sorted(rows(once)) == sorted(rows(twice)) == [("a", 1, 10), ("b", 5, 20), ("c", 6, 30)]
 
 
+def test_upsert_reads_both_sides_once(spark):
+    base = frame(spark, [("a", 1, 10), ("b", 2, 20), (None, 3, 30)])
+    new = frame(spark, [("b", 5, 99), ("b", 7, 98), ("c", None, None), (None, 6, 60)])
+    out = tables.upsert(base, new, "id")
+    assert sorted(rows(out), key=str) == sorted([("a", 1, 10), ("b", 5, 20), ("b", 7, 20), (None, 3, 30), ("c", None, None), (None, 6, 60)], key=str)
+    plan = out._jdf.queryExecution().optimizedPlan()
+    assert plan.collectLeaves().size() == 2
+
+
 def test_insert_or_ignore_and_delete(spark):
     base = frame(spark, [("a", 1, 1)])
     more = frame(spark, [("a", 9, 9), ("b", 2, 2)])
