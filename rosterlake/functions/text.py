@@ -26,11 +26,16 @@ def nonblank(c: Column) -> Column:
 
 
 def first_paragraph(text: Column) -> Column:
-    """First line that is neither empty, a heading nor an image; NULL if none."""
+    """First line that is neither empty, a heading nor an image; NULL if none.
+
+    The other lines are only looked at where the first one with characters is a heading or an image.
+    """
+    special = lambda s: F.startswith(s, F.lit("#")) | F.startswith(s, F.lit("!["))
     lines = F.transform(F.split(text, "\n"), trim_blank)
-    wanted = F.filter(
-        lines, lambda s: (s != "") & ~F.startswith(s, F.lit("#")) & ~F.startswith(s, F.lit("![")))
-    return F.get(wanted, F.lit(0))
+    wanted = F.filter(lines, lambda s: (s != "") & ~special(s))
+    begun = F.ltrim(text, F.lit(_BLANKS))
+    return F.when(special(begun), F.get(wanted, F.lit(0))) \
+            .otherwise(F.nullif(F.rtrim(F.substring_index(begun, "\n", 1), F.lit(_BLANKS)), F.lit("")))
 
 
 def describe(description: Column, readme: Column) -> Column:
@@ -39,7 +44,9 @@ def describe(description: Column, readme: Column) -> Column:
 
 
 def redact(text: Column, phrases=signals.REDACT_PHRASES, mark="[REDACTED]") -> Column:
-    return reduce(lambda c, p: F.replace(c, F.lit(p), F.lit(mark)), phrases, text)
+    # replacing compares at every byte; texts without a phrase, nearly all, are left as they are
+    cleaned = reduce(lambda c, p: F.replace(c, F.lit(p), F.lit(mark)), phrases, text)
+    return F.when(regex.contains_any(text, phrases), cleaned).otherwise(text)
 
 
 def license_or_unknown(license_: Column) -> Column:

@@ -82,11 +82,17 @@ def canonical_id(name, repo_url, repo_owner, endpoint_urls, tool_names) -> Colum
          .when(F.size(prints) > 0, joined).otherwise(F.concat(nm, own)), 256)
 
 
+_TOKEN_BLANKS = r"\s\u0085 "
+
+
 def token_urls(text: Column) -> Column:
     """URLs that are whole whitespace-separated tokens; closing marks trimmed."""
-    words = F.split(text, r"[\s\u0085 ]+")
-    return F.transform(F.filter(words, lambda w: w.rlike("^(https?|sse|wss)://")),
-                       lambda w: F.rtrim(w, F.lit(")\"'<,")))
+    token = fr"(?=[hsw])(?<![^{_TOKEN_BLANKS}])(?:https?|sse|wss)://[^{_TOKEN_BLANKS}]*"
+    # most texts name no URL at all
+    named = F.contains(text, F.lit("://")) & regex.contains_any(text, ("http://", "https://", "sse://", "wss://"))
+    found = F.when(named, F.regexp_extract_all(text, F.lit(token), F.lit(0))) \
+             .when(text.isNotNull(), F.array().cast("array<string>"))
+    return F.transform(found, lambda w: F.rtrim(w, F.lit(")\"'<,")))
 
 
 def embedded_urls(text: Column) -> Column:

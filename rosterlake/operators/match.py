@@ -87,9 +87,7 @@ def known_sources(urls: Column, readme: Column, table: dict) -> Column:
     The first URL that names a domain wins; a mention in the readme counts only
     for domains no URL named, and has an empty ``url``.
     """
-    low_readme = F.lower(readme)
-
-    def entry(domain, kind):
+    def entry(domain, kind, low_readme):
         where = F.filter(urls, lambda u: F.contains(F.lower(u), F.lit(domain)))
         found = F.when(F.size(where) > 0, F.get(where, F.lit(0))) \
                  .when(F.contains(low_readme, F.lit(domain)), F.lit(""))
@@ -97,4 +95,6 @@ def known_sources(urls: Column, readme: Column, table: dict) -> Column:
             F.lit(domain).alias("name"), F.lit(kind).alias("type"), found.alias("url"),
             F.lit(kind in ("official_gov_api", "official_company")).alias("official")))
 
-    return F.array_compact(F.array(*[entry(d, k) for d, k in table.items()]))
+    # the lower-cased readme is computed once, as the only element of an array
+    return F.get(F.transform(F.array(F.lower(readme)), lambda low: F.array_compact(
+        F.array(*[entry(d, k, low) for d, k in table.items()]))), F.lit(0))

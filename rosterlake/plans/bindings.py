@@ -65,7 +65,7 @@ def doc_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         source.alias("repo_owner"), F.concat_ws("-", lang, (k % 211).cast("string")).alias("repo_name"),
         F.concat(F.lit("https://"), lang, F.lit("."), source, F.lit(".example.org/")).alias("homepage"),
         lang.alias("language"), _pick(LICENSES, k).alias("license"),
-        F.array(lang, source, F.lower(F.substring_index(F.split(text, "\n")[0], " ", 1)),
+        F.array(lang, source, F.lower(F.substring_index(F.substring_index(text, "\n", 1), " ", 1)),
                 F.when(n % 11 == 0, "mcp-tools").otherwise("plain")).alias("topics"),
         _pick([p and p[0] for p in PACKAGES], n).alias("_file"),
         _pick([p and p[1] for p in PACKAGES], n).alias("_content"),

@@ -8,6 +8,7 @@ id, their list items once on (id, list, item); everything else is per row.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T, urls
+from ..functions.arrays import computed_once
 from ..operators import anomaly, classify, findings, identity, lifecycle, match, quality, relevance, resolve, views
 from ..rules import patterns, signals
 from ..schemas import with_defaults
@@ -57,6 +58,8 @@ def resolve_entities(df: DataFrame, trust="trust", seq="seq") -> DataFrame:
     on narrow columns, so texts are moved once and never sorted.  For lists too
     long for a row see ``resolve.merge_items``."""
     keyed = resolve.with_own_id(resolve.with_canonical_id(df), seq=seq)
+    # the filters that joins infer from the id would normalise every record a second time below it
+    keyed = keyed.transform(computed_once, "cid", F.col("cid"))
     lists = [c for c in resolve.LIST_KEYS if c in keyed.columns]
     cols = [c for c in SCALARS if c in keyed.columns and c not in lists]
     rows = resolve.merge_scalars(keyed, "cid", trust, seq, scalars=cols)

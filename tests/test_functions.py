@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterlake.functions import bands, chars, encoding, regex, text as T, urls
-from rosterlake.rules import patterns as P
+from rosterlake.rules import patterns as P, signals
 
 
 def one(spark, value, expr, kind="string"):
@@ -190,3 +190,31 @@ def test_boundary_looks_for_its_character_first(spark):
     text = "éa aé éab_é xéz é éé 1éx exec _exec éexec exec"
     for pattern in (r"\bé[a-z]+\b", r"\bexec"):
         assert spark.range(1).select(regex.extract_all(F.lit(text), pattern).alias("x")).first()[0] == re.findall(pattern, text, re.A)
+
+
+def test_first_paragraph_looks_past_the_first_line_only_behind_headings(spark):
+    blanks = " \t\n\r\f\x0b"
+    texts = [None, "", " \n\t\r\n", "a", " a \t\nb", "\n\n  x y\r\nz", "# h\n\n ![i](j)\n  p \nq", "#", "![", "!x\n#", "\u00a0\nk", "é\x0b"]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(T.first_paragraph(F.col("t"))).collect()]
+    lines = lambda t: [s.strip(blanks) for s in (t or "").split("\n")]
+    assert got == [next((s for s in lines(t) if s and not s.startswith(("#", "!["))), None) for t in texts]
+
+
+def test_token_urls_are_whole_words(spark):
+    import re
+    texts = [None, "", "no url", "http://a https://b/c). \"http://q\" xhttps://d", "sse://x\u00a0wss://y\u0085http://z\x0bws://n", "postgres://u:p@h/x",
+             "http:// https://a,https://b\thttps://c'\n(http://d)", "HTTP://A http://é'<,\")"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(urls.token_urls(F.col("t")).alias("u"))
+    want = [None if t is None else [w.rstrip(")\"'<,") for w in re.split("[ \t\n\x0b\f\r\u0085\u00a0]+", t) if re.match("(https?|sse|wss)://", w)] for t in texts]
+    assert [r[0] for r in got.collect()] == want
+    # nothing is cut into words
+    assert "split(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_redact_leaves_other_texts(spark):
+    texts = ["plain", None, "a " + signals.REDACT_PHRASES[0] + " b " + signals.REDACT_PHRASES[-1]]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(T.redact(F.col("t"))).collect()]
+    want = texts[2]
+    for p in signals.REDACT_PHRASES:
+        want = want.replace(p, "[REDACTED]")
+    assert got == ["plain", None, want]

@@ -371,3 +371,19 @@ def test_marks_are_gathered_in_one_pass(spark):
     got = findings._with_folded(spark.createDataFrame([(text,), (None,), ("",)], "t string"), "t")
     assert [r["_marks"] for r in got.collect()] == [findings._MARKS, "", ""]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Contains(") == 0
+
+
+def test_records_are_normalised_once_per_read(spark, sf_dir):
+    # no filter below the id computes it, from the endpoints named in the text, a second time
+    from rosterlake.plans import bindings as B
+    out = registry.build(B.doc_entities(spark, sf_dir), as_of(), mode="discovery-only", seq="doc_id")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and ("sha2(" in line or "regexp" in line)]
+
+
+def test_known_sources_lower_the_readme_once(spark):
+    df = spark.createDataFrame([(["http://X.TWSE.com.tw/a"], "see CWA.gov.tw"), (["u"], None), (["u"], "")], "u array<string>, r string")
+    out = df.select(match.known_sources(F.col("u"), F.col("r"), {"twse.com.tw": "official_gov_api", "cwa.gov.tw": "open_data"}).alias("s"))
+    assert [[tuple(s) for s in r[0]] for r in out.collect()] == [
+        [("twse.com.tw", "official_gov_api", "http://X.TWSE.com.tw/a", True), ("cwa.gov.tw", "open_data", "", False)], [], []]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("lower(r#") == 1
