@@ -14,13 +14,49 @@ _WORD = "[A-Za-z0-9_]"
 _BOUNDARY = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 
 
+def _initials(pattern: str, at: int) -> str:
+    """The first characters of the alternatives of the group at ``pattern[at]``, each once; "" where one of them does
+    not begin with an ASCII letter or digit that has to occur."""
+    if pattern[at:at + 1] != "(":
+        return ""
+    i = at + 3 if pattern.startswith("(?:", at) else at + 1
+    out, depth, begins, in_class = [], 1, True, False
+    while i < len(pattern):
+        ch = pattern[i]
+        if begins:
+            if not (ch.isascii() and ch.isalnum()) or pattern[i + 1:i + 2] in tuple("?*{"):
+                return ""
+            out.append(ch)
+            begins = False
+        elif ch == "\\":
+            i += 1
+        elif in_class:
+            in_class = ch != "]"
+        elif ch == "[":
+            in_class = True
+            # a leading ']' (after an optional '^') is a literal
+            i += pattern.startswith("^", i + 1)
+            i += pattern.startswith("]", i + 1)
+        elif ch == "|" and depth == 1:
+            begins = True
+        elif ch in "()":
+            depth += 1 if ch == "(" else -1
+            if not depth:
+                return "" if pattern[i + 1:i + 2] in tuple("?*{") else "".join(dict.fromkeys(out))
+        i += 1
+    return ""
+
+
 def _boundary(pattern: str, at: int) -> str:
     """The boundary in front of ``pattern[at:]``.
 
-    A plain character that has to follow is looked for first, and tells on which side the word is: nearly all places of
-    a text end at that character.
+    A plain character that has to follow, or one of a group's first characters, is looked for first, and tells on which
+    side the word is: nearly all places of a text end at that character.
     """
     after, then = pattern[at:at + 1], pattern[at + 1:at + 2]
+    group = _initials(pattern, at)
+    if group and not ("(?i" in pattern and set(group) & set("sSkK")):
+        return f"(?=[{group}])(?<!{_WORD})"
     # an optional character does not tell; the long s and the Kelvin sign fold to ASCII letters
     if not after or after in "\\[](){}.^$|?*+" or then in tuple("?*{") or "(?i" in pattern and after in "sSkKſ\u212a":
         return _BOUNDARY
@@ -69,6 +105,9 @@ def jvm(pattern: str) -> str:
                 j += 1
             i = j
             continue
+        elif ch == "(" and (i == 0 or pattern[:i] == "(?i)") and _initials(pattern, i):
+            # most places of a text end at the first character, before an alternative is tried
+            out.append(f"(?=[{_initials(pattern, i)}])(")
         elif ch == "." :
             out.append("[^\\n]")
         elif ch == "$":

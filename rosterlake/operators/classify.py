@@ -5,6 +5,7 @@ holds wins; Spark's CASE WHEN evaluates conditions in order and stops, so later
 rules cost nothing for rows that are already decided.
 """
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -37,15 +38,17 @@ def prepare(df: DataFrame) -> DataFrame:
     return (df
             .withColumns({"_packages": F.map_values("package_files"),
                           "_topics_low": F.expr("transform(topics, t -> lower(t))"),
-                          "_name_low": F.lower("repo_name"), "_desc_low": F.lower("description"),
-                          "_readme_low": F.lower("raw_content")})
+                          "_name_low": F.lower("repo_name"), "_desc_low": F.lower("description")})
             .withColumns({"_code": F.expr("concat_ws('\\n', description, raw_content, array_join(_packages, '\\n'))"),
                           "_packages_low": F.expr("transform(_packages, p -> lower(p))")})
-            .withColumn("_code_low", F.lower("_code")))
+            .withColumn("_joined", F.col("_code").rlike(_JOINT)))
 
 
-_DERIVED = ("_packages", "_topics_low", "_code", "_name_low", "_desc_low", "_readme_low",
-            "_code_low", "_packages_low")
+# a capital right behind a small letter or a dot: most code words have one, prose hardly ever
+_JOINT = "[a-z.][A-Z]"
+# whole texts in small letters, for rows that the rules before those that read them leave open
+_LATE = {"_readme_low": "raw_content", "_code_low": "_code"}
+_DERIVED = ("_packages", "_topics_low", "_code", "_name_low", "_desc_low", "_packages_low", "_joined", *_LATE)
 
 _has = S.any_of
 
@@ -58,6 +61,11 @@ def in_packages(words) -> str:
     return f"exists(_packages, p -> {_has('p', words)})"
 
 
+def in_code(words) -> str:
+    joined = [w for w in words if re.search(_JOINT, w)]
+    return f"((_joined AND {_has('_code', joined)}) OR {_has('_code', [w for w in words if w not in joined])})"
+
+
 def in_names(words) -> str:
     return f"({_has('_name_low', words)} OR {_has('_desc_low', words)})"
 
@@ -70,7 +78,8 @@ def topic_with(words) -> str:
     return f"get(filter(_topics_low, t -> {_has('t', words)}), 0)"
 
 
-MANY_LINKS_SQL = f"regexp_count(raw_content, '{W.MANY_LINKS_TEXT.replace('.', '[.]')}') > {W.MANY_LINKS}"
+MANY_LINKS_SQL = (f"(contains(raw_content, '{W.MANY_LINKS_TEXT}') AND "
+                  f"regexp_count(raw_content, '{W.MANY_LINKS_TEXT.replace('.', '[.]')}') > {W.MANY_LINKS})")
 
 
 _BIN, _MAIN = "'bin'", "'package main'"
@@ -78,7 +87,7 @@ _BIN, _MAIN = "'bin'", "'package main'"
 
 def default_rules(words=W) -> list:
     """The ordered rule list over ``prepare``d rows, as SQL text."""
-    code = lambda ws: _has("_code", ws)
+    code = in_code
     src = lambda rule, matched, conf: S.evidence("source_code", "repository_source", rule, matched, conf)
     topic = lambda rule, ws, conf: S.evidence("repository_topics", "github_topics", rule, topic_with(ws), conf)
     meta = lambda rule, ws, conf: S.evidence("repository_metadata", "github_repo", rule, name_word(ws), conf)
@@ -150,8 +159,8 @@ def default_rules(words=W) -> list:
         ("skill", "MCP_SKILL", "SKILL", code(words.SKILL_IMPL), one(src("mcp_skill_impl", "'McpSkill'", 0.9))),
         ("collection", "MCP_COLLECTION", "NONE",
          f"{coll_names} OR {in_topics(words.COLLECTION_WORDS)} OR {MANY_LINKS_SQL}", coll_evidence),
-        ("agent", "AI_AGENT", "NONE", f"{agent_code} OR {agent_tool}", agent_evidence),
-        ("tool", "AI_TOOL", "NONE", f"{tool_code} OR size(tools) BETWEEN 1 AND 5", either(
+        ("agent", "AI_AGENT", "NONE", f"{agent_tool} OR {agent_code}", agent_evidence),
+        ("tool", "AI_TOOL", "NONE", f"size(tools) BETWEEN 1 AND 5 OR {tool_code}", either(
             tool_code, src("tool_definition", "'ToolDefinition'", 0.85),
             S.evidence("mcp_tool", "tools_list", "few_tools", "'Tools list'", 0.75))),
         ("ai_sdk", "AI_SDK", "NONE", pkg_low(words.AI_SDK_PACKAGES),
@@ -169,7 +178,7 @@ def default_rules(words=W) -> list:
             f"size({typed_sources}) > 0", S.evidence(
                 "data_source", "data_sources", "dataset_type", f"get({typed_sources}, 0).type", 0.9),
             topic("dataset_topic", words.DATASET_WORDS, 0.8))),
-        ("api", "AI_API", "NONE", f"{api} AND ai_score > 15",
+        ("api", "AI_API", "NONE", f"ai_score > 15 AND {api}",
          one(src("api_wrapper", S.first_of("_code_low", words.API_WORDS), 0.75))),
         ("application", "AI_APPLICATION", "NONE", f"{in_names(words.APPLICATION_WORDS)} AND ai_score > 10",
          one(meta("ai_app_indicator", words.APPLICATION_WORDS, 0.8))),
@@ -213,16 +222,20 @@ def classify(df: DataFrame, out="classification", rules=None, leaky_evidence=Fal
             f"IF(_winner >= {i} AND {gate(r)}, {r.evidence}, {S.NO_EVIDENCE})" for i, r in enumerate(rules)) + ")"
     else:
         evidence = S.ladder([(f"_winner = {i}", r.evidence) for i, r in enumerate(rules)], S.NO_EVIDENCE)
+    conditions = [(r.condition, str(i)) for i, r in enumerate(rules)]
+    late = next((i for i, r in enumerate(rules) if any(c in r.condition or c in r.evidence for c in _LATE)), len(rules))
+    tried = lambda part, otherwise: F.expr(S.ladder(part, str(otherwise)) if part else str(otherwise))
     return (prepare(df)
-            .withColumn("_winner", F.expr(S.ladder(
-                [(r.condition, str(i)) for i, r in enumerate(rules)], str(len(rules)))))
+            .withColumn("_early", tried(conditions[:late], late))
+            .withColumns({c: F.when(F.col("_early") == late, F.lower(text)) for c, text in _LATE.items()})
+            .withColumn("_winner", F.when(F.col("_early") < late, F.col("_early")).otherwise(tried(conditions[late:], len(rules))))
             .withColumn("_evidence", F.expr(evidence))
             .transform(computed_once, out, F.struct(
                 F.expr(label("label", "UNKNOWN")).alias("primary"), F.expr(label("role", "NONE")).alias("role"),
                 F.expr(label("name", "default")).alias("rule"),
                 E.mean_confidence(F.col("_evidence")).alias("confidence"),
                 F.col("_evidence").alias("evidence")))
-            .drop("_winner", "_evidence", *_DERIVED))
+            .drop("_early", "_winner", "_evidence", *_DERIVED))
 
 
 def classify_by_words(text: Column, ordered, default) -> Column:

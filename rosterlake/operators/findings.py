@@ -63,8 +63,9 @@ def hit_structs(text: str, rules, families) -> Column:
         return (f"named_struct('type', {S.quote(r.family)}, 'rule', {S.quote(r.rule)}, 'severity', {S.quote(r.severity)}, "
                 f"'confidence', {S.num(families[r.family].confidence)}, "
                 f"'hits', regexp_count({text}, {S.quote(regex.jvm(r.pattern))}))")
-    return F.expr("array_compact(array(" + ", ".join(
-        f"IF({_may_match(text, r)}, {item(r)}, NULL)" for r in rules) + "))")
+    # counted without a test before: a text whose only match is near its end is read once
+    counted = "array_compact(array(" + ", ".join(f"IF({_gate(r)}, {item(r)}, NULL)" for r in rules) + "))"
+    return F.expr(f"filter({counted}, h -> h.hits > 0)")
 
 
 def with_hits(df: DataFrame, text: str, rules=patterns.SCAN_RULES, families=patterns.SCAN_FAMILIES,

@@ -104,7 +104,7 @@ def detect(df: DataFrame, out="identity") -> DataFrame:
     secondary = ", ".join(f"IF({cond}, '{role}', NULL)" for cond, role in (
         (held["sdk"], "SDK"), (held["extension"], "EXTENSION"), (held["skill"], "SKILL"),
         (held["library"], "LIBRARY"), (held["client"], "CLIENT"), (held["host"], "HOST"), (server, "SERVER")))
-    return (C.prepare(df)
+    return (C.prepare(df).withColumn("_readme_low", F.lower("raw_content"))
             .withColumn("_checks", F.expr("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in checks.items()) + ")"))
             .withColumn("_id_evidence", F.expr("concat(" + ", ".join(f"_checks.`{k}`" for k in checks) + ")"))
             .transform(computed_once, out, F.struct(

@@ -218,3 +218,19 @@ def test_redact_leaves_other_texts(spark):
     for p in signals.REDACT_PHRASES:
         want = want.replace(p, "[REDACTED]")
     assert got == ["plain", None, want]
+
+
+def test_boundary_before_a_group_looks_for_its_first_characters(spark):
+    import re
+    generic = regex.jvm(r"\b[a-z]")[:-5]
+    assert regex.jvm(r"\b(?:local|string[)|]x|b(c|d)e)").startswith("(?=[lsb])(?<!")
+    assert regex.jvm(r"(?i)(redis|mysql)://").startswith("(?iu)(?=[rm])(redis|")
+    # an optional group, a class, an optional first letter, a letter that folds: the plain form
+    for pattern in (r"\b(ab|cd)?e", r"\b([a]b|cd)e", r"\b(a?b|cd)e", r"(?i)\b(sudo|cd)e"):
+        assert generic in regex.jvm(pattern)
+    for pattern in (r"(ab|cd)?e", r"([)]b|cd)e", r"(a?b|cd)e", r"((ab)|cd)e", r"(|ab)e"):
+        assert regex.jvm(pattern) == pattern
+    text = "Ignore xignore ignore_ éforget FORGET (forget) 1ignore ignored, mysql://a redis:/ REDIS://b xredis://c acde abe e"
+    for pattern in (r"(?i)\b(ignore|forget)\b", r"(?i)(redis|mysql)://[a-z]", r"\b(?:ig|fo)[a-z]+", r"(ab|cd)?e", r"(ab|c(d|e)|ac)(de)?"):
+        want = [m[0] for m in re.finditer(pattern, text, re.A)]
+        assert spark.range(1).select(regex.extract_all(F.lit(text), pattern).alias("x")).first()[0] == want
