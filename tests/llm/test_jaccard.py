@@ -122,3 +122,57 @@ def test_one_per_group_keeps_clashing_columns(docs_of):
     wide = docs.withColumns({c: F.lit("z") for c in ("__row", "_gone", "_twice", "other_doc", "rows", "print", "n")})
     got = jaccard.one_per_group(wide)
     assert got.columns == wide.columns and sorted((r.doc_id for r in got.collect()), key=str) == [1, 3, None]
+
+
+def passages(n):
+    """Documents of 60 own words around a passage that all quote, and a near copy of every tenth."""
+    rng = random.Random(5)
+    common = " ".join(f"c{i}" for i in range(30))
+    own = [[f"w{rng.randrange(1 << 40)}" for _ in range(60)] for _ in range(n)]
+    docs = [(i, " ".join([*w[:30], common, *w[30:]])) for i, w in enumerate(own)]
+    return docs + [(1000 + i, docs[i][1] + " changed") for i in range(0, n, 10)]
+
+
+def test_crowded_passage_does_not_read_all_texts_again(docs_of, monkeypatch):
+    read, old = [], jaccard._texts_of
+    monkeypatch.setattr(jaccard, "_texts_of", lambda docs, ids: read.append(ids.count()) or old(docs, ids))
+    docs = passages(120)
+    assert result(jaccard.near_duplicates(docs_of(docs), crowd=20)) == brute(docs)
+    assert read and max(read) <= 24     # the near copies and their originals, not every document with the passage
+
+
+def test_many_crowded_shingles_cost_no_pass_over_them_per_document():
+    import time
+    rng = np.random.default_rng(3)
+    hot = np.sort(rng.integers(-1 << 62, 1 << 62, 1 << 16))
+    sets = [np.sort(rng.integers(-1 << 62, 1 << 62, 40)) for _ in range(20_000)]
+    counts, flat = np.full(len(sets), 40), np.concatenate(sets)
+    flat[::40] = hot[:len(sets)]
+    began = time.process_time()
+    h, doc, place = jaccard._prefixes(np.arange(len(sets)), counts, flat, counts, hot, 80, True)
+    assert time.process_time() - began < 5      # np.isin per document: about a minute
+    assert not np.isin(h, hot).any() and len(h) == 9 * len(sets)
+    assert (place >> 32 == 40).all() and (place & 0xFFFFFFFF == np.tile(np.arange(9), len(sets))).all()
+
+
+@pytest.mark.parametrize("labels, hot, block", [(0, 1 << 16, 4), (1 << 20, 1, 2)])
+def test_bounds_change_nothing(docs_of, monkeypatch, labels, hot, block):
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", labels)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "PIECE", 64)
+    monkeypatch.setattr(jaccard._most, "__defaults__", (hot,))
+    docs = corpus(3, 90) + [(2000 + i, t) for i, t in passages(30)]
+    assert result(jaccard.near_duplicates(docs_of(docs), crowd=3)) == brute(docs)
+
+
+def test_shingle_sets_of_short_and_empty_rows():
+    import pyarrow as pa
+
+    from rosterlake.llm.common import WordHash
+    texts = ["", "a b", None, "a b c d e a b c d e f", "x", " ", "a b c d e", "B A"]
+    flat, sizes = jaccard.shingle_sets(pa.array(texts), WordHash(lower=True))
+    assert sizes.tolist() == [len(shingles(t)) for t in texts]
+    cuts = np.cumsum(sizes)[:-1]
+    rows = np.split(flat, cuts)
+    assert all((np.diff(r) > 0).all() for r in rows)
+    assert rows[6][0] in rows[3] and rows[1][0] != rows[7][0]
