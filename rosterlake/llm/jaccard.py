@@ -632,7 +632,8 @@ def one_per_group(docs: DataFrame, **options) -> DataFrame:
     """
     found, name = near_duplicates(docs, **options), free_name(docs, "other_doc")
     gone = found.filter("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col(name), "left_anti")
+    gone = materialise(gone, "gone")
+    kept = docs.join(_checked(gone), docs["doc_id"].cast("long") == F.col(name), "left_anti")     # few ids: texts are not moved
     twice = (found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(name)).agg(F.count("*").alias("rows"))
              .filter("rows > 1").select(name))
     twice = materialise(twice, "repeated")

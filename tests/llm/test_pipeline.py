@@ -92,3 +92,20 @@ def test_all_queries_are_registered():
     names = [n for n in entry.queries() if n == "pipeline" or n.startswith("op")]
     assert len([n for n in names if n in load()[0]]) == 13 and "pipeline" in names
     assert {n.split("_")[0] for n in load()[0]} == {f"op{i}" for i in range(1, 14)}
+
+
+def test_copies_stage_moves_no_texts(spark, stored, monkeypatch):
+    from rosterlake.llm import jaccard
+    read, old = [], jaccard._texts_of
+    monkeypatch.setattr(jaccard, "_texts_of", lambda docs, ids: read.append(ids.count()) or old(docs, ids))
+    docs = test_jaccard.passages(120)
+    path = stored(docs)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16")
+    try:
+        kept = dict(corpus_pipeline.STAGES)["n-gram jaccard join"](spark, spark.read.parquet(f"{path}/documents.parquet"), path)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(120))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert read and max(read) <= 24     # the near copies and their originals, not every document with the passage
